@@ -51,7 +51,7 @@ class TestSuffixes:
     """All suffixes of the items of one block, as padded rows of word hashes."""
 
     def __init__(self, ids: list[str | None], texts: list[str | None], window: int):
-        _, _, data, offsets = next(bytetext.chunks(pa.array(texts, pa.string()), 1 << 40))
+        data, offsets = bytetext.string_buffers(pa.array(texts, pa.string()))
         words = bytetext.Words(data, offsets, bytetext.NAMES, lower=True)
         self.word, self.length = words.hashes(), words.left()
         self.item = words.text_of()

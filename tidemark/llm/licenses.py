@@ -56,8 +56,7 @@ class _Vocabulary:
     """Numbers for the words of phrases and templates, found by hash."""
 
     def __init__(self, texts: list[str]):
-        column = pa.array(texts, pa.string())
-        _, _, data, offsets = next(bytetext.chunks(column, 1 << 40))
+        data, offsets = bytetext.string_buffers(pa.array(texts, pa.string()))
         words = bytetext.Words(data, offsets, bytetext.NAMES, lower=True)
         if len(words) > MAX_TEMPLATE_WORDS:
             raise ValueError("the templates are larger than MAX_TEMPLATE_WORDS")

@@ -31,7 +31,7 @@ LOGIN = r"""(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[
 OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9A-Z+/_-]*[a-z])(?=[0-9a-z+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+"
 #: A text that can match at all; tried first, since most texts hold none of the parts.
-_GATE = {"assign": ASSIGN, "access": "AKIA", "hex": HEX, "login": LOGIN, "opaque": OPAQUE, "endpoint": "://"}
+_GATE = {"assign": ASSIGN, "access": "AKIA", "hex": HEX, "login": LOGIN, "opaque": "[A-Za-z0-9+/_-]{20}", "endpoint": "://"}
 
 
 def _spans(text: Column, kind: str, pattern: str, value: int = 0, least: int = 0) -> Column:
@@ -65,22 +65,26 @@ def _apart(parts: Column, others: Column) -> Column:
 
 def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets", scope: int = SCOPE) -> DataFrame:
     """docs with the column `out` STRUCT<base, linked>: arrays of STRUCT<kind, start, end>, by start, then kind as listed."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    raw = F.struct(
-        _spans(text, "assign", ASSIGN, 1, 6).alias("assign"),
-        _spans(text, "access", ACCESS).alias("access"),
-        _spans(text, "hex", HEX).alias("hex"),
-        _spans(text, "login", LOGIN).alias("login"),
-        _spans(text, "opaque", OPAQUE).alias("opaque"),
-        _spans(text, "endpoint", ENDPOINT).alias("endpoint"),
-    )
-    r = lambda k: F.col(f"{out}.{k}")
+    text, mark = F.coalesce(F.col(text_col), F.lit("")), "__secrets"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    found = {
+        "assign": _spans(text, "assign", ASSIGN, 1, 6),
+        "access": _spans(text, "access", ACCESS),
+        "hex": _spans(text, "hex", HEX),
+        "login": _spans(text, "login", LOGIN),
+        "opaque": _spans(text, "opaque", OPAQUE),
+        "endpoint": _spans(text, "endpoint", ENDPOINT),
+    }
+    r = lambda k: F.col(f"{mark}{k}")
     base = F.concat(*(r(k) for k in KINDS))
     opaque = F.filter(_apart(r("opaque"), base), lambda p: _near(p, F.concat(r("access"), r("login"), r("endpoint")), scope))
     login = F.filter(_apart(r("login"), base), lambda p: _near(p, F.concat(r("assign"), r("hex"), r("opaque")), scope))
     weak = (F.size(r("opaque")) > 0) | (F.size(r("login")) > 0)
     linked = F.when(weak, F.concat(login, opaque)).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-    return docs.withColumn(out, raw).withColumn(out, F.struct(_sorted(base).alias("base"), _sorted(linked).alias("linked")))
+    # the parts are columns of their own, so that each pattern runs once a text
+    parts = docs.withColumns({f"{mark}{k}": v for k, v in found.items()})
+    return parts.withColumn(out, F.struct(_sorted(base).alias("base"), _sorted(linked).alias("linked"))).drop(*(f"{mark}{k}" for k in found))
 
 
 def _sorted(spans: Column) -> Column:
