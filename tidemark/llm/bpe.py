@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tidemark.llm import bytetext
 
 MATRIX_WIDTH = 256
-CACHE_PRETOKENS = 400_000
+CACHE_PRETOKENS = 150_000
 #: Vocabularies are broadcast to executors; larger files are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 NONE = np.int64(1) << 40

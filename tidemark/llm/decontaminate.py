@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import bytetext
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 8 << 20
 _GATE_BITS = 22
 
