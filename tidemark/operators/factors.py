@@ -8,6 +8,8 @@ gives a null score.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,53 +41,60 @@ def _either(long: Column, up: Column, down: Column) -> Column:
     return F.when(long, up).otherwise(down)
 
 
+def profile_rows(low: list, high: list, volume: list, close: np.ndarray, bins: int) -> np.ndarray:
+    """(rows, 3): point of control and value area of each row's bars, all rows of a batch at once."""
+    n, width = len(low), max((len(x) for x in low), default=0)
+    lo, hi, vol = (np.full((n, max(width, 1)), np.nan) for _ in range(3))
+    for k in range(n):
+        m = len(low[k])
+        lo[k, :m], hi[k, :m], vol[k, :m] = low[k], high[k], volume[k]
+    count = np.array([len(x) for x in low])
+    bottom, top = np.nanmin(lo, axis=1), np.nanmax(hi, axis=1)
+    flat = (count < 5) | ~(top > bottom)
+    levels = np.linspace(bottom, np.where(flat, bottom + 1, top), bins + 1, axis=1)
+    first = np.clip((levels[:, None, :] < lo[:, :, None]).sum(2) - 1, 0, bins - 1)
+    last = np.clip((levels[:, None, :] <= hi[:, :, None]).sum(2), 0, bins - 1)
+    share = np.where((hi >= lo) & (vol > 0), vol / np.maximum(last - first + 1, 1), 0.0)
+    hist = np.zeros((n, bins))
+    place = np.arange(bins)
+    for k in range(lo.shape[1]):
+        hist += np.where((first[:, k, None] <= place) & (place <= last[:, k, None]), share[:, k, None], 0.0)
+    each = np.arange(n)
+    peak = hist.argmax(1)
+    a, b, held = peak.copy(), peak.copy(), hist[each, peak]
+    goal = hist.sum(1) * VALUE_AREA
+    for _ in range(bins):
+        grow = (held < goal) & ((a > 0) | (b < bins - 1))
+        if not grow.any():
+            break
+        below = np.where(a > 0, hist[each, np.maximum(a - 1, 0)], -1.0)
+        above = np.where(b < bins - 1, hist[each, np.minimum(b + 1, bins - 1)], -1.0)
+        down = grow & (below >= above) & (a > 0)
+        up = grow & ~down
+        a, b = a - down, b + up
+        held = held + np.where(down, below, 0.0) + np.where(up, above, 0.0)
+    out = np.stack([(levels[each, peak] + levels[each, peak + 1]) / 2, levels[each, a], levels[each, np.minimum(b + 1, bins)]], axis=1)
+    return np.where(flat[:, None], close[:, None] * np.array([1.0, 0.99, 1.01]), out)
+
+
 def volume_profile(bars: DataFrame, lookback: int = PROFILE_BARS, bins: int = PROFILE_BINS) -> DataFrame:
     """bars with poc, val, vah of the last `lookback` bars of every session.
 
     A bar's volume spreads evenly over the price bins that it touches.  The fullest bin (the lowest
     of ties) is the point of control; the value area grows from it, one bin at a time, to the fuller
     neighbour (the lower of ties) until it holds the stated share of the volume.  The bars of a
-    window, at most `lookback`, are an array in the row, so nothing is shuffled beyond the ticker.
+    window, at most `lookback`, are arrays in the row; Arrow batches of rows are handled at once.
     """
     w = by_ticker().rowsBetween(1 - lookback, 0)
-    bar = F.struct("low", "high", "volume")
-    start = bars.withColumn("__bars", F.collect_list(bar).over(w)).withColumns({"__lo": F.array_min(F.transform("__bars", lambda b: b["low"])), "__hi": F.array_max(F.transform("__bars", lambda b: b["high"]))})
-    level = lambda k: F.col("__lo") + (F.col("__hi") - F.col("__lo")) * k / bins
-    step = (F.col("__hi") - F.col("__lo")) / bins
-    first = lambda b: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil((b["low"] - F.col("__lo")) / step).cast("int") - 1))
-    last = lambda b: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((b["high"] - F.col("__lo")) / step).cast("int") + 1))
-    spread = F.transform(
-        F.filter("__bars", lambda b: (b["volume"] > 0) & (b["high"] >= b["low"])),
-        lambda b: F.struct(first(b).alias("a"), last(b).alias("b"), (b["volume"] / F.greatest(F.lit(1), last(b) - first(b) + 1)).alias("v")),
-    )
-    total = lambda k: F.aggregate("__spread", F.lit(0.0), lambda s, x: s + F.when((x["a"] <= k) & (k <= x["b"]), x["v"]).otherwise(0.0))
-    hist = start.withColumn("__spread", spread).withColumn("__hist", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), total))
-    at = lambda k: F.coalesce(F.try_element_at(F.col("__hist"), (k + 1).cast("int")), F.lit(-1.0))
-    peak = (F.array_position("__hist", F.array_max("__hist")) - 1).cast("int")
-    goal = F.aggregate("__hist", F.lit(0.0), lambda s, v: s + v) * VALUE_AREA
-    state = F.struct(F.col("__poc").alias("a"), F.col("__poc").alias("b"), at(F.col("__poc")).alias("held"))
-    below = lambda s: F.when(s["a"] > 0, at(s["a"] - 1)).otherwise(F.lit(-1.0))
-    above = lambda s: F.when(s["b"] < bins - 1, at(s["b"] + 1)).otherwise(F.lit(-1.0))
-    down = lambda s: (below(s) >= above(s)) & (s["a"] > 0)
-    grown = lambda s, _: F.when(
-        (s["held"] >= goal) | ((s["a"] == 0) & (s["b"] == bins - 1)), s
-    ).otherwise(
-        F.struct(
-            F.when(down(s), s["a"] - 1).otherwise(s["a"]).alias("a"),
-            F.when(down(s), s["b"]).otherwise(s["b"] + 1).alias("b"),
-            (s["held"] + F.when(down(s), below(s)).otherwise(above(s))).alias("held"),
-        )
-    )
-    area = hist.withColumn("__poc", peak).withColumn("__area", F.aggregate(F.sequence(F.lit(1), F.lit(bins)), state, grown))
-    flat = (F.size("__bars") < 5) | (F.col("__hi") <= F.col("__lo"))
-    close = F.col("close")
-    return area.withColumns(
-        {
-            "poc": F.when(flat, close).otherwise((level(F.col("__poc")) + level(F.col("__poc") + 1)) / 2),
-            "val": F.when(flat, close * 0.99).otherwise(level(F.col("__area.a"))),
-            "vah": F.when(flat, close * 1.01).otherwise(level(F.col("__area.b") + 1)),
-        }
-    ).drop("__bars", "__lo", "__hi", "__spread", "__hist", "__poc", "__area")
+
+    @F.pandas_udf("poc double, val double, vah double")
+    def profile(low: pd.Series, high: pd.Series, volume: pd.Series, close: pd.Series) -> pd.DataFrame:
+        parts = [profile_rows(*(list(x.iloc[k : k + 500]) for x in (low, high, volume)), close.iloc[k : k + 500].to_numpy(float), bins) for k in range(0, len(low), 500)]
+        return pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 3)), columns=["poc", "val", "vah"])
+
+    arrays = bars.withColumns({f"__{c}": F.collect_list(c).over(w) for c in ("low", "high", "volume")})
+    found = arrays.withColumn("__p", profile("__low", "__high", "__volume", "close"))
+    return found.withColumns({c: F.col(f"__p.{c}") for c in ("poc", "val", "vah")}).drop("__low", "__high", "__volume", "__p")
 
 
 def score_factors(bars: DataFrame, n_sectors: int, turnover_floor: float = 35_000_000.0, near_high_percent: float = 8.0, contraction: float = 0.85) -> DataFrame:

@@ -1,21 +1,377 @@
-"""All registered queries of the screening and evidence operators."""
+"""All registered queries of the screening and evidence operators, over views of the given tables.
+
+Each query runs over whole tables.  Its SQL, for DuckDB, is written apart from the operators.  Values
+that depend on the order of floating-point sums are rounded in both.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tidemark.operators import bitemporal, coverage, factors, indicators, journal, market, outcomes, selection, setups
 from tidemark.plans import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+_BARS = f"bars AS ({views.BARS_WALK_SQL})"
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function as a query under its name; sql, if any, is its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
-def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+@query(views.BARS_WALK_SQL)
+def bars_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.bars_walk(spark, sf_dir)
 
 
-FLAGSHIP = _bars
-QUERIES["bars_walk"] = _bars
-ORACLE_SQL["bars_walk"] = views.BARS_WALK_SQL
+def _ewm(x: str, a: float, start: str = "t", seed_at: int = 0) -> str:
+    """Closed form of the recursive mean of x with weight a, seeded at row `seed_at` of each ticker."""
+    k = f"({start} - {seed_at})"
+    return (
+        f"(pow({1 - a!r}, {k}) * sum(CASE WHEN {k} < 0 THEN 0 WHEN {k} = 0 THEN {x} ELSE {a!r} * {x} * pow({1 - a!r}, -{k}) END) OVER (PARTITION BY ticker ORDER BY session ROWS UNBOUNDED PRECEDING))"
+    )
+
+
+def _span(x: str, n: int) -> str:
+    return _ewm(x, 2 / (n + 1))
+
+
+def _wilder(x: str, n: int, seed_at: int = 0) -> str:
+    return f"CASE WHEN t >= {n - 1 + seed_at} THEN {_ewm(x, 1 / n, seed_at=seed_at)} END"
+
+
+def _roll(f: str, x: str, n: int) -> str:
+    w = f"OVER (PARTITION BY ticker ORDER BY session ROWS {n - 1} PRECEDING)"
+    return f"CASE WHEN count({x}) {w} = {n} THEN {f}({x}) {w} END"
+
+
+_INDICATORS = f"""{_BARS},
+i0 AS (SELECT *, row_number() OVER w - 1 AS t, lag(close) OVER w AS pc, lag(high) OVER w AS ph, lag(low) OVER w AS pl FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY session)),
+i1 AS (SELECT *, greatest(high - low, abs(high - coalesce(pc, close)) * CASE WHEN pc IS NULL THEN 0 ELSE 1 END, abs(low - coalesce(pc, close)) * CASE WHEN pc IS NULL THEN 0 ELSE 1 END) AS tr,
+  coalesce(greatest(close - pc, 0), 0) AS up, coalesce(greatest(pc - close, 0), 0) AS dn,
+  CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS pdm, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS ndm FROM i0),
+i2 AS (SELECT *, {_span("close", 20)} AS ema_20, {_span("close", 50)} AS ema_50, {_span("close", 200)} AS ema_200, {_span("close", 12)} - {_span("close", 26)} AS macd,
+  {_wilder("up", 14, 1)} AS ag, {_wilder("dn", 14, 1)} AS al, {_wilder("tr", 14)} AS atr, {_wilder("pdm", 14)} AS ps, {_wilder("ndm", 14)} AS ns FROM i1),
+i3 AS (SELECT *, macd - {_span("macd", 9)} AS macd_hist, CASE WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END AS rsi,
+  {_roll("avg", "atr", 50)} AS atr_50_mean, 100 * abs(ps - ns) / nullif(ps + ns, 0) AS dx FROM i2),
+i4 AS (SELECT *, {_wilder("coalesce(dx, 0)", 14, 13)} AS adx,
+  (rsi - {_roll("min", "rsi", 14)}) / ({_roll("max", "rsi", 14)} - {_roll("min", "rsi", 14)} + 1e-9) AS sr,
+  {_roll("avg", "close", 20)} AS mid, {_roll("stddev_pop", "close", 20)} AS sd, {_roll("avg", "volume", 20)} AS vol_avg_20 FROM i3),
+ind AS (SELECT *, {_roll("avg", "sr", 3)} * 100 AS stoch_k FROM i4)"""
+
+
+@query(
+    f"""WITH {_INDICATORS}
+SELECT ticker, session, round(ema_20, 6) AS ema_20, round(ema_50, 6) AS ema_50, round(ema_200, 6) AS ema_200, round(macd_hist, 6) AS macd_hist, round(rsi, 6) AS rsi, round(stoch_k, 5) AS stoch_k,
+  round(atr, 6) AS atr, round(atr_50_mean, 6) AS atr_50_mean, round(adx, 6) AS adx, round(mid + 2 * sd, 6) AS bb_upper, round(4 * sd / mid, 6) AS bb_width, round(vol_avg_20, 6) AS vol_avg_20 FROM ind"""
+)
+def technical_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("ema_20", "ema_50", "ema_200", "macd_hist", "rsi", "atr", "atr_50_mean", "adx", "bb_upper", "bb_width", "vol_avg_20")
+    found = indicators.add_indicators(views.bars_walk(spark, sf_dir), complete=False)
+    return rounded(found, 6, *names).withColumn("stoch_k", F.round("stoch_k", 5)).select("ticker", "session", *names, "stoch_k")
+
+
+@query()
+def supertrend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = indicators.add_indicators(views.bars_walk(spark, sf_dir))
+    return found.select("ticker", "session", F.round("supertrend", 6).alias("supertrend"), "super_up", F.round("atr_pctile", 6).alias("atr_pctile"))
+
+
+@query(
+    f"""WITH {_INDICATORS},
+m AS (SELECT session, coalesce(avg(CASE WHEN close > ema_50 THEN 1.0 ELSE 0.0 END), 0.5) AS breadth, coalesce(median(adx), 20) AS adx_median,
+  coalesce(median(CASE WHEN atr_50_mean > 0 THEN atr / atr_50_mean END), 1) AS atr_ratio FROM ind GROUP BY session),
+p AS (SELECT *, coalesce(last_value(CASE WHEN breadth < 0.25 THEN true WHEN breadth >= 0.35 THEN false END IGNORE NULLS) OVER (ORDER BY session ROWS UNBOUNDED PRECEDING), false) AS panic FROM m),
+r AS (SELECT *, CASE WHEN panic THEN 'PANIC' WHEN atr_ratio >= 1.3 AND adx_median >= 25 THEN 'EXPANSION' WHEN adx_median < 18 THEN 'RANGE' WHEN breadth >= 0.55 THEN 'TREND_UP' WHEN breadth < 0.45 THEN 'TREND_DOWN' ELSE 'RANGE' END AS regime FROM p)
+SELECT session, round(breadth, 6) AS breadth, round(adx_median, 5) AS adx_median, round(atr_ratio, 5) AS atr_ratio, regime,
+  regime = 'PANIC' OR coalesce(lag(regime) OVER (ORDER BY session) = regime, false) AS confirmed FROM r"""
+)
+def market_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = market.regimes(market.session_metrics(indicators.add_indicators(views.bars_walk(spark, sf_dir), complete=False)))
+    return found.select("session", F.round("breadth", 6).alias("breadth"), F.round("adx_median", 5).alias("adx_median"), F.round("atr_ratio", 5).alias("atr_ratio"), "regime", "confirmed")
+
+
+def _strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = views.bars_walk(spark, sf_dir)
+    return market.relative_strength(bars, market.benchmark(bars))
+
+
+_RS = f"""{_BARS}, b AS (SELECT session, avg(close) AS bench FROM bars GROUP BY session),
+rs AS (SELECT ticker, sector, session, coalesce(round((ln(close / lag(close, 20) OVER w) - ln(bench / lag(bench, 20) OVER w)) * 100, 3), 0) AS rs
+  FROM bars JOIN b USING (session) WINDOW w AS (PARTITION BY ticker ORDER BY session))"""
+
+
+@query(f"WITH {_RS} SELECT * FROM rs")
+def relative_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _strength(spark, sf_dir).select("ticker", "sector", "session", "rs")
+
+
+@query(
+    f"""WITH {_RS}, s AS (SELECT session, sector, round(median(rs), 3) AS sector_rs FROM rs GROUP BY session, sector)
+SELECT *, row_number() OVER (PARTITION BY session ORDER BY sector_rs DESC, sector) AS sector_rank FROM s"""
+)
+def sector_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.sector_strength(_strength(spark, sf_dir)).withColumn("sector_rank", F.col("sector_rank").cast("long"))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every complete bar, long where its Supertrend is up, with factor scores and a composite by regime."""
+    bars = views.bars_walk(spark, sf_dir)
+    found = indicators.add_indicators(bars)
+    rs = market.relative_strength(bars, market.benchmark(bars))
+    state = market.regimes(market.session_metrics(found)).select("session", "regime")
+    rows = found.join(rs.select("ticker", "session", "rs"), ["ticker", "session"]).join(market.sector_strength(rs), ["session", "sector"]).join(state, "session")
+    scored = factors.score_factors(factors.volume_profile(rows.withColumn("direction", F.when(F.col("super_up"), "LONG").otherwise("SHORT"))), n_sectors=5, turnover_floor=50_000.0)
+    return factors.composite(factors.blend_cohorts(scored, least=5, full=20))
+
+
+@query()
+def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_candidates(spark, sf_dir), 6, *factors.NAMES).select("ticker", "session", "direction", "regime", *factors.NAMES, "composite", F.round("poc", 4).alias("poc"), F.round("val", 4).alias("val"), F.round("vah", 4).alias("vah"))
+
+
+@query()
+def portfolio_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = selection.pair_correlations(selection.returns(views.bars_walk(spark, sf_dir)))
+    rows = _candidates(spark, sf_dir).where("direction = 'LONG'").select("session", "ticker", "sector", F.col("composite").alias("rank_score"), F.lit(False).alias("held"))
+    return selection.select_portfolio(rows, pairs)
+
+
+@query()
+def swing_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = views.bars_walk(spark, sf_dir)
+    return setups.swing_setups(indicators.add_indicators(bars), None)
+
+
+@query(
+    f"""WITH {_BARS}, b AS (SELECT session, avg(close) AS bench FROM bars GROUP BY session),
+s AS (SELECT session FROM (SELECT session, bench, avg(bench) OVER w AS m, count(*) OVER w AS n FROM b WINDOW w AS (ORDER BY session ROWS 99 PRECEDING)) WHERE n = 100 AND bench > m),
+f0 AS (SELECT *, close - lag(close) OVER w AS d, lag(close) OVER w AS pc, lag(close, 126) OVER w AS past, row_number() OVER w AS n FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY session)),
+f1 AS (SELECT *, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr,
+  sum(greatest(coalesce(d, 0), 0) * pow(2.0, n)) OVER r AS up, sum(greatest(-coalesce(d, 0), 0) * pow(2.0, n)) OVER r AS dn,
+  avg(close) OVER (PARTITION BY ticker ORDER BY session ROWS 49 PRECEDING) AS sma50, avg(close) OVER (PARTITION BY ticker ORDER BY session ROWS 99 PRECEDING) AS sma100
+  FROM f0 WINDOW r AS (PARTITION BY ticker ORDER BY session ROWS 59 PRECEDING)),
+f2 AS (SELECT *, avg(tr) OVER (PARTITION BY ticker ORDER BY session ROWS 13 PRECEDING) AS atr_, CASE WHEN dn > 0 THEN 100 - 100 / (1 + up / dn) WHEN up > 0 THEN 100 END AS rsi2_ FROM f1),
+p AS (SELECT *, (rank() OVER (PARTITION BY session ORDER BY close / past - 1) + (count(*) OVER (PARTITION BY session, close / past - 1) - 1) / 2.0) / count(*) OVER (PARTITION BY session) AS pct
+  FROM f2 JOIN s USING (session) WHERE past > 0),
+q AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY rsi2_, ticker) AS place FROM p WHERE pct >= 0.8 AND close > sma50 AND sma50 > sma100 AND rsi2_ < 10 AND atr_ > 0)
+SELECT session, ticker, round(close, 2) AS close, round(atr_, 2) AS atr, round(3 * atr_, 2) AS stop_offset, round(pct * 100, 1) AS rs_percentile, round(rsi2_, 1) AS rsi2,
+  CAST(trunc(least(5000 / (3 * atr_), 100000 / close)) AS BIGINT) AS shares FROM q WHERE place <= 20"""
+)
+def leader_pullback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = views.bars_walk(spark, sf_dir)
+    return setups.leader_pullback(bars, market.benchmark(bars), capital=1_000_000.0, least_turnover=0.0, trend_bars=100)
+
+
+def _trades(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A long or short trade at every fifth bar of a ticker, risking a twentieth, for at most 10 bars; and the bars."""
+    bars = views.bars_walk(spark, sf_dir)
+    signals = outcomes.with_ordinals(bars).where("ord % 5 = 0")
+    long = F.col("ord") % 10 == 0
+    sign = F.when(long, 1.0).otherwise(-1.0)
+    return signals.select(
+        F.concat_ws("-", "ticker", "ord").alias("trade_id"), "ticker", "sector", F.col("ord").alias("signal_ord"), F.col("session").alias("entry_session"), F.when(long, "LONG").otherwise("SHORT").alias("direction"),
+        F.col("close").alias("entry"), (F.col("close") - F.col("close") * 0.05 * sign).alias("stop"), (F.col("close") + F.col("close") * 0.1 * sign).alias("target"), F.lit(10).alias("time_stop"),
+    ), bars
+
+
+_TRADES = f"""{_BARS}, o AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY session) AS ord FROM bars),
+t AS (SELECT ticker || '-' || ord AS trade_id, ticker, sector, ord AS sig, session AS entry_session, CASE WHEN ord % 10 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, CASE WHEN ord % 10 = 0 THEN 1.0 ELSE -1.0 END AS sg,
+  close AS entry, close - close * 0.05 * (CASE WHEN ord % 10 = 0 THEN 1.0 ELSE -1.0 END) AS stop, close + close * 0.1 * (CASE WHEN ord % 10 = 0 THEN 1.0 ELSE -1.0 END) AS target FROM o WHERE ord % 5 = 0),
+d AS (SELECT t.*, o.ord - sig AS day, o.session, (o.open - entry) * sg / abs(entry - stop) AS r_open, (o.close - entry) * sg / abs(entry - stop) AS r_close,
+  (o.open - stop) * sg <= 0 AS so, (CASE WHEN sg > 0 THEN o.low ELSE o.high END - stop) * sg <= 0 AS sl, (o.open - target) * sg >= 0 AS uo, (CASE WHEN sg > 0 THEN o.high ELSE o.low END - target) * sg >= 0 AS uh
+  FROM t JOIN o ON o.ticker = t.ticker AND o.ord > sig AND o.ord <= sig + 10),
+e AS (SELECT *, CASE WHEN so THEN r_open WHEN sl THEN -1.0 WHEN uo THEN r_open WHEN uh THEN abs(target - entry) / abs(entry - stop) END AS touch, NOT (so OR sl) AND (uo OR uh) AS hit_ FROM d),
+x AS (SELECT trade_id, coalesce(arg_min(touch, day) FILTER (touch IS NOT NULL), arg_max(r_close, day)) AS r, coalesce(arg_min(hit_, day) FILTER (touch IS NOT NULL), false) AS hit,
+  coalesce(min(day) FILTER (touch IS NOT NULL), max(day)) AS bars_held FROM e GROUP BY trade_id),
+done AS (SELECT t.*, round(coalesce(r, 0), 4) AS net_r, coalesce(hit, false) AS hit, CAST(coalesce(bars_held, 0) AS INTEGER) AS bars_held FROM t LEFT JOIN x USING (trade_id))"""
+
+
+@query(f"WITH {_TRADES} SELECT trade_id, direction, net_r, hit, bars_held FROM done")
+def trade_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes.outcomes(*_trades(spark, sf_dir)).select("trade_id", "direction", "net_r", "hit", "bars_held")
+
+
+@query(
+    f"""WITH {_TRADES} SELECT sector, direction, count(*) AS trades, round(avg(net_r), 8) AS mean_r, round(avg(CASE WHEN net_r > 0 THEN 1.0 ELSE 0.0 END), 8) AS win_rate, round(avg(bars_held), 8) AS average_hold,
+  round(sum(greatest(net_r, 0)) / nullif(sum(greatest(-net_r, 0)), 0), 6) AS profit_factor, round(quantile_cont(net_r, 0.05), 6) AS p5, round(quantile_cont(net_r, 0.5), 6) AS p50, round(quantile_cont(net_r, 0.95), 6) AS p95,
+  round(skewness(net_r), 6) AS skewness, round(kurtosis(net_r), 6) AS excess_kurtosis FROM done GROUP BY sector, direction"""
+)
+def trade_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = outcomes.trade_statistics(outcomes.outcomes(*_trades(spark, sf_dir)), "sector", "direction")
+    found = rounded(rounded(found, 8, "mean_r", "win_rate", "average_hold"), 6, "profit_factor", "p5", "p50", "p95", "skewness", "excess_kurtosis")
+    return found.select("sector", "direction", "trades", "mean_r", "win_rate", "average_hold", "profit_factor", "p5", "p50", "p95", "skewness", "excess_kurtosis")
+
+
+@query(
+    f"""WITH {_TRADES}, g AS (SELECT 'direction' AS field, direction AS label, net_r FROM done UNION ALL SELECT 'sector', CAST(sector AS VARCHAR), net_r FROM done UNION ALL SELECT 'hit', CAST(hit AS VARCHAR), net_r FROM done)
+SELECT field, label, count(*) AS trades, round(avg(net_r), 6) AS mean_r FROM g GROUP BY field, label"""
+)
+def trade_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(outcomes.attribution(outcomes.outcomes(*_trades(spark, sf_dir)), ["direction", "sector", "hit"]), 6, "mean_r")
+
+
+@query()
+def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes.cluster_bootstrap(outcomes.outcomes(*_trades(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {_BARS}, n AS (SELECT ticker, session, close / 100 AS nav FROM bars), p AS (SELECT *, greatest(max(nav) OVER (PARTITION BY ticker ORDER BY session ROWS UNBOUNDED PRECEDING), 1) AS peak FROM n)
+SELECT ticker, session, round(nav, 8) AS nav, round(peak, 8) AS peak, round(nav / peak - 1, 8) AS drawdown FROM p"""
+)
+def equity_drawdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = views.bars_walk(spark, sf_dir).select("ticker", "session", (F.col("close") / 100).alias("nav"))
+    return rounded(outcomes.drawdowns(curve, "ticker"), 8, "nav", "peak", "drawdown")
+
+
+@query(
+    f"""WITH {_BARS}, r AS (SELECT * FROM (SELECT ticker, session, close / lag(close) OVER (PARTITION BY ticker ORDER BY session) - 1 AS ret FROM bars) WHERE ret IS NOT NULL),
+m AS (SELECT session, avg(ret) AS mret FROM r GROUP BY session)
+SELECT ticker, count(*) AS sessions, round(exp(sum(ln(1 + ret))) - 1, 8) AS total_return, round(covar_pop(ret, mret) / var_pop(mret), 6) AS beta, round(avg(ret) * sqrt(252.0) / stddev_samp(ret), 6) AS sharpe,
+  round(avg(ret - mret) * sqrt(252.0) / stddev_samp(ret - mret), 6) AS information_ratio FROM r JOIN m USING (session) GROUP BY ticker"""
+)
+def portfolio_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = selection.returns(views.bars_walk(spark, sf_dir))
+    curve = r.join(r.groupBy("session").agg(F.avg("ret").alias("benchmark_return")), "session").withColumnRenamed("ret", "daily_return")
+    found = outcomes.portfolio_statistics(curve, "ticker")
+    return rounded(rounded(found, 8, "total_return"), 6, "beta", "sharpe", "information_ratio").select("ticker", "sessions", "total_return", "beta", "sharpe", "information_ratio")
+
+
+@query(
+    f"""WITH {_BARS}, r AS (SELECT * FROM (SELECT ticker, session, close / lag(close) OVER (PARTITION BY ticker ORDER BY session) - 1 AS ret FROM bars) WHERE ret IS NOT NULL),
+l AS (SELECT DISTINCT session FROM r ORDER BY session DESC LIMIT 60), k AS (SELECT * FROM r JOIN l USING (session))
+SELECT x.ticker AS a, y.ticker AS b, round(corr(x.ret, y.ret), 8) AS corr, count(*) AS n FROM k x JOIN k y ON x.session = y.session AND x.ticker < y.ticker GROUP BY 1, 2 HAVING count(*) >= 20"""
+)
+def pair_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(selection.pair_correlations(selection.returns(views.bars_walk(spark, sf_dir))), 8, "corr")
+
+
+_FEED = """feed AS (SELECT CAST(o_custkey % 25 AS VARCHAR) AS ticker, date_trunc('month', o_orderdate) AS effective_date, date_trunc('month', o_orderdate) + INTERVAL 60 DAY AS valid_until,
+  o_orderdate + (o_orderkey % 40) * INTERVAL 1 DAY AS known_at, CASE o_orderstatus WHEN 'F' THEN 'CLEAR' WHEN 'O' THEN 'ASM' ELSE 'UNKNOWN' END AS state, o_orderkey AS tie FROM orders),
+pts AS (SELECT row_number() OVER (ORDER BY ticker, month) AS point_id, ticker, month + INTERVAL 20 DAY AS "asof", month AS session FROM (SELECT DISTINCT CAST(o_custkey % 25 AS VARCHAR) AS ticker, date_trunc('month', o_orderdate) AS month FROM orders)),
+k AS (SELECT point_id, "asof", session, f.*, row_number() OVER (PARTITION BY point_id, f.effective_date ORDER BY known_at DESC, tie DESC) AS rn FROM pts JOIN feed f USING (ticker) WHERE known_at <= "asof" AND effective_date <= session),
+latest AS (SELECT * FROM k WHERE rn = 1)"""
+
+
+def _points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    feed = views.feed_rev(spark, sf_dir)
+    months = feed.select("ticker", F.col("effective_date").alias("session")).distinct()
+    points = months.withColumn("point_id", F.row_number().over(Window.orderBy("ticker", "session")).cast("long")).withColumn("asof", F.col("session") + F.expr("interval 20 days"))
+    return points, feed
+
+
+@query(f"WITH {_FEED} SELECT point_id, count(*) AS revisions, max(known_at) AS newest, sum(CASE WHEN state = 'CLEAR' THEN 1 ELSE 0 END) AS clear FROM latest GROUP BY point_id")
+def feed_latest_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bitemporal.latest_known(*_points(spark, sf_dir), ["effective_date"], "effective_date", tie="tie")
+    return rows.groupBy("point_id").agg(F.count("*").alias("revisions"), F.max("known_at").alias("newest"), F.sum((F.col("state") == "CLEAR").cast("long")).alias("clear"))
+
+
+@query(
+    f"""WITH {_FEED}, b AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY effective_date DESC, known_at DESC, tie DESC) AS place FROM latest)
+SELECT point_id, ticker, session, effective_date, state, tie FROM b WHERE place = 1 AND valid_until >= session"""
+)
+def feed_valid_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitemporal.valid_interval(*_points(spark, sf_dir), tie="tie").select("point_id", "ticker", "session", "effective_date", "state", "tie")
+
+
+_MEMBERS = """members AS (SELECT n_name AS ticker, min(o_orderdate) AS "start", CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE max(o_orderdate) - INTERVAL 400 DAY END AS "end"
+  FROM orders JOIN nation ON n_nationkey = o_custkey % 25 GROUP BY n_name, n_nationkey)"""
+_STATES = f"""{_BARS}, {_MEMBERS}, sess AS (SELECT DISTINCT session FROM bars),
+cal AS (SELECT session, row_number() OVER (ORDER BY session) AS ord FROM sess), g AS (SELECT ticker, session, ord, open > 0 AND volume >= 0 AND high >= greatest(open, close, low) AND low <= least(open, close) AS good FROM bars JOIN cal USING (session)),
+w AS (SELECT *, sum(CAST(good AS INT)) OVER (PARTITION BY ticker ORDER BY ord RANGE BETWEEN 19 PRECEDING AND CURRENT ROW) = 20 AS warm FROM g),
+st AS (SELECT s.session, m.ticker, CASE WHEN m.ticker NOT IN (SELECT ticker FROM bars) THEN 'UNAVAILABLE_NO_PRICE_SERIES' WHEN good IS NULL THEN 'UNAVAILABLE_NO_PRICE_BAR' WHEN NOT good THEN 'UNAVAILABLE_INVALID_OHLCV'
+  WHEN NOT warm THEN 'UNAVAILABLE_PRICE_LOOKBACK' ELSE 'OBSERVED' END AS state
+  FROM sess s JOIN members m ON m."start" <= s.session AND (m."end" IS NULL OR s.session < m."end") LEFT JOIN w ON w.ticker = m.ticker AND w.session = s.session)"""
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    bars = views.bars_walk(spark, sf_dir)
+    sessions = bars.select("session").distinct()
+    return coverage.member_states(bars, sessions, views.members(spark, sf_dir), lookback=20), sessions
+
+
+@query(
+    f"""WITH {_STATES} SELECT session, count(*) AS declared, count(*) FILTER (state IN ('OBSERVED', 'UNAVAILABLE_PRICE_LOOKBACK')) AS valid_bar, count(*) FILTER (state = 'OBSERVED') AS warmed,
+  count(*) FILTER (state = 'UNAVAILABLE_NO_PRICE_SERIES') AS no_series, count(*) FILTER (state = 'UNAVAILABLE_NO_PRICE_BAR') AS no_bar, count(*) FILTER (state = 'UNAVAILABLE_INVALID_OHLCV') AS invalid_bar,
+  round(count(*) FILTER (state IN ('OBSERVED', 'UNAVAILABLE_PRICE_LOOKBACK')) / count(*), 8) AS coverage FROM st GROUP BY session"""
+)
+def daily_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(coverage.daily_coverage(_states(spark, sf_dir)[0]), 8, "coverage")
+
+
+@query(
+    f"""WITH {_STATES}, i AS (SELECT ticker AS entity, state AS reason, session, ord - row_number() OVER (PARTITION BY ticker, state ORDER BY ord) AS isl FROM st JOIN cal USING (session) WHERE state <> 'OBSERVED')
+SELECT entity, reason, min(session) AS "start", max(session) AS "end", count(*) AS audited_sessions FROM i GROUP BY entity, reason, isl"""
+)
+def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states, sessions = _states(spark, sf_dir)
+    gaps = states.where("state <> 'OBSERVED'").select("session", F.col("ticker").alias("entity"), F.col("state").alias("reason"))
+    return coverage.gap_intervals(gaps, sessions, "entity", "reason")
+
+
+@query(
+    """WITH j AS (SELECT event_id, user_id, event_type, ts, json_extract_string(props, '$.k') AS k FROM events WHERE event_type IN ('click', 'purchase')),
+f AS (SELECT user_id, count(*) AS fills FROM j WHERE event_type = 'click' GROUP BY 1), x AS (SELECT user_id, count(*) AS exits FROM j WHERE event_type = 'purchase' GROUP BY 1)
+SELECT CAST(coalesce(f.user_id, x.user_id) AS VARCHAR) AS trade_id, coalesce(fills, 0) AS fills, coalesce(exits, 0) AS exits,
+  CASE WHEN coalesce(fills, 0) > 1 OR coalesce(exits, 0) > 1 THEN 'AMBIGUOUS' WHEN coalesce(exits, 0) = 0 THEN 'OPEN' WHEN coalesce(fills, 0) = 0 THEN 'ORPHAN_EXIT' ELSE 'CLOSED' END AS status
+FROM f FULL OUTER JOIN x ON f.user_id = x.user_id"""
+)
+def journal_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return journal.lifecycles(journal.decode(views.journal(spark, sf_dir))).select("trade_id", "fills", "exits", "status")
+
+
+@query()
+def journal_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = journal.decode(views.journal(spark, sf_dir))
+    trades = journal.lifecycles(decoded).select(F.explode("issues").alias("i")).select("i.code", "i.category", "i.severity")
+    return trades.unionByName(journal.event_issues(decoded).select("code", "category", "severity")).groupBy("code", "category", "severity").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT event_type AS ticker, date_trunc('day', ts) AS session, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume
+FROM events GROUP BY 1, 2"""
+)
+def tick_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.struct("ts", "event_id")
+    rows = views.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("ticker"), F.date_trunc("day", "ts").alias("session"))
+    return rows.agg(F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"), F.count("*").alias("volume"))
+
+
+@query(
+    """SELECT o_custkey AS key, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, max(o_orderdate) AS o_orderdate FROM orders GROUP BY 1"""
+)
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", "o_orderdate")
+    rows = rows.withColumn("version", F.struct("o_orderdate", "o_orderkey"))
+    return journal.upsert(rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 <> 0"), "key", "version").drop("version")
+
+
+@query(
+    """SELECT CASE WHEN ingested < published THEN 'EARLY' WHEN ingested - published > INTERVAL 900 SECOND THEN 'LATE' ELSE 'ON_TIME' END AS status, count(*) AS n
+FROM (SELECT ts AS published, ts + ((event_id * 37) % 2000 - 100) * INTERVAL 1 SECOND AS ingested FROM events) GROUP BY 1"""
+)
+def recording_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recorded = F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") * 37) % 2000 - 100)
+    events = views.table(spark, sf_dir, "events").select("ts", recorded.alias("recorded"))
+    return events.groupBy(journal.recording_delay(F.col("recorded"), F.col("ts")).alias("status")).agg(F.count("*").alias("n"))
+
+
+FLAGSHIP = factor_scores

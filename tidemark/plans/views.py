@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
@@ -27,16 +30,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sql(spark: SparkSession, sf_dir: str, text: str, names: tuple[str, ...]) -> DataFrame:
     """Run SQL over tables of sf_dir, given as parameters so that no session view is left behind."""
-    return spark.sql(text.format(**{n: "{" + n + "}" for n in names}) if "{" in text else _bind(text, names), **{n: table(spark, sf_dir, n) for n in names})
-
-
-def _bind(text: str, names: tuple[str, ...]) -> str:
-    import re
-
     for n in names:
         text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}}", text)
-    return text
+    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def bars_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, BARS_WALK_SQL, ("lineitem", "supplier", "nation"))
+
+
+def feed_rev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A revised interval feed: orders by customer class and month, known up to 40 days after the order."""
+    o = table(spark, sf_dir, "orders")
+    month = F.date_trunc("month", "o_orderdate")
+    days = lambda n: F.make_dt_interval(n)
+    return o.select(
+        (F.col("o_custkey") % 25).cast("string").alias("ticker"),
+        month.alias("effective_date"),
+        (month + F.expr("interval 60 days")).alias("valid_until"),
+        (F.col("o_orderdate") + days((F.col("o_orderkey") % 40).cast("int"))).alias("known_at"),
+        F.when(F.col("o_orderstatus") == "F", "CLEAR").when(F.col("o_orderstatus") == "O", "ASM").otherwise("UNKNOWN").alias("state"),
+        F.col("o_orderkey").alias("tie"),
+    )
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership intervals by nation; open-ended for even keys."""
+    o, n = table(spark, sf_dir, "orders"), table(spark, sf_dir, "nation")
+    rows = o.join(n, F.col("o_custkey") % 25 == F.col("n_nationkey")).groupBy("n_name", "n_nationkey")
+    ends = F.when(F.col("n_nationkey") % 2 != 0, F.max("o_orderdate") - F.expr("interval 400 days"))
+    return rows.agg(F.min("o_orderdate").alias("start"), ends.alias("end")).select(F.col("n_name").alias("ticker"), "start", "end")
+
+
+def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a journal: clicks are fills and purchases exits of a user's trade."""
+    e = table(spark, sf_dir, "events")
+    kinds = {"view": "SIGNAL", "click": "PAPER_FILL", "purchase": "PAPER_EXIT", "signup": "SCAN"}
+    kind = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in kinds.items()), F.upper("event_type"))
+    payload = F.to_json(F.struct(F.col("user_id").cast("string").alias("trade_id"), F.col("value").alias("entry_price"), F.col("value").alias("exit_price"), F.get_json_object("props", "$.k").alias("strategy_id")))
+    return e.select(F.col("event_id").alias("sequence"), F.col("event_id").cast("string").alias("event_id"), kind.alias("event_type"), F.col("ts").alias("recorded_at"), payload.alias("payload"))
