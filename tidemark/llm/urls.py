@@ -78,7 +78,7 @@ def _features(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]
 class UrlClassifier:
     """Logistic regression: the mean weight of a url's n-grams, scaled by the root of their number, plus a bias."""
 
-    def __init__(self, rows: list[tuple[str, int]], rounds: int = 400, rate: float = 4.0, decay: float = 1e-4):
+    def __init__(self, rows: list[tuple[str, int]], rounds: int = 1500, rate: float = 8.0, decay: float = 1e-6):
         parts = [split_url(u) for u, _ in rows]
         label = np.array([y for _, y in rows], np.float64)
         bucket, row = _features(pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()))
