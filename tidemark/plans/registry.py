@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import bitemporal, coverage, factors, indicators, journal, market, outcomes, selection, setups
+from tidemark.operators import bitemporal, coverage, evaluation, factors, indicators, journal, market, outcomes, selection, setups, sizing
 from tidemark.plans import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -374,4 +374,84 @@ def recording_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy(journal.recording_delay(F.col("recorded"), F.col("ts")).alias("status")).agg(F.count("*").alias("n"))
 
 
+_DONE_ROWS = f"WITH {_TRADES}"
+
+
+@query(
+    f"""{_DONE_ROWS}, f AS (SELECT d.*, CAST(year(entry_session) AS INTEGER) AS fold FROM done d), c AS (SELECT *, sum(net_r) OVER (PARTITION BY fold ORDER BY entry_session, trade_id ROWS UNBOUNDED PRECEDING) AS s FROM f),
+w AS (SELECT *, s - greatest(0, max(s) OVER (PARTITION BY fold ORDER BY entry_session, trade_id ROWS UNBOUNDED PRECEDING)) AS fall FROM c)
+SELECT fold, count(*) AS trades, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(net_r), 6) AS mean_r, round(sum(net_r), 4) AS total_r, round(min(fall), 4) AS worst_fall FROM w GROUP BY ROLLUP (fold)"""
+)
+def fold_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = outcomes.outcomes(*_trades(spark, sf_dir)).withColumn("fold", F.year("entry_session")).withColumn("exit_session", F.col("entry_session"))
+    return rounded(rounded(evaluation.fold_statistics(done), 6, "hit_rate", "mean_r"), 4, "total_r", "worst_fall")
+
+
+@query(
+    f"""WITH {_BARS}, c AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS ord, count(*) OVER () AS n FROM (SELECT DISTINCT session FROM bars)),
+f AS (SELECT unnest(range(0, (SELECT (max(n) - 150) // 30 + 1 FROM c))) AS fold)
+SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN ord - fold * 30 < 120 THEN 'train' ELSE 'test' END AS role, session FROM c JOIN f ON ord >= fold * 30 AND ord < fold * 30 + 150"""
+)
+def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.session_folds(views.bars_walk(spark, sf_dir).select("session").distinct(), train=120, test=30, step=30)
+
+
+@query(
+    f"""WITH {_BARS}, y AS (SELECT CAST(year(session) AS INTEGER) AS year, min(session) AS a, max(session) AS b FROM bars GROUP BY 1)
+SELECT t.year, s.a AS train_from, p.b AS train_to, t.a AS test_from, t.b AS test_to FROM y t JOIN y s ON s.year = t.year - 3 JOIN y p ON p.year = t.year - 1"""
+)
+def calendar_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.calendar_folds(views.bars_walk(spark, sf_dir).select("session").distinct())
+
+
+@query(
+    f"""{_DONE_ROWS}, h AS (SELECT d.*, o.session AS day_session, o.ord - d.sig AS day, o.close AS c FROM done d JOIN o ON o.ticker = d.ticker AND o.ord > d.sig AND o.ord <= d.sig + d.bars_held),
+m AS (SELECT *, (c - coalesce(lag(c) OVER (PARTITION BY trade_id ORDER BY day), entry)) * sg * 10 AS mv FROM h),
+p AS (SELECT *, coalesce(sum(mv) OVER (PARTITION BY trade_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m)
+SELECT day_session AS session, round(sum(CASE WHEN day = bars_held THEN net_r * abs(entry - stop) * 10 - before ELSE mv END), 4) AS pnl FROM p GROUP BY 1"""
+)
+def daily_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trades, bars = _trades(spark, sf_dir)
+    done = outcomes.outcomes(trades, bars).withColumn("shares", F.lit(10))
+    return evaluation.daily_profit(done, bars).groupBy("session").agg(F.round(F.sum("pnl"), 4).alias("pnl"))
+
+
+@query(
+    f"""WITH {_BARS}, w AS (SELECT *, lag(session) OVER x AS pv FROM bars WINDOW x AS (PARTITION BY ticker ORDER BY session)),
+r AS (SELECT ticker, session, CASE WHEN count(volume) OVER a = 5 THEN avg(volume) OVER a END AS m5, CASE WHEN count(volume) OVER b = 20 THEN avg(volume) OVER b END AS m20 FROM bars
+  WINDOW a AS (PARTITION BY ticker ORDER BY session ROWS 4 PRECEDING), b AS (PARTITION BY ticker ORDER BY session ROWS BETWEEN 24 PRECEDING AND 5 PRECEDING))
+SELECT ticker, session, round(m5 / nullif(m20, 0), 8) AS ratio FROM r"""
+)
+def volume_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.accumulation(views.bars_walk(spark, sf_dir), "volume", "ticker"), 8, "ratio").select("ticker", "session", "ratio")
+
+
+@query(
+    f"""WITH {_BARS}, x AS (SELECT ticker, session, close / lag(close, 10) OVER w - 1 AS f, lead(close, 5) OVER w / close - 1 AS r FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY session)),
+k AS (SELECT session, rank() OVER (PARTITION BY session ORDER BY f) + (count(*) OVER (PARTITION BY session, f) - 1) / 2.0 AS a, rank() OVER (PARTITION BY session ORDER BY r) + (count(*) OVER (PARTITION BY session, r) - 1) / 2.0 AS b
+  FROM x WHERE f IS NOT NULL AND r IS NOT NULL)
+SELECT session, round(coalesce(corr(a, b), 0), 8) AS ic FROM k GROUP BY session HAVING count(*) >= 10"""
+)
+def information_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("ticker").orderBy("session")
+    rows = views.bars_walk(spark, sf_dir).withColumns({"f": F.col("close") / F.lag("close", 10).over(w) - 1, "r": F.lead("close", 5).over(w) / F.col("close") - 1})
+    return rounded(evaluation.information_coefficients(rows, "f", "r"), 8, "ic")
+
+
+@query(
+    f"""WITH {_INDICATORS}, k AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY session) - 1 AS ret FROM ind),
+q AS (SELECT *, CASE WHEN count(ret) OVER w >= 60 THEN least(20, greatest(0, kurtosis_pop(ret) OVER w)) ELSE 4 END AS ek FROM k WINDOW w AS (PARTITION BY ticker ORDER BY session ROWS 251 PRECEDING))
+SELECT ticker, session, round(ek, 5) AS excess_kurtosis FROM q"""
+)
+def return_kurtosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sizing.with_kurtosis(views.bars_walk(spark, sf_dir)).select("ticker", "session", F.round("excess_kurtosis", 5).alias("excess_kurtosis"))
+
+
+@query()
+def position_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sizing.with_targets(_candidates(spark, sf_dir)).join(sizing.with_kurtosis(views.bars_walk(spark, sf_dir)).select("ticker", "session", "excess_kurtosis"), ["ticker", "session"])
+    sized = sizing.with_size(rows, a=-4.0, b=2.0)
+    return sized.select("ticker", "session", "direction", "stop", "target1", "target2", "rr", F.round("probability", 6).alias("probability"), "kelly", "shares", "risk_amount", "expectancy")
+
+
 FLAGSHIP = factor_scores
