@@ -1,7 +1,7 @@
 """Point-in-time lookups: rows have a valid date and a time since when they are known.
 
 Decision points (with asof and session) may be many; every lookup is an equal join on the key, then a
-filter on both times, then the newest by an aggregate, so no table is held in one place.
+filter on both times; revisions are turned into intervals first, so no table is held in one place.
 """
 
 from __future__ import annotations
@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 
 def latest_known(points: DataFrame, feed: DataFrame, keys: list[str], valid: str, on: str = "ticker", tie: str | None = None) -> DataFrame:
-    """For each point (point_id, `on`, asof, session): of feed rows known by asof and valid-dated up to session, the newest revision of each of `keys`."""
-    known = points.join(feed, on).where((F.col("known_at") <= F.col("asof")) & (F.col(valid) <= F.col("session")))
-    order = ["known_at", *([tie] if tie else [])]
-    newest = F.max(F.struct(*order, *(c for c in feed.columns if c not in order))).alias("row")
-    return known.groupBy("point_id", "asof", "session", *(F.col(k).alias(f"__key_{k}") for k in keys)).agg(newest).select("point_id", "asof", "session", "row.*")
+    """For each point (point_id, `on`, asof, session): of feed rows known by asof and valid-dated up to session, the newest revision of each of `keys`.
+
+    A revision holds from the time it is known until the next one of its key, so each point meets
+    one revision of a key, and nothing is left to aggregate.
+    """
+    w = Window.partitionBy(*dict.fromkeys([on, *keys])).orderBy("known_at", *([tie] if tie else []))
+    held = feed.withColumn("__until", F.lead("known_at").over(w))
+    known = (F.col("known_at") <= F.col("asof")) & (F.col("__until").isNull() | (F.col("asof") < F.col("__until")))
+    return points.select("point_id", on, "asof", "session").join(held, on).where(known & (F.col(valid) <= F.col("session"))).select("point_id", "asof", "session", *feed.columns)
 
 
 def valid_interval(points: DataFrame, feed: DataFrame, tie: str | None = None) -> DataFrame:
