@@ -26,18 +26,6 @@ def quality_reason(names: tuple[str, ...] = REQUIRED) -> Column:
     return F.coalesce(*(F.when(F.col(n).isNull() | F.isnan(n), F.lit(n)) for n in names))
 
 
-def direction(super_up: Column, above_ema: Column, above_vwap: Column | None = None) -> Column:
-    """LONG or SHORT by the majority of Supertrend, the short mean and (where known) the day's mean price."""
-    votes = super_up.cast("int") + above_ema.cast("int") + (F.coalesce(above_vwap, super_up).cast("int") if above_vwap is not None else super_up.cast("int"))
-    return F.when(votes >= 2, "LONG").otherwise("SHORT")
-
-
-def tier(probability: Column, expectancy: Column, threshold: Column, held: Column, slack: float = 0.05, watch: float = 0.05) -> Column:
-    """SELECT, WATCH or REJECT; held positions pass with some slack, near misses are watched."""
-    limit = F.when(held, threshold - slack).otherwise(threshold)
-    return F.when((probability >= limit) & (expectancy > 0), "SELECT").when((probability >= threshold - watch) & (expectancy > 0), "WATCH").otherwise("REJECT")
-
-
 def with_targets(rows: DataFrame, horizon: str = "SWING") -> DataFrame:
     """rows (direction, close, atr) with stop, target1, target2 and the reward-risk ratio of the first."""
     stop, first, second = TARGETS[horizon]
