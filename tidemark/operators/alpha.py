@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.curves import clip
+from tidemark.functions.statistics import framed_median
 from tidemark.operators.bitemporal import latest_known
 from tidemark.operators.gates import reasons
 from tidemark.operators.indicators import by_ticker, sliding
@@ -83,7 +84,7 @@ def adaptive_regime(market: DataFrame, adx: DataFrame, trend: int = 200, expansi
 def calm_volatility(index: DataFrame, prior: int = 126) -> DataFrame:
     """(session, calm) of a volatility index (session, close): below the median of the sessions before; null unless all are there."""
     w = Window.orderBy("session").rowsBetween(-prior, -1)  # one small row a session
-    return index.select("session", F.when((F.count("close").over(w) == prior) & F.col("close").isNotNull(), F.col("close") < F.median("close").over(w)).alias("calm"))
+    return index.select("session", F.when((F.count("close").over(w) == prior) & F.col("close").isNotNull(), F.col("close") < framed_median("close", w)).alias("calm"))
 
 
 def _sum(name: str, first: int, last: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.bitemporal import members_on
+from tidemark.operators.bitemporal import latest_known, members_on
 
 
 def valid_bar() -> Column:
@@ -65,3 +65,38 @@ def rolling_complete(flag: Column, n: int) -> Column:
 def missing(expected: DataFrame, present: DataFrame, *key: str) -> DataFrame:
     """Rows of `expected` without a row of `present`."""
     return expected.join(present.select(*key), list(key), "left_anti")
+
+
+def interval_states(points: DataFrame, feed: DataFrame, state: str | None = None, tie: str | None = None) -> DataFrame:
+    """(point_id, ticker, session, feed_state) of an interval feed at every point: no observation, expired, unknown or observed.
+
+    The newest effective row known at the point is judged; an expired one isn't replaced by an older.
+    """
+    rows = latest_known(points, feed, ["ticker", "effective_date"], "effective_date", tie=tie)
+    value = F.col(state) if state else F.lit("INTERVAL")
+    last = rows.groupBy("point_id").agg(F.max(F.struct("effective_date", "known_at", "valid_until", value.alias("value"))).alias("r"))
+    found = points.select("point_id", "ticker", "session").join(last, "point_id", "left")
+    label = (
+        F.when(F.col("r").isNull(), "UNAVAILABLE_NO_KNOWN_OBSERVATION")
+        .when(F.col("r.valid_until") < F.col("session"), "UNAVAILABLE_EXPIRED")
+        .when(F.col("r.value") == "UNKNOWN", "UNAVAILABLE_UNKNOWN_STATE")
+        .otherwise(F.concat(F.lit("OBSERVED_"), F.coalesce("r.value", F.lit("INTERVAL"))))
+    )
+    return found.select("point_id", "ticker", "session", label.alias("feed_state"))
+
+
+def earnings_states(points: DataFrame, context: DataFrame, most_sessions: int = 20) -> DataFrame:
+    """(point_id, feed_state) of the earnings feed: stale reports and those without a consensus are unavailable."""
+    label = (
+        F.when(F.col("earnings_status").isNull(), "UNAVAILABLE_NO_KNOWN_OBSERVATION")
+        .when(F.col("earnings_age") > most_sessions, "UNAVAILABLE_STALE_EARNINGS")
+        .when(F.col("earnings_status") == "CONSENSUS", "OBSERVED_CONSENSUS")
+        .otherwise("UNAVAILABLE_CONSENSUS_OR_NONZERO_EXPECTATION")
+    )
+    return points.select("point_id").join(context, "point_id", "left").select("point_id", label.alias("feed_state"))
+
+
+def window_states(spine: DataFrame, value: str, n: int) -> DataFrame:
+    """spine (ticker, session, value; null where the feed has none) with feed_state: whether all of the last n sessions are there."""
+    w = Window.partitionBy("ticker").orderBy("session").rowsBetween(1 - n, 0)
+    return spine.withColumn("feed_state", F.when(F.count(value).over(w) == n, "OBSERVED_WINDOW").otherwise("UNAVAILABLE_SESSION_WINDOW"))

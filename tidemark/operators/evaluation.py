@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.outcomes import forward_bars
+from tidemark.functions.statistics import correlation
+from tidemark.operators.indicators import add_indicators
+from tidemark.operators.outcomes import forward_bars, outcomes
 
 
 def session_folds(sessions: DataFrame, train: int, test: int, step: int) -> DataFrame:
@@ -76,8 +80,8 @@ def information_coefficients(rows: DataFrame, factor: str, forward: str, least:
     session = Window.partitionBy("session")
     rank = lambda c: F.rank().over(session.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("session", c)) - 1) / 2.0
     known = rows.where(F.col(factor).isNotNull() & F.col(forward).isNotNull()).withColumns({"__f": rank(factor), "__r": rank(forward)})
-    out = known.groupBy("session").agg(F.coalesce(F.corr("__f", "__r"), F.lit(0.0)).alias("ic"), F.count("*").alias("n"))
-    return out.where(F.col("n") >= least).select("session", F.when(F.isnan("ic"), 0.0).otherwise(F.col("ic")).alias("ic"))
+    out = known.groupBy("session").agg(F.coalesce(correlation("__f", "__r"), F.lit(0.0)).alias("ic"), F.count("*").alias("n"))
+    return out.where(F.col("n") >= least).select("session", "ic")
 
 
 def fit_probability(rows: DataFrame, score: str = "composite", label: str = "win", bound_a: float = 15.0, bound_b: float = 10.0) -> tuple[float, float]:
@@ -88,3 +92,21 @@ def fit_probability(rows: DataFrame, score: str = "composite", label: str = "win
         lowerBoundsOnIntercepts=DenseVector([-bound_b]), upperBoundsOnIntercepts=DenseVector([bound_b]),
     ).fit(data)
     return -float(model.coefficients[0]), -float(model.intercept)
+
+
+def walk_forward(bars: DataFrame, folds: DataFrame, screen: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Outcomes (fold, ticker, net_r, hit, bars_held, ...) of what `screen` picks on each fold's last training session.
+
+    All folds run at once: bars meet the folds on session (a bar is in few of them), and a fold's ticker is
+    a group of its own, so indicators start afresh in every training slice.  screen takes the last
+    bars with indicators and returns fold, ticker, entry, stop, target, direction, time_stop; entries
+    run over the test slice only.
+    """
+    rows = bars.join(folds, "session").withColumn("__key", F.concat_ws(":", "fold", "ticker"))
+    train = rows.where("role = 'train'").drop("role", "__key")
+    ends = folds.where("role = 'train'").groupBy("fold").agg(F.max("session").alias("session"))
+    last = add_indicators(train, complete=False, partition=("fold", "ticker")).join(ends, ["fold", "session"], "left_semi")
+    key = F.concat_ws(":", "fold", "ticker")
+    picked = screen(last).withColumns({"trade_id": key, "signal_ord": F.lit(0), "__ticker": F.col("ticker"), "ticker": key})
+    test = rows.where("role = 'test'").select(F.col("__key").alias("ticker"), "session", "open", "high", "low", "close")
+    return outcomes(picked, test).drop("ticker").withColumnRenamed("__ticker", "ticker")

@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.statistics import correlation
 from tidemark.operators.indicators import by_ticker
 
 
@@ -35,8 +36,8 @@ def factor_ratios(rows: DataFrame, factors: tuple[str, ...], step: int = 5, look
     group = Window.partitionBy("session", "factor")
     tied = lambda c: F.rank().over(group.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("session", "factor", c)) - 1) / 2.0
     ranked = long.withColumns({"__v": tied("value"), "__f": tied("forward")})
-    ic = ranked.groupBy("session", "factor").agg(F.corr("__v", "__f").alias("ic"), F.count("*").alias("n"), F.stddev_pop("value").alias("sd")).where(F.col("n") >= least_names)
-    ic = ic.withColumn("ic", F.when((F.col("sd") > 1e-6) & ~F.isnan("ic"), F.coalesce("ic", F.lit(0.0))).otherwise(0.0))
+    ic = ranked.groupBy("session", "factor").agg(correlation("__v", "__f").alias("ic"), F.count("*").alias("n"), F.stddev_pop("value").alias("sd")).where(F.col("n") >= least_names)
+    ic = ic.withColumn("ic", F.when(F.col("sd") > 1e-6, F.coalesce("ic", F.lit(0.0))).otherwise(0.0))
     out = ic.groupBy("factor").agg(F.count("*").alias("sessions"), F.avg("ic").alias("__m"), F.stddev_pop("ic").alias("__s"))
     ratio = F.when((F.col("sessions") >= least_sessions) & (F.col("__s") > 1e-6), F.col("__m") / F.col("__s")).otherwise(0.0)
     return out.select("factor", "sessions", ratio.alias("icir"))
@@ -125,9 +126,9 @@ def fit_meta(split: DataFrame, features: tuple[str, ...], least: int = 40, least
     fit = split.where("part = 'fit'")
     stats = fit.agg(*(F.avg(f).alias(f"m_{f}") for f in features), *(F.stddev_pop(f).alias(f"s_{f}") for f in features)).first()
     mean, scale = [stats[f"m_{f}"] for f in features], [stats[f"s_{f}"] or 1.0 for f in features]
-    scaled = lambda df: VectorAssembler(inputCols=[f"__{f}" for f in features], outputCol="__x").transform(
-        df.withColumns({f"__{f}": (F.col(f) - m) / s for f, m, s in zip(features, mean, scale)})
+    scaled = lambda df: VectorAssembler(inputCols=[f"__scaled_{f}" for f in features], outputCol="__features").transform(
+        df.withColumns({f"__scaled_{f}": (F.col(f) - m) / s for f, m, s in zip(features, mean, scale)})
     )
-    model: LogisticRegressionModel = LogisticRegression(featuresCol="__x", labelCol="win", probabilityCol="__p", regParam=1.0 / n, elasticNetParam=0.0, standardization=False).fit(scaled(fit))
+    model: LogisticRegressionModel = LogisticRegression(featuresCol="__features", labelCol="win", probabilityCol="__p", regParam=1.0 / n, elasticNetParam=0.0, standardization=False).fit(scaled(fit))
     out = model.transform(scaled(split.where("part = 'holdout'"))).withColumn("probability", vector_to_array("__p")[1])
     return {"mean": mean, "scale": scale, "weights": model.coefficients.toArray().tolist(), "intercept": float(model.intercept), "samples": n}, out.select(*split.columns, "probability")

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.statistics import correlation
+
 
 def returns(bars: DataFrame) -> DataFrame:
     """(ticker, session, ret): close to close."""
@@ -24,7 +26,7 @@ def pair_correlations(rets: DataFrame, tail: int | None = 60, least: int = 20) -
         rets = rets.join(F.broadcast(last), "session", "left_semi")  # at most `tail` small rows
     a = rets.select("session", F.col("ticker").alias("a"), F.col("ret").alias("x"))
     b = rets.select("session", F.col("ticker").alias("b"), F.col("ret").alias("y"))
-    pairs = a.join(b, "session").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
+    pairs = a.join(b, "session").where("a < b").groupBy("a", "b").agg(correlation("x", "y").alias("corr"), F.count("*").alias("n"))
     return pairs.where(F.col("n") >= least)
 
 
@@ -77,3 +79,70 @@ def round_robin(rows: DataFrame, group: str, order: str) -> DataFrame:
     """rows with `turn`: the first of every group, then the second of every group, and so on."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(order))
     return rows.withColumn("turn", place).orderBy("turn", group)
+
+
+#: Limits of an allocation, as shares of the net asset value, and of correlation.
+MAX_HEAT, MAX_SECTOR, MAX_ABS_CORR = 0.06, 0.30, 0.75
+
+
+def allocate(
+    candidates: DataFrame, pairs: DataFrame, held: DataFrame | None = None, nav: float = 1_000_000.0, size: int = 6, per_sector: int = 2, risk_limit: float = 30_000.0, heat: float = MAX_HEAT, sector_share: float = MAX_SECTOR, most_corr: float = MAX_ABS_CORR
+) -> DataFrame:
+    """(session, ticker, sector, shares, reason, price, risk) of every candidate, in order of its rank, under a book's limits.
+
+    candidates: session, ticker, sector, rank_score, quantity, price, stop, risk_scale; held: session, ticker,
+    sector, shares, price, risk.  What a candidate gets depends on those before it, so a session is one
+    group; all candidates get a row, with the first limit that stopped them.  Unlike in
+    select_portfolio an unknown correlation with the book blocks.
+    """
+    both = pairs.select("a", "b", "corr").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
+    known = both.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "corr"))).alias("known"))
+    names = ["session", "ticker", "sector", "rank_score", "quantity", "price", "stop", "risk_scale"]
+    rows = candidates.select(*names).withColumns({"held": F.lit(False), "held_risk": F.lit(0.0)})
+    if held is not None:
+        book = held.select("session", "ticker", "sector", F.lit(None).cast("double").alias("rank_score"), F.col("shares").cast("long").alias("quantity"), "price", F.lit(None).cast("double").alias("stop"), F.lit(1.0).alias("risk_scale"), F.lit(True).alias("held"), F.col("risk").alias("held_risk"))
+        rows = rows.withColumn("quantity", F.col("quantity").cast("long")).unionByName(book)
+    rows = rows.join(known, rows.ticker == known.a, "left").drop("a")
+    rows = rows.withColumn("known", F.coalesce(F.to_json("known"), F.lit("{}")))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        import json
+
+        book = [dict(ticker=r.ticker, sector=r.sector, value=r.quantity * r.price, risk=r.held_risk) for r in group[group["held"]].itertuples()]
+        cash = max(0.0, nav - sum(p["value"] for p in book))
+        out = []
+        for r in group[~group["held"]].sort_values(["rank_score", "ticker"], ascending=[False, True]).itertuples():
+            correlations = json.loads(r.known)
+            reason, shares = "", 0
+            if any(p["ticker"] == r.ticker for p in book):
+                reason = "already_held"
+            elif len(book) >= size:
+                reason = "position_cap"
+            elif sum(p["sector"] == r.sector for p in book) >= per_sector:
+                reason = "sector_cap"
+            else:
+                for p in book:
+                    value = correlations.get(p["ticker"])
+                    if value is None or abs(value) >= most_corr:
+                        reason = "correlation_unknown" if value is None else "correlation_cap"
+                        break
+            if not reason and not (r.price > r.stop > 0 and r.quantity >= 0 and 0 <= r.risk_scale <= 1):
+                reason = "invalid_allocation_inputs"
+            elif not reason and r.risk_scale == 0:
+                reason = "breadth_defensive"
+            elif not reason:
+                room = max(0.0, min(risk_limit, nav * heat) - sum(p["risk"] for p in book))
+                by_heat = int(room / (r.price - r.stop))
+                by_sector = int(max(0.0, nav * sector_share - sum(p["value"] for p in book if p["sector"] == r.sector)) / r.price)
+                shares = min(int(r.quantity * r.risk_scale), by_heat, by_sector, int(cash / r.price))
+                reason = "heat_cap" if by_heat <= 0 else "sector_exposure_cap" if by_sector <= 0 else "allocated" if shares > 0 else "cash_or_size_cap"
+                shares = max(shares, 0)
+            risk = shares * max(0.0, r.price - r.stop)
+            out.append((r.session, r.ticker, r.sector, shares, reason, r.price, risk))
+            if shares:
+                book.append(dict(ticker=r.ticker, sector=r.sector, value=shares * r.price, risk=risk))
+                cash -= shares * r.price
+        return pd.DataFrame(out, columns=["session", "ticker", "sector", "shares", "reason", "price", "risk"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
+    return rows.groupBy("session").applyInPandas(run, f"session {kinds['session']}, ticker string, sector {kinds['sector']}, shares long, reason string, price double, risk double")

@@ -69,3 +69,33 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in kinds.items()), F.upper("event_type"))
     payload = F.to_json(F.struct(F.col("user_id").cast("string").alias("trade_id"), F.col("value").alias("entry_price"), F.col("value").alias("exit_price"), F.get_json_object("props", "$.k").alias("strategy_id")))
     return e.select(F.col("event_id").alias("sequence"), F.col("event_id").cast("string").alias("event_id"), kind.alias("event_type"), F.col("ts").alias("recorded_at"), payload.alias("payload"))
+
+
+#: Quarterly sums of a nation's orders, in cents; the SQL of the feeds below runs in both engines.
+_QUARTERS = """WITH q AS (SELECT n.n_name AS ticker, n.n_nationkey AS k, date_trunc('quarter', o.o_orderdate) AS quarter, count(*) AS n, sum(CAST(round(o.o_totalprice * 100) AS BIGINT)) AS paid,
+    sum(CASE WHEN o.o_orderkey % 2 = 0 THEN CAST(round(o.o_totalprice * 100) AS BIGINT) ELSE 0 END) AS part, sum(CASE WHEN o.o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS m
+  FROM orders o JOIN nation n ON o.o_custkey % 25 = n.n_nationkey GROUP BY n.n_name, n.n_nationkey, date_trunc('quarter', o.o_orderdate)),
+h AS (SELECT *, lag(paid) OVER (PARTITION BY ticker ORDER BY quarter) AS paid0, lag(n) OVER (PARTITION BY ticker ORDER BY quarter) AS n0 FROM q)"""
+
+#: Earnings reports: a first figure, and a revision that is known 20 days later.
+EARNINGS_SQL = f"""{_QUARTERS}
+SELECT ticker, quarter + INTERVAL 3 MONTH AS period_end, quarter + INTERVAL 104 DAY AS announced_at, quarter + INTERVAL 105 DAY AS known_at,
+  CAST(paid AS DOUBLE) / n AS actual_eps, coalesce(CAST(paid0 AS DOUBLE) / n0, CAST(0 AS DOUBLE)) AS expected_eps, CASE WHEN k % 6 = 5 THEN 'GUIDANCE' ELSE 'CONSENSUS' END AS expectation_kind FROM h
+UNION ALL
+SELECT ticker, quarter + INTERVAL 3 MONTH, quarter + INTERVAL 104 DAY, quarter + INTERVAL 125 DAY, CAST(part AS DOUBLE) / m, coalesce(CAST(paid0 AS DOUBLE) / n0, CAST(0 AS DOUBLE)), CASE WHEN k % 6 = 5 THEN 'GUIDANCE' ELSE 'CONSENSUS' END FROM h WHERE m > 0"""
+
+#: Growth against the quarter before, known 110 days after the quarter began.
+GROWTH_SQL = f"""{_QUARTERS}
+SELECT ticker, quarter + INTERVAL 3 MONTH AS period_end, quarter + INTERVAL 110 DAY AS known_at, (CAST(paid AS DOUBLE) / n) / (CAST(paid0 AS DOUBLE) / n0) - 1 AS eps_growth,
+  CAST(paid AS DOUBLE) / paid0 - 1 AS revenue_growth, n > n0 AS guidance_raised FROM h WHERE paid0 > 0"""
+
+#: Weekly delivery and institutional flows, in cents.
+FLOWS_SQL = """SELECT ticker, session, CAST(sum(CASE WHEN s = 'F' THEN c ELSE 0 END) AS DOUBLE) AS delivery_qty, CAST(sum(c) AS DOUBLE) AS total_qty, CAST(sum(c * 2) AS DOUBLE) AS turnover,
+  CAST(sum(CASE WHEN k % 2 = 0 THEN c ELSE -c END) AS DOUBLE) AS fii_net_inr, CAST(sum(CASE WHEN k % 3 = 0 THEN c * 2 ELSE -c END) AS DOUBLE) AS dii_net_inr
+FROM (SELECT n.n_name AS ticker, date_trunc('week', o.o_orderdate) AS session, o.o_orderstatus AS s, o.o_orderkey AS k, CAST(round(o.o_totalprice * 100) AS BIGINT) AS c
+  FROM orders o JOIN nation n ON o.o_custkey % 25 = n.n_nationkey) x GROUP BY ticker, session"""
+
+#: Monthly surveillance states, known some days into the month and valid for 60 days.
+SURVEILLANCE_SQL = """SELECT n.n_name AS ticker, date_trunc('month', o.o_orderdate) AS effective_date, date_trunc('month', o.o_orderdate) + INTERVAL 60 DAY AS valid_until,
+  date_trunc('month', o.o_orderdate) + INTERVAL 7 DAY AS known_at, CASE min(o.o_orderstatus) WHEN 'F' THEN 'CLEAR' WHEN 'O' THEN 'ASM' ELSE 'UNKNOWN' END AS state
+FROM orders o JOIN nation n ON o.o_custkey % 25 = n.n_nationkey GROUP BY n.n_name, date_trunc('month', o.o_orderdate)"""

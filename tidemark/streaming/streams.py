@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators import journal
+from tidemark.operators import fitting, journal
 from tidemark.operators.market import ADX_RANGE, ADX_TREND, EXPANSION_ATR, PANIC, PANIC_EXIT, TREND_DOWN_BREADTH, TREND_UP_BREADTH
 
 
@@ -81,3 +81,55 @@ def append_journal(path: str) -> Callable[[DataFrame, int], None]:
         fresh.select(*batch.columns).write.mode("append").parquet(path)
 
     return write
+
+
+def indicator_stream(bars: DataFrame, span: int = 20, period: int = 14) -> DataFrame:
+    """Bars of (ticker, session, high, low, close) with ema, rsi and atr, from a few numbers kept for each ticker.
+
+    The same recursions as in `indicators`: seeded at the first bar, Wilder means null before `period`
+    values.  A ticker's sessions must arrive in order; state doesn't grow.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, close, ema, gain, loss, atr = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        for batch in batches:
+            out = []
+            for r in batch.sort_values("session").itertuples():
+                n += 1
+                spread = r.high - r.low
+                if n == 1:
+                    ema, atr = r.close, spread
+                else:
+                    change = r.close - close
+                    up, down = max(change, 0.0), max(-change, 0.0)
+                    gain, loss = (up, down) if n == 2 else (gain + (up - gain) / period, loss + (down - loss) / period)
+                    ema += (r.close - ema) * 2 / (span + 1)
+                    atr += (max(spread, abs(r.high - close), abs(r.low - close)) - atr) / period
+                close = r.close
+                rsi = None if n <= period else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
+                out.append((key[0], r.session, float(r.close), float(ema), rsi, float(atr) if n >= period else None))
+            yield pd.DataFrame(out, columns=["ticker", "session", "close", "ema", "rsi", "atr"]).astype({"rsi": float, "atr": float})
+        state.update((int(n), float(close), float(ema), float(gain), float(loss), float(atr)))
+
+    schema = "ticker string, session timestamp, close double, ema double, rsi double, atr double"
+    kept = "n long, close double, ema double, gain double, loss double, atr double"
+    return bars.groupBy("ticker").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def recalibrate(trades_path: str, weights_path: str, factors: tuple[str, ...], label: str = "pnl", last: int = 50) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps closed trades and refits ridge weights on the newest `last` of them.
+
+    The window of `last` trades is the feature itself.  Each batch writes its own folder, so a replayed
+    batch replaces what it wrote before; weights carry the batch's number.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{trades_path}/batch={number}")
+        newest = spark.read.option("basePath", trades_path).parquet(trades_path).where(F.col("batch") <= number).orderBy(F.desc("closed_at"), F.desc("trade_id")).limit(last)
+        found = fitting.ridge_weights(newest, factors, label)
+        if found:
+            rows = spark.createDataFrame(list(found.items()), "factor string, weight double")
+            rows.coalesce(1).write.mode("overwrite").parquet(f"{weights_path}/batch={number}")
+
+    return write
