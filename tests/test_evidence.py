@@ -240,3 +240,9 @@ def test_sinks(spark, tmp_path):
     assert json.loads(next((tmp_path / "r" / "summary").glob("*.json")).read_text()) == {"n": 2}
     assert sorted(r.ids for r in spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "r" / "feeds")).collect()) == ['["a"]', '["b"]']
     assert "* n: unknown" in sinks.markdown({"n": None}, "Report")
+
+
+def test_window_states_need_every_session(spark):
+    rows = spark.createDataFrame([("A", DAY + dt.timedelta(d), None if d == 3 else 1.0) for d in range(7)], "ticker string, session timestamp, x double")
+    got = one(coverage.window_states(rows, "x", 3).orderBy("session"), "feed_state")
+    assert [g == "OBSERVED_WINDOW" for g in got] == [False, False, True, False, False, False, True]
