@@ -6,9 +6,11 @@ of candidates passes all of them in one projection.  A comparison with null coun
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import bitemporal
+
 #: Least probability of a win by regime.
 REGIME_THRESHOLDS = {"TREND_UP": 0.50, "EXPANSION": 0.52, "RANGE": 0.55, "TREND_DOWN": 0.58, "PANIC": 0.99}
 #: Limits of the gates.
@@ -137,3 +139,21 @@ def score_reasons(side: Column, regime: Column, confirmed: Column, rr: Column) -
         (F.lit(True), F.concat(F.lit("Regime:"), F.coalesce(regime, F.lit("UNKNOWN")))),
         (rr.isNotNull(), F.concat(F.lit("RR:"), F.round(rr, 1).cast("string"))),
     )
+
+
+def entry_guard(points: DataFrame, surveillance: DataFrame, sectors: DataFrame) -> DataFrame:
+    """points (point_id, ticker, session, sector) with `reason` not to enter at the opening; null where entry is free.
+
+    What is known at 09:15 in India counts: the surveillance state must be CLEAR, and the sector (sector_index of
+    `sectors`) still the candidate's.
+    """
+    opening = F.col("session") + F.expr("interval 225 minutes")
+    asked = points.withColumn("asof", opening)
+    state = bitemporal.valid_interval(asked, surveillance).select("point_id", F.col("state").alias("__state"))
+    sector = bitemporal.valid_interval(asked, sectors).select("point_id", F.col("sector_index").alias("__sector"))
+    known = points.join(state, "point_id", "left").join(sector, "point_id", "left")
+    reason = (
+        F.when(F.col("__state").isNull(), "entry_surveillance_unavailable").when(F.col("__state") != "CLEAR", F.concat(F.lit("entry_surveillance_"), F.lower("__state")))
+        .when(~F.coalesce(F.col("__sector") == F.col("sector"), F.lit(False)), "entry_sector_mapping_changed_or_unavailable")
+    )
+    return known.withColumn("reason", reason).drop("__state", "__sector")

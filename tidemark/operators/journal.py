@@ -1,19 +1,13 @@
-"""An append-only journal of scans, signals, fills and exits: idempotent appends, lifecycles, reconciliation.
+"""An append-only journal of scans, signals, fills and exits: idempotent appends, upserts, delays, scan days.
 
 Events have sequence, event_id, event_type, recorded_at and a JSON payload.  Unknown amounts stay null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EVENT_TYPES = ("SCAN", "SIGNAL", "PAPER_FILL", "PAPER_EXIT")
-PAYLOAD = (
-    "struct<trade_id:string,ticker:string,strategy_version:string,strategy_id:string,signal_event_id:string,signal_time:string,entry_price:double,stop_loss:double,shares:bigint,"
-    "direction:string,entry_ts:string,exit_ts:string,exit_price:double,exit_reason:string,costs:double,net_pnl:double,realised_r:double,entry_bound:array<double>,selected:boolean,"
-    "watchlist:boolean,qualified_signals:bigint,market_date:string,mode:string,source:string>"
-)
 MAX_DELAY_SECONDS = 900
 
 
@@ -41,84 +35,6 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, version: str) ->
     return rows.groupBy(key).agg(newest.alias("__row")).select("__row.*")
 
 
-def decode(events: DataFrame) -> DataFrame:
-    """events with the decoded payload `p`, the strategy by either name, and the IST day of observation."""
-    p = F.from_json("payload", PAYLOAD)
-    out = events.withColumn("p", p)
-    return out.withColumns(
-        {
-            "strategy": F.coalesce("p.strategy_version", "p.strategy_id"),
-            "symbol": F.regexp_replace(F.upper(F.trim("p.ticker")), r"\.NS$", ""),
-            "observed_date": F.to_date(F.from_utc_timestamp("recorded_at", "Asia/Kolkata")),
-        }
-    )
-
-
-def _issue(condition: Column, code: str, category: str, severity: str = "WARN") -> Column:
-    return F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(category).alias("category"), F.lit(severity).alias("severity")))
-
-
-def lifecycles(decoded: DataFrame) -> DataFrame:
-    """One row a trade id: fills and exits joined outer, status, signal link, recomputed P&L and its issues."""
-    c = F.col
-    side = lambda kind: decoded.where((c("event_type") == kind) & (F.coalesce(c("p.trade_id"), F.lit("")) != "")).groupBy(c("p.trade_id").alias("trade_id"))
-    pick = F.min_by(F.struct("event_id", "sequence", "recorded_at", "symbol", "strategy", "p"), "sequence")
-    fills = side("PAPER_FILL").agg(F.count("*").alias("fills"), pick.alias("f"))
-    exits = side("PAPER_EXIT").agg(F.count("*").alias("exits"), pick.alias("x"))
-    signals = decoded.where("event_type = 'SIGNAL'").select(
-        c("event_id").alias("s_id"), c("sequence").alias("s_sequence"), c("symbol").alias("s_symbol"), c("strategy").alias("s_strategy"), c("recorded_at").alias("s_recorded"),
-        c("p.entry_bound").alias("s_bound"), c("p.selected").alias("s_selected"),
-    )
-    j = fills.join(exits, "trade_id", "full_outer").withColumns({"fills": F.coalesce("fills", F.lit(0)), "exits": F.coalesce("exits", F.lit(0))})
-    j = j.withColumn("__link", c("f.p.signal_event_id")).join(signals, c("__link") == c("s_id"), "left")
-    sign = F.when(c("f.p.direction") == "LONG", 1.0).when(c("f.p.direction") == "SHORT", -1.0)
-    priced = (c("f.p.entry_price") > 0) & (c("x.p.exit_price") > 0) & (c("f.p.shares") > 0)
-    gross = F.when(priced & (c("fills") == 1) & (c("exits") == 1), (c("x.p.exit_price") - c("f.p.entry_price")) * c("f.p.shares") * sign)
-    risk = F.abs(c("f.p.entry_price") - c("f.p.stop_loss")) * c("f.p.shares")
-    out = j.withColumn("gross_pnl", gross).withColumn("net_pnl", c("gross_pnl") - F.when(c("x.p.costs") >= 0, c("x.p.costs"))).withColumn("realised_r", F.when(risk > 0, c("net_pnl") / risk))
-    one_fill, one_exit = c("fills") == 1, c("exits") == 1
-    linked = c("s_id").isNotNull()
-    same = linked & (c("s_symbol") == c("f.symbol")) & (c("s_strategy") == c("f.strategy"))
-    bound = c("s_bound")
-    issues = [
-        _issue(c("fills") > 1, "MULTIPLE_FILLS_FOR_TRADE", "LINK", "ERROR"),
-        _issue(c("exits") > 1, "MULTIPLE_EXITS_FOR_TRADE", "LINK", "ERROR"),
-        _issue(one_fill & ~linked & c("__link").isNull(), "UNLINKED_FILL", "LINK", "ERROR"),
-        _issue(one_fill & ~linked & c("__link").isNotNull(), "SIGNAL_LINK_NOT_FOUND", "LINK", "ERROR"),
-        _issue(one_fill & linked & ~F.coalesce(same, F.lit(False)), "SIGNAL_IDENTITY_MISMATCH", "LINK", "ERROR"),
-        _issue(one_fill & (c("s_sequence") >= c("f.sequence")), "SIGNAL_RECORDED_AFTER_FILL", "TIMING", "ERROR"),
-        _issue(one_fill & ~c("s_selected"), "FILL_FROM_UNSELECTED_SIGNAL", "EVIDENCE"),
-        _issue(one_fill & (F.size(bound) == 2) & ~c("f.p.entry_price").between(bound[0], bound[1]), "ENTRY_OUTSIDE_BOUNDS", "EVIDENCE", "ERROR"),
-        _issue(one_exit & ~one_fill, "EXIT_WITHOUT_UNIQUE_FILL", "LINK", "ERROR"),
-        _issue(one_exit & one_fill & (c("x.sequence") <= c("f.sequence")), "EXIT_RECORDED_BEFORE_FILL", "TIMING", "ERROR"),
-        _issue(one_exit & c("x.p.costs").isNull(), "MISSING_OR_INVALID_ROUND_TRIP_COSTS", "COST", "ERROR"),
-        _issue(one_exit & one_fill & c("gross_pnl").isNull(), "INVALID_FILL_FOR_PNL", "INTEGRITY", "ERROR"),
-        _issue(c("net_pnl").isNotNull() & ~F.coalesce(F.abs(c("net_pnl") - c("x.p.net_pnl")) <= 0.01, F.lit(False)), "NET_PNL_MISMATCH_OR_UNAVAILABLE", "INTEGRITY", "ERROR"),
-    ]
-    status = F.when((c("fills") > 1) | (c("exits") > 1), "AMBIGUOUS").when(c("exits") == 0, "OPEN").when(c("fills") == 0, "ORPHAN_EXIT").otherwise("CLOSED")
-    return out.select(
-        "trade_id", "fills", "exits", status.alias("status"), c("__link").alias("linked_signal_id"), F.coalesce(one_fill & same, F.lit(False)).alias("valid_signal_link"),
-        "gross_pnl", "net_pnl", "realised_r", F.filter(F.array(*issues), lambda x: x.isNotNull()).alias("issues"),
-    )
-
-
-def event_issues(decoded: DataFrame) -> DataFrame:
-    """(event_id, code, category, severity) of what single events break."""
-    c = F.col
-    trade = c("event_type").isin("PAPER_FILL", "PAPER_EXIT")
-    again = F.row_number().over(Window.partitionBy("event_id").orderBy("sequence")) > 1
-    issues = [
-        _issue(again | c("event_id").isNull(), "DUPLICATE_OR_INVALID_EVENT_ID", "INTEGRITY", "ERROR"),
-        _issue(c("p").isNull(), "INVALID_EVENT_PAYLOAD", "INTEGRITY", "ERROR"),
-        _issue(~c("event_type").isin(*EVENT_TYPES), "UNSUPPORTED_EVENT_TYPE", "SCOPE", "INFO"),
-        _issue(trade & (F.coalesce(c("p.trade_id"), F.lit("")) == ""), "MISSING_TRADE_ID", "LINK", "ERROR"),
-        _issue((c("event_type") == "SCAN") & ~F.coalesce(c("p.qualified_signals") >= 0, F.lit(False)), "INVALID_SCAN_COUNT", "SCAN", "ERROR"),
-        _issue((c("event_type") == "SIGNAL") & (c("symbol").isNull() | c("strategy").isNull()), "SIGNAL_IDENTITY_UNAVAILABLE", "EVIDENCE"),
-    ]
-    rows = decoded.withColumn("i", F.array(*issues)).select("event_id", "observed_date", F.explode(F.filter("i", lambda x: x.isNotNull())).alias("i"))
-    return rows.select("event_id", "observed_date", "i.*")
-
-
 def recording_delay(recorded: Column, happened: Column, limit: int = MAX_DELAY_SECONDS) -> Column:
     """EARLY, LATE or ON_TIME by the seconds between an event and its record."""
     lag = F.timestamp_diff("SECOND", happened, recorded)

@@ -161,3 +161,52 @@ def cluster_bootstrap(trades: DataFrame, draws: int = 2000, seed: int = 20261002
     means = picks.join(numbered, "k").groupBy("draw").agg((F.sum("total") / F.sum("n")).alias("mean"), F.first("m").alias("m"))
     q = lambda p: F.when(F.max("m") >= 2, F.percentile("mean", F.lit(p)))
     return means.agg(q(0.025).alias("low"), q(0.975).alias("high"))
+
+
+def bucket(value: Column, width: int, top: int = 100) -> Column:
+    """The label (such as 20-040) of the bucket of `width` that a value from 0 to top falls in; the last one holds top itself."""
+    low = F.least(F.floor(F.greatest(value, F.lit(0.0)) / width) * width, F.lit(top - width)).cast("int")
+    return F.when(value.isNotNull(), F.format_string("%02d-%03d", low, low + width))
+
+
+def cohort_buckets(trades: DataFrame, labels: dict[str, list[str]], time: str = "exit_session") -> DataFrame:
+    """Statistics of net_r and the worst fall of its running sum by (field, label); declared labels appear without trades too.
+
+    trades: trade_id, net_r, `time` and the fields; a null field is UNKNOWN.  The sum is folded inside days first and
+    days are then put together, so that no task orders a whole cohort.
+    """
+    fields = list(labels)
+    named = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("UNKNOWN")).alias("label")) for f in fields)))
+    rows = trades.where(F.col("net_r").isNotNull()).select("trade_id", "net_r", F.col(time).alias("__at"), F.to_date(time).alias("__day"), named.alias("__n")).select("__n.*", "trade_id", "net_r", "__at", "__day")
+    inside = Window.partitionBy("field", "label", "__day").orderBy("__at", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__sum", F.sum("net_r").over(inside)).withColumn("__fall", F.col("__sum") - F.max("__sum").over(inside))
+    days = rows.groupBy("field", "label", "__day").agg(
+        F.count("*").alias("trades"), F.sum("net_r").alias("total"), F.sum((F.col("net_r") > 0).cast("long")).alias("wins"), F.max("__sum").alias("hi"), F.min("__sum").alias("lo"), F.min("__fall").alias("fall")
+    )
+    before = Window.partitionBy("field", "label").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    days = days.withColumn("peak", F.greatest(F.lit(0.0), F.max(F.col("base") + F.col("hi")).over(before)))
+    found = days.groupBy("field", "label").agg(
+        F.sum("trades").alias("trades"), (F.sum("total") / F.sum("trades")).alias("mean_r"), (F.sum("wins") / F.sum("trades")).alias("win_rate"),
+        F.min(F.least("fall", F.col("base") + F.col("lo") - F.col("peak"))).alias("worst_fall"),
+    )
+    declared = trades.sparkSession.createDataFrame([(f, x) for f in fields for x in labels[f]], "field string, label string")
+    return found.join(declared, ["field", "label"], "full_outer").withColumn("trades", F.coalesce("trades", F.lit(0)))
+
+
+def hedge(curve: DataFrame, benchmark: DataFrame, *by: str, window: int = 60, carry: float = 0.0, trade_cost: float = 0.0005, roll_cost: float = 0.0005) -> DataFrame:
+    """curve (session, nav) with `beta` and `hedged`, the curve less a short position of the market (session, bench).
+
+    beta is that of the last `window` sessions, known a session before, within 0 and 1.5, and 0 without a whole window;
+    its changes cost trade_cost and its level roll_cost a month.  The market's sessions are one small row each.
+    """
+    c, w = F.col, Window.partitionBy(*by).orderBy("session")
+    moves = benchmark.select("session", (c("bench") / F.lag("bench").over(Window.orderBy("session")) - 1).alias("__m"))
+    rows = curve.withColumn("__r", c("nav") / F.coalesce(F.lag("nav").over(w), F.lit(1.0)) - 1).join(moves, "session", "left").withColumn("__m", F.coalesce("__m", F.lit(0.0)))
+    frame = w.rowsBetween(1 - window, 0)
+    raw = F.when(F.count(F.lit(1)).over(frame) == window, F.covar_samp("__r", "__m").over(frame) / F.nullif(F.var_samp("__m").over(frame), F.lit(0.0)))
+    rows = rows.withColumn("__raw", raw).withColumn("beta", F.coalesce(F.least(F.lit(1.5), F.greatest(F.lit(0.0), F.lag("__raw").over(w))), F.lit(0.0)))
+    rows = rows.withColumn("beta", F.when(F.lag("__raw").over(w).isNull(), 0.0).otherwise(c("beta")))
+    fees = F.abs(c("beta") - F.coalesce(F.lag("beta").over(w), F.lit(0.0))) * trade_cost + c("beta") * roll_cost / 21
+    rows = rows.withColumn("__f", 1 + c("__r") - c("beta") * c("__m") - fees + c("beta") * carry / 252)
+    return rows.withColumn("hedged", F.product("__f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__r", "__m", "__raw", "__f")

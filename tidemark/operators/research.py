@@ -1,0 +1,52 @@
+"""Research packets: the documents known at a candidate's time, topics that they leave open, and checks of quotes.
+
+candidates have ticker and observed_at; documents ticker, topic, ingested_at and text.  Blank texts are no sources.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: The topics of a packet, in order.
+TOPICS = ("financials", "quarterly_results", "promoter_holding", "institutional_holding", "sector_tailwinds", "management_commentary")
+
+
+def _sources(documents: DataFrame) -> DataFrame:
+    return documents.where(F.trim("text") != "")
+
+
+def missing_topics(candidates: DataFrame, documents: DataFrame, topics: tuple[str, ...] = TOPICS) -> DataFrame:
+    """candidates with `missing_topics`, in their fixed order: those without a document ingested by observed_at.
+
+    A topic is known from its first document on, so a ticker's documents shrink to one row before the join.
+    """
+    first = [F.min(F.when(F.col("topic") == t, F.col("ingested_at"))).alias(f"__t{k}") for k, t in enumerate(topics)]
+    known = _sources(documents).groupBy("ticker").agg(*first)
+    late = [F.when(~F.coalesce(F.col(f"__t{k}") <= F.col("observed_at"), F.lit(False)), F.lit(t)) for k, t in enumerate(topics)]
+    found = candidates.join(known, "ticker", "left").withColumn("missing_topics", F.filter(F.array(*late), lambda x: x.isNotNull()))
+    return found.drop(*(f"__t{k}" for k in range(len(topics))))
+
+
+def packet_sources(candidates: DataFrame, documents: DataFrame, order: str) -> DataFrame:
+    """One row for each candidate and document known to it, with `source_id`: S1, S2, ... by `order`.
+
+    Texts stay behind; join them by `order`, which identifies a document, where they are needed.
+    """
+    rows = candidates.join(_sources(documents).select("ticker", "topic", "ingested_at", order), "ticker").where("ingested_at <= observed_at")
+    place = F.row_number().over(Window.partitionBy(*candidates.columns).orderBy(order))
+    return rows.withColumn("source_id", F.concat(F.lit("S"), place))
+
+
+def check_quotes(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """claims (packet_id, source_id, claim, quote) with `verdict` against sources (packet_id, source_id, text).
+
+    MALFORMED: a part is null or blank.  ABSENT_SOURCE: the packet has no such source.  Otherwise SUPPORTED if the
+    source's text holds the quote literally, else FABRICATED_QUOTE.
+    """
+    blank = lambda name: F.coalesce(F.trim(name), F.lit("")) == ""
+    texts = sources.select("packet_id", "source_id", F.col("text").alias("__text"))
+    verdict = (
+        F.when(blank("claim") | blank("quote") | blank("source_id"), "MALFORMED").when(F.col("__text").isNull(), "ABSENT_SOURCE").when(F.contains("__text", "quote"), "SUPPORTED").otherwise("FABRICATED_QUOTE")
+    )
+    return claims.join(texts, ["packet_id", "source_id"], "left").withColumn("verdict", verdict).drop("__text")

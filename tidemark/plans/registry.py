@@ -327,24 +327,6 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.gap_intervals(gaps, sessions, "entity", "reason")
 
 
-@query(
-    """WITH j AS (SELECT event_id, user_id, event_type, ts, json_extract_string(props, '$.k') AS k FROM events WHERE event_type IN ('click', 'purchase')),
-f AS (SELECT user_id, count(*) AS fills FROM j WHERE event_type = 'click' GROUP BY 1), x AS (SELECT user_id, count(*) AS exits FROM j WHERE event_type = 'purchase' GROUP BY 1)
-SELECT CAST(coalesce(f.user_id, x.user_id) AS VARCHAR) AS trade_id, coalesce(fills, 0) AS fills, coalesce(exits, 0) AS exits,
-  CASE WHEN coalesce(fills, 0) > 1 OR coalesce(exits, 0) > 1 THEN 'AMBIGUOUS' WHEN coalesce(exits, 0) = 0 THEN 'OPEN' WHEN coalesce(fills, 0) = 0 THEN 'ORPHAN_EXIT' ELSE 'CLOSED' END AS status
-FROM f FULL OUTER JOIN x ON f.user_id = x.user_id"""
-)
-def journal_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal.lifecycles(journal.decode(views.journal(spark, sf_dir))).select("trade_id", "fills", "exits", "status")
-
-
-@query()
-def journal_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = journal.decode(views.journal(spark, sf_dir))
-    trades = journal.lifecycles(decoded).select(F.explode("issues").alias("i")).select("i.code", "i.category", "i.severity")
-    return trades.unionByName(journal.event_issues(decoded).select("code", "category", "severity")).groupBy("code", "category", "severity").agg(F.count("*").alias("n"))
-
-
 @query(
     """SELECT event_type AS ticker, date_trunc('day', ts) AS session, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume
 FROM events GROUP BY 1, 2"""

@@ -62,15 +62,6 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.min("o_orderdate").alias("start"), ends.alias("end")).select(F.col("n_name").alias("ticker"), "start", "end")
 
 
-def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a journal: clicks are fills and purchases exits of a user's trade."""
-    e = table(spark, sf_dir, "events")
-    kinds = {"view": "SIGNAL", "click": "PAPER_FILL", "purchase": "PAPER_EXIT", "signup": "SCAN"}
-    kind = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in kinds.items()), F.upper("event_type"))
-    payload = F.to_json(F.struct(F.col("user_id").cast("string").alias("trade_id"), F.col("value").alias("entry_price"), F.col("value").alias("exit_price"), F.get_json_object("props", "$.k").alias("strategy_id")))
-    return e.select(F.col("event_id").alias("sequence"), F.col("event_id").cast("string").alias("event_id"), kind.alias("event_type"), F.col("ts").alias("recorded_at"), payload.alias("payload"))
-
-
 #: Quarterly sums of a nation's orders, in cents; the SQL of the feeds below runs in both engines.
 _QUARTERS = """WITH q AS (SELECT n.n_name AS ticker, n.n_nationkey AS k, date_trunc('quarter', o.o_orderdate) AS quarter, count(*) AS n, sum(CAST(round(o.o_totalprice * 100) AS BIGINT)) AS paid,
     sum(CASE WHEN o.o_orderkey % 2 = 0 THEN CAST(round(o.o_totalprice * 100) AS BIGINT) ELSE 0 END) AS part, sum(CASE WHEN o.o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS m
@@ -99,3 +90,47 @@ FROM (SELECT n.n_name AS ticker, date_trunc('week', o.o_orderdate) AS session, o
 SURVEILLANCE_SQL = """SELECT n.n_name AS ticker, date_trunc('month', o.o_orderdate) AS effective_date, date_trunc('month', o.o_orderdate) + INTERVAL 60 DAY AS valid_until,
   date_trunc('month', o.o_orderdate) + INTERVAL 7 DAY AS known_at, CASE min(o.o_orderstatus) WHEN 'F' THEN 'CLEAR' WHEN 'O' THEN 'ASM' ELSE 'UNKNOWN' END AS state
 FROM orders o JOIN nation n ON o.o_custkey % 25 = n.n_nationkey GROUP BY n.n_name, date_trunc('month', o.o_orderdate)"""
+
+#: A paper journal out of orders, flat: signals, fills, exits, scans, a second fill or signal of some, and notes.  Some fields are missing or wrong by the key.
+PAPER_SQL = """WITH b AS (SELECT o_orderkey AS k, o_orderdate AS d, o_custkey % 25 AS c, o_totalprice AS p, o_orderstatus AS s FROM orders),
+r AS (SELECT b.*, kind, slot, letter || k AS event_id, k * 8 + slot AS sequence, d + slot * INTERVAL 5 HOUR AS seen FROM b
+  CROSS JOIN (VALUES ('SCAN', 0, 'n'), ('SIGNAL', 1, 's'), ('PAPER_FILL', 2, 'f'), ('PAPER_FILL', 3, 'g'), ('PAPER_EXIT', 4, 'x'), ('SIGNAL', 5, 's'), ('NOTE', 6, 'u')) AS t(kind, slot, letter)
+  WHERE slot IN (1, 2) OR (slot = 0 AND k % 5 = 0) OR (slot = 3 AND k % 11 = 0) OR (slot = 4 AND s = 'F') OR (slot = 5 AND k % 59 = 0) OR (slot = 6 AND k % 61 = 0)),
+v AS (SELECT *, CASE WHEN k % 29 = 0 THEN p * 1.5 ELSE p END AS entry, k % 50 + 1 AS shares, CASE WHEN k % 2 = 0 THEN 1.0 ELSE -1.0 END AS side, CASE WHEN k % 31 = 0 THEN p ELSE p * 0.9 END AS stop FROM r)
+SELECT k, sequence, event_id, kind AS event_type, CASE WHEN slot = 0 AND k % 53 = 0 THEN NULL ELSE seen END AS recorded_at, slot = 1 AND k % 47 = 0 AS broken, CASE WHEN slot = 1 AND k % 43 = 0 THEN 'replay' END AS mode,
+  CASE WHEN slot = 2 AND k % 23 = 0 OR slot = 4 AND k % 41 = 0 THEN 'zz' ELSE 't' || c || '.ns' END AS ticker, CASE WHEN slot = 1 AND k % 13 = 0 THEN NULL ELSE 'v1' END AS strategy_id,
+  CASE WHEN k % 17 > 0 THEN d + (k % 3 - 1) * INTERVAL 1 DAY END AS label, k % 4 > 0 AS selected, k % 10 = 0 AS watchlist, CASE WHEN k % 6 > 0 THEN 'p' END AS parameter_fingerprint, CASE WHEN k % 9 > 0 THEN 'h' END AS sha256,
+  CASE WHEN kind IN ('PAPER_FILL', 'PAPER_EXIT') AND k % 19 > 0 THEN 't' || CASE WHEN k % 67 = 1 THEN k - 1 ELSE k END END AS trade_id,
+  CASE WHEN kind IN ('PAPER_FILL', 'PAPER_EXIT') THEN CASE k % 7 WHEN 0 THEN NULL WHEN 1 THEN 'none' WHEN 2 THEN 's' || (k + k % 2) ELSE 's' || k END END AS signal_event_id,
+  CASE WHEN k % 8 > 0 THEN p * 0.8 END AS low, p * 1.2 AS high, entry, CASE WHEN k % 71 = 0 THEN 0 ELSE shares END AS shares, CASE WHEN side > 0 THEN 'LONG' ELSE 'SHORT' END AS direction, stop,
+  seen + CASE WHEN k % 5 = 2 THEN 1 WHEN k % 5 = 1 THEN -20 WHEN slot = 4 AND k % 9 = 4 THEN -3000 ELSE -5 END * INTERVAL 1 MINUTE AS happened, k % 37 > 0 AS zoned,
+  CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN -1.0 ELSE 1.5 END AS fees, CASE WHEN k % 7 = 3 THEN 5.0 ELSE 0.25 END AS slippage, CASE WHEN k % 4 <> 1 THEN 'MODELED' END AS cost_basis,
+  p * 1.05 AS exit_price, CASE WHEN k % 6 <> 1 THEN 2.0 END AS costs, CASE WHEN k % 12 = 2 THEN 0.0 ELSE (p * 1.05 - entry) * shares * side - 2.0 END AS net_pnl,
+  CASE WHEN k % 10 <> 3 AND entry <> stop THEN ((p * 1.05 - entry) * shares * side - 2.0) / (abs(entry - stop) * shares) END AS realised_r,
+  CASE WHEN k % 3 = 2 THEN -1 ELSE k % 4 END AS qualified, 2 AS n_selected, CASE WHEN k % 35 > 0 THEN d + CASE WHEN k % 25 = 0 THEN 2 ELSE 0 END * INTERVAL 1 DAY END AS market
+FROM v"""
+
+
+def paper_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal of PAPER_SQL with its fields as a JSON payload, as a journal holds them."""
+    c = F.col
+    flat = sql(spark, sf_dir, PAPER_SQL, ("orders",))
+    stamp = F.date_format("happened", "yyyy-MM-dd'T'HH:mm:ss")
+    time = F.when(c("zoned"), F.concat(stamp, F.lit("+00:00"))).otherwise(stamp)
+    day = lambda name: F.date_format(name, "yyyy-MM-dd")
+    deal = [c(n) for n in ("trade_id", "signal_event_id", "ticker", "fees", "slippage", "cost_basis")]
+    fields = {
+        "SIGNAL": ["mode", "ticker", "strategy_id", day("label").alias("signal_time"), "selected", "watchlist", "parameter_fingerprint", F.struct("sha256").alias("research_protocol"), F.when(c("low").isNotNull(), F.array("low", "high")).alias("entry_bound")],
+        "PAPER_FILL": [*deal, c("strategy_id").alias("strategy_version"), c("entry").alias("entry_price"), c("stop").alias("stop_loss"), "shares", "direction", time.alias("entry_ts")],
+        "PAPER_EXIT": [*deal, c("strategy_id").alias("strategy_version"), "exit_price", "costs", "net_pnl", "realised_r", time.alias("exit_ts")],
+        "SCAN": [c("qualified").alias("qualified_signals"), c("n_selected").alias("selected"), day("market").alias("market_date")],
+    }
+    payload = F.when(c("broken"), "[1]").when(c("event_type") == "NOTE", "{}")
+    for kind, parts in fields.items():
+        payload = payload.when(c("event_type") == kind, F.to_json(F.struct(*parts)))
+    return flat.select("sequence", "event_id", "event_type", "recorded_at", payload.alias("payload"))
+
+#: Monthly sectors by ticker; every seventh month of a ticker's year maps it elsewhere.
+SECTOR_FEED_SQL = """SELECT n.n_name AS ticker, date_trunc('month', o.o_orderdate) AS effective_date, date_trunc('month', o.o_orderdate) + INTERVAL 60 DAY AS valid_until, date_trunc('month', o.o_orderdate) + INTERVAL 3 DAY AS known_at,
+  CAST(n.n_regionkey + CASE WHEN month(o.o_orderdate) % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR(9)) AS sector_index FROM orders o JOIN nation n ON o.o_custkey % 25 = n.n_nationkey
+GROUP BY n.n_name, n.n_regionkey, date_trunc('month', o.o_orderdate), month(o.o_orderdate)"""

@@ -74,3 +74,16 @@ def fingerprint(df: DataFrame) -> DataFrame:
 def flat(df: DataFrame) -> DataFrame:
     """df with nested columns as JSON text, for CSV sinks."""
     return df.select(*(F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f.name) for f in df.schema))
+
+
+def long_bars(wide: DataFrame, separator: str = "|", date: str = "session") -> DataFrame:
+    """Bars of a wide snapshot with columns such as `Close|AAA`: one row a ticker and session that has any field.
+
+    Fields are named in lower case; a ticker without one of them has nulls there.
+    """
+    named = [(c, *c.split(separator, 1)) for c in wide.columns if separator in c]
+    fields, tickers = list(dict.fromkeys(f for _, f, _ in named)), list(dict.fromkeys(t for _, _, t in named))
+    place = {(f, t): c for c, f, t in named}
+    cell = lambda f, t: F.col(f"`{place[f, t]}`").cast("double") if (f, t) in place else F.lit(None).cast("double")
+    rows = F.explode(F.array(*(F.struct(F.lit(t).alias("ticker"), *(cell(f, t).alias(f.lower()) for f in fields)) for t in tickers)))
+    return wide.select(date, rows.alias("r")).select("r.ticker", date, *(f"r.{f.lower()}" for f in fields)).dropna("all", subset=[f.lower() for f in fields])
