@@ -209,3 +209,14 @@ def test_bpe_equals_the_library_and_decodes_back(spark, vocabulary):
         ids = library.encode_ordinary(text or "")
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(text or "")), repr(text)[:80]
     assert bpe.digest(frame(spark, []), path, pattern).count() == 0
+
+
+def test_secret_spans_across_blocks(spark):
+    """A text with more parts than a block holds, against plain regular expressions."""
+    text = "".join(f"login: bob{k} é Ab3dEf6hIjK9mNoPqRsTuV{k} token=hunter22 {'deadbeef' * 3} " + " " * (k % 400) for k in range(600))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.report(docs).collect()}
+    want = sorted([(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer("token=hunter22", text)] + [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("(deadbeef){3}", text)])
+    assert (got[1].n_assign, got[1].n_hex, got[2].n_assign, got[2].spans) == (600, 600, 0, "")
+    assert got[1].base_sha256 == hashlib.sha256(",".join(w for _, _, w in want).encode()).hexdigest()
+    assert got[1].spans.count("opaque:") == got[1].spans.count("login:") == 600

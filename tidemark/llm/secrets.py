@@ -11,6 +11,7 @@ host).  The parts of a text are joined on the distance between their intervals:
 (`opaque`) is reported when an identifier (`access`, `login`) or an endpoint lies within `SCOPE`
 code points of it; a `login` when a secret (`assign`, `hex`, `opaque`) does.  Parts that overlap a
 base span aren't reported again.  All of a text's parts stay in its row, so nothing is shuffled.
+Positions and neighbours are found by blocks of `BLOCK` parts, so that a text full of them stays cheap.
 
 Defined results: a null or empty text has no spans; base_sha256 is then the hash of an empty string.
 Each input row gives one row.
@@ -18,10 +19,14 @@ Each input row gives one row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCOPE = 200
+BLOCK = 256
+_PLACE = "array<struct<start:int,end:int>>"
 #: The patterns of the base kinds, with the least length of what they match.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run that is too short holds no longer one, so the length may stand in the pattern
@@ -34,19 +39,37 @@ ENDPOINT = r"https?://[A-Za-z0-9.-]+"
 _GATE = {"assign": ASSIGN, "access": "AKIA", "hex": HEX, "login": LOGIN, "opaque": "[A-Za-z0-9+/_-]{20}", "endpoint": "://"}
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once; inside a lambda of `body` a plain column would be evaluated for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """The array in pieces of at most BLOCK elements; one empty piece if it has none."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(items, at + 1, BLOCK))
+
+
+def _places(sizes: Column) -> Column:
+    """ARRAY<STRUCT<start, end>> out of ARRAY<STRUCT<gap, size>>: running sums inside blocks, then over the blocks."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACE).alias("out"))
+    one = lambda acc, x: F.struct(
+        (acc["at"] + x["gap"] + x["size"]).alias("at"),
+        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end")))).alias("out"),
+    )
+    sums = F.transform(_let(sizes, _blocks), lambda block: F.aggregate(block, start, one))
+    moved = lambda block, by: F.transform(block["out"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACE}>").alias("out"))
+    add = lambda acc, block: F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(moved(block, acc["at"]))).alias("out"))
+    return F.flatten(F.aggregate(sums, first, add, lambda acc: acc["out"]))
+
+
 def _spans(text: Column, kind: str, pattern: str, value: int = 0, least: int = 0) -> Column:
     """ARRAY<STRUCT<kind, start, end>> of the pattern's matches whose group `value` has `least` characters."""
     p = F.lit(pattern)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     whole = F.transform(F.regexp_extract_all(text, p, F.lit(0)), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    one = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["size"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end")))).alias("out"),
-    )
-    sizes = F.transform(whole, lambda size, i: F.struct(F.element_at(gaps, i + 1).alias("gap"), size.alias("size")))
-    places = F.aggregate(sizes, start, one, lambda acc: acc["out"])
-    found = F.transform(places, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    sizes = _let(gaps, lambda g: F.transform(whole, lambda size, i: F.struct(F.element_at(g, i + 1).alias("gap"), size.alias("size"))))
+    found = F.transform(_places(sizes), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     if least:
         long = F.transform(F.regexp_extract_all(text, p, F.lit(value)), lambda v: F.length(v) >= least)
         both = F.arrays_zip(found.alias("s"), long.alias("ok"))
@@ -54,13 +77,21 @@ def _spans(text: Column, kind: str, pattern: str, value: int = 0, least: int = 0
     return F.when(text.rlike(_GATE[kind]), found).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
 
 
-def _near(part: Column, others: Column, scope: int) -> Column:
-    """Whether an interval of `others` lies within `scope` of `part`."""
-    return F.exists(others, lambda o: (o["start"] < part["end"] + scope) & (part["start"] < o["end"] + scope))
+def _ranges(*kinds: Column) -> Column:
+    """The intervals of several kinds in blocks with their bounds; an empty block has bounds that nothing meets."""
+    bound = lambda block: F.struct(
+        F.coalesce(F.array_min(F.transform(block, lambda s: s["start"])), F.lit(2_000_000_000)).alias("start"),
+        F.coalesce(F.array_max(F.transform(block, lambda s: s["end"])), F.lit(-1_000_000_000)).alias("end"),
+        block.alias("items"),
+    )
+    return F.concat(*(F.transform(_let(k, _blocks), bound) for k in kinds))
 
 
-def _apart(parts: Column, others: Column) -> Column:
-    return F.filter(parts, lambda p: ~_near(p, others, 0))
+def _near(parts: Column, ranges: Column, scope: int, keep: bool = True) -> Column:
+    """Those parts that lie within `scope` of an interval of `ranges`, or those that don't."""
+    meets = lambda a, b: (a["start"] < b["end"] + scope) & (b["start"] < a["end"] + scope)
+    hit = lambda p, r: F.exists(r, lambda block: meets(block, p) & F.exists(block["items"], lambda o: meets(o, p)))
+    return _let(ranges, lambda r: F.filter(parts, lambda p: hit(p, r) if keep else ~hit(p, r)))
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets", scope: int = SCOPE) -> DataFrame:
@@ -78,8 +109,9 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets",
     }
     r = lambda k: F.col(f"{mark}{k}")
     base = F.concat(*(r(k) for k in KINDS))
-    opaque = F.filter(_apart(r("opaque"), base), lambda p: _near(p, F.concat(r("access"), r("login"), r("endpoint")), scope))
-    login = F.filter(_apart(r("login"), base), lambda p: _near(p, F.concat(r("assign"), r("hex"), r("opaque")), scope))
+    covered = _ranges(*(r(k) for k in KINDS))
+    opaque = _near(_near(r("opaque"), covered, 0, keep=False), _ranges(r("access"), r("login"), r("endpoint")), scope)
+    login = _near(_near(r("login"), covered, 0, keep=False), _ranges(r("assign"), r("hex"), r("opaque")), scope)
     weak = (F.size(r("opaque")) > 0) | (F.size(r("login")) > 0)
     linked = F.when(weak, F.concat(login, opaque)).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
     # the parts are columns of their own, so that each pattern runs once a text
