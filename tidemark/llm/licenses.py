@@ -1,8 +1,11 @@
 """License scans by an exact set-similarity join (operator 6).
 
 Base: the places where the words of a license phrase stand consecutively (words of lower-cased
-texts, [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+).  The method finds every text block (a \\n-split line) whose
-distinct words contain at least `threshold` of a template's distinct words.  Template words are
+texts, [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+).  The method finds every text block whose distinct words
+contain at least `threshold` of a template's distinct words.  A block is a \\n-split line or, with
+`spanning`, a paragraph between blank lines or a run of 2 * n consecutive places of known words (those
+of any phrase or template) for a template of n words; a text's runs start at every n-th such place, so
+that each n + 1 consecutive ones lie in one run, whatever lines they are on.  Template words are
 ordered by their frequency in all blocks of the corpus, rarest first.  A block that meets the
 threshold needs k = ceil(threshold * |T|) words of T, so it has one of T's first |T| - k + 1 words
 (prefix filter), at least k distinct words (length filter), and, if the first of T's words that it
@@ -19,7 +22,7 @@ in one of its blocks.  Each input row gives one row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,14 +77,26 @@ class _Vocabulary:
         return at[same], number[same]
 
 
-def _block_words(words: bytetext.Words, at: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Distinct (block, word number) rows, sorted, of the known words at places `at`; a block is a line of one text."""
+def _block_words(words: bytetext.Words, at: np.ndarray, number: np.ndarray, spanning: bool = False) -> np.ndarray:
+    """Distinct (block, word number) rows, sorted, of the known words at places `at`; a block is a line or paragraph of one text."""
     breaks = np.flatnonzero(words.data == 10)
+    if spanning:  # only those that end a blank line
+        before = np.concatenate([[0], np.cumsum(bytetext.SPACED[words.data])])[breaks]
+        breaks = breaks[1:][before[1:] == before[:-1]]
     block = np.searchsorted(breaks, words.starts[at]) * np.int64(len(words.counts)) + np.searchsorted(words.first, at, "right") - 1
     return np.unique(np.stack([block, number], 1), axis=0)
 
 
-def template_word_counts(docs: DataFrame, vocabulary: _Vocabulary, text_col: str) -> np.ndarray:
+def _run_words(words: bytetext.Words, at: np.ndarray, number: np.ndarray, step: int) -> np.ndarray:
+    """Distinct (block, word number) rows, sorted, of the known words at places `at`; a block is a run of 2 * step of a text's known words."""
+    text = np.searchsorted(words.first, at, "right") - 1
+    run = (np.arange(len(at)) - np.searchsorted(text, text)) // step
+    later = run > 0  # the second half of the run before
+    block = np.concatenate([run, run[later] - 1]) * np.int64(len(words.counts)) + np.concatenate([text, text[later]])
+    return np.unique(np.stack([block, np.concatenate([number, number[later]])], 1), axis=0)
+
+
+def template_word_counts(docs: DataFrame, vocabulary: _Vocabulary, text_col: str, spanning: bool = False) -> np.ndarray:
     """In how many blocks of the corpus each vocabulary word occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +104,7 @@ def template_word_counts(docs: DataFrame, vocabulary: _Vocabulary, text_col: str
         for batch in batches:
             for _, _, data, offsets in bytetext.chunks(batch.column(0)):
                 words = bytetext.Words(data, offsets, bytetext.NAMES, lower=True)
-                total += np.bincount(_block_words(words, *vocabulary.find(words.hashes()))[:, 1], minlength=len(total))
+                total += np.bincount(_block_words(words, *vocabulary.find(words.hashes()), spanning)[:, 1], minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["word", "n"])
 
     counts = docs.select(text_col).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -100,11 +115,13 @@ def template_word_counts(docs: DataFrame, vocabulary: _Vocabulary, text_col: str
 
 
 class _Scan:
-    def __init__(self, phrases: dict[str, str], templates: list[tuple[str, str]], threshold: float):
+    def __init__(self, phrases: dict[str, str], templates: list[tuple[str, str]], threshold: float, spanning: bool = False):
         self.vocabulary = _Vocabulary([*phrases, *(t for _, t in templates)])
         self.phrases = list(zip(phrases.values(), self.vocabulary.sequences))
-        self.templates = [(label, np.unique(s)) for (label, _), s in zip(templates, self.vocabulary.sequences[len(phrases) :])]
-        self.threshold = threshold
+        sequences = self.vocabulary.sequences[len(phrases) :]
+        self.templates = [(label, np.unique(s)) for (label, _), s in zip(templates, sequences)]
+        self.lengths = [len(s) for s in sequences]
+        self.threshold, self.spanning = threshold, spanning
 
     def order(self, counts: np.ndarray) -> None:
         """Fix the global order of words: by frequency, rarest first, ties by hash."""
@@ -136,32 +153,42 @@ class _Scan:
                 row["starts"].append(s - int(words.first[d]))
                 row["base"].add(label)
                 row["score"] = 1.0
-        rows = _block_words(words, at, number)
-        has = np.zeros(len(self.vocabulary.known), bool)
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(rows[:, 0])) + 1])
-        sizes = np.diff(np.append(cut, len(rows)))
-        n_texts = len(words.counts)
-        for label, template in self.templates:
+        blocks = _block_words(words, at, number, self.spanning)
+        text = np.searchsorted(words.first, at, "right") - 1
+        for (label, template), length in zip(self.templates, self.lengths):
             need = int(np.ceil(self.threshold * len(template) - 1e-9))
-            has[:] = False
-            has[template[: len(template) - need + 1]] = True
-            candidate = np.flatnonzero((np.add.reduceat(has[rows[:, 1]].astype(np.int64), cut) > 0) & (sizes >= need))
-            for c in candidate.tolist():
-                own = np.isin(template, rows[cut[c] : cut[c] + sizes[c], 1])
-                if len(template) - int(own.argmax()) < need or (n := int(own.sum())) < need:
-                    continue
-                row = of(int(rows[cut[c], 0] % n_texts))
-                row["labels"].add(label)
-                row["score"] = max(row["score"], n / len(template))
+            self._join(blocks, label, template, need, len(words.counts), of)
+            if self.spanning:
+                prefix = np.zeros(len(words.counts), bool)
+                prefix[text[np.isin(number, template[: len(template) - need + 1])]] = True
+                own = prefix[text]  # runs of other texts would not pass the prefix filter
+                self._join(_run_words(words, at[own], number[own], length), label, template, need, len(words.counts), of)
         return words.counts, found
 
+    def _join(self, rows: np.ndarray, label: str, template: np.ndarray, need: int, n_texts: int, of: Callable[[int], dict]) -> None:
+        """Add the label and score of every block of `rows` that has `need` words of the template to its text."""
+        if not len(rows):
+            return
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(rows[:, 0])) + 1])
+        sizes = np.diff(np.append(cut, len(rows)))
+        has = np.zeros(len(self.vocabulary.known), bool)
+        has[template[: len(template) - need + 1]] = True
+        candidate = np.flatnonzero((np.add.reduceat(has[rows[:, 1]].astype(np.int64), cut) > 0) & (sizes >= need))
+        for c in candidate.tolist():
+            own = np.isin(template, rows[cut[c] : cut[c] + sizes[c], 1])
+            if len(template) - int(own.argmax()) < need or (n := int(own.sum())) < need:
+                continue
+            row = of(int(rows[cut[c], 0] % n_texts))
+            row["labels"].add(label)
+            row["score"] = max(row["score"], n / len(template))
+
 
 def scan(
-    docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", spanning: bool = False
 ) -> DataFrame:
-    """(id, n_words, starts ARRAY<LONG>, base_labels, labels ARRAY<STRING>, score) of every document."""
-    scanner = _Scan(phrases, templates, threshold)
-    scanner.order(template_word_counts(docs, scanner.vocabulary, text_col))
+    """(id, n_words, starts ARRAY<LONG>, base_labels, labels ARRAY<STRING>, score) of every document; blocks span lines if `spanning`."""
+    scanner = _Scan(phrases, templates, threshold, spanning)
+    scanner.order(template_word_counts(docs, scanner.vocabulary, text_col, spanning))
     source = docs.select(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +215,9 @@ def scan(
     return source.mapInArrow(run, schema)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, spanning: bool = False) -> DataFrame:
     """Per row of documents: n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    return scan(docs).select(
+    return scan(docs, spanning=spanning).select(
         "doc_id",
         "n_words",
         F.size("starts").cast("long").alias("n_base"),

@@ -36,7 +36,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.report(_table(spark, sf_dir, "documents"))
+    return licenses.report(_table(spark, sf_dir, "documents"), spanning=True)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
