@@ -31,7 +31,7 @@ def brute(text):
     known = {w for t in [*licenses.PHRASES, *(t for _, t in licenses.TEMPLATES)] for w in t.split()}
     for label, template in licenses.TEMPLATES:
         want = set(template.split())
-        yield label, want, max((b for b in blocks(text, len(template.split()), known)), key=lambda b: len(b & want))
+        yield label, want, max((b for b in blocks(text, len(template.split()), known) if want & licenses.DISTINGUISHING <= b), key=lambda b: len(b & want), default=set())
 
 
 def test_wrapped_notices_are_found(spark, tmp_path):
@@ -61,3 +61,19 @@ def test_spanning_blocks_match_brute_force(spark):
         assert abs(got[i].score - (1.0 if base else max((s for _, s in shares), default=0.0))) < 1e-9
         found += bool(shares)
     assert found > 10
+
+
+def test_related_licenses_are_told_apart(spark):
+    lines = {
+        "Licensed under the GNU General Public License": "gpl",
+        "licensed under the\nGNU General\nPublic License": "gpl",
+        "Licensed under the GNU Lesser General Public License": "lgpl",
+        "Licensed under the GNU LGPL version 3 or later": "",
+        "Licensed under the GNU GPL version 3 or later": "gpl",
+        "Licensed under the Educational Community License, Version 2.0; you may not use this file except in compliance with the License": "",
+        "This Source Code Form is subject to the terms of the Eclipse Public License": "",
+        "This Source Code Form is subject to the terms of the Mozilla Public License": "mpl",
+    }
+    for spanning in (False, True):
+        got = {r.doc_id: r.labels for r in licenses.report(frame(spark, list(lines)), spanning).collect()}
+        assert [got[k] for k in range(len(lines))] == list(lines.values())

@@ -10,7 +10,8 @@ ordered by their frequency in all blocks of the corpus, rarest first.  A block t
 threshold needs k = ceil(threshold * |T|) words of T, so it has one of T's first |T| - k + 1 words
 (prefix filter), at least k distinct words (length filter), and, if the first of T's words that it
 has stands at place i of T, no more than |T| - i of them (positional filter).  What passes is
-compared in full, so that the join is exact.
+compared in full, so that the join is exact.  A template's words among `DISTINGUISHING` must be in the
+block too, as notices of related licenses share most other words.
 
 The templates and phrases are a small fixed table (`MAX_TEMPLATE_WORDS` is checked); each pass over
 the documents is a map, and only counts of template words are aggregated between the two.
@@ -50,6 +51,8 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("lgpl", "licensed under the gnu lesser general public license"),
 ]
+#: Words that tell a license's notice from that of another one; a template that has one needs it in the block.
+DISTINGUISHING = {"lesser", "gpl", "apache", "mozilla", "attribution"}
 THRESHOLD = 0.8
 MAX_TEMPLATE_WORDS = 100_000
 _GATE_BITS = 16
@@ -121,6 +124,7 @@ class _Scan:
         sequences = self.vocabulary.sequences[len(phrases) :]
         self.templates = [(label, np.unique(s)) for (label, _), s in zip(templates, sequences)]
         self.lengths = [len(s) for s in sequences]
+        self.required = [np.unique([n for w, n in zip(t.split(), s) if w in DISTINGUISHING]) for (_, t), s in zip(templates, sequences)]
         self.threshold, self.spanning = threshold, spanning
 
     def order(self, counts: np.ndarray) -> None:
@@ -155,17 +159,17 @@ class _Scan:
                 row["score"] = 1.0
         blocks = _block_words(words, at, number, self.spanning)
         text = np.searchsorted(words.first, at, "right") - 1
-        for (label, template), length in zip(self.templates, self.lengths):
+        for (label, template), length, required in zip(self.templates, self.lengths, self.required):
             need = int(np.ceil(self.threshold * len(template) - 1e-9))
-            self._join(blocks, label, template, need, len(words.counts), of)
+            self._join(blocks, label, template, need, required, len(words.counts), of)
             if self.spanning:
                 prefix = np.zeros(len(words.counts), bool)
                 prefix[text[np.isin(number, template[: len(template) - need + 1])]] = True
                 own = prefix[text]  # runs of other texts would not pass the prefix filter
-                self._join(_run_words(words, at[own], number[own], length), label, template, need, len(words.counts), of)
+                self._join(_run_words(words, at[own], number[own], length), label, template, need, required, len(words.counts), of)
         return words.counts, found
 
-    def _join(self, rows: np.ndarray, label: str, template: np.ndarray, need: int, n_texts: int, of: Callable[[int], dict]) -> None:
+    def _join(self, rows: np.ndarray, label: str, template: np.ndarray, need: int, required: np.ndarray, n_texts: int, of: Callable[[int], dict]) -> None:
         """Add the label and score of every block of `rows` that has `need` words of the template to its text."""
         if not len(rows):
             return
@@ -176,7 +180,7 @@ class _Scan:
         candidate = np.flatnonzero((np.add.reduceat(has[rows[:, 1]].astype(np.int64), cut) > 0) & (sizes >= need))
         for c in candidate.tolist():
             own = np.isin(template, rows[cut[c] : cut[c] + sizes[c], 1])
-            if len(template) - int(own.argmax()) < need or (n := int(own.sum())) < need:
+            if len(template) - int(own.argmax()) < need or (n := int(own.sum())) < need or not np.isin(required, template[own]).all():
                 continue
             row = of(int(rows[cut[c], 0] % n_texts))
             row["labels"].add(label)
