@@ -14,6 +14,14 @@ def correlation(x: Column | str, y: Column | str) -> Column:
     return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
+def framed_correlation(x: Column | str, y: Column | str, frame: WindowSpec) -> Column:
+    """Pearson's correlation over a sliding frame's rows where both are known; null where either is constant."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.covar_pop(a, b).over(frame) / F.nullif(F.stddev_pop(a).over(frame) * F.stddev_pop(b).over(frame), F.lit(0.0))
+
+
 def exact_mean(x: Column | str, digits: int = 4) -> Column:
     """The mean of values with `digits` decimals, from a sum of integers, so that it doesn't depend on their order."""
     x = F.col(x) if isinstance(x, str) else x

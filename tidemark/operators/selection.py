@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.statistics import correlation
+from tidemark.functions.statistics import correlation, framed_correlation
 
 
 def returns(bars: DataFrame) -> DataFrame:
@@ -30,18 +30,41 @@ def pair_correlations(rets: DataFrame, tail: int | None = 60, least: int = 20) -
     return pairs.where(F.col("n") >= least)
 
 
+def session_correlations(rets: DataFrame, at: DataFrame, tail: int = 60, least: int = 20) -> DataFrame:
+    """(session, a, b, corr, n) of each pair (a < b) of a session's tickers over their common sessions among the `tail` that end there.
+
+    at: session, ticker.  Nothing after a session is read for it.  Sessions are numbered over all of rets and
+    at, one small row each; a pair's returns and its places in `at` are one partition, read once.
+    """
+    days = rets.select("session").union(at.select("session")).distinct().select("session", F.row_number().over(Window.orderBy("session")).alias("__ord"))
+    own = at.select("session", "ticker").distinct()
+    wanted = own.withColumnRenamed("ticker", "a").join(own.withColumnRenamed("ticker", "b"), "session").where("a < b")
+    a = rets.select("session", F.col("ticker").alias("a"), F.col("ret").alias("x"))
+    b = rets.select("session", F.col("ticker").alias("b"), F.col("ret").alias("y"))
+    known = a.join(b, "session").where("a < b").join(wanted.select("a", "b").distinct(), ["a", "b"], "left_semi")
+    rows = known.select("session", "a", "b", "x", "y", F.lit(False).alias("__at"))
+    nothing = F.lit(None).cast("double")
+    rows = rows.unionByName(wanted.select("session", "a", "b", nothing.alias("x"), nothing.alias("y"), F.lit(True).alias("__at"))).join(F.broadcast(days), "session")
+    frame = Window.partitionBy("a", "b").orderBy("__ord").rangeBetween(1 - tail, 0)
+    n = F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).over(frame)
+    found = rows.select("session", "a", "b", framed_correlation("x", "y", frame).alias("corr"), n.alias("n"), "__at")
+    return found.where(F.col("__at") & (F.col("n") >= least)).drop("__at")
+
+
 def select_portfolio(candidates: DataFrame, pairs: DataFrame, size: int = 6, per_sector: int = 2, most_corr: float = 0.75, pool: int = 200) -> DataFrame:
     """Candidates chosen a session: held ones first, then by rank under sector and correlation caps.
 
-    candidates: session, ticker, sector, rank_score, held.  The choice depends on its order, so a session's
-    candidates are one group; only its best `pool` can matter as long as that is far over `size`, and
-    all held ones take part.  A pair without a correlation passes.
+    candidates: session, ticker, sector, rank_score, held; pairs: a, b, corr, and session if they differ by it.
+    The choice depends on its order, so a session's candidates are one group; only its best `pool` can
+    matter as long as that is far over `size`, and all held ones take part.  A pair without a correlation passes.
     """
+    dated = [c for c in ("session",) if c in pairs.columns]
     w = Window.partitionBy("session").orderBy(F.desc("held"), F.desc("rank_score"), "ticker")
     best = candidates.withColumn("place", F.row_number().over(w)).where(F.col("held") | (F.col("place") <= pool))
-    both = pairs.where(F.abs("corr") > most_corr).select("a", "b").unionByName(pairs.where(F.abs("corr") > most_corr).select(F.col("b").alias("a"), F.col("a").alias("b")))
-    close = both.groupBy("a").agg(F.collect_set("b").alias("close_to"))
-    rows = best.join(close, best.ticker == close.a, "left").drop("a")
+    near = pairs.where(F.abs("corr") > most_corr)
+    both = near.select(*dated, F.col("a").alias("ticker"), "b").unionByName(near.select(*dated, F.col("b").alias("ticker"), F.col("a").alias("b")))
+    close = both.groupBy(*dated, "ticker").agg(F.collect_set("b").alias("close_to"))
+    rows = best.join(close, [*dated, "ticker"], "left")
 
     columns = [*candidates.columns, "place"]
 
@@ -91,18 +114,19 @@ def allocate(
     """(session, ticker, sector, shares, reason, price, risk) of every candidate, in order of its rank, under a book's limits.
 
     candidates: session, ticker, sector, rank_score, quantity, price, stop, risk_scale; held: session, ticker,
-    sector, shares, price, risk.  What a candidate gets depends on those before it, so a session is one
+    sector, shares, price, risk; pairs: a, b, corr, and session if they differ by it.  What a candidate gets depends on those before it, so a session is one
     group; all candidates get a row, with the first limit that stopped them.  Unlike in
     select_portfolio an unknown correlation with the book blocks.
     """
-    both = pairs.select("a", "b", "corr").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
-    known = both.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "corr"))).alias("known"))
+    dated = [c for c in ("session",) if c in pairs.columns]
+    both = pairs.select(*dated, F.col("a").alias("ticker"), "b", "corr").unionByName(pairs.select(*dated, F.col("b").alias("ticker"), F.col("a").alias("b"), "corr"))
+    known = both.groupBy(*dated, "ticker").agg(F.map_from_entries(F.collect_list(F.struct("b", "corr"))).alias("known"))
     names = ["session", "ticker", "sector", "rank_score", "quantity", "price", "stop", "risk_scale"]
     rows = candidates.select(*names).withColumns({"held": F.lit(False), "held_risk": F.lit(0.0)})
     if held is not None:
         book = held.select("session", "ticker", "sector", F.lit(None).cast("double").alias("rank_score"), F.col("shares").cast("long").alias("quantity"), "price", F.lit(None).cast("double").alias("stop"), F.lit(1.0).alias("risk_scale"), F.lit(True).alias("held"), F.col("risk").alias("held_risk"))
         rows = rows.withColumn("quantity", F.col("quantity").cast("long")).unionByName(book)
-    rows = rows.join(known, rows.ticker == known.a, "left").drop("a")
+    rows = rows.join(known, [*dated, "ticker"], "left")
     rows = rows.withColumn("known", F.coalesce(F.to_json("known"), F.lit("{}")))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -346,10 +346,10 @@ def reason_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each session's long candidates get under heat, sector, correlation and cash limits."""
-    pairs = selection.pair_correlations(selection.returns(views.bars_walk(spark, sf_dir)))
     rows = sizing.with_targets(_candidates(spark, sf_dir)).where("direction = 'LONG'").join(alpha.breadth_risk(views.bars_walk(spark, sf_dir)).select("session", "breadth_risk_scale"), "session")
     risk = F.col("close") - F.col("stop")
     quantity = F.when(risk > 0, (F.lit(5_000.0) / risk).cast("long")).otherwise(0)
     wanted = rows.select("session", "ticker", "sector", F.col("composite").alias("rank_score"), quantity.cast("long").alias("quantity"), F.col("close").alias("price"), "stop", F.col("breadth_risk_scale").alias("risk_scale"))
+    pairs = selection.session_correlations(selection.returns(views.bars_walk(spark, sf_dir)), wanted)
     found = selection.allocate(wanted, pairs)
     return found.withColumn("risk", F.round("risk", 4))
