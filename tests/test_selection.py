@@ -44,3 +44,29 @@ def test_later_returns_do_not_change_earlier_choices(spark):
     wanted = rows.selectExpr("session", "ticker", "sector", "rank_score", "10L quantity", "10D price", "9D stop", "1D risk_scale")
     reasons = {(r.session, r.ticker): r.reason for r in selection.allocate(wanted, pairs).collect()}
     assert (reasons[day(39), "B"], reasons[day(79), "B"]) == ("correlation_cap", "allocated")
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_selection_goes_on_until_the_book_is_full(spark, batch):
+    """The best candidates share a sector or move together; the others follow far behind, over several Arrow batches."""
+    rnd = random.Random(5)
+    rows = [(s, f"A{k:03d}", "x", 1000.0 - k, False) for s in range(3) for k in range(300)]  # one sector
+    rows += [(s, f"B{k:03d}", f"y{k}", 500.0 - k, False) for s in range(3) for k in range(40)]  # all move with A000
+    rows += [(s, f"C{k:03d}", f"z{k % 3}", rnd.random(), k == 30 and s == 2) for s in range(1, 3) for k in range(40)]
+    pairs = [("A000", f"B{k:03d}", 0.9) for k in range(40)]
+    size, per_sector, want = 6, 2, []
+    for s in range(3):
+        taken = []
+        for _, t, sector, _, held in sorted((r for r in rows if r[0] == s), key=lambda r: (not r[4], -r[3], r[1])):
+            near = any((a in (t, o) and b in (t, o)) for a, b, _ in pairs for o, _ in taken)
+            if len(taken) < size and (held or sum(x == sector for _, x in taken) < per_sector and not near):
+                taken.append((t, sector))
+        want += [(s, t) for t, _ in taken]
+    assert [sum(s == k for s, _ in want) for k in range(3)] == [2, 6, 6]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = selection.select_portfolio(spark.createDataFrame(rows, "session int, ticker string, sector string, rank_score double, held boolean"), spark.createDataFrame(pairs, "a string, b string, corr double"), size, per_sector)
+        assert sorted((r.session, r.ticker) for r in got.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)

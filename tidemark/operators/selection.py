@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,33 +58,43 @@ def select_portfolio(candidates: DataFrame, pairs: DataFrame, size: int = 6, per
     """Candidates chosen a session: held ones first, then by rank under sector and correlation caps.
 
     candidates: session, ticker, sector, rank_score, held; pairs: a, b, corr, and session if they differ by it.
-    The choice depends on its order, so a session's candidates are one group; only its best `pool` can
-    matter as long as that is far over `size`, and all held ones take part.  A pair without a correlation passes.
+    The choice depends on its order, so a session's candidates are one task's sorted stream, read until its
+    book is full or none is left, `pool` at a time less those of full sectors.  A pair without a correlation passes.
     """
     dated = [c for c in ("session",) if c in pairs.columns]
     w = Window.partitionBy("session").orderBy(F.desc("held"), F.desc("rank_score"), "ticker")
-    best = candidates.withColumn("place", F.row_number().over(w)).where(F.col("held") | (F.col("place") <= pool))
+    placed = candidates.withColumn("place", F.row_number().over(w))
     near = pairs.where(F.abs("corr") > most_corr)
     both = near.select(*dated, F.col("a").alias("ticker"), "b").unionByName(near.select(*dated, F.col("b").alias("ticker"), F.col("a").alias("b")))
     close = both.groupBy(*dated, "ticker").agg(F.collect_set("b").alias("close_to"))
-    rows = best.join(close, [*dated, "ticker"], "left")
+    rows = placed.join(close, [*dated, "ticker"], "left").repartition("session").sortWithinPartitions("session", "place")
 
     columns = [*candidates.columns, "place"]
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        taken, sectors, keep = [], {}, []
-        for r in group.sort_values("place").itertuples():
-            near = set(r.close_to) if r.close_to is not None else set()
-            ok = len(taken) < size and (r.held or sectors.get(r.sector, 0) < per_sector and not near.intersection(taken))
-            keep.append(bool(ok))
-            if ok:
-                taken.append(r.ticker)
-                sectors[r.sector] = sectors.get(r.sector, 0) + 1
-        out = group.sort_values("place").assign(chosen=keep)
-        return out.loc[out["chosen"], columns]
+    def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken, sectors = [], {}  # the book of the session that is read, over parts
+        for part in parts:
+            starts, keep = np.flatnonzero(part["place"].to_numpy() == 1).tolist(), []
+            bounds = sorted({0, *starts, len(part)})
+            for first, end in zip(bounds, bounds[1:]):
+                if first in starts:
+                    taken, sectors = [], {}
+                for k in range(first, end, pool):
+                    if len(taken) >= size:
+                        break
+                    some = part.iloc[k : min(k + pool, end)].assign(row_=range(k, min(k + pool, end)))
+                    full = [s for s, n in sectors.items() if n >= per_sector]
+                    some = some[some["held"].eq(True) | ~some["sector"].isin(full)]
+                    for r in some.itertuples():
+                        near = set(r.close_to) if r.close_to is not None else set()
+                        if len(taken) < size and (r.held or sectors.get(r.sector, 0) < per_sector and not near.intersection(taken)):
+                            keep.append(r.row_)
+                            taken.append(r.ticker)
+                            sectors[r.sector] = sectors.get(r.sector, 0) + 1
+            yield part.iloc[keep][columns]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema) + ", place int"
-    return rows.groupBy("session").applyInPandas(choose, schema)
+    return rows.mapInPandas(choose, schema)
 
 
 def non_overlapping(trades: DataFrame) -> DataFrame:
