@@ -3,12 +3,15 @@
 The training texts are cut into shards (runs of whole documents of about `SHARD_BYTES`, within one
 Spark task).  For each shard a word-level suffix array is built and every suffix of every test item
 is binary-searched in it, word by word: the interval of matching suffixes narrows until it is empty,
-which gives the longest verbatim match and its places.  A window is the first `window` words of a
+which gives its places at each depth.  A window is the first `window` words of a
 test suffix; an item of fewer words is one window.  Wherever a window occurs, its words are hit.
+The other way round, each place of the array is searched in the sorted test suffixes, which gives the
+longest verbatim match at that place, so that each document has its own longest one (its first if
+several are as long), whichever documents share its shard.
 
 The suffix array is sparse: it holds the training suffixes whose first g words (g = 3, less if some
 item is shorter) start some test suffix too.  All others can't reach a match of g words, so no
-window is lost; matches shorter than g words are not reported.
+window is lost.  A longest match is reported if it has 3 words or is a whole item.
 
 The test items are broadcast in blocks of at most `BLOCK_BYTES` of text (and at least one item); for
 each block one more map over the documents adds to what earlier blocks found, so no step shuffles
@@ -65,6 +68,7 @@ class TestSuffixes:
         self.grams = np.unique(grams[self.length[: len(grams)] >= self.gram])
         self.gate = np.zeros(1 << _GATE_BITS, bool)
         self.gate[self.grams >> np.uint64(64 - _GATE_BITS)] = True
+        self.order = suffix_array(self.word, self.length, np.arange(len(self.word)), self.depth)
 
 
 def suffix_array(word: np.ndarray, left: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
@@ -95,38 +99,55 @@ def suffix_array(word: np.ndarray, left: np.ndarray, places: np.ndarray, depth:
     return order
 
 
-def search(tests: TestSuffixes, word: np.ndarray, left: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each test suffix: words of its longest match, one place of it, and the interval of `order` at its window's depth."""
+def _narrow(word: np.ndarray, left: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray, target: np.ndarray, d: int) -> list[np.ndarray]:
+    """The parts of the intervals [low, high) of `order` whose suffixes have `target` as word d."""
+    ends = []
+    for right in (False, True):
+        a, b = low.copy(), high.copy()
+        open_ = np.arange(len(low))
+        while len(open_):
+            mid = (a[open_] + b[open_]) >> 1
+            place = order[mid]
+            on = left[place] > d
+            value = np.where(on, word[np.where(on, place + d, 0)], np.uint64(0))
+            less = (value <= target[open_]) if right else (value < target[open_])
+            a[open_[less]] = mid[less] + 1
+            b[open_[~less]] = mid[~less]
+            open_ = open_[a[open_] < b[open_]]
+        ends.append(a)
+    return ends
+
+
+def search(tests: TestSuffixes, word: np.ndarray, left: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each test suffix: the interval of `order` at its window's depth."""
     n = len(tests.word)
     low, high = np.zeros(n, np.int64), np.full(n, len(order), np.int64)
-    longest, at = np.zeros(n, np.int64), np.full(n, -1, np.int64)
     from_, to = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    live = np.arange(n) if len(order) else np.zeros(0, np.int64)
+    live = np.flatnonzero(tests.window > 0) if len(order) else np.zeros(0, np.int64)
     d = 0
     while len(live):
-        target = tests.word[live + d]
-        ends = []
-        for right in (False, True):
-            a, b = low[live].copy(), high[live].copy()
-            open_ = np.arange(len(live))
-            while len(open_):
-                mid = (a[open_] + b[open_]) >> 1
-                place = order[mid]
-                on = left[place] > d
-                value = np.where(on, word[np.where(on, place + d, 0)], np.uint64(0))
-                less = (value <= target[open_]) if right else (value < target[open_])
-                a[open_[less]] = mid[less] + 1
-                b[open_[~less]] = mid[~less]
-                open_ = open_[a[open_] < b[open_]]
-            ends.append(a)
-        low[live], high[live] = ends
-        live = live[ends[0] < ends[1]]
+        low[live], high[live] = _narrow(word, left, order, low[live], high[live], tests.word[live + d], d)
+        live = live[low[live] < high[live]]
         d += 1
-        longest[live], at[live] = d, order[low[live]]
         complete = live[tests.window[live] == d]
         from_[complete], to[complete] = low[complete], high[complete]
-        live = live[tests.length[live] > d]
-    return longest, at, from_, to
+        live = live[tests.window[live] > d]
+    return from_, to
+
+
+def longest_matches(tests: TestSuffixes, word: np.ndarray, left: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each of `places`: how many words from there on stand in some test item, too."""
+    low, high = np.zeros(len(places), np.int64), np.full(len(places), len(tests.order), np.int64)
+    longest = np.zeros(len(places), np.int64)
+    live = np.arange(len(places)) if len(tests.order) else np.zeros(0, np.int64)
+    d = 0
+    while len(live):
+        low[live], high[live] = _narrow(tests.word, tests.length, tests.order, low[live], high[live], word[places[live] + d], d)
+        live = live[low[live] < high[live]]
+        d += 1
+        longest[live] = d
+        live = live[left[places[live]] > d]
+    return longest
 
 
 def _scan_shard(tests: TestSuffixes, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, tuple]]:
@@ -140,17 +161,16 @@ def _scan_shard(tests: TestSuffixes, data: np.ndarray, offsets: np.ndarray) -> t
     places = places[left[places] >= tests.gram]
     where = np.minimum(np.searchsorted(tests.grams, grams[places]), len(tests.grams) - 1)
     places = places[tests.grams[where] == grams[places]]
-    order = suffix_array(word, left, places, tests.depth)
-    longest, at, low, high = search(tests, word, left, order)
-    if not longest.any():
+    order = suffix_array(word, left, places, int(tests.window.max()))  # intervals are taken at a window's depth
+    if not len(order):
         return words.counts, {}
+    low, high = search(tests, word, left, order)
 
     text_of = words.text_of()
     out: dict[int, list] = {}
-    found = np.flatnonzero(at >= 0)
-    for k in found[np.argsort(longest[found], kind="stable")].tolist():  # the longest match that has its place in a text wins
-        d = int(text_of[at[k]])
-        out[d] = [[], [], int(longest[k]), int(at[k] - words.first[d])]
+    longest = np.zeros(len(words), np.int64)
+    longest[order] = longest_matches(tests, word, left, order)
+    longest[longest < 3] = 0
     hit = np.flatnonzero(high > low)
     if len(hit):
         interval, class_of = np.unique(np.stack([low[hit], tests.window[hit]], 1), axis=0, return_inverse=True)
@@ -160,6 +180,7 @@ def _scan_shard(tests: TestSuffixes, data: np.ndarray, offsets: np.ndarray) -> t
         total = np.concatenate([[0], np.cumsum(size)])
         place = order[np.arange(total[-1]) + np.repeat(interval[:, 0] - total[:-1], size)]
         of = np.repeat(np.arange(len(interval)), size)
+        np.maximum.at(longest, place, interval[of, 1])  # whole items of fewer than 3 words
         step = np.zeros(len(words) + 1, np.int64)
         np.add.at(step, place, 1)
         np.add.at(step, place + interval[of, 1], -1)
@@ -183,6 +204,11 @@ def _scan_shard(tests: TestSuffixes, data: np.ndarray, offsets: np.ndarray) -> t
             out[d][1].append(c)
         for d, row in out.items():
             row[1] = sorted(set().union(*(items_of[c] for c in row[1])))
+    found = np.flatnonzero(longest)
+    found = found[np.lexsort((found, -longest[found], text_of[found]))]
+    for k in found[np.unique(text_of[found], return_index=True)[1]].tolist():  # the first of a text's longest matches
+        d = int(text_of[k])
+        out.setdefault(d, [[], [], 0, None])[2:] = [int(longest[k]), int(k - words.first[d])]
     return words.counts, out
 
 
@@ -218,7 +244,7 @@ def _add_block(docs: DataFrame, keep: tuple[str, ...], tests, window: int, first
                             continue
                         spans[d] = _merged(was["spans"], spans[d])
                         items[d] = sorted({*(was["items"] or []), *(items[d] or [])})
-                        if (was["longest_words"] or 0) >= (longest[d] or 0):
+                        if (was["longest_words"] or 0, -(was["longest_start"] or 0)) >= (longest[d] or 0, -(start[d] or 0)):
                             longest[d], start[d] = was["longest_words"], was["longest_start"]
                 state = pa.StructArray.from_arrays(
                     [
