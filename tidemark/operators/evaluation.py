@@ -54,14 +54,34 @@ def daily_profit(done: DataFrame, bars: DataFrame) -> DataFrame:
     return rows.select("trade_id", "session", pnl.alias("pnl"))
 
 
+def curve_fall(trades: DataFrame) -> DataFrame:
+    """(curve_fall), one row: the largest fall of the running sum of net_r over all trades by exit_session and trade_id.
+
+    Days are folded inside first and then put together, one small row each, so that no task orders all trades.
+    """
+    inside = Window.partitionBy("__day").orderBy("exit_session", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = trades.select("exit_session", "trade_id", F.coalesce("net_r", F.lit(0.0)).alias("__r"), F.to_date("exit_session").alias("__day"))
+    rows = rows.withColumn("__sum", F.sum("__r").over(inside)).withColumn("__fall", F.col("__sum") - F.max("__sum").over(inside))
+    days = rows.groupBy("__day").agg(F.sum("__r").alias("total"), F.max("__sum").alias("hi"), F.min("__sum").alias("lo"), F.min("__fall").alias("fall"))
+    before = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+    days = days.withColumn("peak", F.greatest(F.lit(0.0), F.max(F.col("base") + F.col("hi")).over(before)))
+    return days.agg(F.min(F.least("fall", F.col("base") + F.col("lo") - F.col("peak"))).alias("curve_fall"))
+
+
 def fold_statistics(trades: DataFrame, fold: str = "fold") -> DataFrame:
-    """By fold and (fold null) over all: trades, hit rate, mean and total R, and the largest fall of the R curve."""
+    """By fold and (fold null) over all: trades, hit rate, mean and total R, and the largest fall of the R curve.
+
+    worst_fall is that of the row's whole curve, over all folds where fold is null; inner_fall is the largest inside
+    single folds.
+    """
     w = Window.partitionBy(fold).orderBy("exit_session", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
     run = trades.withColumn("__sum", F.sum("net_r").over(w)).withColumn("__fall", F.col("__sum") - F.greatest(F.lit(0.0), F.max("__sum").over(w)))
     stats = run.rollup(fold).agg(
-        F.grouping(fold).alias("__all"), F.count("*").alias("trades"), F.avg(F.col("hit").cast("int")).alias("hit_rate"), F.avg("net_r").alias("mean_r"), F.sum("net_r").alias("total_r"), F.min("__fall").alias("worst_fall")
+        F.grouping(fold).alias("__all"), F.count("*").alias("trades"), F.avg(F.col("hit").cast("int")).alias("hit_rate"), F.avg("net_r").alias("mean_r"), F.sum("net_r").alias("total_r"), F.min("__fall").alias("inner_fall")
     )
-    return stats.withColumn(fold, F.when(F.col("__all") == 1, None).otherwise(F.col(fold))).drop("__all")
+    stats = stats.crossJoin(F.broadcast(curve_fall(trades))).withColumn("worst_fall", F.when(F.col("__all") == 1, F.col("curve_fall")).otherwise(F.col("inner_fall")))
+    return stats.withColumn(fold, F.when(F.col("__all") == 1, None).otherwise(F.col(fold))).drop("__all", "curve_fall")
 
 
 def accumulation(spine: DataFrame, value: str, *by: str, recent: int = 5, prior: int = 20) -> DataFrame:

@@ -359,14 +359,30 @@ def recording_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DONE_ROWS = f"WITH {_TRADES}"
 
 
+def _fold_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes.outcomes(*_trades(spark, sf_dir)).withColumn("fold", F.year("entry_session")).withColumn("exit_session", F.col("entry_session"))
+
+
 @query(
     f"""{_DONE_ROWS}, f AS (SELECT d.*, CAST(year(entry_session) AS INTEGER) AS fold FROM done d), c AS (SELECT *, sum(net_r) OVER (PARTITION BY fold ORDER BY entry_session, trade_id ROWS UNBOUNDED PRECEDING) AS s FROM f),
 w AS (SELECT *, s - greatest(0, max(s) OVER (PARTITION BY fold ORDER BY entry_session, trade_id ROWS UNBOUNDED PRECEDING)) AS fall FROM c)
 SELECT fold, count(*) AS trades, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(net_r), 6) AS mean_r, round(sum(net_r), 4) AS total_r, round(min(fall), 4) AS worst_fall FROM w GROUP BY ROLLUP (fold)"""
 )
 def fold_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = outcomes.outcomes(*_trades(spark, sf_dir)).withColumn("fold", F.year("entry_session")).withColumn("exit_session", F.col("entry_session"))
-    return rounded(rounded(evaluation.fold_statistics(done), 6, "hit_rate", "mean_r"), 4, "total_r", "worst_fall")
+    """By its SQL, the row over all folds has the worst of the falls inside single folds; fold_curve_fall has that of the whole curve."""
+    found = evaluation.fold_statistics(_fold_trades(spark, sf_dir)).withColumn("worst_fall", F.col("inner_fall")).drop("inner_fall")
+    return rounded(rounded(found, 6, "hit_rate", "mean_r"), 4, "total_r", "worst_fall")
+
+
+@query(
+    f"""{_DONE_ROWS}, c AS (SELECT *, sum(net_r) OVER (ORDER BY entry_session, trade_id ROWS UNBOUNDED PRECEDING) AS s FROM done),
+w AS (SELECT *, s - greatest(0, max(s) OVER (ORDER BY entry_session, trade_id ROWS UNBOUNDED PRECEDING)) AS fall FROM c)
+SELECT count(*) AS trades, round(sum(net_r), 4) AS total_r, round(min(fall), 4) AS worst_fall FROM w"""
+)
+def fold_curve_fall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row over all folds, with the largest fall of the R curve across them."""
+    found = evaluation.fold_statistics(_fold_trades(spark, sf_dir)).where("fold is null").select("trades", "total_r", "worst_fall")
+    return rounded(found, 4, "total_r", "worst_fall")
 
 
 @query(
