@@ -33,19 +33,21 @@ def pair_correlations(rets: DataFrame, tail: int | None = 60, least: int = 20) -
     return pairs.where(F.col("n") >= least)
 
 
-def session_correlations(rets: DataFrame, at: DataFrame, tail: int = 60, least: int = 20) -> DataFrame:
+def session_correlations(rets: DataFrame, at: DataFrame, tail: int = 60, least: int = 20, sessions: DataFrame | None = None) -> DataFrame:
     """(session, a, b, corr, n) of each pair (a < b) of a session's tickers over their common sessions among the `tail` that end there.
 
-    at: session, ticker.  Nothing after a session is read for it.  Sessions are numbered over all of rets and
-    at, one small row each; a pair's returns and its places in `at` are one partition, read once.
+    at: session, ticker.  Nothing after a session is read for it.  sessions (session) are those to count, one small row
+    each, all those of rets and at if not given.  A pair's returns and its places in `at` are one partition, read
+    once; `at` is read once too, as its plan may be a long one.
     """
-    days = rets.select("session").union(at.select("session")).distinct().select("session", F.row_number().over(Window.orderBy("session")).alias("__ord"))
-    own = at.select("session", "ticker").distinct()
-    wanted = own.withColumnRenamed("ticker", "a").join(own.withColumnRenamed("ticker", "b"), "session").where("a < b")
+    if sessions is None:
+        sessions = rets.select("session").union(at.select("session"))
+    days = sessions.select("session").distinct().select("session", F.row_number().over(Window.orderBy("session")).alias("__ord"))
+    own = at.groupBy("session").agg(F.collect_set("ticker").alias("__all")).select("session", "__all", F.explode("__all").alias("a"))
+    wanted = own.select("session", "a", F.explode(F.filter("__all", lambda t: t > F.col("a"))).alias("b"))
     a = rets.select("session", F.col("ticker").alias("a"), F.col("ret").alias("x"))
     b = rets.select("session", F.col("ticker").alias("b"), F.col("ret").alias("y"))
-    known = a.join(b, "session").where("a < b").join(wanted.select("a", "b").distinct(), ["a", "b"], "left_semi")
-    rows = known.select("session", "a", "b", "x", "y", F.lit(False).alias("__at"))
+    rows = a.join(b, "session").where("a < b").select("session", "a", "b", "x", "y", F.lit(False).alias("__at"))
     nothing = F.lit(None).cast("double")
     rows = rows.unionByName(wanted.select("session", "a", "b", nothing.alias("x"), nothing.alias("y"), F.lit(True).alias("__at"))).join(F.broadcast(days), "session")
     frame = Window.partitionBy("a", "b").orderBy("__ord").rangeBetween(1 - tail, 0)
@@ -64,8 +66,8 @@ def select_portfolio(candidates: DataFrame, pairs: DataFrame, size: int = 6, per
     dated = [c for c in ("session",) if c in pairs.columns]
     w = Window.partitionBy("session").orderBy(F.desc("held"), F.desc("rank_score"), "ticker")
     placed = candidates.withColumn("place", F.row_number().over(w))
-    near = pairs.where(F.abs("corr") > most_corr)
-    both = near.select(*dated, F.col("a").alias("ticker"), "b").unionByName(near.select(*dated, F.col("b").alias("ticker"), F.col("a").alias("b")))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("ticker"), "b"), F.struct(F.col("b").alias("ticker"), F.col("a").alias("b")))).alias("__e")
+    both = pairs.where(F.abs("corr") > most_corr).select(*dated, ends).select(*dated, "__e.*")
     close = both.groupBy(*dated, "ticker").agg(F.collect_set("b").alias("close_to"))
     rows = placed.join(close, [*dated, "ticker"], "left").repartition("session").sortWithinPartitions("session", "place")
 
@@ -132,7 +134,8 @@ def allocate(
     select_portfolio an unknown correlation with the book blocks.
     """
     dated = [c for c in ("session",) if c in pairs.columns]
-    both = pairs.select(*dated, F.col("a").alias("ticker"), "b", "corr").unionByName(pairs.select(*dated, F.col("b").alias("ticker"), F.col("a").alias("b"), "corr"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("ticker"), "b"), F.struct(F.col("b").alias("ticker"), F.col("a").alias("b")))).alias("__e")
+    both = pairs.select(*dated, ends, "corr").select(*dated, "__e.*", "corr")
     known = both.groupBy(*dated, "ticker").agg(F.map_from_entries(F.collect_list(F.struct("b", "corr"))).alias("known"))
     names = ["session", "ticker", "sector", "rank_score", "quantity", "price", "stop", "risk_scale"]
     rows = candidates.select(*names).withColumns({"held": F.lit(False), "held_risk": F.lit(0.0)})

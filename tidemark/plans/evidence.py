@@ -350,6 +350,7 @@ def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     risk = F.col("close") - F.col("stop")
     quantity = F.when(risk > 0, (F.lit(5_000.0) / risk).cast("long")).otherwise(0)
     wanted = rows.select("session", "ticker", "sector", F.col("composite").alias("rank_score"), quantity.cast("long").alias("quantity"), F.col("close").alias("price"), "stop", F.col("breadth_risk_scale").alias("risk_scale"))
-    pairs = selection.session_correlations(selection.returns(views.bars_walk(spark, sf_dir)), wanted)
+    bars = views.bars_walk(spark, sf_dir)
+    pairs = selection.session_correlations(selection.returns(bars), wanted, sessions=bars)
     found = selection.allocate(wanted, pairs)
     return found.withColumn("risk", F.round("risk", 4))

@@ -150,7 +150,8 @@ def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def portfolio_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _candidates(spark, sf_dir).where("direction = 'LONG'").select("session", "ticker", "sector", F.col("composite").alias("rank_score"), F.lit(False).alias("held"))
-    pairs = selection.session_correlations(selection.returns(views.bars_walk(spark, sf_dir)), rows)
+    bars = views.bars_walk(spark, sf_dir)
+    pairs = selection.session_correlations(selection.returns(bars), rows, sessions=bars)
     return selection.select_portfolio(rows, pairs)
 
 
