@@ -74,3 +74,38 @@ def test_connected_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 99), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in graph.connected_components(edges).collect()}
     assert got == {**{k: 0 for k in range(1, 41)}, 100: 99}
+
+
+@pytest.mark.parametrize("size", [40])
+def test_families_in_one_region_take_pairs_in_proportion_to_their_size(spark, monkeypatch, size):
+    """Families that share most of their words but aren't linked, in one region that is too large for a task."""
+    rnd = random.Random(5)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for f in range(4):
+        own = list(base)
+        for k in range(f * 25, f * 25 + 20):
+            own[k] = f"f{f}w{k}"
+        for m in range(size):
+            copy = list(own)
+            copy[100 + rnd.randrange(20)] = f"m{m}"
+            texts.append(" ".join(copy))
+    counts = []
+    confirmed = neardup._confirmed
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, *rest: (counts.append(pairs.count()), confirmed(pairs, *rest))[1])
+    ids = rnd.sample(range(10_000), len(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, texts, ids), 3, 85, local_shingles=500).collect()}
+    assert got == components(ids, texts, 3, 85)
+    assert counts and sum(counts) <= 4 * len(texts)
+
+
+def test_common_prefixes_are_measured(spark):
+    """Each text meets the head of the run that shares its longest prefix with the text before it."""
+    import numpy as np
+
+    sig = [[1, 1, 1, 1, 1, 1, 1, 1], [1, 1, 1, 1, 1, 1, 1, 2], [1, 1, 1, 1, 1, 2, 1, 1], [1, 1, 1, 1, 1, 2, 1, 1], [1, 1, 1, 1, 2, 1, 1, 1], [2, 1, 1, 1, 1, 1, 1, 1]]
+    rows = [(k, bytearray(np.array(s, ">u4").tobytes())) for k, s in enumerate(sig)]
+    edges = neardup.forest_edges(spark.createDataFrame(rows, "id long, sig binary"), 1)
+    got = {(r.a, r.b, r.common) for r in edges.collect()}
+    # a partition's end may lead to the text before it instead of the head
+    assert {(b, c) for _, b, c in got} == {(1, 7), (2, 5), (3, 8)} and all(sig[a][:c] == sig[b][:c] for a, b, c in got)

@@ -220,3 +220,47 @@ def test_secret_spans_across_blocks(spark):
     assert (got[1].n_assign, got[1].n_hex, got[2].n_assign, got[2].spans) == (600, 600, 0, "")
     assert got[1].base_sha256 == hashlib.sha256(",".join(w for _, _, w in want).encode()).hexdigest()
     assert got[1].spans.count("opaque:") == got[1].spans.count("login:") == 600
+
+
+def redacted(text, spans, mark="[SECRET]"):
+    out, at = [], 0
+    for s, e in sorted(spans):
+        if s >= at:
+            out += [text[at:s], mark]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_of_many_spans_keeps_all_other_text(spark):
+    """A text of more spans than a block holds, some of them overlapping, and one with 100,000 secrets."""
+    text = "".join(f"é{k} token=AKIA{'ABCD' * 5} {'deadbeef' * 3} x" for k in range(900))
+    many = "token=hunter22 é " * 100_000
+    docs = spark.createDataFrame([(1, text), (2, many), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    spans = [tuple(map(int, s.split(":")[1:])) for s in secrets.report(docs).where("doc_id = 1").first().spans.split(",")]
+    assert len(spans) == 2700 and got[1] == redacted(text, spans)
+    assert got[2] == "[SECRET] é " * 100_000 and got[3] is None and got[4] == ""
+
+
+def test_long_pretokens_stay_in_the_matrix(vocabulary):
+    """Pretokens of many pieces against the library; a megabyte of letters."""
+    tiktoken = pytest.importorskip("tiktoken")
+    path, pattern = vocabulary
+    ranks = bpe.load_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encoder, rnd = bpe.Encoder(ranks, pattern), random.Random(4)
+    texts = ["".join(rnd.choice(letters) for _ in range(n)) for n in (63, 64, 65, 128, 129, 2000) for letters in ("a", "ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "é漢", "=-", " ") for _ in range(3)]
+    texts += ["ab" * 500 + "a" * k for k in range(4)] + ["aaab" * 700]
+    ids, ends = encoder.encode(texts)
+    for k, text in enumerate(texts):
+        assert ids[ends[k] : ends[k + 1]].tolist() == library.encode_ordinary(text), text[:80]
+    whole = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    ids, _ = encoder.encode([whole])
+    assert b"".join(encoder.tokens[i] for i in ids.tolist()).decode() == whole
+
+
+def test_decontamination_of_equal_words(spark):
+    """A text and an item of 100,000 equal words each."""
+    same = "w " * 100_000
+    row = decontaminate.report(frame(spark, [same, "w " * 9, "w x"]), spark.createDataFrame([(5, same)], "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.longest_words, r.longest_start) for r in row] == [(100_000, 100_000, 0), (0, 9, 0), (0, 0, None)]

@@ -3,9 +3,13 @@
 Encoding splits each text by a pretoken pattern.  The distinct pretokens of a batch are grouped by
 padded length into numpy matrices of token ids (initially one id a byte).  In each round every row
 merges its leftmost pair of minimum rank: pair ranks come from an open-addressing hash table, merged
-rows are compacted, and rows without a mergeable pair leave the matrix.  Pretokens longer than
-`MATRIX_WIDTH` bytes, where a merge a round would be quadratic, go through a heap with the same
-order of merges.  A task keeps the ids of at most `CACHE_PRETOKENS` pretokens between batches.
+rows are compacted, and rows without a mergeable pair leave the matrix.  A pretoken of more than
+`PIECE` bytes is cut into pieces that are rows of the matrix like any other.  A cut stands if the
+ids on its two sides stay apart when their bytes are encoded together: a merge across the cut would
+have to happen inside these two tokens, so the ids on both sides are then those of the whole.  Where
+a cut doesn't stand, some ids on either side of it are encoded anew as one row, twice as many each
+time.  The work so grows in proportion to a pretoken's length.  A task keeps the ids of at most
+`CACHE_PRETOKENS` pretokens between batches.
 
 Defined results: a null text encodes as an empty list, an empty list decodes as empty bytes, a null
 list likewise.  Each input row gives one row; repeated rows give repeated rows.  Only the id column
@@ -15,7 +19,7 @@ and the text (or ids) column are read, so further columns cannot clash.
 from __future__ import annotations
 
 import base64
-import heapq
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import bytetext
+from tidemark.llm.scratch import map_batches
 
-MATRIX_WIDTH = 256
-CACHE_PRETOKENS = 150_000
+#: Bytes of a row of the matrix, but for those that span a cut; cells of a matrix.
+PIECE = 64
+MATRIX_CELLS = 1 << 16
+CACHE_PRETOKENS = 100_000
 #: Vocabularies are broadcast to executors; larger files are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 NONE = np.int64(1) << 40
@@ -93,6 +100,7 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.table = PairTable(ranks)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.tokens = {rank: token for token, rank in ranks.items()}
         self._forget()
 
     def _forget(self) -> None:
@@ -131,57 +139,80 @@ class Encoder:
             rank[has, where[has] - 1] = self.table.ranks(rows[has, where[has] - 1], rows[has, where[has]])
         return done_rows, done_length
 
-    def _merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """The same merges for one very long pretoken, by a heap of (rank, place)."""
-        n = len(ids)
-        token, following, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = self.table.ranks(ids[:-1], ids[1:]).tolist() + [int(NONE)]
-        heap = [(r, i) for i, r in enumerate(rank) if r < NONE]
-        heapq.heapify(heap)
-        one = np.zeros(2, np.int64)
-
-        def pair(i: int) -> int:
-            if i < 0 or following[i] >= n:
-                return int(NONE)
-            one[0], one[1] = token[i], token[following[i]]
-            return int(self.table.ranks(one[:1], one[1:])[0])
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if rank[i] != r:
-                continue
-            gone = following[i]
-            token[i], token[gone], rank[gone] = r, -1, -1
-            following[i] = following[gone]
-            if following[i] < n:
-                before[following[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (new := pair(k)) != rank[k] or k == i:
-                    rank[k] = new if k != i else pair(i)
-                    if rank[k] < NONE:
-                        heapq.heappush(heap, (rank[k], k))
-        return np.array([t for t in token if t >= 0], np.int64)
-
-    def _encode_new(self, pretokens: list[str]) -> None:
-        """Append the ids of pretokens that follow those in the cache."""
-        raw = [p.encode("utf-8", "surrogatepass") for p in pretokens]
+    def _encode_rows(self, raw: list[bytes]) -> list[np.ndarray]:
+        """The ids of byte strings, each a row of some matrix."""
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         data, start = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size
         width = np.where(size <= 16, size, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
         parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(raw)
-        for w in np.unique(width):
+        for w in np.unique(width[size > 0]):
             at = np.flatnonzero(width == w)
-            if w > MATRIX_WIDTH:
-                for k in at:
-                    parts[k] = self._merge_long(self.byte_ids[data[start[k] : start[k] + size[k]]])
-                continue
-            step = max(1, (1 << 18) // int(w))
+            step = max(1, MATRIX_CELLS // max(1, int(w)))
             for block in (at[i : i + step] for i in range(0, len(at), step)):
                 place = start[block][:, None] + np.arange(w)[None, :]
                 rows = self.byte_ids[data[np.minimum(place, len(data) - 1)]]
                 rows, length = self._merge_rows(rows, size[block])
                 for k, row, m in zip(block.tolist(), rows, length.tolist()):
                     parts[k] = row[:m]
+        return parts
+
+    def _bytes_of(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.tokens[i] for i in ids.tolist())
+
+    def _encode_long(self, raw: list[bytes]) -> list[np.ndarray]:
+        """The ids of byte strings that are cut into pieces, with every cut made to stand."""
+        pieces = [r[i : i + PIECE] for r in raw for i in range(0, len(r), PIECE)]
+        parts = self._encode_rows(pieces)
+        # the cut after each piece: 0 stands, -1 is the string's end, else how many ids to take from either side if it doesn't stand
+        cuts = [-1 if i + PIECE >= len(r) else 2 for r in raw for i in range(0, len(r), PIECE)]
+        while open_ := [i for i, k in enumerate(cuts) if k > 0]:
+            pairs = sorted({(int(parts[i][-1]), int(parts[i + 1][0])) for i in open_})
+            joined = self._encode_rows([self.tokens[a] + self.tokens[b] for a, b in pairs])
+            stands = {p for p, ids in zip(pairs, joined) if tuple(ids.tolist()) == p}
+            moved: dict[int, np.ndarray] = {}
+            for i in open_:
+                if (int(parts[i][-1]), int(parts[i + 1][0])) in stands:
+                    cuts[i] = 0
+                elif i - 1 not in moved:  # else its left piece changes in this round
+                    moved[i] = np.concatenate([parts[i][-cuts[i] :], parts[i + 1][: cuts[i]]])
+            fresh = dict(zip(moved, self._encode_rows([self._bytes_of(ids) for ids in moved.values()])))
+            new_parts, new_cuts, i = [], [], 0
+            while i < len(parts):
+                if i not in fresh:
+                    new_parts.append(parts[i])
+                    new_cuts.append(cuts[i])
+                    i += 1
+                    continue
+                k = cuts[i]
+                left, right, after = parts[i][:-k], parts[i + 1][k:], cuts[i + 1]
+                if len(left):
+                    new_parts.append(left)
+                    new_cuts.append(2 * k)
+                elif new_cuts and new_cuts[-1] >= 0:
+                    new_cuts[-1] = max(new_cuts[-1], 2 * k)
+                new_parts.append(fresh[i])
+                if len(right):
+                    new_cuts.append(2 * k)
+                    new_parts.append(right)
+                elif after >= 0:
+                    after = max(after, 2 * k)
+                new_cuts.append(after)
+                i += 2
+            parts, cuts = new_parts, new_cuts
+        out, begin = [], 0
+        for i, k in enumerate(cuts):
+            if k < 0:
+                out.append(np.concatenate(parts[begin : i + 1]))
+                begin = i + 1
+        return out
+
+    def _encode_new(self, pretokens: list[str]) -> None:
+        """Append the ids of pretokens that follow those in the cache."""
+        raw = [p.encode("utf-8", "surrogatepass") for p in pretokens]
+        long = [k for k, r in enumerate(raw) if len(r) > PIECE]
+        parts = self._encode_rows([r if len(r) <= PIECE else b"" for r in raw])
+        for k, ids in zip(long, self._encode_long([raw[k] for k in long])):
+            parts[k] = ids
         self.flat = np.concatenate([self.flat, *parts]).astype(np.int32)
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts)])
@@ -212,9 +243,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = Encoder(ranks.value, pattern)
         for batch in batches:
-            encoder = encoder or Encoder(ranks.value, pattern)
             for a, b, _, _ in bytetext.chunks(batch.column(1)):
                 part = batch.slice(a, b - a)
                 ids, offsets = encoder.encode(part.column(1).to_pylist())
@@ -223,7 +253,24 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     source = docs.select(id_col, text_col)
     schema = T.StructType([source.schema[id_col], T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
+
+
+class Decoder:
+    """Token ids to bytes, by one gather of the vocabulary's bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start, self.data = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+        """One value for each run ids[ends[k]:ends[k + 1]]."""
+        text = bytetext.spans_to_binary(self.data, self.start[ids], self.start[ids] + self.size[ids])
+        bounds = np.frombuffer(text.buffers()[1], np.int64)[ends]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds)), text.buffers()[2]])
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -232,35 +279,41 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "token_ids", keep
     source = encoded.select(*keep, F.col(ids_col).alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = [b""] * (max(ranks.value.values()) + 1)
-        for token, rank in ranks.value.items():
-            tokens[rank] = token
-        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        start, data = np.cumsum(size) - size, np.frombuffer(b"".join(tokens), np.uint8)
+        decoder = Decoder(ranks.value)
         for batch in batches:
             column = batch.column(len(keep)).fill_null([])
             rows = 0
             while rows < len(column):
                 part = column.slice(rows, 256)
                 ids, lengths = part.flatten().to_numpy(zero_copy_only=False), np.asarray(part.value_lengths())
-                text = bytetext.spans_to_binary(data, start[ids], start[ids] + size[ids])
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                bounds = np.frombuffer(text.buffers()[1], np.int64)[ends]
-                whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(np.ascontiguousarray(bounds)), text.buffers()[2]])
+                whole = decoder.decode(ids, np.concatenate([[0], np.cumsum(lengths)]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(rows, len(part)) for k in range(len(keep))), whole.cast(pa.binary())], [*keep, "decoded"])
                 rows += len(part)
 
     schema = T.StructType([*(source.schema[k] for k in keep), T.StructField("decoded", T.BinaryType())])
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def digest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """Per row of documents: n_tokens, SHA-256 of the decimal ids joined by a space, SHA-256 of the decoded bytes."""
-    encoded = encode(docs, vocabulary, pattern).select(
-        "doc_id",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        "token_ids",
-    )
-    decoded = decode(encoded, vocabulary, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Per row of documents: n_tokens, SHA-256 of the decimal ids joined by a space, SHA-256 of the decoded bytes.
+
+    Encoding and decoding are one map, so that the ids needn't leave the task.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
+    source = docs.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(ranks.value, pattern), Decoder(ranks.value)
+        written = np.array([b"%d" % k for k in range(len(decoder.size))], object)
+        for batch in batches:
+            for a, b, _, _ in bytetext.chunks(batch.column(1)):
+                part = batch.slice(a, b - a)
+                ids, ends = encoder.encode(part.column(1).to_pylist())
+                decimal = written[ids]
+                digests = [hashlib.sha256(b" ".join(decimal[i:j])).hexdigest() for i, j in zip(ends[:-1], ends[1:])]
+                texts = [hashlib.sha256(t.as_buffer()).hexdigest() for t in decoder.decode(ids, ends)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names)
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    schema = T.StructType([source.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return map_batches(source, run, schema)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _IDENTITY = np.arange(256, dtype=np.uint8)
 LOWER = _IDENTITY.copy()

@@ -7,7 +7,10 @@ which gives its places at each depth.  A window is the first `window` words of a
 test suffix; an item of fewer words is one window.  Wherever a window occurs, its words are hit.
 The other way round, each place of the array is searched in the sorted test suffixes, which gives the
 longest verbatim match at that place, so that each document has its own longest one (its first if
-several are as long), whichever documents share its shard.
+several are as long), whichever documents share its shard.  Test suffixes are sorted by doubling: the
+rank of 2^(k+1) words comes from two ranks of 2^k words.  The ranks are kept by level, so that the
+common prefix of two suffixes takes a look at each level, and no cost grows with an item's length but
+by its logarithm.
 
 The suffix array is sparse: it holds the training suffixes whose first g words (g = 3, less if some
 item is shorter) start some test suffix too.  All others can't reach a match of g words, so no
@@ -15,7 +18,8 @@ window is lost.  A longest match is reported if it has 3 words or is a whole ite
 
 The test items are broadcast in blocks of at most `BLOCK_BYTES` of text (and at least one item); for
 each block one more map over the documents adds to what earlier blocks found, so no step shuffles
-and a document needs no row of another one.
+and a document needs no row of another one.  After each `GROUP_BLOCKS` blocks the state is written to
+the shared folder, so that a task holds that many blocks at most.
 
 Defined results: a null or empty text, or one without words, has no words and no hits.  Null and
 wordless items are ignored; items with one id count as one; an item without an id marks words but
@@ -28,14 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import bytetext
+from tidemark.llm.scratch import map_batches, stored
 
-SHARD_BYTES = 2 << 20
-BLOCK_BYTES = 8 << 20
+SHARD_BYTES = 1 << 19
+BLOCK_BYTES = 2 << 20
+GROUP_BLOCKS = 4
 _GATE_BITS = 22
 
 _STATE = T.StructType(
@@ -68,7 +75,44 @@ class TestSuffixes:
         self.grams = np.unique(grams[self.length[: len(grams)] >= self.gram])
         self.gate = np.zeros(1 << _GATE_BITS, bool)
         self.gate[self.grams >> np.uint64(64 - _GATE_BITS)] = True
-        self.order = suffix_array(self.word, self.length, np.arange(len(self.word)), self.depth)
+        self._double()
+
+    def _double(self) -> None:
+        """`order`, the suffixes sorted; `ranks[k]`, the rank of each suffix's first 2^k words; `keys[k]`, what those ranks stand for."""
+        self.keys, rank = np.unique(self.word, return_inverse=True)
+        self.keys, self.ranks = [self.keys], [(rank.reshape(-1) + 1).astype(np.int32)]
+        step = 1
+        while step < self.depth:
+            pair = np.zeros(len(self.word), np.int64)  # 0 where the item ends
+            on = np.flatnonzero(self.length > step)
+            pair[on] = self.ranks[-1][on + step]
+            key, rank = np.unique(self.ranks[-1].astype(np.int64) << 32 | pair, return_inverse=True)
+            self.keys.append(key)
+            self.ranks.append((rank.reshape(-1) + 1).astype(np.int32))
+            step *= 2
+        self.order = np.argsort(self.ranks[-1], kind="stable")
+
+    def classes(self, word: np.ndarray, left: np.ndarray, near: np.ndarray) -> list[np.ndarray]:
+        """By level k, the rank among the test suffixes of the 2^k words from each place on; 0 if they stand in no item. `near` are the places to look at."""
+        out: list[np.ndarray] = []
+
+        def look(keys: np.ndarray, places: np.ndarray, values: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+            found = np.zeros(len(word), np.int32)
+            hit = keys[at] == values
+            found[places[hit]] = at[hit] + 1
+            out.append(found)
+            return places[hit]
+
+        places = look(self.keys[0], near, word[near])
+        for k in range(1, len(self.keys)):
+            half = 1 << (k - 1)
+            places = places[left[places] >= 2 * half]
+            places = places[out[-1][places + half] > 0]
+            if not len(places):
+                break
+            places = look(self.keys[k], places, out[-1][places].astype(np.int64) << 32 | out[-1][places + half])
+        return out
 
 
 def suffix_array(word: np.ndarray, left: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
@@ -137,16 +181,38 @@ def search(tests: TestSuffixes, word: np.ndarray, left: np.ndarray, order: np.nd
 
 def longest_matches(tests: TestSuffixes, word: np.ndarray, left: np.ndarray, places: np.ndarray) -> np.ndarray:
     """For each of `places`: how many words from there on stand in some test item, too."""
+    if not len(places) or not len(tests.order):
+        return np.zeros(len(places), np.int64)
+    near = np.zeros(len(word), bool)
+    for k in range(tests.gram):
+        near[places + k] = True
+    classes = tests.classes(word, left, np.flatnonzero(near))
+
+    def common(place: np.ndarray, test: np.ndarray) -> np.ndarray:
+        """Common prefixes of training and test suffixes, a power of two at a time."""
+        size = np.zeros(len(place), np.int64)
+        for k in range(len(classes) - 1, -1, -1):
+            own, other = place + size, test + size
+            whole = np.flatnonzero((left[place] - size >= 1 << k) & (tests.length[test] - size >= 1 << k))
+            same = classes[k][own[whole]]
+            size[whole[(same > 0) & (same == tests.ranks[k][other[whole]])]] += 1 << k
+        return size
+
     low, high = np.zeros(len(places), np.int64), np.full(len(places), len(tests.order), np.int64)
     longest = np.zeros(len(places), np.int64)
-    live = np.arange(len(places)) if len(tests.order) else np.zeros(0, np.int64)
-    d = 0
-    while len(live):
-        low[live], high[live] = _narrow(tests.word, tests.length, tests.order, low[live], high[live], word[places[live] + d], d)
-        live = live[low[live] < high[live]]
-        d += 1
-        longest[live] = d
-        live = live[left[places[live]] > d]
+    open_ = np.arange(len(places))
+    while len(open_):  # to the first test suffix that isn't less; the longest match is one that was compared on the way
+        mid = (low[open_] + high[open_]) >> 1
+        place, test = places[open_], tests.order[mid]
+        size = common(place, test)
+        longest[open_] = np.maximum(longest[open_], size)
+        ended, over = left[place] == size, tests.length[test] == size
+        inside = ~ended & ~over
+        less = over & ~ended
+        less[inside] = tests.word[(test + size)[inside]] < word[(place + size)[inside]]
+        low[open_[less]] = mid[less] + 1
+        high[open_[~less]] = mid[~less]
+        open_ = open_[low[open_] < high[open_]]
     return longest
 
 
@@ -260,7 +326,7 @@ def _add_block(docs: DataFrame, keep: tuple[str, ...], tests, window: int, first
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n_keep + 1)), state], [*keep, "__text", "__hits"])
 
     schema = T.StructType([*docs.schema.fields[: n_keep + 1], T.StructField("__hits", _STATE)])
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[str | None], list[str | None]]]:
@@ -290,8 +356,15 @@ def annotate(
     """The columns `keep` of every document and `hits`: n_words, hit word spans, ids of occurring items, longest match."""
     spark = docs.sparkSession
     out = docs.select(*keep, F.col(text_col).alias("__text"))
+    held: list[Broadcast] = []
     for k, block in enumerate(_blocks(benchmark, item_id_col, item_text_col)):
-        out = _add_block(out, keep, spark.sparkContext.broadcast(block), window, first=k == 0)
+        if len(held) == GROUP_BLOCKS:
+            out = stored(out, "annotated")
+            for tests in held:
+                tests.unpersist()
+            held = []
+        held.append(spark.sparkContext.broadcast(block))
+        out = _add_block(out, keep, held[-1], window, first=k == 0)
     return out.select(*keep, F.col("__hits").alias("hits"))
 
 

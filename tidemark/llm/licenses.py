@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import bytetext
+from tidemark.llm.scratch import map_batches
 
 #: Phrases of the base scan and their labels.
 PHRASES = {
@@ -110,7 +111,7 @@ def template_word_counts(docs: DataFrame, vocabulary: _Vocabulary, text_col: str
                 total += np.bincount(_block_words(words, *vocabulary.find(words.hashes()), spanning)[:, 1], minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["word", "n"])
 
-    counts = docs.select(text_col).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = map_batches(docs.select(text_col), run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
     out = np.zeros(len(vocabulary.known), np.int64)
     for row in counts.collect():  # at most one row a vocabulary word
         out[row.word] = row.n
@@ -216,7 +217,7 @@ def scan(
     schema = T.StructType(
         [source.schema[id_col], *(T.StructField(*f) for f in (("n_words", T.LongType()), ("starts", longs), ("base_labels", strings), ("labels", strings), ("score", T.DoubleType())))]
     )
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def report(docs: DataFrame, spanning: bool = False) -> DataFrame:

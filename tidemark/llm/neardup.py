@@ -1,22 +1,25 @@
 """Near-duplicate groups by a MinHash LSH forest, with links confirmed on full shingle sets (operator 2).
 
-1. Each text's distinct word shingles give a set key (exact copies share it) and `trees * depth`
-   minimum hashes.  Copies collapse to the least id before anything else is shuffled.
-2. Forest: for each tree the representatives are sorted by that tree's hashes, by range partition
-   over the whole order (a hot prefix spreads over partitions).  Neighbours in an order whose longest
-   common prefix is `depth` are candidates; as all texts with one prefix are neighbours of
-   neighbours, two texts that agree on some tree's prefix land in one candidate cluster.  A pair at
-   the threshold is missed with a chance of `miss` at most.
-3. A cluster of at most `LOCAL_SHINGLES` shingles is settled in one task, exactly: texts are compared
-   by full sets, breadth first, and only with texts that no component holds yet.
-4. Regions that stay larger at this depth are searched deeper: every text is compared with its
-   cluster's pivot (the text with most copies), and a text that doesn't link to the pivot is joined
-   on set tokens: with the pivot's tokens last in the global order, a pair can only reach the
-   threshold if it shares a token within the prefixes that their sizes allow.  Tokens are keyed by
-   size class, so that frequent tokens of the pivot don't bring all pairs of a cluster together.
-   What shares one is compared by full sets.  This is exact for all pairs but those linked to one
-   pivot already, whose component is known.
-5. Components of the links; copies follow their representative.
+1. Each text's distinct word shingles give a set key (exact copies share it) and `trees` signatures of
+   `CEILING` minimum hashes.  Copies collapse to the least id before anything else is shuffled.
+2. Forest: for each tree the representatives are sorted by that tree's signature, by range partition
+   over the whole order (a hot prefix spreads over partitions).  The longest common prefix of each
+   two neighbours is measured.  A text's candidate edge leads to the first text of the run that
+   shares this prefix, with the prefix's length; so all texts that agree on the first d hashes of a
+   tree are connected by edges of length d or more.  At `FLOOR` hashes a pair at the threshold
+   agrees in no tree with a chance of `miss` at most.
+3. Depth by region: regions are connected by edges of `FLOOR` or more.  A region of more than
+   `local_shingles` shingles is split by the edges of one hash more, and its parts again, down to
+   `CEILING`.  A region that is small enough is settled in one task, exactly: texts are compared by full
+   sets, breadth first, and only with texts that no component holds yet.
+4. In regions that stay too large at `CEILING` a text is compared with the heads of its runs, at most two,
+   which joins up a family of near copies with as many comparisons as it has texts.
+5. Climbing back: what the descent kept apart is found by a join over each region that was split.
+   With tokens in one order from rare to frequent, two linked sets share a token within the prefixes
+   that their sizes allow, at places that leave room for enough common ones.  Only texts of different
+   components are paired.  One pair for each two components is compared first, as most of
+   those that belong together join up by it; the remaining pairs then make the result exact.
+6. Components of the links; copies follow their representative.
 
 Defined results: texts without words have an empty set and link with nothing; texts shorter than a
 shingle have one shingle, the whole.  A row without an id is left alone: component null, kept true.
@@ -37,14 +40,16 @@ from pyspark.sql import types as T
 
 from tidemark.llm import bytetext
 from tidemark.llm.graph import connected_components
-from tidemark.llm.scratch import stored
+from tidemark.llm.scratch import map_batches, stored
 
-DEPTH = 5
-LOCAL_SHINGLES = 1 << 20
-SIZE_CLASS = 1.02
+FLOOR = 5
+CEILING = 8
+LOCAL_SHINGLES = 1 << 18
+#: Token frequencies are counted in so many buckets, which bounds what is broadcast; a shared bucket costs time only.
+FREQUENCY_BITS = 16
 
 
-def trees_for(percent: int, miss: float, depth: int = DEPTH) -> int:
+def trees_for(percent: int, miss: float, depth: int = FLOOR) -> int:
     """How many trees miss a pair at the threshold with a chance of `miss` at most."""
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** depth))
 
@@ -56,7 +61,7 @@ def linked(size: int, other: int, common: int, percent: int) -> bool:
 # ---- 1: sets and signatures
 
 
-def signatures(docs: DataFrame, shingle: int, trees: int, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, shingle: int, trees: int, depth: int = CEILING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, hi, lo, sig): set size, 128-bit set key, and the hashes of all trees, 4 bytes big-endian each."""
     n_hash = trees * depth
     draw = np.random.default_rng(29)
@@ -65,7 +70,7 @@ def signatures(docs: DataFrame, shingle: int, trees: int, depth: int = DEPTH, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in bytetext.chunks(batch.column(1), bytetext.CHUNK_BYTES // 2):
+            for a, b, data, offsets in bytetext.chunks(batch.column(1)):
                 sets = bytetext.shingle_sets(bytetext.Words(data, offsets, bytetext.SPACED, lower=True), shingle)
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
                 full = np.flatnonzero(size > 0)
@@ -90,20 +95,29 @@ def signatures(docs: DataFrame, shingle: int, trees: int, depth: int = DEPTH, id
                 )
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return source.mapInArrow(run, "id long, n_shingles int, hi long, lo long, sig binary")
+    return map_batches(source, run, "id long, n_shingles int, hi long, lo long, sig binary")
 
 
 # ---- 2: the forest
 
 
-def forest_edges(reps: DataFrame, trees: int, depth: int = DEPTH) -> DataFrame:
-    """(a, b): neighbours in some tree's order whose longest common prefix is the whole depth."""
+def _common_prefix(key: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many leading hashes the rows of two matrices share."""
+    return np.cumprod(key == other, axis=1).sum(1)
+
+
+def forest_edges(reps: DataFrame, trees: int, depth: int = CEILING, floor: int = FLOOR) -> DataFrame:
+    """(a, b, common): each text b of some tree's order with the head a of its run, the texts that share `common` hashes.
+
+    `common` is the longest prefix that b shares with the text before it, if that is at least `floor`.
+    """
     width = 4 * depth
+    ends = (pa.int64(), pa.int32(), pa.binary())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
                 sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
                 for t in range(trees):
                     key = np.ascontiguousarray(sig[:, t * width : (t + 1) * width])
@@ -111,40 +125,51 @@ def forest_edges(reps: DataFrame, trees: int, depth: int = DEPTH) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), fixed.cast(pa.binary()), part.column(0)], ["tree", "key", "id"])
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = first = None
         place = TaskContext.get().partitionId()
+        first = last = None  # (tree, key, id) of the partition's ends
+        heads = np.zeros(depth + 1, np.int64)  # by prefix length: the head of the run that the last text is in
 
-        def rows(a, b, mark=None):
-            mark = mark or [None, None, None]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array([m] * len(a), t) for m, t in zip(mark, (pa.int64(), pa.int32(), pa.binary())))], ["a", "b", "place", "tree", "key"])
+        def rows(a, b, common, mark=(None, None, None)):
+            arrays = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(common, pa.int32()), *(pa.array([m] * len(a), t) for m, t in zip(mark, ends))]
+            return pa.RecordBatch.from_arrays(arrays, ["a", "b", "common", "place", "tree", "key"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             tree, id_ = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            key = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(tree), width)
-            end = (int(tree[-1]), key[-1].tobytes(), int(id_[-1]))
+            key = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(tree), depth)
+            common = np.zeros(len(tree), np.int32)
+            common[1:] = np.where(tree[1:] == tree[:-1], _common_prefix(key[1:], key[:-1]), 0)
             if first is None:
                 first = (int(tree[0]), key[0].tobytes(), int(id_[0]))
-            elif last[:2] == (int(tree[0]), key[0].tobytes()):
-                yield rows([last[2]], [int(id_[0])])
-            same = (tree[1:] == tree[:-1]) & (key[1:] == key[:-1]).all(1)
-            yield rows(id_[:-1][same], id_[1:][same])
-            last = end
+            elif last[0] == tree[0]:
+                common[0] = _common_prefix(key[:1], np.frombuffer(last[1], np.uint32)[None, :])[0]
+            head_of = np.zeros((depth + 1, len(tree)), np.int64)
+            for d in range(floor, depth + 1):
+                at = np.maximum.accumulate(np.where(common < d, np.arange(len(tree)), -1))
+                head_of[d] = np.where(at < 0, heads[d], id_[at])
+            heads = head_of[:, -1].copy()
+            own = np.flatnonzero(common >= floor)
+            yield rows(head_of[common[own], own], id_[own], common[own])
+            last = (int(tree[-1]), key[-1].tobytes(), int(id_[-1]))
         if first is not None:  # the partition's ends, to be joined to the next partition's
-            yield rows([first[2]], [None], [2 * place, *first[:2]])
-            yield rows([last[2]], [None], [2 * place + 1, *last[:2]])
+            yield rows([first[2]], [None], [None], (2 * place, *first[:2]))
+            yield rows([last[2]], [None], [None], (2 * place + 1, *last[:2]))
 
-    rows = reps.select("id", "sig").mapInArrow(spread, "tree int, key binary, id long")
-    ordered = rows.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    found = stored(ordered.mapInArrow(neighbours, "a long, b long, place long, tree int, key binary"), "neighbours")
-    ends = sorted(found.where("place is not null").collect(), key=lambda r: r.place)  # two rows a partition
-    across = [(x.a, y.a) for x, y in zip(ends, ends[1:]) if (x.tree, x.key) == (y.tree, y.key) and x.a != y.a]
-    edges = found.where("place is null").select("a", "b")
-    return edges.unionByName(reps.sparkSession.createDataFrame(across, "a long, b long")) if across else edges
+    keyed = map_batches(reps.select("id", "sig"), spread, "tree int, key binary, id long")
+    ordered = keyed.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    found = stored(map_batches(ordered, neighbours, "a long, b long, common int, place long, tree int, key binary"), "neighbours")
+    marks = sorted(found.where("place is not null").collect(), key=lambda r: r.place)  # two rows a partition
+    across = []
+    for x, y in zip(marks, marks[1:]):
+        if x.tree == y.tree and x.a != y.a:
+            common = int(_common_prefix(*(np.frombuffer(bytes(r.key), np.uint32)[None, :] for r in (x, y)))[0])
+            across += [(x.a, y.a, common)] * (common >= floor)
+    edges = found.where("place is null").select("a", "b", "common")
+    return edges.unionByName(reps.sparkSession.createDataFrame(across, "a long, b long, common int")) if across else edges
 
 
-# ---- 3: clusters settled in one task
+# ---- 3: regions settled in one task
 
 
 def settle(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -215,14 +240,10 @@ def _local_components(active: DataFrame, shingle: int, percent: int) -> DataFram
                 out_id, out = [], []
         yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out, pa.int64())], ["id", "component"])
 
-    return active.select("cluster", "id", "text").repartition("cluster").sortWithinPartitions("cluster", "id").mapInArrow(run, "id long, component long")
-
+    return map_batches(active.select("cluster", "id", "text").repartition("cluster").sortWithinPartitions("cluster", "id"), run, "id long, component long")
 
-# ---- 4: larger clusters
 
-
-def _size_class(n: int) -> int:
-    return int(math.log(n) / math.log(SIZE_CLASS))
+# ---- 4 and 5: regions that were split
 
 
 def _needed(size: int, other: int, percent: int) -> int:
@@ -230,61 +251,108 @@ def _needed(size: int, other: int, percent: int) -> int:
     return -(-percent * (size + other) // (100 + percent))
 
 
-def _wide_links(active: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b): links that, with those to a cluster's pivot, connect what is linked; rows as (cluster, id, text, pivot)."""
-    pivots = active.where("id = pivot").select("cluster", F.col("text").alias("pivot_text")).dropDuplicates(["cluster"])
-    rows = active.select("cluster", "id", "pivot", "text").join(pivots, "cluster")
+def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose texts' full sets are linked; texts come as (id, text)."""
+    sides = [texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for batch in batches:
-            for a, b, data, offsets in bytetext.chunks(batch.column(3)):
-                found = bytetext.shingle_sets(bytetext.Words(data, offsets, bytetext.SPACED, lower=True), shingle)
-                part = batch.slice(a, b - a)
-                out: list[tuple] = []
-                for cluster, id_, pivot, p_text, own in zip(*(part.column(k).to_pylist() for k in (0, 1, 2, 4)), found):
-                    if known[0] != p_text:
-                        known = (p_text, bytetext.shingle_sets(bytetext.Words(*bytetext.string_buffers(pa.array([p_text])), bytetext.SPACED, lower=True), shingle)[0])
-                    in_pivot = np.isin(own, known[1], assume_unique=True)
-                    size, common = len(own), int(in_pivot.sum())
-                    hit = linked(size, len(known[1]), common, percent)
-                    if hit:
-                        out.append((cluster, id_, pivot, None, None, size, None, True))
-                    ordered = np.concatenate([own[~in_pivot], own[in_pivot]]).view(np.int64)
-                    most = size - _needed(size, -(-percent * size // 100), percent) + 1
-                    for place, token in enumerate(ordered[:most].tolist()):
-                        out.append((cluster, id_, None, token, _size_class(size), size, place, hit))
-                    if not hit:  # what it looks for: one row a token and class of partners' sizes
-                        for c in range(_size_class(max(1, -(-percent * size // 100))), _size_class(100 * size // percent) + 1):
-                            other = max(1, math.floor(SIZE_CLASS**c))
-                            for place, token in enumerate(ordered[: max(0, size - _needed(size, other, percent) + 1)].tolist()):
-                                out.append((cluster, id_, None, token, c, size, place, None))
-                    if len(out) > 50_000:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], arrow)
-                        out = []
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], arrow)
-
-    names = ["cluster", "id", "pivot", "token", "class", "size", "place", "hit"]
-    arrow = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))))
-    made = stored(rows.mapInArrow(run, "cluster long, id long, pivot long, token long, class int, size int, place int, hit boolean"), "tokens")
-    have = made.where("token is not null and hit is not null").select("cluster", "token", "class", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), "hit")
-    want = made.where("token is not null and hit is null").select("cluster", "token", "class", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"))
-    needed = F.ceil(F.lit(percent) * (F.col("size_a") + F.col("size_b")) / F.lit(100 + percent))
-    fits = (F.col("place_a") <= F.col("size_a") - needed) & (F.col("place_b") <= F.col("size_b") - needed)
-    pairs = want.join(have, ["cluster", "token", "class"]).where(fits & (F.col("a") != F.col("b")) & (F.col("hit") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
-    text = active.select("id", "text").dropDuplicates(["id"])
-    both = pairs.join(text.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
             keep = []
-            for k in range(batch.num_rows):
-                x, y = (bytetext.shingle_sets(bytetext.Words(*bytetext.string_buffers(batch.column(c).slice(k, 1)), bytetext.SPACED, lower=True), shingle)[0] for c in (2, 3))
+            for k, a in enumerate(batch.column(0).to_pylist()):
+                x, y = (last[1] if c == 2 and a == last[0] else bytetext.shingle_sets(bytetext.Words(*bytetext.string_buffers(batch.column(c).slice(k, 1)), bytetext.SPACED, lower=True), shingle)[0] for c in (2, 3))
+                last = (a, x)
                 keep.append(linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
-    return made.where("pivot is not null").select(F.col("id").alias("a"), F.col("pivot").alias("b")).unionByName(links)
+    both = pairs.join(sides[1], "b").join(sides[0], "a")
+    return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long")
+
+
+def _frequencies(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many tokens of all texts fall into each of 2^FREQUENCY_BITS buckets."""
+    size = 1 << FREQUENCY_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(size, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in bytetext.chunks(batch.column(0)):
+                sets = bytetext.shingle_sets(bytetext.Words(data, offsets, bytetext.SPACED, lower=True), shingle)
+                token = np.concatenate([np.zeros(0, np.uint64), *sets])
+                count += np.bincount((token >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=size)
+        used = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(count[used])], ["bucket", "n"])
+
+    out = np.zeros(size, np.int64)
+    for row in map_batches(texts.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[row.bucket] = row.n
+    return out
+
+
+def _prefixes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(region, id, token, size, place): each text's first tokens, from rare to frequent, that a linked one must share; rows as (region, id, text)."""
+    frequency = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in bytetext.chunks(batch.column(2)):
+                tokens, sizes, counts = [np.zeros(0, np.uint64)], [], []
+                for own in bytetext.shingle_sets(bytetext.Words(data, offsets, bytetext.SPACED, lower=True), shingle):
+                    size = len(own)
+                    most = size - _needed(size, -(-percent * size // 100), percent) + 1 if size else 0
+                    rare = frequency.value[(own >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)]
+                    tokens.append(own[np.lexsort((own, rare))[:most]])
+                    sizes.append(size)
+                    counts.append(most)
+                row = np.repeat(np.arange(b - a), counts)
+                part = batch.slice(a, b - a)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                arrays = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.array(sizes, np.int32)[row]), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, ["region", "id", "token", "size", "place"])
+
+    return map_batches(texts.select("region", "id", "text"), run, "region long, id long, token long, size int, place int")
+
+
+def _across(tokens: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components that may be linked: one for each two components, and all; rows as of _prefixes and `component`."""
+    key = ["region", "token"]
+    side = lambda df, c: df.select(*key, *(F.col(k).alias(f"{k}_{c}") for k in ("id", "component", "size", "place")))
+    needed = F.ceil(F.lit(percent) * (F.col("size_a") + F.col("size_b")) / F.lit(100 + percent))
+    room = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= needed
+    fits = room & (F.lit(100) * F.least("size_a", "size_b") >= F.lit(percent) * F.greatest("size_a", "size_b"))
+    # a token's rows by component; tokens that stay within one component pair nothing
+    groups = tokens.groupBy(*key, "component").agg(F.count("*").alias("n"), F.min(F.struct("place", "id", "size")).alias("m"))
+    shared = groups.groupBy(*key).agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")).where("components > 1")
+    shared = stored(shared.select(*key, F.col("most.component").alias("largest")), "shared")
+    one = groups.join(shared, key).select(*key, "component", "m.id", "m.size", "m.place")
+    samples = side(one, "a").join(side(one, "b"), key).where((F.col("component_a") < F.col("component_b")) & fits)
+    samples = samples.groupBy("component_a", "component_b").agg(F.min(F.struct(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).alias("p")).select("p.a", "p.b")
+    # of each token's components all but the largest are matched with all, so that a family isn't paired with itself
+    rows = tokens.join(shared, key)
+    few = side(rows.where("component != largest"), "a")
+    pairs = few.join(side(rows, "b"), key).where((F.col("component_a") != F.col("component_b")) & fits)
+    pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    return samples, pairs
+
+
+def _settle_split(split: DataFrame, labels: DataFrame, heads: DataFrame, source: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(id, component) of the texts in split regions.
+
+    split: (id, region at the floor); labels: (id, component) out of parts that were settled; heads: (a, b), texts of
+    parts that stayed too large with heads of their runs; source: (id, text).
+    """
+    texts = stored(source.join(split, "id").dropDuplicates(["id"]).select("region", "id", "text"), "split")
+    links = stored(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(_confirmed(heads, texts, shingle, percent)), "links")
+    tokens = stored(_prefixes(texts, shingle, percent), "tokens")
+
+    def labelled() -> DataFrame:
+        found = connected_components(links)
+        return split.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+    for step in (0, 1):
+        pairs = _across(tokens.join(labelled(), "id"), percent)[step]
+        links = stored(links.unionByName(_confirmed(pairs, texts, shingle, percent)), "links")
+    return labelled()
 
 
 # ---- all together
@@ -293,22 +361,34 @@ def _wide_links(active: DataFrame, shingle: int, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", local_shingles: int = LOCAL_SHINGLES) -> DataFrame:
     """(id, n_shingles, component_id) of every row with an id; linked if 100 * common >= percent * union."""
     trees = trees_for(percent, miss)
-    table = stored(signatures(docs, shingle, trees, DEPTH, id_col, text_col), "signatures")
-    best = table.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min(F.struct("id", "n_shingles", "sig")).alias("m"), F.count("*").alias("copies"))
-    reps = stored(best.select("hi", "lo", "m.id", "m.n_shingles", "m.sig", "copies"), "representatives")
-    clusters = connected_components(forest_edges(reps, trees))
-    members = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
-    members = members.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(reps.select("id", "n_shingles", "copies"), "id")
-    totals = members.groupBy("cluster").agg(F.sum("n_shingles").alias("total"), F.max(F.struct("copies", (-F.col("id")).alias("less"))).alias("p"))
-    members = members.join(totals.select("cluster", "total", (-F.col("p.less")).alias("pivot")), "cluster").select("id", "cluster", "total", "pivot")
+    table = stored(signatures(docs, shingle, trees, CEILING, id_col, text_col), "signatures")
+    best = table.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min(F.struct("id", "n_shingles", "sig")).alias("m"))
+    reps = stored(best.select("hi", "lo", "m.id", "m.n_shingles", "m.sig"), "representatives")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    members = stored(members, "members")
-    labels = _local_components(source.join(members.where(F.col("total") <= local_shingles), "id"), shingle, percent)
-    wide = members.where(F.col("total") > local_shingles)
-    if not wide.isEmpty():
-        active = stored(source.join(wide, "id"), "wide")
-        found = connected_components(_wide_links(active, shingle, percent))
-        labels = labels.unionByName(found.select(F.col("node").alias("id"), "component"))
+    edges = stored(forest_edges(reps, trees), "edges")
+    labels, split, large = None, None, None
+    for depth in range(FLOOR, CEILING + 1):
+        found = connected_components(edges.where(F.col("common") >= depth))
+        members = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+        members = members.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(reps.select("id", "n_shingles"), "id")
+        totals = members.groupBy("cluster").agg(F.sum("n_shingles").alias("total"))
+        members = stored(members.join(totals, "cluster").select("id", "cluster", (F.col("total") > local_shingles).alias("large")), "members")
+        settled = _local_components(source.join(members.where("not large"), "id"), shingle, percent)
+        labels = settled if labels is None else labels.unionByName(settled)
+        large = members.where("large").select("id", "cluster")
+        if large.isEmpty():
+            break
+        if split is None:
+            split = large.withColumnRenamed("cluster", "region")
+        inside = large.select("id")  # both ends of an edge are in one region
+        edges = stored(edges.join(inside.withColumnRenamed("id", "a"), "a", "left_semi"), "edges")
+    if split is not None:
+        labels = stored(labels, "labels")
+        # edges are those of parts that are too large at the ceiling; each text keeps two of its heads
+        heads = edges.where(F.lit(not large.isEmpty()) & (F.col("common") >= CEILING)).groupBy("b").agg(F.min("a").alias("least"), F.max("a").alias("most"))
+        heads = heads.select(F.explode(F.array_distinct(F.array("least", "most"))).alias("a"), "b")
+        deep = _settle_split(split, labels.join(split, "id", "left_semi"), heads, source, shingle, percent)
+        labels = labels.join(split, "id", "left_anti").unionByName(deep)
     # one row a set: its component; then every row of the table by its set
     sets = reps.select("hi", "lo", "id").join(labels, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component"))
     return table.select("id", "n_shingles", "hi", "lo").join(sets, ["hi", "lo"], "left").select(

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import bytetext
+from tidemark.llm.scratch import map_batches
 
 MEASURES = ("n_words", "word_chars", "n_upper", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 REPEAT_WINDOW = 5
@@ -128,7 +129,7 @@ def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str =
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n_keep)), found], [*keep, "ledger"])
 
     measures = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
-    measured = source.mapInArrow(run, T.StructType([*source.schema.fields[:n_keep], T.StructField("ledger", measures)]))
+    measured = map_batches(source, run, T.StructType([*source.schema.fields[:n_keep], T.StructField("ledger", measures)]))
     return measured.withColumn("ledger", F.col("ledger").withField("failed", _bits()))
 
 

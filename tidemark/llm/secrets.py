@@ -129,20 +129,43 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _pieces(text: Column, spans: Column, mark: str) -> Column:
+    """What is left of the text before each of the sorted spans, each followed by `mark`, then what is left after the last.
+
+    A span that begins inside an earlier one goes with it.  The text is cut at every BLOCK spans first, and then
+    within the blocks, so that no span takes a walk over the whole text.
+    """
+    place = "array<struct<done:int,start:int,end:int>>"
+    # `done`: code points of the text that earlier spans of the block deal with
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(place).alias("out"))
+    one = lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("done"), s["start"].alias("start"), s["end"].alias("end")))).alias("out")
+    )
+    blocks = F.transform(_let(spans, _blocks), lambda block: F.aggregate(block, none, one))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<at:int,end:int,out:{place}>>").alias("out"))
+    add = lambda acc, block: F.struct(
+        F.greatest(acc["at"], block["at"]).alias("at"),
+        F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), F.greatest(acc["at"], block["at"]).alias("end"), block["out"].alias("out")))).alias("out"),
+    )
+
+    def written(block: Column, part: Column) -> Column:
+        """A block's pieces out of `part`, the text from the block's `at` to its `end`."""
+        piece = lambda done, s: F.when(s["start"] < done, F.lit("")).otherwise(F.concat(F.substring(part, done - block["at"] + 1, s["start"] - done), F.lit(mark)))
+        return F.array_join(F.transform(block["out"], lambda s: piece(F.greatest(s["done"], block["at"]), s)), "")
+
+    cut = lambda block: F.transform(F.array(F.substring(text, block["at"] + 1, block["end"] - block["at"])), lambda part: written(block, part))[0]
+    tail = lambda acc: F.concat(F.transform(acc["out"], cut), F.array(F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.aggregate(blocks, first, add, tail)
+
+
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """docs with every span of `find_secrets` replaced by `mark` (overlapping spans by one); other columns stay as they are."""
     out = "__secrets"
     while out in docs.columns:
         out += "_"
     text, spans = F.col(text_col), _sorted(F.concat(F.col(f"{out}.base"), F.col(f"{out}.linked")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-    # `at`: code points of the text that are dealt with
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["end"]).alias("at"),
-        F.when(s["start"] < acc["at"], acc["done"]).otherwise(F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("done"),
-    )
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
     found = find_secrets(docs, text_col, out, scope)
+    clean = F.array_join(_pieces(text, spans, mark), "")
     return found.withColumn(text_col, F.when((F.size(f"{out}.base") > 0) | (F.size(f"{out}.linked") > 0), clean).otherwise(text)).drop(out)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytetext
-from tidemark.llm.scratch import stored
+from tidemark.llm.scratch import map_batches, stored
 
 MINIMISER = 8
 BUCKET_WORDS = 1 << 20
@@ -99,7 +99,7 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
                 [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(id_), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(lost)], _KMER_NAMES
             )
 
-    return docs.mapInArrow(run, _KMER)
+    return map_batches(docs, run, _KMER)
 
 
 def _meet(kmers: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def _meet(kmers: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(lost | (id_ > least))], _KMER_NAMES)
 
     # lost rows have keys of their own, so that they stay as they are
-    return kmers.repartition("minimiser", "content").sortWithinPartitions("minimiser", "content", "id").mapInArrow(run, _KMER)
+    return map_batches(kmers.repartition("minimiser", "content").sortWithinPartitions("minimiser", "content", "id"), run, _KMER)
 
 
 def _packed(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def _packed(docs: DataFrame, needed: DataFrame) -> DataFrame:
                     ["minimiser", "salt", "id", "start", "packed"],
                 )
 
-    return source.select("id", "text", "need").mapInArrow(run, "minimiser long, salt int, id long, start int, packed binary")
+    return map_batches(source.select("id", "text", "need"), run, "minimiser long, salt int, id long, start int, packed binary")
 
 
 def _windows(ids: np.ndarray, starts: np.ndarray, packed: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,7 +205,7 @@ def _sort_buckets(packed: DataFrame, window: int) -> DataFrame:
             yield from judged(rows)
 
     ordered = packed.repartition("minimiser", "salt").sortWithinPartitions(F.col("salt") >= 0, "minimiser", "salt")
-    return ordered.mapInArrow(run, "id long, start int, words int, h1 long, h2 long, lost boolean")
+    return map_batches(ordered, run, "id long, start int, words int, h1 long, h2 long, lost boolean")
 
 
 def covered_ranges(docs: DataFrame, window: int, bucket_words: int = BUCKET_WORDS) -> DataFrame:
@@ -260,7 +260,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
                 out = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(np.ascontiguousarray(bounds[kept_first])), pa.py_buffer(text))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), out.cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
 
-    out = joined.mapInArrow(run, "id long, n_words long, n_removed long, kept string")
+    out = map_batches(joined, run, "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)
 
 

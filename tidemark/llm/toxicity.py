@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import bytetext
+from tidemark.llm.scratch import map_batches
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
@@ -282,7 +283,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
                 found = spread.value.scores(Inputs(data, offsets)) if spread.value else np.zeros(b - a)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.float64())], [id_col, "score"])
 
-    return source.mapInArrow(run, T.StructType([source.schema[id_col], T.StructField("score", T.DoubleType())]))
+    return map_batches(source, run, T.StructType([source.schema[id_col], T.StructField("score", T.DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame, settings: Training = Training(), threshold: float = 0.3) -> DataFrame:
