@@ -31,10 +31,35 @@ def valid_interval(points: DataFrame, feed: DataFrame, tie: str | None = None) -
 
 
 def members_as_of(points: DataFrame, events: DataFrame) -> DataFrame:
-    """(point_id, ticker) of tickers whose last known action by (effective_date, known_at) is ADD."""
-    seen = points.join(events, (F.col("known_at") <= F.col("asof")) & (F.col("effective_date") <= F.col("session")))
-    last = seen.groupBy("point_id", "ticker").agg(F.max_by("action", F.struct("effective_date", "known_at")).alias("action"))
-    return last.where("action = 'ADD'").select("point_id", "ticker")
+    """(point_id, ticker) of tickers whose last action by (effective_date, known_at), with both times reached, is ADD.
+
+    points: point_id, asof, session.  A ticker's actions are one array in one row, the last first.  The row unfolds
+    into the months from its first action on, which points join by the month of their earlier time; so a
+    point meets a ticker once, which is what its result may hold, and not once an action.
+    """
+    month = lambda x: F.trunc(x.cast("date"), "month")
+    acts = F.struct("effective_date", "known_at", "action")
+    first = month(F.least(F.col("known_at").cast("timestamp"), F.col("effective_date").cast("timestamp")))
+    tickers = events.groupBy("ticker").agg(F.sort_array(F.collect_list(acts), asc=False).alias("acts"), F.min(first).alias("__from"))
+    placed = points.select("point_id", "asof", "session", month(F.least(F.col("asof").cast("timestamp"), F.col("session").cast("timestamp"))).alias("__month"))
+    last = placed.agg(F.max("__month").alias("__to"))
+    spine = tickers.join(last, F.lit(True)).where("__from <= __to").select("ticker", "acts", F.explode(F.sequence("__from", "__to", F.expr("interval 1 month"))).alias("__month"))
+    seen = placed.join(spine, "__month")
+    reached = F.filter("acts", lambda e: (e["known_at"] <= F.col("asof")) & (e["effective_date"] <= F.col("session")))
+    return seen.where(F.get(reached, F.lit(0))["action"] == "ADD").select("point_id", "ticker")
+
+
+def snapshot_intervals(snapshots: DataFrame) -> DataFrame:
+    """(ticker, start, end) of runs of adjacent snapshots (session, ticker) that hold a ticker: end is the first one without it, null if none is.
+
+    Repeated rows of a snapshot count once.  The order of snapshots is one small row each.
+    """
+    order = snapshots.select("session").distinct()
+    order = order.withColumns({"ord": F.row_number().over(Window.orderBy("session")), "next": F.lead("session").over(Window.orderBy("session"))})
+    rows = snapshots.select("session", "ticker").distinct().join(order, "session")
+    island = F.col("ord") - F.row_number().over(Window.partitionBy("ticker").orderBy("ord"))
+    runs = rows.withColumn("__run", island).groupBy("ticker", "__run").agg(F.min("session").alias("start"), F.max_by("next", "ord").alias("end"))
+    return runs.select("ticker", "start", "end")
 
 
 def members_on(sessions: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -100,3 +100,25 @@ def window_states(spine: DataFrame, value: str, n: int) -> DataFrame:
     """spine (ticker, session, value; null where the feed has none) with feed_state: whether all of the last n sessions are there."""
     w = Window.partitionBy("ticker").orderBy("session").rowsBetween(1 - n, 0)
     return spine.withColumn("feed_state", F.when(F.count(value).over(w) == n, "OBSERVED_WINDOW").otherwise("UNAVAILABLE_SESSION_WINDOW"))
+
+
+def feed_coverage(states: DataFrame) -> DataFrame:
+    """(session, feed, expected, covered, status, reasons): how many entities each feed covers, and all states with their counts.
+
+    states: session, feed, entity, state.  States are counted before they are gathered, so that a row holds one entry a state.
+    """
+    counted = states.groupBy("session", "feed", "state").agg(F.count("*").alias("n"))
+    reasons = F.map_from_entries(F.array_sort(F.collect_list(F.struct("state", "n"))))
+    rows = counted.groupBy("session", "feed").agg(F.sum("n").alias("expected"), F.sum(F.when(F.col("state").startswith("OBSERVED"), F.col("n")).otherwise(0)).alias("covered"), reasons.alias("reasons"))
+    status = F.when((F.col("expected") > 0) & (F.col("covered") == F.col("expected")), "RECORDED_COVERAGE_NOT_PROVIDER_VERIFIED").otherwise("UNAVAILABLE_OR_PARTIAL")
+    return rows.select("session", "feed", "expected", "covered", status.alias("status"), "reasons")
+
+
+def audit_summary(daily: DataFrame, bench: DataFrame) -> DataFrame:
+    """One row over daily_coverage's rows: sessions, their ends, bounds of members and of coverage, and the sessions without a valid benchmark bar."""
+    good = bench.where("bench > 0").select("session", F.lit(True).alias("__good"))
+    rows = daily.join(good, "session", "left")
+    return rows.agg(
+        F.count("*").alias("sessions"), F.min("session").alias("start"), F.max("session").alias("end"), F.min("declared").alias("members_min"), F.max("declared").alias("members_max"),
+        F.min("coverage").alias("coverage_min"), F.max("coverage").alias("coverage_max"), F.count_if(F.col("__good").isNull()).alias("missing_benchmark"),
+    )

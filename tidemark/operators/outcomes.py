@@ -82,8 +82,12 @@ def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """
     c = F.col
     risk = c("entry") - c("stop")
-    held = bars.select(c("ticker").alias("__t"), "session", "open", "high", "low")
-    j = trades.join(held, (c("ticker") == c("__t")) & c("session").between(c("entry_session"), c("exit_session")))
+    # a trade unfolds into the months that it touches, so that a bar meets the trades of its month only
+    month = lambda x: F.trunc(F.col(x).cast("date"), "month")
+    held = bars.select("ticker", month("session").alias("__month"), "session", "open", "high", "low")
+    months = F.explode(F.sequence(month("entry_session"), month("exit_session"), F.expr("interval 1 month")))
+    spread = trades.where("entry_session <= exit_session").withColumn("__month", months)
+    j = spread.join(held, ["ticker", "__month"]).where(c("session").between(c("entry_session"), c("exit_session")))
     inside = c("session") < c("exit_session")
     known = j.groupBy("trade_id").agg(
         F.max(F.when(inside, c("high"))).alias("hi"), F.min(F.when(inside, c("low"))).alias("lo"),
@@ -103,6 +107,37 @@ def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:
     )
 
 
+def excursion_summary(moves: DataFrame) -> DataFrame:
+    """(measure, denominator, definite, possible): losers that had reached 1 R, winners that had suffered half of one, and all that reached 2 R.
+
+    moves: excursions' columns and net_r; `possible` counts the extremes of exit days whose order isn't known.
+    """
+    r, c = F.col("net_r"), F.col
+    measures = {"losers_reached_1r": (r < 0, "mfe", 1.0), "winners_suffered_half_r": (r > 0, "mae", 0.5), "all_reached_2r": (F.lit(True), "mfe", 2.0)}
+    row = lambda name, own, side, level: F.struct(
+        F.lit(name).alias("measure"), own.alias("own"), (own & (c(f"{side}_lower") >= level)).alias("definite"), (own & (c(f"{side}_upper") >= level)).alias("possible")
+    )
+    each = moves.select(F.inline(F.array(*(row(k, *v) for k, v in measures.items()))))
+    return each.groupBy("measure").agg(F.count_if("own").alias("denominator"), F.count_if("definite").alias("definite"), F.count_if("possible").alias("possible"))
+
+
+def segment_statistics(curve: DataFrame, split: Column, *by: str) -> DataFrame:
+    """(segment, sessions, initial_nav, final_nav, total_return, cagr, max_drawdown, sharpe) before and from `split` on.
+
+    curve: session, nav, in units of the starting capital.  The capital at a segment's start counts as its first peak.
+    """
+    w = Window.partitionBy(*by).orderBy("session")
+    before = F.coalesce(F.lag("nav").over(w), F.lit(1.0))
+    rows = curve.withColumn("segment", F.when(F.col("session") < split, "DEV").otherwise("HOLD")).withColumns({"__before": before, "__ret": F.col("nav") / before - 1})
+    own = Window.partitionBy(*by, "segment").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__fall", F.col("nav") / F.greatest(F.max("nav").over(own), F.first("__before").over(own)) - 1)
+    n, start, end = F.count("*"), F.min_by("__before", "session"), F.max_by("nav", "session")
+    return rows.groupBy(*by, "segment").agg(
+        n.alias("sessions"), start.alias("initial_nav"), end.alias("final_nav"), (end / start - 1).alias("total_return"), (F.pow(end / start, 252.0 / n) - 1).alias("cagr"),
+        F.least(F.min("__fall"), F.lit(0.0)).alias("max_drawdown"), (F.avg("__ret") * F.sqrt(F.lit(252.0)) / F.nullif(F.stddev_samp("__ret"), F.lit(0.0))).alias("sharpe"),
+    )
+
+
 def trade_statistics(trades: DataFrame, *by: str) -> DataFrame:
     """Count, mean, win rate, profit factor, percentiles, bias-corrected skewness and excess kurtosis of net_r."""
     r, n = F.col("net_r"), F.count("net_r").cast("double")

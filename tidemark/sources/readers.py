@@ -67,8 +67,26 @@ def latest_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row: an order-free digest of the table and its number of rows."""
-    return df.select(F.xxhash64(*sorted(df.columns)).alias("h")).agg(F.bit_xor("h").alias("digest"), F.count("*").alias("rows"))
+    """One row: an order-free digest of the table and its number of rows.
+
+    The digest is two sums of row hashes with different seeds, so that repeated rows count as often as they occur.
+    """
+    columns = sorted(df.columns)
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(20,0)")).cast("string")
+    return df.agg(F.coalesce(F.concat_ws(":", total(1), total(2)), F.lit("")).alias("digest"), F.count("*").alias("rows"))
+
+
+def membership(spark: SparkSession, path: str, suffix: str = ".NS") -> DataFrame:
+    """Membership intervals (ticker, start, end) of a CSV file; symbols get the exchange's suffix if they lack it."""
+    rows = spark.read.schema("ticker string, start date, end date").option("header", True).csv(path)
+    plain = F.upper(F.trim("ticker"))
+    return rows.withColumn("ticker", F.when(plain.endswith(suffix), plain).otherwise(F.concat(plain, F.lit(suffix))))
+
+
+def portfolio_events(spark: SparkSession, path: str, least: float = 0.55) -> DataFrame:
+    """(ts, mean_prob_win, size, tickers) of a JSON-lines log's portfolio events that chose something; lines that aren't JSON are skipped."""
+    rows = spark.read.schema("ts string, event string, size long, mean_prob_win double, tickers array<string>").option("mode", "PERMISSIVE").json(path)
+    return rows.where((F.col("event") == "portfolio_built") & (F.col("size") > 0) & (F.col("mean_prob_win") >= least)).select("ts", "mean_prob_win", "size", "tickers")
 
 
 def flat(df: DataFrame) -> DataFrame:

@@ -55,14 +55,31 @@ def regime_stream(metrics: DataFrame) -> DataFrame:
 
 
 def position_exits(bars: DataFrame, positions: DataFrame) -> DataFrame:
-    """Bars after a position's opening that reach its stop (first) or target, with gap-aware prices; joined to a static position table."""
+    """The first bar after a position's opening that reaches its stop (first) or target, with gap-aware prices; joined to a static position table.
+
+    A position exits once: over a stream a flag is kept for each position, and its bars must arrive in order.
+    """
     c = F.col
     sign = F.when(c("direction") == "LONG", 1.0).otherwise(-1.0)
     worst, best = F.when(sign > 0, c("low")).otherwise(c("high")), F.when(sign > 0, c("high")).otherwise(c("low"))
     stopped, reached = (worst - c("stop")) * sign <= 0, (best - c("target")) * sign >= 0
     price = F.when(stopped, F.when((c("open") - c("stop")) * sign <= 0, c("open")).otherwise(c("stop"))).otherwise(F.when((c("open") - c("target")) * sign >= 0, c("open")).otherwise(c("target")))
     hits = bars.join(positions, "ticker").where((c("session") > c("opened")) & (stopped | reached))
-    return hits.select("position_id", "ticker", "session", F.when(stopped, "STOP").otherwise("TARGET").alias("reason"), price.alias("price"))
+    hits = hits.select("position_id", "ticker", "session", F.when(stopped, "STOP").otherwise("TARGET").alias("reason"), price.alias("price"))
+    if not bars.isStreaming:
+        first = hits.groupBy("position_id").agg(F.min(F.struct("session", "ticker", "reason", "price")).alias("x"))
+        return first.select("position_id", "x.ticker", "x.session", "x.reason", "x.price")
+
+    names = hits.columns
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches))
+        if not state.exists:
+            state.update((True,))
+            yield rows.sort_values("session").head(1)[names]
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hits.schema)
+    return hits.groupBy("position_id").applyInPandasWithState(step, schema, "closed boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def append_journal(path: str) -> Callable[[DataFrame, int], None]:
