@@ -1,6 +1,7 @@
 """Operators 5, 8 and 10: rules and parts against plain code, models by accuracy on rows that they weren't trained on."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -138,3 +139,37 @@ def test_viterbi_is_the_best_sequence():
 def total(field, score, code):
     y = [code >> k & 1 for k in range(len(score))]
     return field.start[y[0]] + sum(s[a] for s, a in zip(score, y)) + sum(field.move[a, b] for a, b in zip(y, y[1:]))
+
+
+HOSTILE = ["<a " * 100_000, "<div>a" * 100_000, "<div>" * 100_000 + "</p>" * 100_000, '<a "' * 100_000, '<a ""' * 100_000 + '">', "<div>" * 50_000 + "<li>x</li>" * 50_000, "<b>" * 50_000 + "<div>x" * 50_000]
+
+
+def test_hostile_pages_take_time_in_proportion():
+    """Each of these took time with the square of its length when tags were sought one by one."""
+    field = pages.ChainField().fit(pages.labelled_pages(40)).ready()
+    for html in HOSTILE:
+        began = time.process_time()
+        blocks = pages.leaf_blocks(html)
+        assert len(field.decode(blocks)) == len(blocks)
+        assert time.process_time() - began < 30, html[:20]
+
+
+LAYOUTS = [
+    ("<body><div id='header'><a href=/>Site</a></div><div class='entry-content'><p>One long paragraph of the story, with words.</p><p>And a second one follows it here.</p></div><div id='footer'>Copyright</div></body>", "One long paragraph of the story, with words.\nAnd a second one follows it here."),
+    ("<main><article><h1>Title of it</h1><p>Text one of the article is here.</p><blockquote>A quoted line stands here.</blockquote></article></main><aside><p>Related reading for you.</p></aside>", "Title of it\nText one of the article is here.\nA quoted line stands here."),
+    ("<nav><a href=/a>A</a><a href=/b>B</a></nav><article><p>Only this is the text of the page.</p></article><form><label>Mail</label><input></form>", "Only this is the text of the page."),
+]
+
+
+def test_hand_written_layouts():
+    field = pages.ChainField().fit(pages.labelled_pages()).ready()
+    for html, want in LAYOUTS:
+        blocks = pages.leaf_blocks(html)
+        assert "\n".join(t for (_, t, _), y in zip(blocks, field.decode(blocks)) if y) == want
+
+
+def test_repeated_rows_and_empty_tables_of_pages(spark):
+    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
+    rows = [(r.page_id, r.text) for r in pages.report(spark.createDataFrame([(1, "u", PAGE)] * 2 + [(None, None, None)], schema)).collect()]
+    assert sorted(rows, key=str) == sorted([(1, "A & B\nFirst bold text.\nSecond one.")] * 2 + [(None, "")], key=str)
+    assert pages.report(spark.createDataFrame([], schema)).count() == 0

@@ -8,7 +8,8 @@ by stochastic gradient steps on the likelihood (forward-backward) over labelled
 
 Text of scripts, styles, templates, comments in markup, head and form controls is never a block.
 Character references are decoded, white space in a block becomes one space, and the blocks labelled
-main are joined in page order by one newline.
+main are joined in page order by one newline.  Markup is read in one pass, and neither the depth of a page nor
+unended tags make the work grow faster than the page.
 
 Defined results: a null or empty html, or one without text, gives an empty string.  Each input row
 gives one row.
@@ -16,12 +17,13 @@ gives one row.
 
 from __future__ import annotations
 
+import functools
 import html as htmllib
 import math
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.scratch import map_batches
+
 FEATURE_BITS = 14
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+TAG_STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Elements whose content isn't text of the page.
 SILENT = frozenset("script style noscript template svg math iframe object head textarea select option button canvas audio video map".split())
@@ -63,91 +68,163 @@ def _path_of(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def leaf_blocks(page: str) -> list[tuple[tuple, str, float]]:
-    """(path, text, share of text in links) of a page's leaf blocks; the path holds each ancestor's features, outermost first."""
-    blocks: list[tuple[tuple, str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class _Marks:
+    """The markup of a page, found in one pass.
+
+    A tag ends at the first > outside quotes; one that never ends is text.  Places from which no end is found are
+    remembered, so that a page full of unended tags or quotes is read a few times at most.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.dead: set[int] = set()
+        self.stop = (0, -1)  # from the first place to the second there is no other stop
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose attributes begin at `at` ends; -1 if it doesn't."""
+        page, walked, first = self.page, [], True
+        while at not in self.dead and at <= max(self.last.values()):
+            walked.append(at)
+            if first and self.stop[0] <= at <= self.stop[1]:
+                stop = self.stop[1]
+            else:
+                m = TAG_STOP.search(page, at)
+                if m is None:
+                    break
+                stop = m.start()
+                if first:
+                    self.stop = (at, stop)
+            first = False
+            if page[stop] == ">":
+                return stop + 1
+            if stop in self.dead or stop >= self.last[page[stop]]:
+                walked.append(stop)
+                break
+            at = page.find(page[stop], stop + 1) + 1
+        self.dead.update(walked)
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str | None, str]]:
+        """(start, end, '/' of an end tag, name or None, attributes or CDATA text) of each mark; `skip` moves on."""
+        page, at = self.page, 0
+        while (start := page.find("<", max(at, self.skip))) >= 0:
+            at = start + 1
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = len(page) if end < 0 else end + 3
+                yield start, at, "", None, ""
+            elif page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start + 9)
+                at = len(page) if end < 0 else end + 3
+                yield start, at, "", None, page[start + 9 : len(page) if end < 0 else end]
+            elif page.startswith(("<!", "<?"), start):
+                if start < self.last[">"]:
+                    at = page.find(">", start) + 1
+                    yield start, at, "", None, ""
+            elif m := TAG_NAME.match(page, at):
+                end = self._end(m.end())
+                if end >= 0:
+                    at = end
+                    yield start, at, m[1], m[2].lower(), page[m.end() : end - 1]
+
+    skip = 0
+
+
+class _Open:
+    """The open elements, with what is asked of them kept up to date, so that no question walks over them."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of elements that aren't inline
+        self.paths: list[tuple | None] = [None]  # the path below each element: (path above it, its features, depth)
+        self.silent = 0
+
+    def push(self, tag: str, features: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        path = self.paths[-1]
+        if tag not in INLINE:
+            self.blocks.append(len(self.tags))
+            if tag not in ("html", "body"):
+                path = (path, features, (path[2] if path else 0) + 1)
+        self.paths.append(path)
+        self.tags.append(tag)
+        self.silent += tag in SILENT
+
+    def pop_to(self, k: int) -> None:
+        while len(self.tags) > k:
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            self.paths.pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            self.silent -= tag in SILENT
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The innermost place of one of the tags; -1 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+
+def leaf_blocks(page: str) -> list[tuple[tuple | None, str, float]]:
+    """(path, text, share of text in links) of a page's leaf blocks; a path is (path above, features, depth) of the innermost element, None at the top."""
+    blocks: list[tuple[tuple | None, str, float]] = []
+    open_, marks = _Open(), _Marks(page)
     text: list[str] = []
-    linked = links = silent = 0
-    at = 0
+    linked, done = 0, 0
     path: tuple | None = None
+    begun = False
 
     def flush() -> None:
-        nonlocal linked, path
+        nonlocal linked, path, begun
         if text:
             joined = "".join(text)
             if "&" in joined:
                 joined = htmllib.unescape(joined)
             joined = SPACE.sub(" ", joined).strip()
             if joined:
-                blocks.append((path or (), joined, min(1.0, linked / len(joined))))
+                blocks.append((path, joined, min(1.0, linked / len(joined))))
             text.clear()
-        linked, path = 0, None
+        linked, path, begun = 0, None, False
 
     def add(piece: str) -> None:
-        nonlocal linked, path
-        if piece and not silent:
-            if path is None and not piece.isspace():
-                path = tuple(p for t, p in stack if t not in INLINE and t not in ("html", "body"))
+        nonlocal linked, path, begun
+        if piece and not open_.silent:
+            if not begun and not piece.isspace():
+                path, begun = open_.paths[-1], True
             text.append(piece)
-            linked += len(piece) if links else 0
-
-    def pop_to(k: int) -> None:
-        nonlocal links, silent
-        for t, _ in stack[k:]:
-            links -= t == "a"
-            silent -= t in SILENT
-        del stack[k:]
-
-    while m := MARKUP.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+            linked += len(piece) if open_.places.get("a") else 0
+
+    for start, end, closing, tag, rest in marks:
+        add(page[done:start])
+        done = end
         if tag is None:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+            add(rest)
             continue
-        tag = tag.lower()
         if tag not in INLINE:
             flush()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
+        if closing:
+            if open_.places.get(tag):
+                open_.pop_to(open_.places[tag][-1])
             continue
         if tag in VOID:
             continue
-        if tag not in INLINE:
-            for k in range(len(stack) - 1, -1, -1):  # a block element ends an open paragraph
-                if stack[k][0] == "p":
-                    pop_to(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if tag == "body":  # a head that wasn't closed
-            for k, (t, _) in enumerate(stack):
-                if t == "head":
-                    pop_to(k)
-                    break
+        if tag not in INLINE and open_.blocks and open_.tags[open_.blocks[-1]] == "p":  # a block element ends an open paragraph
+            open_.pop_to(open_.blocks[-1])
+        if tag == "body" and open_.places.get("head"):  # a head that wasn't closed
+            open_.pop_to(open_.places["head"][0])
         if tag in CLOSES:
             own, stop = CLOSES[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in own:
-                    pop_to(k)
-                    break
-                if stack[k][0] in stop:
-                    break
-        if m[3].endswith("/") and tag in SILENT:
+            if open_.last(own) > open_.last(stop):
+                open_.pop_to(open_.last(own))
+        if rest.endswith("/") and tag in SILENT:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            close = re.compile(rf"</{tag}\s*>", re.I).search(page, end)
+            done = marks.skip = close.end() if close else len(page)
             continue
-        stack.append((tag, _path_of(tag, m[3])))
-        links += tag == "a"
-        silent += tag in SILENT
-    add(page[at:])
+        open_.push(tag, _path_of(tag, rest))
+    add(page[done:])
     flush()
     return blocks
 
@@ -156,17 +233,52 @@ def _slot(name: str) -> int:
     return zlib.crc32(name.encode()) & ((1 << FEATURE_BITS) - 1)
 
 
-_path_slots: dict[tuple, np.ndarray] = {}
-
-
-def _path_features(path: tuple) -> np.ndarray:
-    found = _path_slots.get(path)
-    if found is None:
-        if len(_path_slots) > 20_000:
-            _path_slots.clear()
-        names = {f"anc:{x}" for element in path for x in element} | {f"top:{x}" for x in (path[-1] if path else ())}
-        found = _path_slots[path] = np.array(sorted({_slot(x) for x in names}), np.int64)
-    return found
+@functools.lru_cache(20_000)
+def _element_slots(features: tuple[str, ...], kind: str) -> tuple[int, ...]:
+    return tuple(sorted({_slot(f"{kind}:{x}") for x in features}))
+
+
+def _path_features(path: tuple | None) -> np.ndarray:
+    """The slots of a block's ancestors, and of its innermost one once more."""
+    slots = set(_element_slots(path[1], "top")) if path else set()
+    while path:
+        slots.update(_element_slots(path[1], "anc"))
+        path = path[0]
+    return np.array(sorted(slots), np.int64)
+
+
+class _PathWeights:
+    """The weights of the paths of one page's blocks, in page order: only what opens and closes in between is added and taken away."""
+
+    def __init__(self, emit: list[list[float]]):
+        self.emit, self.held, self.count, self.sums = emit, [], {}, [0.0, 0.0]
+
+    def _move(self, path: tuple, step: int) -> None:
+        for slot in _element_slots(path[1], "anc"):
+            before = self.count.get(slot, 0)
+            self.count[slot] = before + step
+            if before + step == (1 if step > 0 else 0):
+                for k in (0, 1):
+                    self.sums[k] += step * self.emit[slot][k]
+        if not self.held:
+            self.sums = [0.0, 0.0]
+
+    def of(self, path: tuple | None) -> tuple[float, float]:
+        fresh, target = [], path
+        while target and (len(self.held) < target[2] or self.held[target[2] - 1] is not target):
+            fresh.append(target)
+            target = target[0]
+        while len(self.held) > (target[2] if target else 0):
+            self._move(self.held.pop(), -1)
+        for p in reversed(fresh):
+            self.held.append(p)
+            self._move(p, 1)
+        x, y = self.sums
+        for slot in _element_slots(path[1], "top") if path else ():
+            if not self.count.get(slot):
+                x += self.emit[slot][0]
+                y += self.emit[slot][1]
+        return x, y
 
 
 _TEXT_NAMES = [f"len:{k}" for k in range(8)] + [f"link:{k}" for k in range(3)] + ["stop", "copyright", "always"]
@@ -190,7 +302,7 @@ class ChainField:
         self.emit, self.move = np.zeros((1 << FEATURE_BITS, 2)), np.zeros((2, 2))
         self.start = np.zeros(2)  # not trained: how a page begins says little about other layouts
 
-    def features(self, blocks: list[tuple[tuple, str, float]]) -> list[np.ndarray]:
+    def features(self, blocks: list[tuple[tuple | None, str, float]]) -> list[np.ndarray]:
         return [np.concatenate([_path_features(p), _text_features(t, share)]) for p, t, share in blocks]
 
     def fit(self, pages: list[tuple[list, list[int]]], rounds: int = 12, rate: float = 0.4, decay: float = 1e-3, seed: int = 5) -> ChainField:
@@ -220,21 +332,17 @@ class ChainField:
 
     def ready(self) -> ChainField:
         self.text_weights = {slot: tuple(self.emit[slot]) for slot in _TEXT_SLOTS.values()}
-        self.path_weights: dict[tuple, tuple[float, float]] = {}
+        self.rows = self.emit.tolist()
         return self
 
-    def decode(self, blocks: list[tuple[tuple, str, float]]) -> list[int]:
+    def decode(self, blocks: list[tuple[tuple | None, str, float]]) -> list[int]:
         """The most probable labels, by Viterbi."""
         back: list[tuple[int, int]] = []
         (m00, m01), (m10, m11) = self.move.tolist()
         a = b = 0.0
+        weights = _PathWeights(self.rows)
         for k, (path, text, share) in enumerate(blocks):
-            weights = self.path_weights.get(path)
-            if weights is None:
-                if len(self.path_weights) > 20_000:
-                    self.path_weights.clear()
-                weights = self.path_weights[path] = tuple(self.emit[_path_features(path)].sum(0))
-            x, y = weights
+            x, y = weights.of(path)
             for slot in _text_features(text, share):
                 u, v = self.text_weights[slot]
                 x += u
@@ -342,7 +450,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_c
                     texts.append("\n".join(t for (_, t, _), main in zip(blocks, model.decode(blocks)) if main))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n_keep)), pa.array(texts, pa.string())], [*keep, "__main"])
 
-    found = source.mapInArrow(run, T.StructType([*source.schema.fields[:n_keep], T.StructField("__main", T.StringType())]))
+    found = map_batches(source, run, T.StructType([*source.schema.fields[:n_keep], T.StructField("__main", T.StringType())]))
     return found.select(*keep, F.col("__main").alias("text"))
 
 
