@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 from tests.llm.helpers import frame, odd_texts
-from tidemark.llm import bytetext, pages, toxicity, urls
+from tidemark.llm import bytetext, pages, toxicity, url_labels, urls
 
 # ---- 5
 
@@ -34,12 +34,30 @@ def test_url_parts_and_rules(spark):
     assert urls.filter_urls(pages_.limit(0)).count() == 0
 
 
+def url_scores(model, found):
+    parts = [urls.split_url(u) for u in found]
+    return model.scores(pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()))
+
+
 def test_url_classifier_on_unseen_urls():
+    """Sites that aren't in the labelled table, of its families and ordinary ones that share their letters."""
     model = urls.UrlClassifier(urls.labelled_urls())
-    unseen = urls.labelled_urls(seed=99)
-    parts = [urls.split_url(u) for u, _ in unseen]
-    score = model.scores(pa.array([h for h, _ in parts]), pa.array([p for _, p in parts]))
-    assert np.mean((score >= 0.5) == np.array([y for _, y in unseen])) > 0.9
+    unwanted = "betzone slot-kings casino-palace poker-night jackpot-win pills4u pharmacy-rx xxx-clips adult-cams spam-central mega-farm-links adserve track-ads cheap-cash crack-serial".split()
+    ordinary = "village-news old-library sea-museum betterworld-books winter-sports farmers-market cheapest-days alphabet-soup essex-walks trackside-railway pharma-history-museum additive-making school-choir".split()
+    hit = url_scores(model, [f"https://{h}.example.com/en/5" for h in unwanted]) >= 0.5
+    wrong = url_scores(model, [f"https://{h}.example.org/de/8?x=1" for h in ordinary]) >= 0.5
+    assert hit.mean() >= 0.8 and wrong.mean() <= 0.25
+
+
+def test_url_families_that_training_never_saw():
+    """A model without the casino sites catches those that share letters with others; it marks few ordinary urls."""
+    held = url_labels.UNWANTED["betting"]
+    model = urls.UrlClassifier(urls.labelled_urls(without=("betting",)))
+    caught = url_scores(model, [f"http://{h}.example.net/" for h in held]) >= 0.5
+    ordinary = url_scores(model, [f"http://{h}.example.net/" for h in url_labels.ORDINARY]) >= 0.5
+    assert ordinary.mean() < 0.05
+    whole = url_scores(urls.UrlClassifier(urls.labelled_urls()), [f"http://{h}.example.net/" for h in held]) >= 0.5
+    assert whole.mean() > 0.9 and caught.mean() < whole.mean()
 
 
 # ---- 8

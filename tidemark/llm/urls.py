@@ -1,7 +1,7 @@
 """URL filters: host and path rules, then a logistic regression on hashed character n-grams (operator 5).
 
-The classifier is trained with numpy from a small labelled URL table on the driver (its size doesn't
-depend on the pages) and scores all pages in a map.  Rules are a small list: a rule fits its host
+The classifier is trained with numpy from the small labelled table of `url_labels` on the driver (its
+size doesn't depend on the pages) and scores all pages in a map.  Rules are a small list: a rule fits its host
 and all subdomains if the url's path starts with the rule's path; the longest fitting rule decides,
 and the classifier decides where no rule fits.
 
@@ -12,7 +12,6 @@ classifier's verdict on empty strings holds.  Each input row gives one row.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import bytetext
+from tidemark.llm.scratch import map_batches
+from tidemark.llm.url_labels import labelled_urls
 
 #: The rules of the filter, verdict by host and path.
 RULES = {
@@ -30,36 +31,10 @@ RULES = {
     "example.com/de/": "block",
     "org/fr/": "allow",
 }
-#: Words that mark unwanted hosts or paths in the labelled table, and words of ordinary ones.
-UNWANTED = "casino poker slots betting jackpot pills pharmacy viagra spam-farm spam cheap payday-loan warez crack keygen torrent porn xxx adult escort malware phishing clickbait popunder adserver tracker".split()
-ORDINARY = "news blog docs wiki library university museum science garden recipes history weather sports travel music health school city archive forum journal books art research".split()
 NGRAMS = (3, 4, 5)
 BITS = 16
 
 
-def labelled_urls(seed: int = 11) -> list[tuple[str, int]]:
-    """The labelled URL table: (url, 1 for unwanted), from the two word lists and invented host names."""
-    rnd = random.Random(seed)
-    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ion sh bl".split()
-    rows = []
-
-    def name() -> str:
-        return "".join(rnd.choice(syllables) for _ in range(rnd.randrange(2, 5)))
-
-    def tail() -> str:
-        return f"/{rnd.choice(['en', 'de', 'fr', 'es', 'a', 'p'])}/{rnd.randrange(1000)}{rnd.choice(['', '/', '.html', '?page=2', '#top'])}"
-
-    for words, label in ((UNWANTED, 1), (ORDINARY, 0)):
-        for w in words:
-            for _ in range(4):
-                zone = rnd.choice(["example.com", "example.net", "example.org"])
-                host = rnd.choice([f"{w}.{zone}", f"www.{w}.{zone}", f"{name()}-{w}.{zone}", f"{w}{name()}.{zone}", f"blog.{w}.{zone}"])
-                rows.append((f"http{rnd.choice(['', 's'])}://{host}{tail()}", label))
-            rows.append((f"https://{name()}.example.com/{w}/{rnd.randrange(100)}", label))
-    rows += [(f"http://{rnd.choice(['', 'www.', 'm.', 'blog.'])}{name()}.example.{rnd.choice(['com', 'net', 'org'])}{tail()}", 0) for _ in range(160)]
-    return [*rows, ("", 0)]
-
-
 def _features(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of each row's host and path: (bucket, row) of every occurrence."""
     buckets, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -119,7 +94,7 @@ def _rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, score): score is the classifier's probability that a url is unwanted."""
-    model = UrlClassifier(labelled_urls())
+    model = pages.sparkSession.sparkContext.broadcast(UrlClassifier(labelled_urls()))
     url = F.coalesce(F.col(url_col), F.lit(""))
     parts = (
         pages.select(F.col(id_col).alias("id"), url.alias("u"))
@@ -130,9 +105,9 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES, threshold: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(batch.column(1), batch.column(2)))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.value.scores(batch.column(1), batch.column(2)))], [*batch.schema.names, "score"])
 
-    scored = parts.mapInArrow(run, T.StructType([*parts.schema.fields, T.StructField("score", T.DoubleType())]))
+    scored = map_batches(parts, run, T.StructType([*parts.schema.fields, T.StructField("score", T.DoubleType())]))
     rule = _rule(F.col("host"), F.col("path"), rules)
     verdicts = F.create_map(*(F.lit(x) for item in rules.items() for x in item))
     return scored.withColumn("rule", rule).select(
