@@ -88,7 +88,18 @@ def technical_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, 6, *names).withColumn("stoch_k", F.round("stoch_k", 5)).select("ticker", "session", *names, "stoch_k")
 
 
-@query()
+#: Supertrend by a recursion over a ticker's bars, and the rank of the range in its last year.
+_SUPER = f"""{_INDICATORS}, sb AS (SELECT *, (high + low) / 2 + 3.0 * {_wilder("tr", 10)} AS ub, (high + low) / 2 - 3.0 * {_wilder("tr", 10)} AS lb, list(atr) FILTER (atr IS NOT NULL) OVER (PARTITION BY ticker ORDER BY session ROWS 251 PRECEDING) AS year FROM ind),
+sn AS (SELECT ticker, t, pc, close, ub, lb FROM sb WHERE ub IS NOT NULL),
+sr AS (SELECT ticker, t, ub AS top, lb AS bottom, close >= lb AS rising FROM sn WHERE t = 9
+  UNION ALL SELECT ticker, t, top, bottom, CASE WHEN follows THEN close >= bottom ELSE close > top END FROM (SELECT n.ticker, n.t, n.close, CASE WHEN n.pc > r.top THEN n.ub ELSE least(n.ub, r.top) END AS top,
+    CASE WHEN n.pc < r.bottom THEN n.lb ELSE greatest(n.lb, r.bottom) END AS bottom, r.rising OR r.top = r.bottom AS follows FROM sr r JOIN sn n ON n.ticker = r.ticker AND n.t = r.t + 1)),
+sup AS (SELECT sb.*, CASE WHEN rising THEN bottom ELSE top END AS supertrend, rising AS super_up, CASE WHEN len(year) >= {indicators.ATR_LEAST} AND atr IS NOT NULL THEN (len(list_filter(year, lambda v: v < atr)) + (len(list_filter(year, lambda v: v = atr)) + 1) / 2.0) * 100.0 / len(year) END AS atr_pctile
+  FROM sb LEFT JOIN sr USING (ticker, t)),
+whole AS (SELECT * FROM sup WHERE supertrend IS NOT NULL AND adx IS NOT NULL AND rsi IS NOT NULL AND atr IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_SUPER} SELECT ticker, session, round(supertrend, 6) AS supertrend, super_up, round(atr_pctile, 6) AS atr_pctile FROM whole")
 def supertrend(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = indicators.add_indicators(views.bars_walk(spark, sf_dir))
     return found.select("ticker", "session", F.round("supertrend", 6).alias("supertrend"), "super_up", F.round("atr_pctile", 6).alias("atr_pctile"))
@@ -155,10 +166,22 @@ def portfolio_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.select_portfolio(rows, pairs)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SUPER}, y AS (SELECT ticker, session, open, high, low, close, volume, ema_20, ema_50, atr, row_number() OVER w AS bar, lag(high) OVER w AS high1,
+  max(high) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS resistance, max(high) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) AS overhead,
+  min(low) OVER b5 AS low5, CASE WHEN count(*) OVER b5 = 5 THEN min(CASE WHEN close >= ema_50 THEN 1 ELSE 0 END) OVER b5 END AS held, list({{'l': low, 'e': ema_20}}) OVER b5 AS recent, rvol
+  FROM (SELECT whole.*, volume / nullif(pv, 0) AS rvol FROM whole JOIN (SELECT ticker, session, CASE WHEN count(volume) OVER p = 20 THEN avg(volume) OVER p END AS pv FROM bars WINDOW p AS (PARTITION BY ticker ORDER BY session ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) USING (ticker, session))
+  WINDOW w AS (PARTITION BY ticker ORDER BY session), b5 AS (PARTITION BY ticker ORDER BY session ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, CASE WHEN close > resistance AND close - resistance <= 0.75 * atr AND rvol >= 1.2 THEN 'BREAKOUT' WHEN len(list_filter(recent, lambda v: v.l <= v.e + 0.25 * atr)) > 0 AND held = 1 AND close > high1 AND close > open THEN 'PULLBACK' END AS strategy
+  FROM y WHERE bar >= 150 AND atr > 0 AND high - low > 0 AND high - low <= 2.5 * atr AND (close - low) / (high - low) >= 0.6),
+s1 AS (SELECT *, round(least(low5, low) - 0.1 * atr, 2) AS stop FROM k WHERE strategy IS NOT NULL), s2 AS (SELECT *, close - stop AS risk FROM s1 WHERE stop > 0 AND close - stop >= 0.75 * atr AND close - stop <= 3 * atr),
+s3 AS (SELECT *, round(CASE WHEN overhead > close + 0.2 * atr THEN least(close + 2 * risk, overhead) ELSE close + 2 * risk END, 2) AS target FROM s2)
+SELECT ticker, session, strategy, close AS entry, round(greatest(close - 0.5 * atr, stop + 0.5 * atr), 2) AS entry_min, floor(least(close + 0.5 * atr, (target + 1.5 * stop) / 2.5) * 100) / 100 AS entry_max, stop, target,
+  round(close + 3 * risk, 2) AS target2, CASE WHEN strategy = 'BREAKOUT' THEN 15 ELSE 10 END AS time_stop, round(atr, 6) AS atr FROM s3 WHERE (target - close) / risk >= 1.5"""
+)
 def swing_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = views.bars_walk(spark, sf_dir)
-    return setups.swing_setups(indicators.add_indicators(bars), None)
+    return setups.swing_setups(indicators.add_indicators(bars), None).withColumn("atr", F.round("atr", 6))
 
 
 @query(
