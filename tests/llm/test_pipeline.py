@@ -36,3 +36,17 @@ def test_stages_and_run(spark, tmp_path):
     assert "abcdef123456" not in secret[25] and "[SECRET]" in secret[25] and all(secret[i] == clean[i] for i in range(12))
     done = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(done) == set(secret) and all(r.n_tokens > 0 for r in done.values())
+
+
+def test_stages_on_empty_tables_long_texts_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, hits string, ledger string, secrets string, component_id string, __text string"
+    spark.createDataFrame([(7, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rnd = random.Random(2)
+    long = " ".join("".join(rnd.choice("aeiounrst") for _ in range(5)) for _ in range(60_000)) + " token=hunter22"
+    for rows in ([], [(1, long, *["x"] * 5), (1, long, *["x"] * 5), (None, None, *["x"] * 5), (2, "", *["x"] * 5)]):
+        docs = spark.createDataFrame(rows, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            assert {r.doc_id for r in out.collect()} <= {r[0] for r in rows}
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
