@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents.  `run` writes each stage's result to the shared folder and reads it as the next one's
 input, so that a lost executor repeats no earlier stage.
+
+Defined results: a null or empty text fails the quality rules, so its row goes in the first stage; a row
+without an id is kept by all stages but for its text.  Repeated rows are one document to near-dedup, and
+all of them stay or go.  Empty tables give empty tables.  Further columns, whatever their names, are carried.
 """
 
 from __future__ import annotations
