@@ -27,6 +27,8 @@ REGIME_WEIGHTS = {
     "PANIC": (0.10, 0.25, 0.08, 0.30, 0.20, 0.03, 0.04),
 }
 PROFILE_BARS, PROFILE_BINS, VALUE_AREA = 30, 100, 0.70
+#: What rounding leaves where a value is zero, or two are equal.
+NEGLIGIBLE = 1e-9
 
 
 def _points(*parts: tuple[Column, float]) -> Column:
@@ -62,14 +64,14 @@ def profile_rows(low: list, high: list, volume: list, close: np.ndarray, bins: i
     each = np.arange(n)
     peak = hist.argmax(1)
     a, b, held = peak.copy(), peak.copy(), hist[each, peak]
-    goal = hist.sum(1) * VALUE_AREA
+    goal = hist.sum(1) * VALUE_AREA * (1 - NEGLIGIBLE)  # sums in another order may end a hair apart
     for _ in range(bins):
         grow = (held < goal) & ((a > 0) | (b < bins - 1))
         if not grow.any():
             break
         below = np.where(a > 0, hist[each, np.maximum(a - 1, 0)], -1.0)
         above = np.where(b < bins - 1, hist[each, np.minimum(b + 1, bins - 1)], -1.0)
-        down = grow & (below >= above) & (a > 0)
+        down = grow & (below >= above * (1 - NEGLIGIBLE)) & (a > 0)
         up = grow & ~down
         a, b = a - down, b + up
         held = held + np.where(down, below, 0.0) + np.where(up, above, 0.0)
@@ -111,7 +113,7 @@ def score_factors(bars: DataFrame, n_sectors: int, turnover_floor: float = 35_00
     sign = F.when(long, F.lit(1.0)).otherwise(-1.0)
     macd = c("macd_hist") * sign
     faster = macd > F.coalesce(F.lag("macd_hist").over(by_ticker()), F.lit(0.0)) * sign
-    stoch = F.when(c("stoch_k").isNull() | (c("stoch_k") == 0), F.lit(50.0)).otherwise(c("stoch_k"))
+    stoch = F.when(c("stoch_k").isNull() | (F.abs("stoch_k") < NEGLIGIBLE), F.lit(50.0)).otherwise(c("stoch_k"))
     run = F.least(F.lit(1.0), _either(long, c("__up_run"), c("__dn_run")) * 0.25)
     momentum = (
         0.30 * _either(long, curves.piecewise(c("rsi"), curves.RSI_LONG), curves.piecewise(c("rsi"), curves.RSI_SHORT))
@@ -158,9 +160,10 @@ def score_factors(bars: DataFrame, n_sectors: int, turnover_floor: float = 35_00
             "__up_20": sliding(c("up_day"), -19, 0, full=False), "__dn_20": sliding(c("dn_day"), -19, 0, full=False),
         }
     )
-    scores = dict(zip(NAMES, (trend, momentum, volume, volatility, relative, breakout, F.round(clip(quality, 0.0, 1.0), 4))))
+    scores = dict(zip(NAMES, (trend, momentum, volume, volatility, relative, breakout, F.round(clip(quality, 0.0, 1.0) + NEGLIGIBLE, 4))))
     helpers = [x for x in features.columns if x.startswith("__")]
-    return features.withColumns({k: clip(v, 0.0, 1.0) for k, v in scores.items()}).drop(*helpers)
+    # rounded, so that equal scores stay equal in ranks whatever the order of their sums
+    return features.withColumns({k: F.round(clip(v, 0.0, 1.0), 9) for k, v in scores.items()}).drop(*helpers)
 
 
 def composite(scored: DataFrame) -> DataFrame:

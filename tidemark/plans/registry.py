@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import curves
 from tidemark.operators import bitemporal, coverage, evaluation, factors, indicators, journal, market, outcomes, selection, setups, sizing
 from tidemark.plans import views
 
@@ -153,9 +154,68 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factors.composite(factors.blend_cohorts(scored, least=5, full=20))
 
 
-@query()
+def _curve(x: str, knots: list[tuple[float, float]]) -> str:
+    """A piecewise-linear curve, flat outside its knots."""
+    steps = " ".join(f"WHEN {x} < {x1!r} THEN {y0!r} + ({y1 - y0!r}) * (({x} - {x0!r}) / {x1 - x0!r})" for (x0, y0), (x1, y1) in zip(knots, knots[1:]))
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= {knots[0][0]!r} THEN {knots[0][1]!r} {steps} ELSE {knots[-1][1]!r} END"
+
+
+def _clip01(x: str) -> str:
+    return f"round(CASE WHEN ({x}) IS NOT NULL THEN greatest(0.0, least(1.0, {x})) END, 9)"
+
+
+def _per_factor(template: str) -> str:
+    return ", ".join(template.replace("@", name) for name in factors.NAMES)
+
+
+_B = "(PARTITION BY ticker ORDER BY session ROWS {} PRECEDING)"
+_WEIGHTS = " ".join(f"WHEN '{regime}' THEN " + " + ".join(f"{n} * {w!r}" for n, w in zip(factors.NAMES, weights)) for regime, weights in factors.REGIME_WEIGHTS.items())
+#: Factor scores written apart from the operators: the profile by lists, its value area by a recursion, then the curves.
+_FACTORS = f"""{_SUPER}, fb AS (SELECT session, avg(close) AS bench FROM bars GROUP BY session),
+fr AS (SELECT ticker, sector, session, coalesce(round((ln(close / lag(close, 20) OVER w) - ln(bench / lag(bench, 20) OVER w)) * 100, 3), 0) AS rs FROM bars JOIN fb USING (session) WINDOW w AS (PARTITION BY ticker ORDER BY session)),
+fs AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY sector_rs DESC, sector) AS sector_rank FROM (SELECT session, sector, round(median(rs), 3) AS sector_rs FROM fr GROUP BY session, sector)),
+fm AS (SELECT session, coalesce(avg(CASE WHEN close > ema_50 THEN 1.0 ELSE 0.0 END), 0.5) AS breadth, coalesce(median(adx), 20) AS adx_median, coalesce(median(CASE WHEN atr_50_mean > 0 THEN atr / atr_50_mean END), 1) AS atr_ratio FROM whole GROUP BY session),
+fp AS (SELECT *, coalesce(last_value(CASE WHEN breadth < 0.25 THEN true WHEN breadth >= 0.35 THEN false END IGNORE NULLS) OVER (ORDER BY session ROWS UNBOUNDED PRECEDING), false) AS panic FROM fm),
+fg AS (SELECT session, CASE WHEN panic THEN 'PANIC' WHEN atr_ratio >= 1.3 AND adx_median >= 25 THEN 'EXPANSION' WHEN adx_median < 18 THEN 'RANGE' WHEN breadth >= 0.55 THEN 'TREND_UP' WHEN breadth < 0.45 THEN 'TREND_DOWN' ELSE 'RANGE' END AS regime FROM fp),
+fw AS (SELECT ticker, session, {_roll("avg", "close * volume", 20)} AS turnover_avg_20, CASE WHEN close > open THEN 1 ELSE 0 END AS up_day, CASE WHEN close < open THEN 1 ELSE 0 END AS dn_day FROM bars),
+fq AS (SELECT ticker, session, 4 * sd / mid AS bb_width FROM ind), fz AS (SELECT ticker, session, bb_width, coalesce(bb_width < {_roll("avg", "bb_width", 50)} * 0.85, false) AS bb_squeeze FROM fq),
+f0 AS (SELECT whole.*, bb_width, bb_squeeze, turnover_avg_20, up_day, dn_day, rs, sector_rank, regime, CASE WHEN super_up THEN 'LONG' ELSE 'SHORT' END AS direction, list({{'lo': low, 'hi': high, 'v': volume}}) OVER {_B.format(29)} AS win,
+  min(low) OVER {_B.format(29)} AS wb, max(high) OVER {_B.format(29)} AS wt
+  FROM whole JOIN fz USING (ticker, session) JOIN fw USING (ticker, session) JOIN fr USING (ticker, session) JOIN fs ON fs.session = whole.session AND fs.sector = whole.sector JOIN fg ON fg.session = whole.session),
+v0 AS (SELECT ticker, session, close, win, len(win) < 5 OR NOT wt > wb AS flat, list_transform(range(0, 101), lambda i: CASE WHEN i = 100 THEN wt ELSE i * ((wt - wb) / 100) + wb END) AS lv FROM f0),
+v1 AS (SELECT *, list_transform(win, lambda x: {{'f': greatest(0, least(99, len(list_filter(lv, lambda l: l < x.lo)) - 1)), 't': greatest(0, least(99, len(list_filter(lv, lambda l: l <= x.hi)))), 'v': x.v}}) AS spread FROM v0 WHERE NOT flat),
+v2 AS (SELECT *, list_transform(range(0, 100), lambda b: list_sum(list_transform(spread, lambda x: CASE WHEN x.f <= b AND b <= x.t AND x.v > 0 THEN x.v / greatest(x.t - x.f + 1, 1) ELSE 0.0 END))) AS hist FROM v1),
+v3 AS (SELECT ticker, session, lv, hist, list_position(hist, list_max(hist)) AS peak, list_sum(hist) * 0.7 * (1 - 1e-9) AS goal FROM v2),
+va AS (SELECT ticker, session, lv, hist, peak, goal, peak AS a, peak AS b, hist[peak] AS held, 0 AS step FROM v3
+  UNION ALL SELECT ticker, session, lv, hist, peak, goal, CASE WHEN below >= above * (1 - 1e-9) AND a > 1 THEN a - 1 ELSE a END, CASE WHEN below >= above * (1 - 1e-9) AND a > 1 THEN b ELSE b + 1 END, held + CASE WHEN below >= above * (1 - 1e-9) AND a > 1 THEN below ELSE above END, step + 1
+  FROM (SELECT *, CASE WHEN a > 1 THEN hist[a - 1] ELSE -1.0 END AS below, CASE WHEN b < 100 THEN hist[b + 1] ELSE -1.0 END AS above FROM va WHERE held < goal AND (a > 1 OR b < 100))),
+vz AS (SELECT ticker, session, arg_max((lv[peak] + lv[peak + 1]) / 2, step) AS poc, arg_max(lv[a], step) AS val, arg_max(lv[b + 1], step) AS vah FROM va GROUP BY ticker, session),
+f1 AS (SELECT f0.*, coalesce(poc, close) AS poc, coalesce(val, close * 0.99) AS val, coalesce(vah, close * 1.01) AS vah, CASE WHEN super_up THEN 1.0 ELSE -1.0 END AS sgn, super_up AS lng, coalesce(atr_50_mean, atr) AS base50,
+  coalesce(lag(macd_hist) OVER w, 0) AS macd1, CASE WHEN count(bb_width) OVER {_B.format(49)} = 50 THEN avg(bb_width) OVER {_B.format(49)} END AS bw50, max(high) OVER {_B.format(251)} AS h252, min(low) OVER {_B.format(19)} AS l20, lag(close, 63) OVER w AS c63,
+  row_number() OVER w AS bar, avg(up_day) OVER {_B.format(19)} AS up20, avg(dn_day) OVER {_B.format(19)} AS dn20, sum(1 - up_day) OVER w AS ub_, sum(1 - dn_day) OVER w AS db_ FROM f0 LEFT JOIN vz USING (ticker, session) WINDOW w AS (PARTITION BY ticker ORDER BY session)),
+f2 AS (SELECT *, CASE WHEN up_day = 1 THEN least(10, sum(up_day) OVER (PARTITION BY ticker, ub_ ORDER BY session)) ELSE 0 END AS up_run, CASE WHEN dn_day = 1 THEN least(10, sum(dn_day) OVER (PARTITION BY ticker, db_ ORDER BY session)) ELSE 0 END AS dn_run,
+  macd_hist * sgn AS mh, CASE WHEN stoch_k IS NULL OR abs(stoch_k) < 1e-9 THEN 50.0 ELSE stoch_k END AS st, CASE WHEN vol_avg_20 > 0 THEN floor(vol_avg_20) / vol_avg_20 ELSE 1.0 END AS rv, CASE WHEN bb_width IS NULL OR bb_width = 0 THEN 0.05 ELSE bb_width END AS wd FROM f1),
+f3 AS (SELECT *, 0.4 + (CASE WHEN (close - ema_20) * sgn > 0 THEN 0.15 ELSE 0 END) + (CASE WHEN (close - ema_50) * sgn > 0 THEN 0.15 ELSE 0 END) + (CASE WHEN (close - ema_200) * sgn > 0 THEN 0.2 ELSE 0 END) + 0.1
+    + CASE WHEN (ema_20 - ema_50) * sgn > 0 AND (ema_50 - ema_200) * sgn > 0 THEN 0.05 ELSE 0 END AS t_raw,
+  0.30 * (CASE WHEN lng THEN {_curve("rsi", curves.RSI_LONG)} ELSE {_curve("rsi", curves.RSI_SHORT)} END) + 0.25 * (CASE WHEN mh > 0 AND mh > macd1 * sgn THEN 1.0 WHEN mh > 0 THEN 0.5 ELSE 0 END)
+    + 0.15 * (CASE WHEN lng THEN {_curve("st", curves.STOCH_LONG)} ELSE {_curve("st", curves.STOCH_SHORT)} END) + 0.20 * ({_curve("adx", curves.ADX)}) + 0.10 * least(1.0, CASE WHEN lng THEN up_run ELSE dn_run END * 0.25) AS m_raw,
+  0.55 * (CASE WHEN rv < 0.8 AND base50 > 0 AND atr < 0.85 * base50 THEN 0.4 WHEN rv <= 0.95 THEN 0 WHEN rv < 1.1 THEN pow((rv - 0.95) / 0.15, 2) * (3 - 2 * (rv - 0.95) / 0.15) * 0.1 ELSE 1 END)
+    + (CASE WHEN CASE WHEN lng THEN close > poc - 0.3 * atr ELSE close < poc + 0.3 * atr END THEN 0.25 ELSE 0 END) + (CASE WHEN CASE WHEN lng THEN close > val ELSE close < vah END THEN 0.15 ELSE 0 END) + least(0.05, (turnover_avg_20 / 50000.0 - 1) / 4 * 0.05) AS v_raw,
+  CASE WHEN atr_50_mean IS NULL OR atr_pctile IS NULL THEN 0.0 ELSE CASE WHEN bb_squeeze THEN least(1.0, calm + 0.15) ELSE calm END END AS c_raw,
+  greatest(0.0, CASE WHEN lng THEN 5 - sector_rank ELSE sector_rank - 1 END / 4.0) * 0.6 + greatest(0.0, least(1.0, (rs * sgn + 5) / 10)) * 0.4 AS r_raw,
+  greatest(0.0, 1.0 - (CASE WHEN lng THEN CASE WHEN h252 > 0 THEN (h252 - close) / h252 * 100 ELSE 100 END ELSE CASE WHEN close > 0 THEN (close - l20) / close * 100 ELSE 100 END END) / 8.0) * 0.65 + (CASE WHEN coalesce(bw50, wd) > 0 AND wd < coalesce(bw50, wd) * 0.85 THEN 0.35 ELSE 0 END) AS b_raw,
+  (CASE WHEN bar >= 64 THEN greatest(0.0, least(1.0, ((CASE WHEN c63 > 0 THEN ln(close / c63) * sgn ELSE 0 END) + 0.10) / 0.20)) ELSE 0.5 END) * 0.5 + (CASE WHEN lng THEN up20 ELSE dn20 END) * 0.3 + (CASE WHEN base50 > 0 THEN greatest(0.0, least(1.0, (atr / base50 - 0.8) / 0.8)) ELSE 0.5 END) * 0.2 AS q_raw
+  FROM (SELECT *, CASE WHEN atr_50_mean > 0 AND atr < 0.85 * atr_50_mean THEN 0.70 + 0.30 * greatest(0.0, (50 - atr_pctile) / 50) ELSE greatest(0.0, 0.40 - ((CASE WHEN atr_50_mean > 0 THEN atr / atr_50_mean ELSE 1.0 END) - 1.0) * 0.30) END AS calm FROM f2)),
+f4 AS (SELECT ticker, session, direction, regime, poc, val, vah, {_clip01("t_raw")} AS trend, {_clip01("m_raw")} AS momentum, {_clip01("v_raw")} AS volume, {_clip01("c_raw")} AS volatility, {_clip01("r_raw")} AS rs_score, {_clip01("b_raw")} AS breakout, {_clip01("round(q_raw + 1e-9, 4)")} AS quality FROM f3),
+f5 AS (SELECT *, count(*) OVER k AS n_, {_per_factor("rank() OVER (PARTITION BY session, direction ORDER BY @) + (count(*) OVER (PARTITION BY session, direction, @) - 1) / 2.0 AS k_@, max(@) OVER k - min(@) OVER k <= 1e-6 AS e_@, greatest(0.0, least(1.0, avg(@) OVER k / 0.5)) AS a_@")} FROM f4 WINDOW k AS (PARTITION BY session, direction)),
+f6 AS (SELECT *, CASE WHEN n_ < 5 OR n_ <= 1 THEN 0.0 ELSE greatest(0.0, least(1.0, (n_ - 5) / 15.0)) * 0.4 END AS w_ FROM f5),
+f7 AS (SELECT ticker, session, direction, regime, poc, val, vah, {_per_factor("CASE WHEN w_ > 0 THEN greatest(0.0, least(1.0, @ + w_ * ((CASE WHEN e_@ THEN @ ELSE (k_@ - 1.0) / (n_ - 1.0) END) - @) * a_@)) ELSE @ END AS @")} FROM f6),
+f8 AS (SELECT *, round(CASE regime {_WEIGHTS} END, 4) AS composite FROM f7)"""
+
+
+@query(f"WITH RECURSIVE {_FACTORS} SELECT ticker, session, direction, regime, {_per_factor("round(@, 6) AS @").replace("round(quality, 6)", "round(quality, 9)")}, composite, round(poc, 4) AS poc, round(val, 4) AS val, round(vah, 4) AS vah FROM f8")
 def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_candidates(spark, sf_dir), 6, *factors.NAMES).select("ticker", "session", "direction", "regime", *factors.NAMES, "composite", F.round("poc", 4).alias("poc"), F.round("val", 4).alias("val"), F.round("vah", 4).alias("vah"))
+    return rounded(rounded(_candidates(spark, sf_dir), 9, "quality"), 6, *factors.NAMES[:-1]).select("ticker", "session", "direction", "regime", *factors.NAMES, "composite", F.round("poc", 4).alias("poc"), F.round("val", 4).alias("val"), F.round("vah", 4).alias("vah"))
 
 
 @query()
