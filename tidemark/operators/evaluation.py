@@ -114,6 +114,43 @@ def fit_probability(rows: DataFrame, score: str = "composite", label: str = "win
     return -float(model.coefficients[0]), -float(model.intercept)
 
 
+def held_out(rows: DataFrame, newest: int, *order: str) -> DataFrame:
+    """rows with `held`: whether a row is among the `newest` last ones by `order`, which must tell rows apart."""
+    mark = F.struct(*order)
+    cut = rows.orderBy(*(F.col(c).desc() for c in order)).limit(newest).agg(F.min(mark).alias("__cut"))
+    return rows.crossJoin(F.broadcast(cut)).withColumn("held", F.coalesce(mark >= F.col("__cut"), F.lit(False))).drop("__cut")
+
+
+def probability_check(rows: DataFrame, a: float, b: float, score: str = "composite", label: str = "win") -> DataFrame:
+    """One row: n, brier, mean_predicted, actual and error (predicted less actual) of 1 / (1 + exp(a score + b)); null without rows."""
+    p, y = 1 / (1 + F.exp(a * F.col(score) + b)), F.col(label).cast("double")
+    known = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(p.alias("p"), y.alias("y"))
+    out = known.agg(F.count("*").alias("n"), F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"), F.avg("p").alias("mean_predicted"), F.avg("y").alias("actual"))
+    return out.withColumn("error", F.col("mean_predicted") - F.col("actual"))
+
+
+def fit_held_out(rows: DataFrame, *order: str, newest: int = 60, least: int = 20, score: str = "composite", label: str = "win") -> tuple[float, float, DataFrame]:
+    """(a, b, check): the fit without the `newest` rows, and its check on those; with newest = 0 both use all rows."""
+    known = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    n = known.count()
+    if n < newest + least:
+        raise ValueError(f"{newest + least} rows are needed to hold out {newest}, {n} given")
+    marked = held_out(known, newest, *order)
+    a, b = fit_probability(marked.where("not held"), score, label)
+    return a, b, probability_check(marked.where("held") if newest else known, a, b, score, label)
+
+
+def calibration_set(trades: DataFrame, weights: dict[str, float], least: int = 80) -> DataFrame:
+    """Executed trades with a known profit as trade_id, composite and win; nothing where there are fewer than `least`.
+
+    A missing composite is the weighted sum of the factor columns named in weights, missing ones as 0.  A missing source counts as executed.
+    """
+    total = sum((F.coalesce(F.col(k), F.lit(0.0)) * w for k, w in weights.items()), F.lit(0.0))
+    done = trades.where((F.coalesce("source", F.lit("EXECUTED")) == "EXECUTED") & F.col("pnl").isNotNull())
+    rows = done.select("trade_id", F.coalesce("composite", total).alias("composite"), (F.col("pnl") > 0).cast("int").alias("win"))
+    return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("__n")))).where(F.col("__n") >= least).drop("__n")
+
+
 def walk_forward(bars: DataFrame, folds: DataFrame, screen: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Outcomes (fold, ticker, net_r, hit, bars_held, ...) of what `screen` picks on each fold's last training session.
 

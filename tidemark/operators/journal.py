@@ -51,3 +51,25 @@ def scan_days(scans: DataFrame) -> DataFrame:
         .otherwise("SIGNALS_REPORTED")
     )
     return scans.groupBy("market_date").agg(F.count("*").alias("scans"), state.alias("status"))
+
+
+def build(scans: DataFrame, results: DataFrame, fingerprint: str) -> DataFrame:
+    """(event_id, event_type, recorded_at, payload) of all scans, those without results too, and of each signal's first observation.
+
+    scans: scan_id, market_date, recorded_at; results: scan_id, place (their order in a scan), ticker, strategy_id, signal_time, held, selected and
+    any further columns, which go into the payload.  A held position, or a strategy that is no swing strategy, is no signal.
+    A signal is the same if ticker, strategy, time and the parameters' fingerprint are.
+    """
+    c = F.col
+    counts = results.groupBy("scan_id").agg(F.count("*").alias("qualified_signals"), F.count_if("selected").alias("selected"))
+    seen = scans.join(counts, "scan_id", "left").na.fill(0, ["qualified_signals", "selected"])
+    day = F.date_format("market_date", "yyyy-MM-dd").alias("market_date")
+    scanned = seen.select(F.concat(F.lit("scan:"), event_id(c("scan_id"))).alias("event_id"), F.lit("SCAN").alias("event_type"), "recorded_at", F.to_json(F.struct(day, "qualified_signals", "selected")).alias("payload"))
+    time = F.date_format("signal_time", "yyyy-MM-dd'T'HH:mm:ss")
+    identity = F.concat(F.lit("signal:"), F.sha2(F.concat_ws("|", "ticker", "strategy_id", time, F.lit(fingerprint)), 256))
+    rest = [x for x in results.columns if x not in ("scan_id", "place", "held", "signal_time")]
+    payload = F.to_json(F.struct(*rest, time.alias("signal_time"), F.lit(fingerprint).alias("parameter_fingerprint")))
+    rows = results.where(~c("held") & c("strategy_id").startswith("SWING_")).join(scans.select("scan_id", "recorded_at"), "scan_id")
+    rows = rows.select(identity.alias("event_id"), "recorded_at", payload.alias("payload"), F.struct("recorded_at", "place").alias("__at"))
+    first = rows.groupBy("event_id").agg(F.min_by(F.struct("recorded_at", "payload"), "__at").alias("r"))
+    return scanned.unionByName(first.select("event_id", F.lit("SIGNAL").alias("event_type"), "r.recorded_at", "r.payload"))

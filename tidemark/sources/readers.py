@@ -105,3 +105,19 @@ def long_bars(wide: DataFrame, separator: str = "|", date: str = "session") -> D
     cell = lambda f, t: F.col(f"`{place[f, t]}`").cast("double") if (f, t) in place else F.lit(None).cast("double")
     rows = F.explode(F.array(*(F.struct(F.lit(t).alias("ticker"), *(cell(f, t).alias(f.lower()) for f in fields)) for t in tickers)))
     return wide.select(date, rows.alias("r")).select("r.ticker", date, *(f"r.{f.lower()}" for f in fields)).dropna("all", subset=[f.lower() for f in fields])
+
+
+def portfolio_log(lines: DataFrame, least: float = 0.55) -> DataFrame:
+    """(ts, size, mean_prob_win, tickers) of the portfolios in a log of JSON lines (value) that hold something at `least` or more.
+
+    Lines that aren't JSON objects, or lack the event, are passed over.
+    """
+    fields = F.from_json("value", "event string, ts string, size bigint, mean_prob_win double, tickers array<string>", {"mode": "PERMISSIVE"})
+    rows = lines.select(fields.alias("r")).select("r.*").where("event = 'portfolio_built'")
+    return rows.where((F.col("size") > 0) & (F.col("mean_prob_win") >= least)).select("ts", "size", "mean_prob_win", "tickers")
+
+
+def memberships(spark: SparkSession, path: str, suffix: str = ".NS") -> DataFrame:
+    """(ticker, start, end) of a CSV of index memberships; a blank end is a member still, and tickers get the exchange's suffix."""
+    rows = spark.read.schema("ticker string, start date, end date").option("header", True).csv(path)
+    return rows.withColumn("ticker", F.when(F.col("ticker").endswith(suffix), F.col("ticker")).otherwise(F.concat("ticker", F.lit(suffix))))
