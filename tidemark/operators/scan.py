@@ -51,7 +51,9 @@ def score_universe(
     scored = factors.score_factors(factors.volume_profile(rows), n_sectors, turnover_floor)
     first = scored.where(c("__passed") & gates.counter_trend_gate(c("direction"), c("regime"), c("rs_score"), c("held")))
     ranked = factors.composite(factors.blend_cohorts(first, least=cohort[0], full=cohort[1]))
-    ranked = ranked.withColumn("composite", book.adjusted_composite(c("composite"), F.lit(session_label), c("regime"), c("direction")))
+    # as a generator's one row, so that the filter on the tier isn't pushed below it with all scores written out in it
+    adjusted = book.adjusted_composite(c("composite"), F.lit(session_label), c("regime"), c("direction"))
+    ranked = ranked.withColumn("__adjusted", F.explode(F.array(adjusted))).withColumn("composite", c("__adjusted")).drop("__adjusted")
     sized = sizing.with_size(sizing.with_targets(ranked), *platt, fraction=fraction)
     trail, time_stop = book.trade_management(c("direction"), c("close"), c("atr"), c("atr_pctile"))
     long = c("direction") == "LONG"
