@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, licenses, neardup, pages, pieces, quality, secrets, substrings, toxicity, urls
+from tidemark.llm import bpe, decontaminate, licenses, neardup, pages, pieces, quality, runs, secrets, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.report(_table(spark, sf_dir, "pages"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(_table(spark, sf_dir, "documents"), runs.looped)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,7 +74,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_near_duplicates, op3_substring_dedup, op4_quality_rules, quality_ablations, op5_url_filter, op6_license_scan, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_main_text, op13_sentencepiece)
+    for f in (op1_decontaminate, op2_near_duplicates, op3_substring_dedup, op4_quality_rules, quality_ablations, op5_url_filter, op6_license_scan, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_main_text, op12_periodic_runs, op13_sentencepiece)
 }
 
 _NAMES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
