@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, licenses, neardup, pages, pieces, quality, runs, secrets, substrings, toxicity, urls
+from tidemark.llm import bpe, decontaminate, licenses, neardup, pages, pieces, quality, runs, search, secrets, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.report(_table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(_table(spark, sf_dir, "documents"), runs.looped)
 
@@ -74,7 +78,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_near_duplicates, op3_substring_dedup, op4_quality_rules, quality_ablations, op5_url_filter, op6_license_scan, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_main_text, op12_periodic_runs, op13_sentencepiece)
+    for f in (op1_decontaminate, op2_near_duplicates, op3_substring_dedup, op4_quality_rules, quality_ablations, op5_url_filter, op6_license_scan, op7_secret_scan, op8_toxicity, op9_byte_bpe, op10_main_text, op11_ranked_search, op12_periodic_runs, op13_sentencepiece)
 }
 
 _NAMES = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -133,6 +137,18 @@ FROM d LEFT JOIN kept USING (doc_id)""",
     "op4_quality_rules": rf"""
 WITH {_RULES}
 SELECT doc_id, n_words, word_chars, n_upper, n_symbols, n_lines, n_dup_lines, n_repeat_words, failed_bits, failed_bits & 3 > 0 AS base_failed, failed_bits = 0 AS kept FROM bits""",
+    "op11_ranked_search": rf"""
+WITH d AS (SELECT doc_id, {_NAMES} AS w FROM documents),
+n AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM n),
+q AS (SELECT item_id, t, count(*) AS r FROM (SELECT item_id, unnest({_NAMES}) AS t FROM benchmark) GROUP BY item_id, t),
+p AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) SEMI JOIN q USING (t) GROUP BY doc_id, t),
+f AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY t) CROSS JOIN s),
+m AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // length AS m FROM n CROSS JOIN s),
+x AS (SELECT item_id, doc_id, CAST(sum(r * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN f USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT * FROM o WHERE rank <= 20""",
     "quality_ablations": rf"""
 WITH {_RULES},
 p AS (SELECT 'base' AS version, 3 AS mask, 1 AS fails UNION ALL SELECT 'v1', 63, 1 UNION ALL SELECT 'v2-two-faults', 63, 2),
