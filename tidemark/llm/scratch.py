@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 #: Bytes of an Arrow batch on its way to Python; a row of more bytes is a batch of its own.
 BATCH_BYTES = 2 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: The folders of local sessions that name none, by application id.
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,9 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _own:
+        _own[application] = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    return _own[application]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
