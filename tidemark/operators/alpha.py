@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.curves import clip
 from tidemark.functions.statistics import framed_median
-from tidemark.operators.bitemporal import latest_known
+from tidemark.operators.bitemporal import merged
 from tidemark.operators.gates import reasons
 from tidemark.operators.indicators import by_ticker, sliding
 
@@ -128,8 +128,7 @@ def earnings_context(points: DataFrame, earnings: DataFrame, sessions: DataFrame
     announcement.  STALE after `most_sessions`; a zero expectation can't be scored.
     """
     c = F.col
-    rows = latest_known(points, earnings, ["period_end"], "period_end")
-    last = rows.groupBy("point_id").agg(F.max(F.struct("period_end", "announced_at", "actual_eps", "expected_eps", "expectation_kind", "session")).alias("r")).select("point_id", "r.*")
+    last = merged(points, earnings, "period_end").select("point_id", "period_end", "announced_at", "actual_eps", "expected_eps", "expectation_kind", "session")
     counts = session_counts(sessions)
     closes = F.unix_timestamp(F.to_timestamp(F.to_date("announced_at"))) + int(close_hour * 3600)
     before = F.date_sub(F.to_date("announced_at"), F.when(F.unix_timestamp("announced_at") <= closes, 1).otherwise(0))
@@ -151,8 +150,7 @@ def growth_context(points: DataFrame, fundamentals: DataFrame, earnings: DataFra
     consensus surprise has a score.
     """
     c = F.col
-    rows = latest_known(points, fundamentals, ["period_end"], "period_end")
-    last = rows.groupBy("point_id").agg(F.max(F.struct("period_end", "eps_growth", "revenue_growth", "guidance_raised", "session")).alias("r")).select("point_id", "r.*")
+    last = merged(points, fundamentals, "period_end").select("point_id", "period_end", "eps_growth", "revenue_growth", "guidance_raised", "session")
     both = last.join(earnings, "point_id", "left")
     other = c("earnings_surprise").isNotNull() & (c("earnings_period") != c("period_end"))
     status = F.when(other, "PERIOD_MISMATCH").when(F.datediff("session", "period_end") <= most_days, "OBSERVED").otherwise("STALE")

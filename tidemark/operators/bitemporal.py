@@ -1,21 +1,90 @@
 """Point-in-time lookups: rows have a valid date and a time since when they are known.
 
-Decision points (with asof and session) may be many; every lookup is an equal join on the key, then a
-filter on both times; revisions are turned into intervals first, so no table is held in one place.
+Decision points (with asof and session) may be many.  Lookups on both times merge points and revisions in order of
+time, with the valid dates of one key as state; no table is held in one place.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def merged(points: DataFrame, feed: DataFrame, valid: str, on: str = "ticker", tie: str | None = None, every: bool = False) -> DataFrame:
+    """For each point (point_id, `on`, asof, session) the feed row with the latest `valid` date up to session, in its newest revision known by asof.
+
+    With `every`, the newest revisions of all such dates.  Points and revisions are one sequence by time for each key
+    and year, which a task reads once in order: it keeps the newest revision of each valid date seen so far, and
+    answers a point from them by bisection.  So what a task holds is a key's valid dates and not its revisions or
+    points, a point meets only rows that it gives, and a key with many points is spread over its years.  A revision
+    goes to each year in which it is still the newest of its date.  Points without a known row give none.
+    """
+    c = F.col
+    order = [*dict.fromkeys(["known_at", *([tie] if tie else [])])]
+    next_known = F.lead("known_at").over(Window.partitionBy(on, valid).orderBy(*order))
+    last = points.agg(F.max(F.year("asof")).alias("__last"))
+    held = feed.where(c(valid).isNotNull() & c("known_at").isNotNull()).withColumn("__until", next_known).join(last, F.lit(True))
+    until = F.least(F.coalesce(F.year("__until"), c("__last")), c("__last"))
+    held = held.where(F.year("known_at") <= until).withColumn("__slice", F.explode(F.sequence(F.year("known_at"), until)))
+    row = F.struct(*feed.columns)
+    micros = lambda name: F.unix_micros(c(name).cast("timestamp"))
+    rows = held.select(
+        c(on).alias("__on"), "__slice", micros("known_at").alias("__at"), F.lit(0).alias("__kind"), (c(tie) if tie else F.lit(0)).alias("__tie"), micros(valid).alias("__valid"), row.alias("__row"),
+        F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.lit(None).cast(points.schema["asof"].dataType).alias("asof"), F.lit(None).cast(points.schema["session"].dataType).alias("session"),
+    )
+    asked = points.where(c("asof").isNotNull() & c("session").isNotNull()).select(
+        c(on).alias("__on"), F.year("asof").alias("__slice"), micros("asof").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(rows.schema["__tie"].dataType).alias("__tie"), micros("session").alias("__valid"),
+        F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), "point_id", "asof", "session",
+    )
+    both = rows.unionByName(asked).where("__on is not null")
+    both = both.repartition("__on", "__slice").sortWithinPartitions("__on", "__slice", "__at", "__kind", "__tie")
+    schema = T.StructType([both.schema[n] for n in ("point_id", "asof", "session", "__row")])
+    return both.mapInArrow(_merge(every), schema).select("point_id", "asof", "session", "__row.*")
+
+
+def _merge(every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The merge of one task: batches in order in, one batch of answers for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, dates, newest, kept = None, [], {}, None  # newest: valid date -> place in `kept`, the rows that state refers to
+        for batch in batches:
+            rows = batch.column("__row") if kept is None else pa.concat_arrays([kept, batch.column("__row")])
+            base, asked, found = len(rows) - batch.num_rows, [], []
+            columns = (batch.column(n).to_pylist() for n in ("__on", "__slice", "__kind", "__valid"))
+            for k, (on, part, kind, valid) in enumerate(zip(*columns)):
+                if (on, part) != key:
+                    key, dates, newest = (on, part), [], {}
+                if kind == 0:
+                    if valid not in newest:
+                        insort(dates, valid)
+                    newest[valid] = base + k
+                else:
+                    upto = bisect_right(dates, valid)
+                    chosen = dates[:upto] if every else dates[max(upto - 1, 0) : upto]
+                    asked += [k] * len(chosen)
+                    found += [newest[d] for d in chosen]
+            if asked:
+                at = pa.array(asked)
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).take(at) for n in ("point_id", "asof", "session")), rows.take(pa.array(found))], ["point_id", "asof", "session", "__row"])
+            kept = rows.take(pa.array([newest[d] for d in dates], pa.int64()))
+            newest = {d: k for k, d in enumerate(dates)}
+
+    return run
 
 
 def latest_known(points: DataFrame, feed: DataFrame, keys: list[str], valid: str, on: str = "ticker", tie: str | None = None) -> DataFrame:
     """For each point (point_id, `on`, asof, session): of feed rows known by asof and valid-dated up to session, the newest revision of each of `keys`.
 
-    A revision holds from the time it is known until the next one of its key, so each point meets
-    one revision of a key, and nothing is left to aggregate.
+    Where `keys` are the valid date (and `on`), this is `merged` with all dates.  Other keys turn revisions into
+    intervals of knowledge and join on `on`.
     """
+    if {*keys, on} == {valid, on}:
+        return merged(points, feed, valid, on, tie, every=True)
     w = Window.partitionBy(*dict.fromkeys([on, *keys])).orderBy("known_at", *([tie] if tie else []))
     held = feed.withColumn("__until", F.lead("known_at").over(w))
     known = (F.col("known_at") <= F.col("asof")) & (F.col("__until").isNull() | (F.col("asof") < F.col("__until")))
@@ -24,10 +93,25 @@ def latest_known(points: DataFrame, feed: DataFrame, keys: list[str], valid: str
 
 def valid_interval(points: DataFrame, feed: DataFrame, tie: str | None = None) -> DataFrame:
     """For each point the latest effective row of its ticker, if it hasn't expired; revisions are chosen before validity is tested."""
-    rows = latest_known(points, feed, ["ticker", "effective_date"], "effective_date", tie=tie)
-    order = ["effective_date", "known_at", *([tie] if tie else [])]
-    last = rows.groupBy("point_id", "asof", "session").agg(F.max(F.struct(*order, *(c for c in feed.columns if c not in order))).alias("row"))
-    return last.where(F.col("row.valid_until") >= F.col("session")).select("point_id", "asof", "session", "row.*")
+    return merged(points, feed, "effective_date", tie=tie).where(F.col("valid_until") >= F.col("session"))
+
+
+def index_history(points: DataFrame, feed: DataFrame, calendar: DataFrame, bars: int, tie: str | None = None) -> DataFrame:
+    """(point_id, session, close): the last `bars` sessions of the calendar up to each point's, as known at its asof; null where nothing was.
+
+    points: point_id, index, asof, session; feed: index, session, close, known_at; calendar: session.  A point asks for
+    its sessions by ordinal; what is asked and the revisions of one (index, session) are one sequence by time, in which
+    the last revision before a question answers it.
+    """
+    c = F.col
+    days = calendar.select("session").distinct().withColumn("__k", F.row_number().over(Window.orderBy("session")))  # one small row a session
+    dated = points.withColumnRenamed("session", "__upto").join(days.select(c("session").alias("__upto"), "__k"), "__upto")
+    wanted = dated.select("point_id", "index", "asof", F.explode(F.sequence(F.greatest(c("__k") - (bars - 1), F.lit(1)), c("__k"))).alias("__k")).join(days, "__k")
+    kind = points.schema["point_id"].dataType
+    rows = feed.select("index", "session", "close", c("known_at").alias("__at"), F.lit(0).alias("__kind"), (c(tie) if tie else F.lit(0)).alias("__tie"), F.lit(None).cast(kind).alias("point_id"))
+    asked = wanted.select("index", "session", F.lit(None).cast("double").alias("close"), c("asof").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(rows.schema["__tie"].dataType).alias("__tie"), "point_id")
+    order = Window.partitionBy("index", "session").orderBy("__at", "__kind", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.unionByName(asked).withColumn("close", F.last("close", ignorenulls=True).over(order)).where("__kind = 1").select("point_id", "session", "close")
 
 
 def members_as_of(points: DataFrame, events: DataFrame) -> DataFrame:

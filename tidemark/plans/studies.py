@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import market, schedules
+from tidemark.functions.statistics import exact_mean
+from tidemark.operators import bitemporal, market, schedules
 from tidemark.plans import views
 from tidemark.plans.registry import _BARS, query, rounded
 
@@ -62,3 +63,28 @@ SELECT setup, ticker, signal_session, entry_session, exit_session, entry, round(
 def setup_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rounded(rounded(_scheduled(spark, sf_dir), 6, "exit_price", "stop", "priority", "ret"), 5, "gross_r", "r")
     return found.drop("trade_id")
+
+
+#: Sector indices by week: a first figure a day later, and in some weeks a correction after 16 days; asked for at each month's first session.
+_INDICES = """si AS (SELECT CAST(sector AS VARCHAR) AS "index", session, sum(CAST(round(close * 10000) AS BIGINT)) / count(*) / 10000 AS close, sum(CAST(round(volume) AS BIGINT)) AS v FROM bars GROUP BY sector, session),
+ix AS (SELECT "index", session, CAST(close AS DOUBLE) AS close, session + INTERVAL 1 DAY AS known_at FROM si UNION ALL SELECT "index", session, close * 1.01, session + INTERVAL 16 DAY FROM si WHERE v % 3 = 0),
+pt AS (SELECT "index", min(session) AS session FROM si GROUP BY "index", date_trunc('month', session)),
+pn AS (SELECT row_number() OVER (ORDER BY "index", session) AS point_id, "index", session, session + INTERVAL 3 DAY AS known FROM pt)"""
+
+
+@query(
+    f"""WITH {_BARS}, {_INDICES}, cal AS (SELECT session, row_number() OVER (ORDER BY session) AS k FROM (SELECT DISTINCT session FROM bars)),
+w AS (SELECT point_id, "index", known, c.session FROM pn JOIN cal p ON p.session = pn.session JOIN cal c ON c.k <= p.k AND c.k > p.k - 26)
+SELECT point_id, session, round(max(x.close) FILTER (n = 1), 6) AS close FROM (SELECT w.*, ix.close, row_number() OVER (PARTITION BY point_id, w.session ORDER BY known_at DESC NULLS LAST) AS n
+  FROM w LEFT JOIN ix ON ix."index" = w."index" AND ix.session = w.session AND known_at <= known) x GROUP BY point_id, session"""
+)
+def index_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 26 weeks of each sector's index as known three days into each month."""
+    c = F.col
+    bars = views.bars_walk(spark, sf_dir)
+    index = bars.groupBy(c("sector").cast("string").alias("index"), "session").agg(exact_mean("close").alias("close"), F.sum(F.round("volume").cast("long")).alias("v"))
+    first = index.select("index", "session", "close", (c("session") + F.expr("interval 1 day")).alias("known_at"))
+    later = index.where("v % 3 = 0").select("index", "session", (c("close") * 1.01).alias("close"), (c("session") + F.expr("interval 16 days")).alias("known_at"))
+    months = index.groupBy("index", F.date_trunc("month", "session")).agg(F.min("session").alias("session"))
+    points = months.select(F.row_number().over(Window.orderBy("index", "session")).alias("point_id"), "index", "session", (c("session") + F.expr("interval 3 days")).alias("asof"))  # one small row a month
+    return rounded(bitemporal.index_history(points, first.unionByName(later), bars, 26), 6, "close")
