@@ -1,12 +1,15 @@
 """As-of lookups, schedules, grids and plug points on small tables, against plain code."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bitemporal
+from tidemark.operators import bitemporal, grid, indicators, market, schedules, setups
+
+from .test_operators import walk
 
 DAY = dt.timedelta(days=1)
 START = dt.datetime(2019, 11, 1)
@@ -71,3 +74,108 @@ def test_index_history_takes_the_revision_of_its_time(spark):
     )
     got = {(r.point_id, r.session): r.close for r in rows.collect()}
     assert got == {(1, days[0]): 10.0, (1, days[1]): 11.0, (1, days[2]): 12.0, (2, days[1]): 99.0, (2, days[2]): 12.0, (2, days[3]): 13.0, (3, days[1]): None, (3, days[2]): 5.0, (3, days[3]): None}
+
+
+# ---- schedules
+
+ROWS = "ticker string, ord int, session timestamp, open double, low double, close double, mean_5 double, atr double, next_open double, next_session timestamp, liquid boolean, strong_market boolean"
+
+
+def schedule_rows(seed, tickers=("A", "B"), n=120):
+    rnd, out = random.Random(seed), []
+    for t in tickers:
+        closes, price = [], 100.0
+        for _ in range(n):
+            price = round(price * (1 + rnd.gauss(0, 0.02)), 2)
+            closes.append(price)
+        opens = [100.0] + [round(c * (1 + rnd.gauss(0, 0.03)), 2) for c in closes[:-1]]
+        for k in range(n):
+            mean = sum(closes[k - 4 : k + 1]) / 5 if k >= 4 else None
+            more = (opens[k + 1], START + DAY * 7 * (k + 1)) if k + 1 < n else (None, None)
+            out.append((t, k + 1, START + DAY * 7 * k, opens[k], round(min(opens[k], closes[k]) * 0.99, 2), closes[k], mean, rnd.choice([None, 0.5, 1.0, 40.0]) if k % 9 == 0 else 1.0, *more, rnd.random() < 0.9, rnd.random() < 0.5))
+    return out
+
+
+def plain_schedule(signals, rows):
+    """One trade after the other, day by day."""
+    bars = {(r[0], r[1]): r for r in rows}
+    taken = []
+    for setup in sorted({s[0] for s in signals}):
+        for ticker in sorted({r[0] for r in rows}):
+            busy = 0
+            for _, _, k, hold, mean_exit, _ in sorted(s for s in signals if s[0] == setup and s[1] == ticker):
+                r = bars[ticker, k]
+                if k <= busy or (ticker, k + 1) not in bars or r[7] is None:
+                    continue
+                entry, stop = r[8], r[8] - 3 * r[7]
+                if not entry > stop > 0:
+                    continue
+                for day in range(k + 1, k + hold + 1):
+                    if (ticker, day) not in bars:
+                        break
+                    b, last, price, phase = bars[ticker, day], day, bars[ticker, day][5], "CLOSE"
+                    if b[4] <= stop:
+                        price, phase = min(stop, b[3]), "OPEN" if b[3] <= stop else "INTRADAY"
+                        break
+                    if mean_exit and b[6] is not None and b[5] > b[6]:
+                        break
+                busy = last
+                taken.append((setup, ticker, bars[ticker, k][2], bars[ticker, last][2], entry, round(price, 6), phase))
+    return sorted(taken)
+
+
+def test_schedules_equal_a_walk_through_days(spark):
+    rows, rnd = schedule_rows(4), random.Random(5)
+    signals = sorted({(s, t, k) for s in ("X", "Y") for t in ("A", "B") for k in rnd.sample(range(1, 121), 40)})
+    signals = [(s, t, k, 8 if s == "X" else 15, s == "X", float(k)) for s, t, k in signals]
+    table = spark.createDataFrame(rows, ROWS)
+    chosen = spark.createDataFrame(signals, "setup string, ticker string, ord int, holding int, mean_exit boolean, priority double").join(table.select("ticker", "ord", "session", "atr", "next_open", "next_session"), ["ticker", "ord"])
+    got = schedules.schedule(chosen, table).collect()
+    assert sorted((r.setup, r.ticker, r.signal_session, r.exit_session, r.entry, round(r.exit_price, 6), r.exit_phase) for r in got) == plain_schedule(signals, rows)
+    assert {r.exit_phase for r in got} == {"OPEN", "INTRADAY", "CLOSE"}
+    one = got[0]
+    assert one.r == pytest.approx((one.exit_price - one.entry - (one.entry + one.exit_price) * 0.002) / (one.entry - one.stop))
+    assert schedules.schedule(chosen.limit(0), table).count() == 0
+
+
+def test_reports_find_their_bars(spark):
+    rows, rnd = schedule_rows(6), random.Random(7)
+    reports = [(rnd.choice("AB"), START + DAY * rnd.randrange(-10, 860) + dt.timedelta(hours=rnd.randrange(24)), rnd.choice([5.0, 12.0, 30.0, None, math.nan, math.inf])) for _ in range(200)]
+    want = {}
+    for t, at, surprise in sorted(reports, key=lambda r: r[1]):
+        own = [r for r in rows if r[0] == t]
+        before, after = [r for r in own if r[2].date() < at.date()], [r for r in own if r[2].date() > at.date()]
+        if before and after and surprise is not None and 10 <= surprise < math.inf and after[0][10] and after[0][5] > before[-1][5]:
+            for setup in ["PEAD", "PEAD_MKT"] if after[0][11] else ["PEAD"]:
+                want[setup, t, after[0][1]] = surprise
+    found = schedules.report_signals(spark.createDataFrame(rows, ROWS), spark.createDataFrame(reports, "ticker string, announced_at timestamp, surprise double"))
+    assert {(r.setup, r.ticker, r.ord): r.priority for r in found.collect()} == want
+
+
+def test_ranks_over_a_common_calendar(spark):
+    closes = {"A": {0: 1.0, 1: 2.0, 2: 4.0, 3: 4.0}, "B": {0: 1.0, 1: 1.0, 3: 3.0}, "C": {1: 5.0, 2: 5.0, 3: 10.0}}
+    bars = spark.createDataFrame([(t, START + DAY * k, v) for t, days in closes.items() for k, v in days.items()], "ticker string, session timestamp, close double")
+    got = {(r.ticker, (r.session - START).days): r.rank for r in schedules.panel_ranks(bars, 1).collect()}
+    # day 1: A +100 %, B 0; day 2: A +100 %, B kept 0, C 0; day 3: A 0, B +200 %, C +100 %
+    assert got == {("A", 1): 1.0, ("B", 1): 0.5, ("A", 2): 1.0, ("B", 2): 0.5, ("C", 2): 0.5, ("A", 3): pytest.approx(1 / 3), ("B", 3): 1.0, ("C", 3): pytest.approx(2 / 3)}
+
+
+# ---- grids
+
+
+def test_a_grid_is_its_variants_one_by_one(spark):
+    bars = spark.createDataFrame(walk(n=400, tickers=("A", "B", "C", "D"))).cache()
+    found = indicators.add_indicators(bars).cache()
+    together = {tuple(r) for r in setups.swing_variants(found, grid.GRID).collect()}
+    apart = {tuple(r) for v in grid.GRID for r in setups.swing_variants(found, (v,)).collect()}
+    assert together == apart and len(grid.GRID) == 11
+    plain = {tuple(r) for r in setups.swing_setups(found).collect()}
+    assert plain == {r[2:] for r in together if r[0] == "fixed_default"} and plain
+    free, costly = (grid.replay(found, bars, grid.SLIPPAGE, preset=p).collect() for p in ("none", "delivery"))
+    assert free and all(r.net_r == r.gross_r for r in free)
+    by = {(r.variant, r.ticker, r.signal_ord): r for r in costly}
+    for (v, t, k), r in by.items():
+        share = 2 * (0.0008 * r.slippage + 0.0000355 * 1.18) + 0.00215
+        assert r.net_r == pytest.approx(r.gross_r - r.entry * share / (r.entry - r.stop), abs=2e-4)
+        assert r.net_r <= by["fixed_default", t, k].net_r
+    assert len(setups.swing_setups(found, market.benchmark(bars)).columns) == 11

@@ -45,11 +45,12 @@ def outcomes(trades: DataFrame, bars: DataFrame, friction: Column | None = None)
     first = F.min(F.when(c("touch").isNotNull(), F.struct("day", "session", c("touch").alias("r"), "hit")))
     last = F.max(F.struct("day", "session", c("at_close").alias("r"), F.lit(False).alias("hit")))
     exits = ended.groupBy("trade_id").agg(F.coalesce(first, last).alias("x"))
-    cost = F.lit(0.0) if friction is None else friction
+    exact = lambda x: x.cast("decimal(20,9)")
+    net = c("gross_r") if friction is None else F.round(exact(c("gross_r")) - exact(friction), 4).cast("double")
     out = trades.join(exits, "trade_id", "left").withColumn("gross_r", F.round(F.coalesce("x.r", F.lit(0.0)), 4))
     return out.withColumns(
         {
-            "net_r": F.when(c("x").isNotNull(), F.round(c("gross_r") - cost, 4)).otherwise(0.0),
+            "net_r": F.when(c("x").isNotNull(), net).otherwise(0.0),
             "hit": F.coalesce("x.hit", F.lit(False)),
             "bars_held": F.coalesce("x.day", F.lit(0)),
             "exit_session": c("x.session"),
@@ -65,11 +66,11 @@ COSTS = {
 }
 
 
-def friction_r(entry: Column, risk: Column, shares: Column | None = None, preset: str = "delivery") -> Column:
-    """Round-trip costs in units of the initial risk; 0 without risk."""
+def friction_r(entry: Column, risk: Column, shares: Column | None = None, preset: str = "delivery", slippage: Column | float = 1.0) -> Column:
+    """Round-trip costs in units of the initial risk; 0 without risk.  `slippage` multiplies that part of the preset."""
     p = COSTS[preset]
     taxed = (p["brokerage"] + p["exchange"] + p["regulator"]) * (1 + p["gst"])
-    share = 2 * (p["slippage"] + taxed) + p["buy_tax"] + p["stamp"] + p["sell_tax"]
+    share = 2 * (p["slippage"] * slippage + taxed) + p["buy_tax"] + p["stamp"] + p["sell_tax"]
     flat = F.when(shares > 0, F.lit(p["flat"]) / (risk * shares)).otherwise(0.0) if shares is not None else F.lit(0.0)
     return F.when(risk > 0, F.round(entry * share / risk + flat, 5)).otherwise(0.0)
 

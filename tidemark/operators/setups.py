@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.indicators import by_ticker, sliding
+from tidemark.operators.indicators import Mean, by_ticker, recursions, sliding, with_moves
 
 #: Limits of the leader pullback.
 LEADER_BARS, LEADER_SHARE, RSI_LIMIT, LEADER_TOP = 126, 0.80, 10.0, 20
@@ -77,47 +79,81 @@ def leader_pullback(
     )
 
 
+class Variant(NamedTuple):
+    """Parameters of the swing setups; stop_ranges, if given, sets the stop so many ranges below the close in place of the recent lows."""
+
+    variant: str = "fixed_default"
+    lookback: int = RESISTANCE_BARS
+    least_rvol: float = BREAKOUT_VOLUME
+    breakout_bars: int = BREAKOUT_HOLD
+    pullback_bars: int = PULLBACK_HOLD
+    stop_ranges: float | None = None
+    slippage: float = 1.0
+
+
+_KINDS = {"variant": "string", "lookback": "int", "least_rvol": "double", "breakout_bars": "int", "pullback_bars": "int", "stop_ranges": "double", "slippage": "double"}
+
+
 def swing_setups(indicators: DataFrame, bench: DataFrame | None = None) -> DataFrame:
     """Breakout and pullback plans: strategy, entry bounds, stop, targets and holding limit, for every session.
 
     indicators holds add_indicators' rows; bench (session, bench) adds the trend and strength filters.
     """
+    return swing_variants(indicators, (Variant(),), bench).drop("variant", "slippage")
+
+
+def swing_variants(indicators: DataFrame, variants: tuple[Variant, ...], bench: DataFrame | None = None) -> DataFrame:
+    """swing_setups' plans under each variant (variant, slippage, ...), in one pass.
+
+    What variants share is computed once a bar: indicators, the candle, the pullback, and one resistance for each distinct
+    lookback.  Only bars that pass the shared filters unfold into variants, whose parameters are then columns.
+    """
     w, c = by_ticker(), F.col
     rows = indicators
     eligible = F.lit(True)
     if bench is not None:
-        market = Window.orderBy("session")
-        context = bench.withColumn("__b63", F.lag("bench", 63).over(market)).withColumn("__b_up", c("bench") > F.avg("bench").over(market.rowsBetween(-49, 0)))
+        market = Window.orderBy("session")  # one small row a session
+        series = bench.select(F.lit("").alias("ticker"), "session", "bench", *(c("bench").alias(n) for n in ("high", "low", "close")))
+        means = recursions(with_moves(series), means={"__b_mean": Mean("close", 2 / 51)}, bands=False)
+        context = means.select("session", "bench", "__b_mean", F.lag("bench", 63).over(market).alias("__b63")).withColumn("__b_up", c("bench") > c("__b_mean"))
         rows = rows.join(context, "session")
         eligible = (
             (c("close") > c("ema_20")) & (c("ema_20") > c("ema_50")) & (c("ema_50") > c("ema_200")) & (c("ema_50") > c("__ema50_10"))
             & ((c("close") - c("ema_20")) / c("atr") <= 3) & (c("__b63") > 0) & c("__b_up") & (c("close") / c("__close63") >= c("bench") / c("__b63"))
         )
     close, atr, low = c("close"), c("atr"), c("low")
+    lookbacks = sorted({v.lookback for v in variants})
     features = rows.withColumns(
         {
-            "__bar": F.row_number().over(w), "__ema50_10": F.lag("ema_50", 10).over(w), "__close63": F.lag("close", 63).over(w),
-            "__resistance": sliding(c("high"), -RESISTANCE_BARS, -1, F.max, full=False), "__overhead": sliding(c("high"), -63, -1, F.max, full=False),
+            "__bar": F.row_number().over(w), "__ema50_10": F.lag("ema_50", 10).over(w), "__close63": F.lag("close", 63).over(w), "__overhead": sliding(c("high"), -63, -1, F.max, full=False),
             "__low5": sliding(low, -5, -1, F.min, full=False), "__held": sliding((c("close") >= c("ema_50")).cast("int"), -5, -1, F.min, full=False),
             "__recent": F.collect_list(F.struct("low", "ema_20")).over(w.rowsBetween(-5, -1)), "__high1": F.lag("high").over(w),
+            **{f"__resistance_{n}": sliding(c("high"), -n, -1, F.max, full=False) for n in lookbacks},
         }
     )
     span = c("high") - low
     candle = (span > 0) & (span <= 2.5 * atr) & ((close - low) / span >= 0.6)
-    breakout = (close > c("__resistance")) & (close - c("__resistance") <= 0.75 * atr) & (c("rvol_20") >= BREAKOUT_VOLUME)
     touched = F.exists("__recent", lambda b: b["low"] <= b["ema_20"] + 0.25 * atr)
     pullback = touched & (c("__held") == 1) & (close > c("__high1")) & (close > c("open"))
-    kind = F.when(breakout, "BREAKOUT").when(pullback, "PULLBACK")
-    found = features.where((c("__bar") >= SWING_BARS) & (close > 0) & (atr > 0) & eligible & candle).withColumn("strategy", kind).where("strategy is not null")
-    found = found.withColumn("stop", F.round(F.least(c("__low5"), low) - STOP_BUFFER * atr, 2)).withColumn("__risk", close - c("stop"))
-    found = found.where((c("stop") > 0) & (c("__risk") >= 0.75 * atr) & (c("__risk") <= 3 * atr))
+    above = F.lit(False)
+    for n in lookbacks:
+        above = above | (close > c(f"__resistance_{n}"))
+    shared = features.where((c("__bar") >= SWING_BARS) & (close > 0) & (atr > 0) & eligible & candle).withColumn("__pullback", F.coalesce(pullback, F.lit(False))).where(c("__pullback") | above)
+    each = [F.struct(*(F.lit(x).cast(_KINDS[n]).alias(n) for n, x in v._asdict().items()), c(f"__resistance_{v.lookback}").alias("__resistance")) for v in variants]
+    found = shared.select("*", F.inline(F.array(*each)))
+    breakout = (close > c("__resistance")) & (close - c("__resistance") <= 0.75 * atr) & (c("rvol_20") >= c("least_rvol"))
+    found = found.withColumn("strategy", F.when(breakout, "BREAKOUT").when(c("__pullback"), "PULLBACK")).where("strategy is not null")
+    structure = F.least(c("__low5"), low) - STOP_BUFFER * atr
+    found = found.withColumn("stop", F.round(F.coalesce(close - c("stop_ranges") * atr, structure), 2)).withColumn("__risk", close - c("stop"))
+    nearest = F.when(c("stop_ranges").isNotNull(), 0.25).otherwise(0.75)
+    found = found.where((c("stop") > 0) & (c("__risk") >= nearest * atr) & (c("__risk") <= 3 * atr))
     goal = close + 2 * c("__risk")
     found = found.withColumn("target", F.round(F.when(c("__overhead") > close + 0.2 * atr, F.least(goal, c("__overhead"))).otherwise(goal), 2))
     found = found.where((c("target") - close) / c("__risk") >= LEAST_REWARD)
     highest = F.least(close + GAP_RANGES * atr, (c("target") + LEAST_REWARD * c("stop")) / (1 + LEAST_REWARD))
     return found.select(
-        "ticker", "session", "strategy", close.alias("entry"), F.round(F.greatest(close - 0.5 * atr, c("stop") + 0.5 * atr), 2).alias("entry_min"), (F.floor(highest * 100) / 100).alias("entry_max"),
-        "stop", "target", F.round(close + 3 * c("__risk"), 2).alias("target2"), F.when(c("strategy") == "BREAKOUT", BREAKOUT_HOLD).otherwise(PULLBACK_HOLD).alias("time_stop"), "atr",
+        "variant", "slippage", "ticker", "session", "strategy", close.alias("entry"), F.round(F.greatest(close - 0.5 * atr, c("stop") + 0.5 * atr), 2).alias("entry_min"), (F.floor(highest * 100) / 100).alias("entry_max"),
+        "stop", "target", F.round(close + 3 * c("__risk"), 2).alias("target2"), F.when(c("strategy") == "BREAKOUT", c("breakout_bars")).otherwise(c("pullback_bars")).alias("time_stop"), "atr",
     )
 
 

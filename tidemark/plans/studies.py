@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.statistics import exact_mean
-from tidemark.operators import bitemporal, market, schedules
+from tidemark.operators import bitemporal, grid, indicators, market, schedules
 from tidemark.plans import views
-from tidemark.plans.registry import _BARS, query, rounded
+from tidemark.plans.registry import _BARS, _SUPER, query, rounded
 
 #: Reports as they were first known, with their surprise in percent.
 _REPORTS = f"""rep AS (SELECT ticker, announced_at, CASE WHEN expected_eps <> 0 THEN (actual_eps - expected_eps) / abs(expected_eps) * 100 END AS surprise
@@ -88,3 +88,53 @@ def index_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = index.groupBy("index", F.date_trunc("month", "session")).agg(F.min("session").alias("session"))
     points = months.select(F.row_number().over(Window.orderBy("index", "session")).alias("point_id"), "index", "session", (c("session") + F.expr("interval 3 days")).alias("asof"))  # one small row a month
     return rounded(bitemporal.index_history(points, first.unionByName(later), bars, 26), 6, "close")
+
+
+def _grid_sql(variants: tuple[grid.Variant, ...]) -> str:
+    """The SQL of by_strategy over replay: every variant's plans are found by themselves from the indicators."""
+    values = ", ".join(f"('{v.variant}', {v.lookback}, {v.least_rvol!r}, {v.breakout_bars}, {v.pullback_bars}, CAST({'NULL' if v.stop_ranges is None else v.stop_ranges} AS DOUBLE), {v.slippage!r})" for v in variants)
+    looks = sorted({v.lookback for v in variants})
+    highs = ", ".join(f"max(high) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS r{n}" for n in looks)
+    resistance = " ".join(f"WHEN {n} THEN r{n}" for n in looks)
+    return f"""WITH RECURSIVE {_SUPER}, va AS (SELECT * FROM (VALUES {values}) AS t(variant, lookback, least_rvol, bo, pb, ranges, slip)),
+o AS (SELECT ticker, session, open, high, low, close, row_number() OVER w AS ord, lead(open) OVER w AS nopen, lead(session) OVER w AS nsess, CASE WHEN count(volume) OVER p = 20 THEN avg(volume) OVER p END AS pv
+  FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY session), p AS (PARTITION BY ticker ORDER BY session ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+y AS (SELECT ticker, session, open, high, low, close, volume, ema_20, ema_50, atr, row_number() OVER w AS bar, lag(high) OVER w AS high1, {highs},
+  max(high) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) AS overhead, min(low) OVER b5 AS low5,
+  min(CASE WHEN close >= ema_50 THEN 1 ELSE 0 END) OVER b5 AS held, list({{'l': low, 'e': ema_20}}) OVER b5 AS recent
+  FROM whole WINDOW w AS (PARTITION BY ticker ORDER BY session), b5 AS (PARTITION BY ticker ORDER BY session ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+z AS (SELECT y.*, va.*, ord, nopen, nsess, volume / nullif(pv, 0) AS rvol, CASE lookback {resistance} END AS res FROM y JOIN (SELECT ticker, session, ord, nopen, nsess, pv FROM o) USING (ticker, session) CROSS JOIN va
+  WHERE bar >= 150 AND atr > 0 AND high - low > 0 AND high - low <= 2.5 * atr AND (close - low) / (high - low) >= 0.6),
+k AS (SELECT *, CASE WHEN close > res AND close - res <= 0.75 * atr AND rvol >= least_rvol THEN 'BREAKOUT' WHEN len(list_filter(recent, lambda v: v.l <= v.e + 0.25 * atr)) > 0 AND held = 1 AND close > high1 AND close > open THEN 'PULLBACK' END AS strategy FROM z),
+s1 AS (SELECT *, round(coalesce(close - ranges * atr, least(low5, low) - 0.1 * atr), 2) AS stop FROM k WHERE strategy IS NOT NULL),
+s2 AS (SELECT *, close - stop AS risk FROM s1 WHERE stop > 0 AND close - stop >= (CASE WHEN ranges IS NULL THEN 0.75 ELSE 0.25 END) * atr AND close - stop <= 3 * atr),
+s3 AS (SELECT *, round(CASE WHEN overhead > close + 0.2 * atr THEN least(close + 2 * risk, overhead) ELSE close + 2 * risk END, 2) AS target FROM s2),
+s4 AS (SELECT *, round(greatest(close - 0.5 * atr, stop + 0.5 * atr), 2) AS lo, floor(least(close + 0.5 * atr, (target + 1.5 * stop) / 2.5) * 100) / 100 AS hi, CASE WHEN strategy = 'BREAKOUT' THEN bo ELSE pb END AS hold
+  FROM s3 WHERE (target - close) / risk >= 1.5),
+s5 AS (SELECT *, nopen AS entry, nopen - stop AS r1 FROM s4 WHERE nopen >= lo AND nopen <= hi AND nopen > stop AND (target - nopen) / (nopen - stop) >= 1.5),
+s6 AS (SELECT *, round(entry * (2 * (0.0008 * slip + (0.0 + 0.0000345 + 0.000001) * 1.18) + 0.001 + 0.00015 + 0.001) / r1, 5) AS cost FROM s5 WHERE least(trunc(2500 / r1), trunc(100000 / entry)) > 0),
+d AS (SELECT s6.variant, s6.ticker, s6.ord AS sig, o.ord - s6.ord AS day, CASE WHEN o.open <= stop THEN (o.open - entry) / r1 WHEN o.low <= stop THEN -1.0 WHEN o.open >= target THEN (o.open - entry) / r1 WHEN o.high >= target THEN abs(target - entry) / r1 END AS touch,
+  (o.close - entry) / r1 AS r_close FROM s6 JOIN o ON o.ticker = s6.ticker AND o.ord > s6.ord AND o.ord <= s6.ord + hold),
+x AS (SELECT variant, ticker, sig, coalesce(arg_min(touch, day) FILTER (touch IS NOT NULL), arg_max(r_close, day)) AS r FROM d GROUP BY ALL),
+done AS (SELECT s6.variant, CASE WHEN nsess < TIMESTAMP '1997-01-01' THEN 'DEV' ELSE 'HOLD' END AS period, strategy, round(r, 4) AS gross_r, CAST(round(CAST(round(r, 4) AS DECIMAL(20,9)) - CAST(cost AS DECIMAL(20,9)), 4) AS DOUBLE) AS net_r FROM s6 JOIN x ON x.variant = s6.variant AND x.ticker = s6.ticker AND x.sig = s6.ord)
+SELECT variant, period, strategy, count(*) AS trades, round(avg(gross_r), 6) AS mean_gross_r, round(avg(net_r), 6) AS mean_net_r, round(avg(CASE WHEN net_r > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, count(*) FILTER (gross_r <= -1) AS stopped
+FROM done GROUP BY variant, period, strategy"""
+
+
+def _grid(spark: SparkSession, sf_dir: str, variants: tuple[grid.Variant, ...]) -> DataFrame:
+    bars = views.bars_walk(spark, sf_dir)
+    period = F.when(F.col("entry_session") < F.lit("1997-01-01").cast("timestamp"), "DEV").otherwise("HOLD")
+    found = grid.by_strategy(grid.replay(indicators.add_indicators(bars), bars, variants), period)
+    return rounded(found, 6, "mean_gross_r", "mean_net_r", "win_rate")
+
+
+@query(_grid_sql(grid.GRID))
+def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eleven variants of the swing setups in one plan, net of costs, by period and strategy."""
+    return _grid(spark, sf_dir, grid.GRID)
+
+
+@query(_grid_sql(grid.SLIPPAGE))
+def slippage_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default setups under one, two and three times the usual slippage."""
+    return _grid(spark, sf_dir, grid.SLIPPAGE)
