@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bitemporal, grid, indicators, market, schedules, setups
+from tidemark.operators import bitemporal, factors, gates, grid, indicators, market, plugs, scan, schedules, setups
 
 from .test_operators import walk
 
@@ -179,3 +179,47 @@ def test_a_grid_is_its_variants_one_by_one(spark):
         assert r.net_r == pytest.approx(r.gross_r - r.entry * share / (r.entry - r.stop), abs=2e-4)
         assert r.net_r <= by["fixed_default", t, k].net_r
     assert len(setups.swing_setups(found, market.benchmark(bars)).columns) == 11
+
+
+# ---- plug points
+
+
+def test_plugs_are_checked_before_they_run(spark):
+    rows = spark.createDataFrame([("A", START, "RANGE", "LONG", 10.0, 9.0)], "ticker string, session timestamp, regime string, direction string, entry double, stop double")
+    gate = plugs.probability_gate(lambda: F.when(F.col("regime") == "RANGE", 0.6).otherwise(0.5))
+    assert gate.apply(rows).first().least_probability == 0.6
+    with pytest.raises(plugs.PlugError, match="needs regime string .is missing."):
+        gate.apply(rows.drop("regime"))
+    with pytest.raises(plugs.PlugError, match="ticker string .is int."):
+        gate.apply(rows.withColumn("ticker", F.lit(1)))
+    with pytest.raises(plugs.PlugError, match="drops"):
+        plugs.Plug("lossy", "ticker string", "x int", lambda d: d.select("ticker", F.lit(1).alias("x"))).apply(rows)
+    with pytest.raises(plugs.PlugError, match="gives entry double"):
+        plugs.signal_provider(lambda d: d.select("ticker")).apply(rows.selectExpr("ticker", "session", "entry close", "stop atr"))
+    with pytest.raises(plugs.PlugError, match="no DataFrame"):
+        plugs.bar_provider(lambda d: None).apply(rows)
+    guards = (plugs.entry_guard(lambda: F.when(F.col("entry") > 11, "DEAR")), plugs.entry_guard(lambda: F.when(F.col("stop") < 8, "WIDE")))
+    more = rows.union(rows.withColumn("entry", F.lit(12.0))).union(rows.withColumn("stop", F.lit(7.0))).union(rows.withColumn("entry", F.lit(12.0)).withColumn("stop", F.lit(7.0)))
+    accepted, refused = plugs.guarded(more, guards)
+    assert accepted.count() == 1 and sorted(r.guard_reason for r in refused.collect()) == ["DEAR", "DEAR", "WIDE"]
+
+
+def test_scans_take_plugs(spark):
+    """Plugs that say what a scan does by itself change nothing; others change what they are for."""
+    c = F.col
+    bars = spark.createDataFrame(walk(n=260, tickers=tuple("ABCDEF"), seed=3)).withColumn("volume", F.col("volume") * 1e6)
+    run = lambda **plugged: {(r.ticker, r.session): r for r in scan.score_universe(bars, 6, 1.0, 1.0, **plugged).select("ticker", "session", "composite", "probability", "shares", "tier").collect()}
+    usual = run()
+    own = {k: F.array(*map(F.lit, map(float, w))) for k, w in factors.REGIME_WEIGHTS.items()}
+
+    def weights(rows):
+        value = F.lit(None).cast("array<double>")
+        for regime, w in own.items():
+            value = F.when(c("regime") == regime, w).otherwise(value)
+        return rows.withColumn("factor_weights", value)
+
+    same = run(gate=plugs.probability_gate(lambda: gates.regime_threshold(c("regime"))), scaler=plugs.capital_scaler(lambda: F.lit(1.0)), weights=plugs.weight_provider(weights))
+    assert usual and same == usual
+    halved = run(gate=plugs.probability_gate(lambda: F.lit(2.0)), scaler=plugs.capital_scaler(lambda: F.lit(0.5)))
+    assert {r.tier for r in halved.values()} <= {"WATCH"}
+    assert all(r.shares <= usual[k].shares for k, r in halved.items() if k in usual) and any(r.shares < usual[k].shares for k, r in halved.items() if k in usual)

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import DenseMatrix, DenseVector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.statistics import correlation
 from tidemark.operators.indicators import add_indicators
 from tidemark.operators.outcomes import forward_bars, outcomes
+from tidemark.operators.plugs import Plug, guarded
 
 
 def session_folds(sessions: DataFrame, train: int, test: int, step: int) -> DataFrame:
@@ -151,19 +152,21 @@ def calibration_set(trades: DataFrame, weights: dict[str, float], least: int = 8
     return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("__n")))).where(F.col("__n") >= least).drop("__n")
 
 
-def walk_forward(bars: DataFrame, folds: DataFrame, screen: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def walk_forward(bars: DataFrame, folds: DataFrame, screen: Callable[[DataFrame], DataFrame] | Plug, guards: tuple[Plug, ...] = (), friction: Column | None = None) -> DataFrame:
     """Outcomes (fold, ticker, net_r, hit, bars_held, ...) of what `screen` picks on each fold's last training session.
 
     All folds run at once: bars meet the folds on session (a bar is in few of them), and a fold's ticker is
     a group of its own, so indicators start afresh in every training slice.  screen takes the last
     bars with indicators and returns fold, ticker, entry, stop, target, direction, time_stop; entries
-    run over the test slice only.
+    run over the test slice only.  A screen that is a signal provider is checked before it runs; what an entry guard
+    (of columns fold, ticker, entry, stop) gives a reason against isn't entered; friction is outcomes' cost.
     """
     rows = bars.join(folds, "session").withColumn("__key", F.concat_ws(":", "fold", "ticker"))
     train = rows.where("role = 'train'").drop("role", "__key")
     ends = folds.where("role = 'train'").groupBy("fold").agg(F.max("session").alias("session"))
     last = add_indicators(train, complete=False, partition=("fold", "ticker")).join(ends, ["fold", "session"], "left_semi")
     key = F.concat_ws(":", "fold", "ticker")
-    picked = screen(last).withColumns({"trade_id": key, "signal_ord": F.lit(0), "__ticker": F.col("ticker"), "ticker": key})
+    picked, _ = guarded(screen.apply(last) if isinstance(screen, Plug) else screen(last), guards)
+    picked = picked.drop("session", "open", "high", "low", "close").withColumns({"trade_id": key, "signal_ord": F.lit(0), "__ticker": F.col("ticker"), "ticker": key})
     test = rows.where("role = 'test'").select(F.col("__key").alias("ticker"), "session", "open", "high", "low", "close")
-    return outcomes(picked, test).drop("ticker").withColumnRenamed("__ticker", "ticker")
+    return outcomes(picked, test, friction).drop("ticker").withColumnRenamed("__ticker", "ticker")

@@ -167,10 +167,16 @@ def score_factors(bars: DataFrame, n_sectors: int, turnover_floor: float = 35_00
 
 
 def composite(scored: DataFrame) -> DataFrame:
-    """scored (with `regime`) and the weighted sum of its scores; unknown regimes weigh all alike."""
+    """scored (with `regime`) and the weighted sum of its scores; unknown regimes weigh all alike.
+
+    Rows with factor_weights, an array in the order of NAMES, are weighed by it; one of another length counts as none.
+    """
     value = F.lit(None).cast("double")
     for regime, weights in REGIME_WEIGHTS.items():
         value = F.when(F.col("regime") == regime, sum(F.col(n) * w for n, w in zip(NAMES, weights))).otherwise(value)
+    if "factor_weights" in scored.columns:
+        own = sum(F.col(n) * F.col("factor_weights")[k] for k, n in enumerate(NAMES))
+        value = F.coalesce(F.when(F.size("factor_weights") == len(NAMES), own), value)
     equal = sum(F.col(n) for n in NAMES) / len(NAMES)
     return scored.withColumn("composite", F.round(F.coalesce(value, equal), 4))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import book, factors, gates, indicators, market, sizing
+from tidemark.operators.plugs import Plug
 
 
 def score_universe(
@@ -19,12 +20,18 @@ def score_universe(
     session_label: str = "CLOSING_TREND",
     fraction: float = 1.0,
     held: DataFrame | None = None,
+    gate: Plug | None = None,
+    scaler: Plug | None = None,
+    weights: Plug | None = None,
 ) -> DataFrame:
     """Every bar that a scan of its session selects or watches, with its scores, levels, size, tier and reasons.
 
     bars: ticker, sector, session, open, high, low, close, volume.  held: session, ticker, held_direction of open positions, which
     pass the filters and need less probability.  least_turnover is the filter's floor, where it isn't the one that scores refer to.  Cohort ranks are taken among the candidates that passed the first gates.  A session without
     candidates gives no rows; bars before an indicator is known are no candidates.
+
+    Plugs replace parts: `gate` the least probability of a selection, `scaler` the share of the usual risk (`fraction`), `weights`
+    the regime's factor weights.
     """
     c = F.col
     lowest = turnover_floor if least_turnover is None else least_turnover
@@ -50,17 +57,22 @@ def score_universe(
     rows = rows.withColumn("__passed", passed)
     scored = factors.score_factors(factors.volume_profile(rows), n_sectors, turnover_floor)
     first = scored.where(c("__passed") & gates.counter_trend_gate(c("direction"), c("regime"), c("rs_score"), c("held")))
-    ranked = factors.composite(factors.blend_cohorts(first, least=cohort[0], full=cohort[1]))
+    blended = factors.blend_cohorts(first, least=cohort[0], full=cohort[1])
+    ranked = factors.composite(weights.apply(blended) if weights else blended)
     # as a generator's one row, so that the filter on the tier isn't pushed below it with all scores written out in it
     adjusted = book.adjusted_composite(c("composite"), F.lit(session_label), c("regime"), c("direction"))
     ranked = ranked.withColumn("__adjusted", F.explode(F.array(adjusted))).withColumn("composite", c("__adjusted")).drop("__adjusted")
-    sized = sizing.with_size(sizing.with_targets(ranked), *platt, fraction=fraction)
+    aimed = sizing.with_targets(ranked)
+    sized = sizing.with_size(scaler.apply(aimed) if scaler else aimed, *platt, fraction=c("capital_fraction") if scaler else fraction)
+    least = gates.regime_threshold(c("regime"))
+    if gate:
+        sized, least = gate.apply(sized), c("least_probability")
     trail, time_stop = book.trade_management(c("direction"), c("close"), c("atr"), c("atr_pctile"))
     long = c("direction") == "LONG"
     stacked = F.when(long, (c("ema_20") > c("ema_50")) & (c("ema_50") > c("ema_200"))).otherwise((c("ema_20") < c("ema_50")) & (c("ema_50") < c("ema_200")))
     out = sized.withColumns(
         {
-            "tier": gates.tier(c("probability"), c("expectancy"), c("held"), least=gates.regime_threshold(c("regime"))),
+            "tier": gates.tier(c("probability"), c("expectancy"), c("held"), least=least),
             "trail_stop": trail,
             "time_stop": time_stop,
             "action": F.when(long, "BUY").otherwise("SELL"),

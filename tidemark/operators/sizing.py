@@ -43,20 +43,21 @@ def with_kurtosis(bars: DataFrame) -> DataFrame:
     return out.withColumn("excess_kurtosis", F.coalesce(clip(value, 0.0, 20.0), F.lit(KURTOSIS_DEFAULT))).drop("__ret")
 
 
-def with_size(rows: DataFrame, a: float, b: float, risk: float = 5_000.0, share: float = 0.5, most: float = 2.0, least_shares: int = 1, fraction: float = 1.0) -> DataFrame:
+def with_size(rows: DataFrame, a: float, b: float, risk: float = 5_000.0, share: float = 0.5, most: float = 2.0, least_shares: int = 1, fraction: Column | float = 1.0) -> DataFrame:
     """rows (close, stop, rr, composite, excess_kurtosis) with probability, kelly, shares, risk_amount and expectancy.
 
     The Kelly fraction shrinks by 3 / (3 + excess kurtosis); the risk is held between a quarter and
-    `most` times the usual one; a share that alone risks more than that isn't bought.
+    `most` times the usual one; a share that alone risks more than that isn't bought.  `fraction` scales all of these.
     """
     c = F.col
+    part = fraction if isinstance(fraction, Column) else F.lit(float(fraction))
     per_share = F.abs(c("close") - c("stop"))
     p = sigmoid(c("composite"), a, b)
     out = rows.withColumn("probability", p)
     kelly = F.when(c("rr") > 0, F.greatest(F.lit(0.0), (c("probability") * (c("rr") + 1) - 1) / c("rr"))).otherwise(0.0) * share * 3.0 / (3.0 + c("excess_kurtosis"))
     out = out.withColumn("kelly", F.round(kelly, 5))
-    budget = F.greatest(F.lit(risk * 0.25 * fraction), F.least(F.lit(risk * most * fraction), risk * F.greatest(kelly, F.lit(0.01)) * fraction))
+    budget = F.greatest(risk * 0.25 * part, F.least(risk * most * part, risk * F.greatest(kelly, F.lit(0.01)) * part))
     whole = (budget / per_share).cast("long")
-    shares = F.when((per_share <= 0) | F.lit(fraction <= 0) | ((whole <= 0) & (per_share > risk * most * fraction)), 0).otherwise(F.greatest(whole, F.lit(least_shares)))
+    shares = F.when((per_share <= 0) | (part <= 0) | ((whole <= 0) & (per_share > risk * most * part)), 0).otherwise(F.greatest(whole, F.lit(least_shares)))
     out = out.withColumn("shares", shares.cast("long")).withColumn("risk_amount", F.round(c("shares") * per_share, 2))
     return out.withColumn("expectancy", F.round(c("probability") * c("rr") - (1 - c("probability")), 4))

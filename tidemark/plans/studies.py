@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.statistics import exact_mean
-from tidemark.operators import bitemporal, grid, indicators, market, schedules
+from tidemark.operators import bitemporal, evaluation, grid, indicators, market, outcomes, plugs, schedules
 from tidemark.plans import views
-from tidemark.plans.registry import _BARS, _SUPER, query, rounded
+from tidemark.plans.evidence import _FOLD_ROWS
+from tidemark.plans.registry import _BARS, _INDICATORS, _SUPER, query, rounded
 
 #: Reports as they were first known, with their surprise in percent.
 _REPORTS = f"""rep AS (SELECT ticker, announced_at, CASE WHEN expected_eps <> 0 THEN (actual_eps - expected_eps) / abs(expected_eps) * 100 END AS surprise
@@ -138,3 +139,37 @@ def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slippage_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default setups under one, two and three times the usual slippage."""
     return _grid(spark, sf_dir, grid.SLIPPAGE)
+
+
+#: The indicators of every fold's training bars: the part of the indicator SQL after the bars, over the folds' rows.
+_FOLD_INDICATORS = _INDICATORS.removeprefix(f"{_BARS},").replace("FROM bars WINDOW", "FROM fr WHERE train WINDOW")
+if _FOLD_INDICATORS.count("FROM fr WHERE train") != 1 or "FROM bars" in _FOLD_INDICATORS:
+    raise AssertionError("the indicator SQL has changed: name the parts that the folds take")
+
+
+@query(
+    f"""WITH {_FOLD_ROWS}, {_FOLD_INDICATORS},
+lastrow AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY session DESC) AS back, max(session) OVER (PARTITION BY fold) AS closing FROM ind),
+sg AS (SELECT ticker, fold, close AS entry, close - 2 * atr AS stop, close + 3 * atr AS target, 2 * atr AS risk FROM lastrow WHERE back = 1 AND session = closing AND atr > 0 AND close > ema_20 AND 2 * atr / close <= 0.2 AND close >= 50),
+ts AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY session) AS day FROM fr WHERE NOT train),
+dd AS (SELECT s.*, day, open, high, low, close FROM sg s JOIN ts USING (ticker, fold) WHERE day <= 8),
+dx AS (SELECT ticker, fold, day, CASE WHEN open <= stop THEN (open - entry) / (entry - stop) WHEN low <= stop THEN -1.0 WHEN open >= target THEN (open - entry) / (entry - stop) WHEN high >= target THEN (target - entry) / (entry - stop) END AS touch, (close - entry) / (entry - stop) AS r_close FROM dd),
+dy AS (SELECT ticker, fold, coalesce(arg_min(touch, day) FILTER (touch IS NOT NULL), arg_max(r_close, day)) AS r, coalesce(min(day) FILTER (touch IS NOT NULL), max(day)) AS held FROM dx GROUP BY ALL)
+SELECT CAST(s.fold AS INTEGER) AS fold, split_part(s.ticker, ':', 2) AS ticker, round(coalesce(r, 0), 4) AS gross_r, CAST(coalesce(held, 0) AS INTEGER) AS bars_held,
+  CASE WHEN r IS NULL THEN 0.0 ELSE CAST(round(CAST(round(r, 4) AS DECIMAL(20,9)) - CAST(round(entry * (2 * (0.0008 + (0.0 + 0.0000345 + 0.000001) * 1.18) + 0.001 + 0.00015 + 0.001) / (entry - stop), 5) AS DECIMAL(20,9)), 4) AS DOUBLE) END AS net_r
+FROM sg s LEFT JOIN dy USING (ticker, fold)"""
+)
+def plugged_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk-forward run whose signals and guards are plugs, net of costs."""
+    c = F.col
+    bars = views.bars_walk(spark, sf_dir)
+    folds = evaluation.session_folds(bars.select("session").distinct(), train=120, test=30, step=30)
+
+    def trend(found: DataFrame) -> DataFrame:
+        plan = {"entry": c("close"), "stop": c("close") - 2 * c("atr"), "target": c("close") + 3 * c("atr"), "direction": F.lit("LONG"), "time_stop": F.lit(8)}
+        return found.where("atr > 0 and close > ema_20").select("fold", "ticker", "session", *(v.alias(k) for k, v in plan.items()))
+
+    wide = plugs.entry_guard(lambda: F.when((c("entry") - c("stop")) / c("entry") > 0.2, "WIDE_STOP"))
+    cheap = plugs.entry_guard(lambda: F.when(c("entry") < 50, "LOW_PRICE"))
+    found = evaluation.walk_forward(bars, folds, plugs.signal_provider(trend), (wide, cheap), outcomes.friction_r(c("entry"), c("entry") - c("stop")))
+    return found.select("fold", "ticker", "gross_r", "net_r", "bars_held")
