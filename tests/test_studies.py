@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import bitemporal, factors, gates, grid, indicators, market, plugs, scan, schedules, setups
+from tidemark.sources import sinks
 
 from .test_operators import walk
 
@@ -223,3 +224,37 @@ def test_scans_take_plugs(spark):
     halved = run(gate=plugs.probability_gate(lambda: F.lit(2.0)), scaler=plugs.capital_scaler(lambda: F.lit(0.5)))
     assert {r.tier for r in halved.values()} <= {"WATCH"}
     assert all(r.shares <= usual[k].shares for k, r in halved.items() if k in usual) and any(r.shares < usual[k].shares for k, r in halved.items() if k in usual)
+
+
+# ---- exports
+
+
+def test_exports_are_chained_and_appends_read_no_history(spark, tmp_path):
+    schema = "sequence long, event_id string, payload string"
+    make = lambda n, change=None: spark.createDataFrame([(k, f"e{k}", change if change and k == 3 else None if k % 4 == 0 else "{}") for k in range(1, n + 1)], schema)
+    path = str(tmp_path / "export")
+    assert [sinks.append_export(make(n), path) for n in (4, 9, 9, 12)] == [4, 5, 0, 3]
+    assert spark.read.schema(schema).json(path).count() == 12 and sinks.verify_export(make(12), path).count() == 0
+    faults = lambda j: sorted((r.fault, r.key) for r in sinks.verify_export(j, path).collect())
+    assert faults(make(12, "x")) == [("CHANGED", 3)] and faults(make(12).where("sequence <> 5")) == [("NOT_IN_JOURNAL", 5)]
+    # a block left by an interrupted append is replaced
+    make(20).where("sequence > 12").write.json(f"{path}/block=4")
+    assert sinks.append_export(make(13), path) == 1 and spark.read.schema(schema).json(path).count() == 13
+    # old data that can't be read doesn't disturb an append, but a check
+    old = next((tmp_path / "export" / "block=1").glob("part-*"))
+    lines = [f for f in (tmp_path / "export" / "block=1").glob("part-*") if f.stat().st_size]
+    kept = [f.read_text() for f in lines]
+    for crc in (tmp_path / "export" / "block=1").glob(".*.crc"):
+        crc.unlink()
+    for f in lines:
+        f.write_text(f.read_text().replace("e2", "e9"))
+    assert old is not None and sinks.append_export(make(15), path) == 2
+    assert faults(make(15)) == [("BLOCK_CHANGED", None), ("CHANGED", 2)]
+    for f, text in zip(lines, kept):
+        f.write_text(text)
+    assert faults(make(15)) == []
+    with pytest.raises(ValueError):
+        sinks.append_export(make(16).withColumn("payload", F.lit("x")), path)
+    with pytest.raises(ValueError):
+        sinks.append_export(make(10), path)
+    assert sinks.append_export(make(0), str(tmp_path / "none")) == 0 and sinks.verify_export(make(3), str(tmp_path / "none")).count() == 0
