@@ -4,11 +4,13 @@ import datetime as dt
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bitemporal, factors, gates, grid, indicators, market, plugs, scan, schedules, setups
+from tidemark.operators import alerts, bitemporal, factors, gates, grid, indicators, market, plugs, scan, schedules, setups
 from tidemark.sources import sinks
+from tidemark.streaming import streams
 
 from .test_operators import walk
 
@@ -258,3 +260,68 @@ def test_exports_are_chained_and_appends_read_no_history(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.append_export(make(10), path)
     assert sinks.append_export(make(0), str(tmp_path / "none")) == 0 and sinks.verify_export(make(3), str(tmp_path / "none")).count() == 0
+
+
+# ---- streams
+
+
+def test_late_bars_are_put_in_order(spark, tmp_path):
+    """Bars that arrive shuffled, in five files, give what the batch gives; a bar behind the watermark is dropped."""
+    source = walk(90, tickers=("A", "B", "C")).drop(columns=["sector"])
+    rnd = random.Random(3)
+    order = sorted(range(len(source)), key=lambda k: (source.session[k] - source.session[0]).days + rnd.random() * 25)
+    parts = [order[k * 54 : (k + 1) * 54] for k in range(5)]
+    bars = spark.createDataFrame(source)
+    folder, ahead = str(tmp_path / "in"), source.session.max() + pd.Timedelta(days=400)
+    read = lambda: streams.indicator_stream(spark.readStream.schema(bars.schema).parquet(folder), late="30 days")
+
+    def run():
+        read().writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+
+    for k, part in enumerate(parts):
+        spark.createDataFrame(source.iloc[part]).coalesce(1).write.mode("append").parquet(folder)
+        if k % 2 == 0:
+            run()
+    run()
+    flush = pd.DataFrame({"ticker": ["A", "A"], "session": [ahead, source.session.min() - pd.Timedelta(days=1)], "open": 1.0, "close": 1.0, "volume": 1.0, "high": 1.0, "low": 1.0})
+    spark.createDataFrame(flush)[bars.columns].coalesce(1).write.mode("append").parquet(folder)
+    run()
+    got = spark.read.parquet(str(tmp_path / "out")).where(F.col("session") < F.lit(ahead)).orderBy("ticker", "session").toPandas()
+    want = indicators.add_indicators(bars, complete=False).orderBy("ticker", "session").toPandas()
+    assert len(got) == len(want)
+    for a, b in (("ema", "ema_20"), ("rsi", "rsi"), ("atr", "atr"), ("supertrend", "supertrend")):
+        assert got[a].tolist() == pytest.approx(want[b].tolist(), nan_ok=True)
+    assert got.super_up.tolist() == want.super_up.fillna(False).tolist()
+
+
+def plain_alerts(rows, least, hours, top):
+    out, sent = [], {}
+    for channel in sorted({r[0] for r in rows}):
+        for ts in sorted({r[1] for r in rows if r[0] == channel}):
+            n = 0
+            for _, _, key, _, p in sorted((r for r in rows if r[:2] == (channel, ts) and r[2]), key=lambda r: (r[3], r[2])):
+                last = sent.get((channel, key))
+                if p is not None and p >= least and n < top and (last is None or ts - last >= dt.timedelta(hours=hours)):
+                    sent[channel, key] = ts
+                    out.append((channel, ts, key, p))
+                    n += 1
+    return sorted(out)
+
+
+ALERTS = "channel string, ts timestamp, key string, place double, probability double"
+
+
+def test_alerts_remember_what_was_sent(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = [(c, START + dt.timedelta(hours=h), rnd.choice(["a", "b", "c", "d", None]), float(rnd.randrange(4)), rnd.choice([0.4, 0.55, 0.6, 0.9, None])) for c in "XY" for h in range(60) for _ in range(rnd.randrange(5))]
+    table = spark.createDataFrame(rows, ALERTS)
+    want = plain_alerts(rows, 0.55, 4, 2)
+    batch = alerts.alerts(table, 0.55, 4, 2)
+    assert sorted(map(tuple, batch.collect())) == want and len(want) > 40
+    assert alerts.alerts(table.limit(0)).count() == 0
+    folder = str(tmp_path / "in")
+    for k in range(3):  # three triggers go on from the kept state
+        table.where((F.col("ts") >= F.lit(START + dt.timedelta(hours=20 * k))) & (F.col("ts") < F.lit(START + dt.timedelta(hours=20 * (k + 1))))).coalesce(1).write.mode("append").parquet(folder)
+        stream = streams.alert_stream(spark.readStream.schema(ALERTS).parquet(folder), 0.55, 4, 2)
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want

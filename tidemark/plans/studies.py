@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.statistics import exact_mean
-from tidemark.operators import bitemporal, evaluation, grid, indicators, market, outcomes, plugs, schedules
+from tidemark.operators import alerts, bitemporal, evaluation, grid, indicators, market, outcomes, plugs, schedules
 from tidemark.plans import views
 from tidemark.plans.evidence import _FOLD_ROWS
 from tidemark.plans.registry import _BARS, _INDICATORS, _SUPER, query, rounded
@@ -173,3 +173,23 @@ def plugged_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     cheap = plugs.entry_guard(lambda: F.when(c("entry") < 50, "LOW_PRICE"))
     found = evaluation.walk_forward(bars, folds, plugs.signal_provider(trend), (wide, cheap), outcomes.friction_r(c("entry"), c("entry") - c("stop")))
     return found.select("fold", "ticker", "gross_r", "net_r", "bars_held")
+
+
+_LEAST, _HOURS, _TOP = 0.502, 15 * 24, 2
+
+
+@query(
+    f"""WITH RECURSIVE {_BARS}, p AS (SELECT CAST(sector AS VARCHAR) AS channel, session AS ts, ticker || ':SWING' AS key, round(close / (open + close), 6) AS probability FROM bars),
+s AS (SELECT channel, ts, row_number() OVER (PARTITION BY channel ORDER BY ts) AS n, list({{'k': key, 'p': probability}} ORDER BY probability DESC, key) FILTER (probability >= {_LEAST}) AS cands FROM p GROUP BY channel, ts),
+r AS (SELECT channel, ts, n, list_slice(coalesce(cands, []), 1, {_TOP}) AS picked, list_transform(list_slice(coalesce(cands, []), 1, {_TOP}), lambda c: {{'k': c.k, 'at': ts}}) AS sent FROM s WHERE n = 1
+  UNION ALL SELECT channel, ts, n, picked, list_concat(live, list_transform(picked, lambda c: {{'k': c.k, 'at': ts}})) FROM (SELECT channel, ts, n, live, list_slice(list_filter(coalesce(cands, []), lambda c: NOT list_contains(list_transform(live, lambda m: m.k), c.k)), 1, {_TOP}) AS picked
+    FROM (SELECT s.*, list_filter(r.sent, lambda m: m.at > s.ts - INTERVAL {_HOURS} HOUR) AS live FROM r JOIN s ON s.channel = r.channel AND s.n = r.n + 1))),
+u AS (SELECT channel, ts, unnest(picked) AS c FROM r)
+SELECT channel, ts, c.k AS key, c.p AS probability FROM u"""
+)
+def scan_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best two of a sector's week that weren't sent in the last fifteen days; a ratio of prices stands for the probability."""
+    c = F.col
+    bars = views.bars_walk(spark, sf_dir)
+    rows = bars.select(c("sector").cast("string").alias("channel"), c("session").alias("ts"), F.concat("ticker", F.lit(":SWING")).alias("key"), F.round(c("close") / (c("open") + c("close")), 6).alias("probability"))
+    return alerts.alerts(rows.withColumn("place", -c("probability")), _LEAST, _HOURS, _TOP)

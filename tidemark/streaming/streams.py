@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators import fitting, journal
+from tidemark.operators import alerts, fitting, journal
+from tidemark.operators.indicators import SUPER_FACTOR, SUPER_PERIOD, Band
 from tidemark.operators.market import ADX_RANGE, ADX_TREND, EXPANSION_ATR, PANIC, PANIC_EXIT, TREND_DOWN_BREADTH, TREND_UP_BREADTH
 
 
@@ -26,9 +29,34 @@ def activity_sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "2
     return ticks.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "ticker").agg(F.count("*").alias("ticks")).select("ticker", "session_window.start", "session_window.end", "ticks")
 
 
-def first_alerts(alerts: DataFrame, hours: int = 4) -> DataFrame:
-    """The first alert of each key within a watermark of `hours`; repeats are dropped."""
-    return alerts.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["key"])
+def alert_stream(candidates: DataFrame, least: float = 0.55, hours: float = 4.0, top: int = 5, late: str = "0 seconds") -> DataFrame:
+    """alerts() over a stream: what a channel has sent within `hours` is its state, and each scan sends its best `top` at most.
+
+    A channel's scans must arrive in order, up to those of one trigger.  A timer removes a channel's state once the watermark is
+    past all that it remembers.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "place", "key"], kind="stable")
+        sent = json.loads(state.get[0]) if state.exists else {}
+        chosen = []
+        for at, scan in rows.groupby("ts", sort=True):
+            chosen += alerts.send(sent, at.value // 1000, scan.index, zip(scan["key"], scan["probability"]), least, hours, top)
+        if sent:
+            state.update((json.dumps(sent),))
+            state.setTimeoutTimestamp(max(max(sent.values()) // 1000 + int(hours * 3_600_000), state.getCurrentWatermarkMs()) + 1)
+        yield rows.loc[chosen, ["channel", "ts", "key", "probability"]]
+
+    # places of rows are their labels, so they must differ within a channel's batch
+    def labelled(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        whole = [pd.concat(list(batches), ignore_index=True)] if not state.hasTimedOut else []
+        return step(key, iter(whole), state)
+
+    rows = candidates.withWatermark("ts", late)
+    return rows.groupBy("channel").applyInPandasWithState(labelled, "channel string, ts timestamp, key string, probability double", "sent string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def regime_stream(metrics: DataFrame) -> DataFrame:
@@ -100,37 +128,59 @@ def append_journal(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def indicator_stream(bars: DataFrame, span: int = 20, period: int = 14) -> DataFrame:
-    """Bars of (ticker, session, high, low, close) with ema, rsi and atr, from a few numbers kept for each ticker.
+def indicator_stream(bars: DataFrame, span: int = 20, period: int = 14, late: str | None = None) -> DataFrame:
+    """Bars of (ticker, session, high, low, close) with ema, rsi, atr, supertrend and super_up, from a few numbers kept for each ticker.
 
-    The same recursions as in `indicators`: seeded at the first bar, Wilder means null before `period`
-    values.  A ticker's sessions must arrive in order; state doesn't grow.
+    The same recursions as in `indicators`: seeded at the first bar, Wilder means null before their number of values, and
+    the same ratcheted bands.  Without `late`, a ticker's sessions must arrive in order, and each bar is given at once.
+    With `late` (a watermark's delay), a ticker's bars wait in its state until the watermark passes them and are applied
+    in order of session then, so that arrival may be shuffled within that time; a bar older than that, or a second one
+    of a session, is dropped.  State holds the waiting bars and eleven numbers.
     """
+    wait = late is not None
+    names = ["ticker", "session", "close", "ema", "rsi", "atr", "supertrend", "super_up"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, close, ema, gain, loss, atr = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        kept = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, math.nan, math.nan, -1, -(1 << 62), "[]")
+        n, close, ema, gain, loss, atr, reach, top, bottom, follows, last, held = kept
+        band = Band(top, bottom, close, None if follows < 0 else bool(follows))
+        waiting = {at: bar for at, *bar in json.loads(held)}
         for batch in batches:
-            out = []
-            for r in batch.sort_values("session").itertuples():
-                n += 1
-                spread = r.high - r.low
-                if n == 1:
-                    ema, atr = r.close, spread
-                else:
-                    change = r.close - close
-                    up, down = max(change, 0.0), max(-change, 0.0)
-                    gain, loss = (up, down) if n == 2 else (gain + (up - gain) / period, loss + (down - loss) / period)
-                    ema += (r.close - ema) * 2 / (span + 1)
-                    atr += (max(spread, abs(r.high - close), abs(r.low - close)) - atr) / period
-                close = r.close
-                rsi = None if n <= period else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
-                out.append((key[0], r.session, float(r.close), float(ema), rsi, float(atr) if n >= period else None))
-            yield pd.DataFrame(out, columns=["ticker", "session", "close", "ema", "rsi", "atr"]).astype({"rsi": float, "atr": float})
-        state.update((int(n), float(close), float(ema), float(gain), float(loss), float(atr)))
-
-    schema = "ticker string, session timestamp, close double, ema double, rsi double, atr double"
-    kept = "n long, close double, ema double, gain double, loss double, atr double"
-    return bars.groupBy("ticker").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.NoTimeout)
+            micros = batch["session"].astype("datetime64[us]").astype("int64")
+            for at, *bar in zip(micros.tolist(), batch["high"].tolist(), batch["low"].tolist(), batch["close"].tolist()):
+                if not wait or at > last:
+                    waiting.setdefault(at, bar)
+        upto = state.getCurrentWatermarkMs() * 1000 if wait else 1 << 62
+        out = []
+        for at in sorted(k for k in waiting if k <= upto):
+            high, low, now = waiting.pop(at)
+            n, last = n + 1, at
+            spread = high - low
+            if n == 1:
+                ema, atr, reach = now, spread, spread
+            else:
+                change = now - close
+                up, down = max(change, 0.0), max(-change, 0.0)
+                gain, loss = (up, down) if n == 2 else (gain + (up - gain) / period, loss + (down - loss) / period)
+                spread = max(spread, abs(high - close), abs(low - close))
+                ema += (now - ema) * 2 / (span + 1)
+                atr += (spread - atr) / period
+                reach += (spread - reach) / SUPER_PERIOD
+            half = SUPER_FACTOR * reach if n >= SUPER_PERIOD else math.nan
+            band, line, rising = band.step(now, (high + low) / 2 + half, (high + low) / 2 - half)
+            close = now
+            rsi = None if n <= period else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
+            out.append((key[0], pd.Timestamp(at, unit="us"), float(now), float(ema), rsi, float(atr) if n >= period else None, None if math.isnan(line) else line, rising))
+        follows = -1 if band.follows_lower is None else int(band.follows_lower)
+        state.update((n, *map(float, (close, ema, gain, loss, atr, reach, band.top, band.bottom)), follows, last, json.dumps([[at, *bar] for at, bar in waiting.items()])))
+        if waiting:
+            state.setTimeoutTimestamp(max(min(waiting) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=names).astype({"session": "datetime64[us]", "rsi": float, "atr": float, "supertrend": float, "super_up": bool})
+
+    schema = "ticker string, session timestamp, close double, ema double, rsi double, atr double, supertrend double, super_up boolean"
+    kept = "n long, close double, ema double, gain double, loss double, atr double, reach double, top double, bottom double, follows int, last long, held string"
+    rows = bars.withWatermark("session", late) if wait else bars
+    return rows.groupBy("ticker").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout if wait else GroupStateTimeout.NoTimeout)
 
 
 def recalibrate(trades_path: str, weights_path: str, factors: tuple[str, ...], label: str = "pnl", last: int = 50) -> Callable[[DataFrame, int], None]:
