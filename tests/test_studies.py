@@ -1,6 +1,7 @@
 """As-of lookups, schedules, grids and plug points on small tables, against plain code."""
 
 import datetime as dt
+import json
 import math
 import random
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import alerts, bitemporal, factors, gates, grid, indicators, market, plugs, scan, schedules, setups
-from tidemark.sources import sinks
+from tidemark.sources import manifests, sinks
 from tidemark.streaming import streams
 
 from .test_operators import walk
@@ -325,3 +326,38 @@ def test_alerts_remember_what_was_sent(spark, tmp_path):
         stream = streams.alert_stream(spark.readStream.schema(ALERTS).parquet(folder), 0.55, 4, 2)
         stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want
+
+
+# ---- feeds and coming events
+
+
+def test_a_folder_of_feeds(spark, tmp_path):
+    (tmp_path / "manifest.json").write_text(json.dumps({"sector_universe": ["BANK"], "benchmark_index": "I", "vix_index": "V", "benchmark_ticker": "B"}))
+    time = "2024-01-02T12:00:00+05:30,2024-01-02T13:00:00+05:30,src"
+    (tmp_path / "indices.csv").write_text("index,session,close,published_at,ingested_at,source\n" + "\n".join([
+        f"I,2024-01-02,10,{time}", f" I ,2024-01-02,11,{time}", f"V,2024-01-02,0,{time}", f"I,2024-01-03,9,{time}", f"I,2024-1-4,inf,{time}", "I,2024-01-01,7,2024-01-02T12:00:00,,src", f"W,2024-01-02,5,{time}",
+    ]))
+    (tmp_path / "fundamentals.csv").write_text(f"ticker,period_end,eps_growth,revenue_growth,guidance_raised,published_at,ingested_at\na.NS,2023-12-31,0.1,-0.2,TRUE,{time[:-4]}\n")
+    found = manifests.load(spark, str(tmp_path))
+    assert set(found.tables) == {"indices", "fundamentals"} and found.settings["benchmark_index"] == "I"
+    good = found.tables["indices"].collect()
+    assert [(r["index"], r.close, r.known_at) for r in good] == [("W", 5.0, dt.datetime(2024, 1, 2, 7, 30))]
+    bad = {(r.kind, json.loads(r.row)["index"] if r.kind == "indices" else None, tuple(r.violations)) for r in found.quarantine.collect()}
+    assert bad == {
+        ("indices", "I", ("conflicting_revision",)), ("indices", "V", ("nonpositive_close",)), ("indices", "I", ("published_before_its_day",)), ("indices", "I", ("bad_day:session", "bad_number:close")),
+        ("indices", "I", ("bad_instant:published_at", "missing:ingested_at")), ("fundamentals", None, ("missing:source",)),
+    }
+    (tmp_path / "manifest.json").write_text("{}")
+    with pytest.raises(ValueError, match="sector_universe"):
+        manifests.load(spark, str(tmp_path))
+
+
+def test_next_events_follow_what_was_known(spark):
+    days = [START + DAY * k for k in range(12)]
+    events = [("A", "q1", days[5], days[0]), ("A", "q1", days[8], days[3]), ("A", "q2", days[9], days[1]), ("B", "q1", days[4] + dt.timedelta(hours=1), days[0])]
+    points = [(1, "A", days[2], days[2]), (2, "A", days[3], days[4]), (3, "A", days[4], days[9]), (4, "A", days[4], days[10]), (5, "B", days[4], days[4]), (6, "A", days[2], days[5])]
+    found = bitemporal.next_events(
+        spark.createDataFrame(points, POINTS), spark.createDataFrame(events, "ticker string, event string, event_date timestamp, known_at timestamp"), spark.createDataFrame([(d,) for d in days], "session timestamp"), 5, "event"
+    )
+    # at 2 the report of q1 has moved to day 8; at 6 it is still on day 5
+    assert {r.point_id: (r.sessions_to_event, r.event_date) for r in found.collect()} == {1: (3, days[5]), 2: (4, days[8]), 3: (0, days[9]), 6: (0, days[5])}

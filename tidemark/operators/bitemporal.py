@@ -114,6 +114,25 @@ def index_history(points: DataFrame, feed: DataFrame, calendar: DataFrame, bars:
     return rows.unionByName(asked).withColumn("close", F.last("close", ignorenulls=True).over(order)).where("__kind = 1").select("point_id", "session", "close")
 
 
+def next_events(points: DataFrame, events: DataFrame, sessions: DataFrame, within: int = 5, event: str | None = None) -> DataFrame:
+    """(point_id, event_date, sessions_to_event): for each point the nearest event at most `within` sessions ahead of its session, as known at its asof.
+
+    points: point_id, ticker, asof, session; events: ticker, event_date, known_at and, with `event`, the event's identity, of
+    which a later row reschedules it: an old date holds until the next one is known.  Distances are in the sessions' order;
+    an event on no session, like a point on none, is not found.  An event unfolds into the within + 1 sessions that it is
+    near to, and meets points on equal ticker and session; the rest are filters.  Points without an event give no row.
+    """
+    c = F.col
+    days = sessions.select("session").distinct().withColumn("__k", F.row_number().over(Window.orderBy("session")))  # one small row a session
+    until = F.lead("known_at").over(Window.partitionBy("ticker", event).orderBy("known_at", "event_date")) if event else F.lit(None).cast("timestamp")
+    dated = events.withColumn("__until", until).join(days.select(c("session").alias("event_date"), c("__k").alias("__at")), "event_date")
+    near = dated.select("ticker", "event_date", "known_at", "__until", "__at", F.explode(F.sequence(c("__at") - within, c("__at"))).alias("__k"))
+    asked = points.select("point_id", "ticker", "asof", "session").join(days, "session")
+    known = (c("known_at") <= c("asof")) & (c("__until").isNull() | (c("asof") < c("__until")))
+    found = asked.join(near, ["ticker", "__k"]).where(known).groupBy("point_id").agg(F.min(F.struct((c("__at") - c("__k")).alias("sessions_to_event"), "event_date")).alias("x"))
+    return found.select("point_id", "x.event_date", "x.sessions_to_event")
+
+
 def members_as_of(points: DataFrame, events: DataFrame) -> DataFrame:
     """(point_id, ticker) of tickers whose last action by (effective_date, known_at), with both times reached, is ADD.
 

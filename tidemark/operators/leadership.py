@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.curves import percentile_bucket
+from tidemark.operators import bitemporal
 from tidemark.operators.indicators import add_indicators, by_ticker, sliding, wilder
 
 #: Lookbacks of relative strength, and bars of the volatility state.
@@ -108,6 +109,34 @@ def annotated(trades: DataFrame, snapshot: DataFrame, sessions: DataFrame) -> Da
     )
 
 
+#: What is known of a coming report at an entry.
+NEAR_EVENT, NO_EVENT, NO_FEED = "KNOWN_EARNINGS_WITHIN_5_SESSIONS", "NO_KNOWN_EVENT_COVERAGE_UNVERIFIED", "UNKNOWN_NO_ASOF_EVENT_FEED"
+
+
+def with_events(trades: DataFrame, sessions: DataFrame, calendar: DataFrame | None = None, membership: DataFrame | None = None, close_hour: float = 15.5, within: int = 5, event: str | None = None) -> DataFrame:
+    """trades (trade_id, ticker, entry_session) with earnings_status, sessions_to_event and pit_member, as known at the close before the entry.
+
+    calendar: bitemporal.next_events' events; membership: ticker, effective_date, known_at, action (ADD or REMOVE).  pit_member is
+    whether the ticker's last action in effect at the entry was ADD, false without one, and null without a history.  An
+    entry on the first session, or on none, has no close before it and so nothing known.
+    """
+    c = F.col
+    prior = sessions.select("session").distinct().select(c("session").alias("entry_session"), F.lag("session").over(Window.orderBy("session")).alias("__before"))
+    asked = trades.join(prior, "entry_session").where("__before is not null")
+    points = asked.select(c("trade_id").alias("point_id"), "ticker", (c("__before").cast("timestamp") + F.make_dt_interval(mins=F.lit(round(close_hour * 60)))).alias("asof"), c("entry_session").alias("session"))
+    status, out = F.lit(NO_FEED), trades
+    if calendar is not None:
+        near = bitemporal.next_events(points, calendar, sessions, within, event).select(c("point_id").alias("trade_id"), "sessions_to_event")
+        out, status = out.join(near, "trade_id", "left"), F.when(c("sessions_to_event").isNotNull(), NEAR_EVENT).otherwise(NO_EVENT)
+    else:
+        out = out.withColumn("sessions_to_event", F.lit(None).cast("int"))
+    out = out.withColumn("earnings_status", status)
+    if membership is None:
+        return out.withColumn("pit_member", F.lit(None).cast("boolean"))
+    acts = bitemporal.merged(points, membership, "effective_date").select(c("point_id").alias("trade_id"), (c("action") == "ADD").alias("pit_member"))
+    return out.join(acts, "trade_id", "left").withColumn("pit_member", F.coalesce("pit_member", F.lit(False)))
+
+
 def context_labels(breadth: Column, close: Column, ema200: Column, volatility: Column, usual: Column) -> dict[str, Column]:
     """Labels of breadth, of the benchmark's trend and of its volatility against the usual one; UNKNOWN without a measure."""
     return {

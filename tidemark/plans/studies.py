@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.statistics import exact_mean
-from tidemark.operators import alerts, bitemporal, evaluation, grid, indicators, market, outcomes, plugs, schedules
+from tidemark.operators import alerts, bitemporal, evaluation, grid, indicators, leadership, market, outcomes, plugs, schedules
 from tidemark.plans import views
 from tidemark.plans.evidence import _FOLD_ROWS
-from tidemark.plans.registry import _BARS, _INDICATORS, _SUPER, query, rounded
+from tidemark.plans.registry import _BARS, _INDICATORS, _SUPER, _TRADES, _trades, query, rounded
+from tidemark.sources import manifests
 
 #: Reports as they were first known, with their surprise in percent.
 _REPORTS = f"""rep AS (SELECT ticker, announced_at, CASE WHEN expected_eps <> 0 THEN (actual_eps - expected_eps) / abs(expected_eps) * 100 END AS surprise
@@ -193,3 +194,71 @@ def scan_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = views.bars_walk(spark, sf_dir)
     rows = bars.select(c("sector").cast("string").alias("channel"), c("session").alias("ts"), F.concat("ticker", F.lit(":SWING")).alias("key"), F.round(c("close") / (c("open") + c("close")), 6).alias("probability"))
     return alerts.alerts(rows.withColumn("place", -c("probability")), _LEAST, _HOURS, _TOP)
+
+
+#: A calendar of reports on weekly sessions, some of them moved by two weeks; and membership by quarter.
+_EVENTS = """SELECT n.n_name AS ticker, date_trunc('quarter', o.o_orderdate) AS quarter, n.n_nationkey AS k, count(*) AS n FROM orders o JOIN nation n ON o.o_custkey % 25 = n.n_nationkey GROUP BY n.n_name, n.n_nationkey, date_trunc('quarter', o.o_orderdate)"""
+_CALENDAR = f"""SELECT ticker, quarter, date_trunc('week', quarter + INTERVAL 100 DAY) AS event_date, quarter + INTERVAL 60 DAY AS known_at FROM ({_EVENTS}) e
+UNION ALL SELECT ticker, quarter, date_trunc('week', quarter + INTERVAL 100 DAY) + INTERVAL 14 DAY, quarter + INTERVAL 75 DAY FROM ({_EVENTS}) e WHERE n % 3 = 0"""
+_MEMBERS = f"""SELECT ticker, quarter AS effective_date, quarter + INTERVAL 10 DAY AS known_at, CASE WHEN (n + k) % 4 = 0 THEN 'REMOVE' ELSE 'ADD' END AS action FROM ({_EVENTS}) e"""
+
+
+@query(
+    f"""WITH {_TRADES}, cal AS (SELECT session, row_number() OVER (ORDER BY session) AS k, lag(session) OVER (ORDER BY session) AS prior FROM (SELECT DISTINCT session FROM bars)),
+ev AS (SELECT *, lead(known_at) OVER (PARTITION BY ticker, quarter ORDER BY known_at) AS until FROM ({_CALENDAR}) x), mb AS ({_MEMBERS}),
+pt AS (SELECT trade_id, ticker, entry_session, k, prior + INTERVAL 930 MINUTE AS seen FROM done JOIN cal ON session = entry_session),
+ne AS (SELECT trade_id, min(c.k - pt.k) AS n FROM pt JOIN ev ON ev.ticker = pt.ticker AND known_at <= seen AND (until IS NULL OR seen < until) JOIN cal c ON c.session = event_date WHERE c.k - pt.k BETWEEN 0 AND 5 GROUP BY trade_id),
+me AS (SELECT trade_id, arg_max(action, (effective_date, known_at)) AS action FROM pt JOIN mb ON mb.ticker = pt.ticker AND known_at <= seen AND effective_date <= entry_session GROUP BY trade_id)
+SELECT d.trade_id, CASE WHEN n IS NULL THEN 'NO_KNOWN_EVENT_COVERAGE_UNVERIFIED' ELSE 'KNOWN_EARNINGS_WITHIN_5_SESSIONS' END AS earnings_status, CAST(coalesce(n, -1) AS INTEGER) AS sessions_to_event, coalesce(action = 'ADD', false) AS pit_member
+FROM done d LEFT JOIN ne USING (trade_id) LEFT JOIN me USING (trade_id)"""
+)
+def event_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades with the report that was known to come, and with membership, both as of the close before the entry."""
+    trades, bars = _trades(spark, sf_dir)
+    calendar, members = (views.sql(spark, sf_dir, text, ("orders", "nation")) for text in (_CALENDAR, _MEMBERS))
+    found = leadership.with_events(trades, bars, calendar, members, event="quarter")
+    return found.select("trade_id", "earnings_status", F.coalesce("sessions_to_event", F.lit(-1)).alias("sessions_to_event"), "pit_member")
+
+
+#: Feeds as text with faults by the key of an order.
+_RAW = """WITH b AS (SELECT o_orderkey AS k, o_custkey % 25 AS c, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS day, CAST(CAST(o_orderdate AS DATE) + INTERVAL 60 DAY AS DATE) AS later, CAST(CAST(o_orderdate AS DATE) - INTERVAL 3 DAY AS DATE) AS earlier FROM orders)
+SELECT k, CASE WHEN k % 37 = 0 THEN '  ' ELSE concat(' t', CAST(c AS VARCHAR(9)), '.ns ') END AS ticker, CASE WHEN k % 41 = 0 THEN 'soon' WHEN k % 43 = 0 THEN concat(day, ' 10:00:00') ELSE day END AS effective_date,
+  CAST(CASE WHEN k % 29 = 0 THEN earlier ELSE later END AS VARCHAR(10)) AS valid_until, CASE WHEN k % 23 = 0 THEN '??' WHEN k % 7 = 0 THEN 'ASM' ELSE 'CLEAR' END AS state,
+  concat(day, 'T09:00:00', CASE WHEN k % 19 = 0 THEN '' ELSE '+00:00' END) AS published_at, concat(day, CASE WHEN k % 31 = 0 THEN 'T08:00:00+00:00' ELSE 'T12:00:00+00:00' END) AS ingested_at, CASE WHEN k % 47 = 0 THEN '' ELSE 'x' END AS source,
+  CASE WHEN k % 17 = 0 THEN 'MOVE' WHEN k % 3 = 0 THEN 'remove' ELSE 'ADD' END AS action, concat(day, 'T10:00:00', CASE WHEN k % 13 = 0 THEN '' ELSE 'Z' END) AS known_at,
+  concat(CAST(earlier AS VARCHAR(10)), CASE WHEN k % 11 = 0 THEN 'T23:30:00+00:00' ELSE 'T11:00:00+00:00' END) AS announced_at, concat(CAST(earlier AS VARCHAR(10)), CASE WHEN k % 5 = 0 THEN 'T12:00:00+00:00' ELSE 'T06:00:00+00:00' END) AS expected_at,
+  concat(CAST(earlier AS VARCHAR(10)), CASE WHEN k % 53 = 0 THEN 'T05:00:00+00:00' WHEN k % 59 = 0 THEN 'T13:00:00+00:00' ELSE 'T07:00:00+00:00' END) AS expectation_ingested_at, CASE WHEN k % 61 = 0 THEN 'NaN' WHEN k % 67 = 0 THEN 'ten' ELSE '1.5' END AS actual_eps, '1' AS expected_eps,
+  CASE WHEN k % 71 = 0 THEN 'GUESS' ELSE 'CONSENSUS' END AS expectation_kind, CAST(CASE WHEN k % 73 = 0 THEN later ELSE earlier END AS VARCHAR(10)) AS period_end FROM b"""
+
+
+def _kind_sql(kind: str) -> str:
+    """The rows of one kind with their faults, by the same names, from DuckDB's casts."""
+    spec = manifests.KINDS[kind]
+    cast = {
+        "text": "nullif(trim({0}), '')", "ticker": r"nullif(regexp_replace(upper(trim({0})), '\.NS$', ''), '')", "number": "CASE WHEN isfinite(TRY_CAST({0} AS DOUBLE)) THEN TRY_CAST({0} AS DOUBLE) END",
+        "day": r"CASE WHEN regexp_matches({0}, '^\d{{4}}-\d{{2}}-\d{{2}}$') THEN TRY_CAST({0} AS DATE) END", "instant": r"CASE WHEN regexp_matches({0}, '(Z|[+-]\d{{2}}:?\d{{2}})$') THEN TRY_CAST({0} AS TIMESTAMPTZ) END",
+    }
+    typed = ", ".join(f"{cast[t].format(n)} AS {n}_" for n, t in spec.columns.items())
+    found = [f"CASE WHEN {n}_ IS NULL THEN CASE WHEN trim(coalesce({n}, '')) = '' OR {t in ('text', 'ticker')} THEN 'missing:{n}' ELSE 'bad_{t}:{n}' END END" for n, t in spec.columns.items()]
+    local = "CAST(timezone('Asia/Kolkata', {0}_) AS DATE)".format
+    rules = {
+        "ingested_before_published": "ingested_at_ < published_at_", "expired_before_effective": "valid_until_ < effective_date_", "unknown_state": "state_ NOT IN ('CLEAR', 'ASM', 'GSM', 'BOTH', 'UNKNOWN')",
+        "unknown_action": "upper(action_) NOT IN ('ADD', 'REMOVE')", "unknown_expectation": "expectation_kind_ NOT IN ('CONSENSUS', 'SEASONAL')", "expected_after_announcement": "expected_at_ >= announced_at_",
+        "expectation_ingested_before_made": "expectation_ingested_at_ < expected_at_", "expectation_known_too_late": "expectation_ingested_at_ >= announced_at_", "published_before_announcement": "published_at_ < announced_at_",
+        "announced_before_period_end": f"{local('announced_at')} < period_end_", "published_before_its_day": f"{local('published_at')} < period_end_",
+    }
+    found += [f"CASE WHEN {rules[r]} THEN '{r}' END" for r in spec.rules]
+    same = [f"{n}_" for n in (*spec.key, "ingested_at" if "ingested_at" in spec.columns else "known_at")]
+    found.append(f"CASE WHEN {' AND '.join(f'{n} IS NOT NULL' for n in same)} AND count(*) OVER (PARTITION BY {', '.join(same)}) > 1 THEN 'conflicting_revision' END")
+    return f"SELECT '{kind}' AS kind, k, concat_ws(',', {', '.join(found)}) AS violations FROM (SELECT *, {typed} FROM raw) x"
+
+
+_CHECKED = ("surveillance", "membership", "earnings")
+
+
+@query(f"WITH raw AS ({_RAW}) " + " UNION ALL ".join(_kind_sql(k) for k in _CHECKED))
+def feed_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of three raw feeds with all that is wrong with it."""
+    raw = views.sql(spark, sf_dir, _RAW, ("orders",))
+    parts = [manifests.check(raw, k).select(F.lit(k).alias("kind"), "k", F.array_join("violations", ",").alias("violations")) for k in _CHECKED]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
