@@ -19,19 +19,34 @@ you may not use this file except in compliance with the License.""",
 
 
 def blocks(text, length, known):
-    """The word sets of a text's paragraphs and of its runs of known words."""
-    yield from (set(names(p)) for p in re.split(r"\n[ \t\r\x0b\x0c]*(?=\n)", text or ""))
-    places = [w for w in names(text) if w in known]
+    """(words, first and last place) of a text's paragraphs and of its runs of known words."""
+    places = [(k, w) for k, w in enumerate(names(text)) if w in known]
+    at = 0
+    for part in re.split(r"\n[ \t\r\x0b\x0c]*(?=\n)", text or ""):
+        end = at + len(names(part))
+        yield [(k, w) for k, w in places if at <= k < end]
+        at = end
     for k in range(0, max(1, len(places)), length):
-        yield set(places[k : k + 2 * length])
+        yield places[k : k + 2 * length]
 
 
 def brute(text):
-    """(label, containment) of each template in its best block."""
+    """All candidates as (label, containment, first, last, words), without any filter of words, and the labels that no related one beats."""
     known = {w for t in [*licenses.PHRASES, *(t for _, t in licenses.TEMPLATES)] for w in t.split()}
+    found, words = set(), names(text)
     for label, template in licenses.TEMPLATES:
-        want = set(template.split())
-        yield label, want, max((b for b in blocks(text, len(template.split()), known) if want & licenses.DISTINGUISHING <= b), key=lambda b: len(b & want), default=set())
+        want = frozenset(template.split())
+        for block in blocks(text, len(template.split()), known):
+            share = len({w for _, w in block} & want) / len(want)
+            if share >= licenses.THRESHOLD - 1e-9:
+                found.add((label, share, block[0][0], block[-1][0], want))
+    rivals = set(found)
+    for phrase, label in licenses.PHRASES.items():
+        own = phrase.split()
+        rivals |= {(label, 1.0, k, k + len(own) - 1, frozenset(own)) for k in range(len(words)) if words[k : k + len(own)] == own}
+    related = lambda a, b: len(a & b) >= 3 and 2 * len(a & b) >= min(len(a), len(b))
+    beats = lambda r, c: r[0] != c[0] and r[1] > c[1] and r[2] <= c[3] and c[2] <= r[3] and related(r[4], c[4])
+    return found, {c[0] for c in found if not any(beats(r, c) for r in rivals)}
 
 
 def test_wrapped_notices_are_found(spark, tmp_path):
@@ -52,15 +67,26 @@ def test_spanning_blocks_match_brute_force(spark):
     for _ in range(60):
         words = [w for _, t in rnd.sample(licenses.TEMPLATES, 2) for w in rnd.sample(t.split(), rnd.randrange(5, len(t.split())))]
         texts.append("".join(w + rnd.choice([" ", " ", "\n", "\n \n", "\n\n\n", " other words "]) for w in words))
-    got = {r.doc_id: r for r in licenses.report(frame(spark, texts), spanning=True).collect()}
-    found = 0
+    rows = {r.doc_id: r for r in licenses.scan(frame(spark, texts), spanning=True).collect()}
+    found = disputed = 0
     for i, text in enumerate(texts):
-        shares = [(label, len(b & want) / len(want)) for label, want, b in brute(text) if len(b & want) >= licenses.THRESHOLD * len(want) - 1e-9]
+        candidates, labels = brute(text)
         base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in f" {' '.join(names(text))} "}
-        assert got[i].labels == ",".join(sorted(base | {label for label, _ in shares})), text
-        assert abs(got[i].score - (1.0 if base else max((s for _, s in shares), default=0.0))) < 1e-9
-        found += bool(shares)
-    assert found > 10
+        assert {(c.label, round(c.containment, 9), c.first_word, c.last_word) for c in rows[i].candidates} == {(c[0], round(c[1], 9), *c[2:4]) for c in candidates}, text
+        assert rows[i].labels == sorted(base | labels), text
+        assert abs(rows[i].score - (1.0 if base else max((c[1] for c in candidates), default=0.0))) < 1e-9
+        found += bool(candidates)
+        disputed += {c[0] for c in candidates} != labels
+    assert found > 10 and disputed > 0
+
+
+def test_blocks_without_a_name_are_found(spark):
+    """Blocks over the threshold that lack the license's own name, or are another license's by one word, are candidates."""
+    texts = ["this work is licensed under a creative commons 4 0 international license", licenses.TEMPLATES[3][1].replace("apache ", ""), "Licensed under the GNU General Public License"]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, texts), spanning=True).collect()}
+    assert got[0].labels == ["cc-by"] and abs(got[0].score - 12 / 13) < 1e-9
+    assert "apache" in got[1].labels
+    assert {c.label for c in got[2].candidates} == {"lgpl"} and got[2].labels == ["gpl"]
 
 
 def test_related_licenses_are_told_apart(spark):
@@ -68,10 +94,10 @@ def test_related_licenses_are_told_apart(spark):
         "Licensed under the GNU General Public License": "gpl",
         "licensed under the\nGNU General\nPublic License": "gpl",
         "Licensed under the GNU Lesser General Public License": "lgpl",
-        "Licensed under the GNU LGPL version 3 or later": "",
+        "Licensed under the GNU LGPL version 3 or later": "lgpl",
         "Licensed under the GNU GPL version 3 or later": "gpl",
-        "Licensed under the Educational Community License, Version 2.0; you may not use this file except in compliance with the License": "",
-        "This Source Code Form is subject to the terms of the Eclipse Public License": "",
+        "Licensed under the Educational Community License, Version 2.0; you may not use this file except in compliance with the License": "ecl",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License": "epl",
         "This Source Code Form is subject to the terms of the Mozilla Public License": "mpl",
     }
     for spanning in (False, True):
