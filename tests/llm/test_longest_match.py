@@ -36,3 +36,31 @@ def test_every_document_has_its_own_longest_match(spark, monkeypatch, block, sho
     words = [names(t) for t in items if names(t)]
     for i, text in enumerate(texts):
         assert rows[i] == longest(text, words), text[:80] if text else text
+
+
+def test_large_benchmarks_write_no_texts(spark, monkeypatch, tmp_path):
+    """40 MB of items, in groups: what is stored are the matches, and the result is that of one block."""
+    written = []
+
+    def counted(df, name):
+        path = str(tmp_path / f"{name}{len(written)}")
+        df.write.parquet(path)
+        written.append((sum(f.stat().st_size for f in (tmp_path / f"{name}{len(written)}").rglob("*.parquet")), tuple(df.columns)))
+        return spark.read.schema(df.schema).parquet(path)
+
+    monkeypatch.setattr(decontaminate, "stored", counted)
+    rnd = random.Random(9)
+    word = [f"w{k}" for k in range(20_000)]
+    items = [(k, " ".join(rnd.choices(word, k=7000))) for k in range(1000)]
+    assert sum(len(t) for _, t in items) > 40e6
+    texts = [None, "", "one two", *(" ".join(rnd.choices(word, k=400)) for _ in range(300))]
+    texts += [" ".join(["x"] * 5 + items[k][1].split()[50 : 50 + n] + ["y"] + items[k + 1][1].split()[90:104]) for k, n in ((3, 12), (500, 30), (998, 10))] * 2
+    docs = frame(spark, texts)
+    got = {r.doc_id: r for r in decontaminate.report(docs, spark.createDataFrame(items, "item_id long, text string").repartition(8)).collect()}
+    assert len(written) >= 5 and sum(n for n, _ in written) < 1e6 and all("__text" not in c for _, c in written)
+    for i, text in enumerate(texts):
+        hit = i >= 303
+        assert (got[i].n_words, got[i].contaminated) == (len(names(text)), hit), i
+        if hit:
+            k, n = ((3, 12), (500, 30), (998, 10))[(i - 303) % 3]
+            assert (got[i].n_hit, got[i].n_items, got[i].longest_words, got[i].longest_start) == (n + 14, 2, *max((n, 5), (14, 6 + n), key=lambda x: (x[0], -x[1])))

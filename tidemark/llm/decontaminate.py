@@ -16,10 +16,11 @@ The suffix array is sparse: it holds the training suffixes whose first g words (
 item is shorter) start some test suffix too.  All others can't reach a match of g words, so no
 window is lost.  A longest match is reported if it has 3 words or is a whole item.
 
-The test items are broadcast in blocks of at most `BLOCK_BYTES` of text (and at least one item); for
-each block one more map over the documents adds to what earlier blocks found, so no step shuffles
-and a document needs no row of another one.  After each `GROUP_BLOCKS` blocks the state is written to
-the shared folder, so that a task holds that many blocks at most.
+The test items are broadcast in blocks of at most `BLOCK_BYTES` of text (and at least one item), and a map
+over the documents takes `GROUP_BLOCKS` of them at once.  A benchmark of one such group needs no shuffle: each
+row's state comes out of the map.  A larger one takes a map over the texts for each group, which gives
+only the digest and state of those texts that match; these are put together by digest, and the documents
+are joined with them once.  So no text is written, and what is written grows with the matches.
 
 Defined results: a null or empty text, or one without words, has no words and no hits.  Null and
 wordless items are ignored; items with one id count as one; an item without an id marks words but
@@ -28,12 +29,13 @@ is not listed.  Without items nothing is hit.  Each input row gives one row.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -278,9 +280,9 @@ def _scan_shard(tests: TestSuffixes, data: np.ndarray, offsets: np.ndarray) -> t
     return words.counts, out
 
 
-def _merged(a: list | None, b: list | None) -> list:
+def _merged(parts: list[list[dict]]) -> list[dict]:
     spans: list[dict] = []
-    for s in sorted([*(a or []), *(b or [])], key=lambda x: (x["start"], x["end"])):
+    for s in sorted((s for part in parts for s in part), key=lambda x: (x["start"], x["end"])):
         if spans and s["start"] <= spans[-1]["end"]:
             spans[-1] = {"start": spans[-1]["start"], "end": max(spans[-1]["end"], s["end"])}
         else:
@@ -288,66 +290,107 @@ def _merged(a: list | None, b: list | None) -> list:
     return spans
 
 
-def _add_block(docs: DataFrame, keep: tuple[str, ...], tests, window: int, first: bool) -> DataFrame:
-    """One map over the documents: what the items of one block hit, added to the state of earlier blocks."""
+def _scan(groups: list[TestSuffixes], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, tuple]]:
+    """_scan_shard over several blocks of items, put together."""
+    counts, found = _scan_shard(groups[0], data, offsets)
+    parts = {d: [row] for d, row in found.items()}
+    for tests in groups[1:]:
+        for d, row in _scan_shard(tests, data, offsets)[1].items():
+            parts.setdefault(d, []).append(row)
+    out = {}
+    for d, rows in parts.items():
+        best = max(rows, key=lambda r: (r[2], -(r[3] or 0)))
+        out[d] = rows[0] if len(rows) == 1 else (_merged([r[0] for r in rows]), sorted({i for r in rows for i in r[1]}), best[2], best[3])
+    return counts, out
+
+
+def _states(counts: np.ndarray | None, found: list[tuple | None]) -> list[pa.Array]:
+    """The columns of _STATE (without n_words, if there are no counts) for texts of which `found` holds (spans, items, longest match, its start)."""
+    none = ((), (), 0, None)
+    spans, items, longest, start = zip(*(r or none for r in found)) if found else ((), (), (), ())
+    columns = [pa.array(list(map(list, spans)), _ARROW_SPANS), pa.array(list(map(list, items)), pa.list_(pa.string())), pa.array(longest, pa.int32()), pa.array(start, pa.int32())]
+    return columns if counts is None else [pa.array(counts, pa.int64()), *columns]
+
+
+def _annotated(docs: DataFrame, keep: tuple[str, ...], held: list[Broadcast], window: int) -> DataFrame:
+    """One map over the documents, with the state of every row; for benchmarks of one group."""
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suffixes = None
+        groups = None
         for batch in batches:
-            if suffixes is None:
-                suffixes = TestSuffixes(*tests.value, window)
+            groups = groups or [TestSuffixes(*tests.value, window) for tests in held]
             for a, b, data, offsets in bytetext.chunks(batch.column(n_keep), SHARD_BYTES):
-                counts, found = _scan_shard(suffixes, data, offsets)
-                rows = b - a
-                spans, items, longest, start = ([None] * rows for _ in range(4))
-                for d, row in found.items():
-                    spans[d], items[d], longest[d], start[d] = row
-                if not first:
-                    old = batch.slice(a, rows).column(n_keep + 1).to_pylist()
-                    for d, was in enumerate(old):
-                        if not was["longest_words"] and not was["spans"]:
-                            continue
-                        spans[d] = _merged(was["spans"], spans[d])
-                        items[d] = sorted({*(was["items"] or []), *(items[d] or [])})
-                        if (was["longest_words"] or 0, -(was["longest_start"] or 0)) >= (longest[d] or 0, -(start[d] or 0)):
-                            longest[d], start[d] = was["longest_words"], was["longest_start"]
-                state = pa.StructArray.from_arrays(
-                    [
-                        pa.array(counts, pa.int64()),
-                        pa.array([s or [] for s in spans], _ARROW_SPANS),
-                        pa.array([i or [] for i in items], pa.list_(pa.string())),
-                        pa.array([x or 0 for x in longest], pa.int32()),
-                        pa.array(start, pa.int32()),
-                    ],
-                    _STATE.names,
-                )
-                part = batch.slice(a, rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n_keep + 1)), state], [*keep, "__text", "__hits"])
-
-    schema = T.StructType([*docs.schema.fields[: n_keep + 1], T.StructField("__hits", _STATE)])
+                counts, found = _scan(groups, data, offsets)
+                state = pa.StructArray.from_arrays(_states(counts, [found.get(d) for d in range(b - a)]), _STATE.names)
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n_keep)), state], [*keep, "hits"])
+
+    schema = T.StructType([*docs.schema.fields[:n_keep], T.StructField("hits", _STATE)])
     return map_batches(docs, run, schema)
 
 
+_FOUND = T.StructType([T.StructField("digest", T.BinaryType()), *_STATE.fields[1:]])
+
+
+def _matches(docs: DataFrame, held: list[Broadcast], window: int) -> DataFrame:
+    """One map over the texts: digest and state of those that match an item of the group, once a task and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = None
+        for batch in batches:
+            groups = groups or [TestSuffixes(*tests.value, window) for tests in held]
+            for a, _, data, offsets in bytetext.chunks(batch.column(0), SHARD_BYTES):
+                found = _scan(groups, data, offsets)[1]
+                texts = {hashlib.sha256(data[offsets[d] : offsets[d + 1]].tobytes()).digest(): row for d, row in found.items()}
+                yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.binary()), *_states(None, list(texts.values()))], _FOUND.names)
+
+    return map_batches(docs.select("__text"), run, _FOUND)
+
+
+def _put_together(docs: DataFrame, keep: tuple[str, ...], parts: list[DataFrame]) -> DataFrame:
+    """The documents with what all groups found in their texts; equal texts have equal states, so a digest has one row a group."""
+    c = F.col
+    every = parts[0].withColumn("__group", F.lit(0))
+    for k, part in enumerate(parts[1:], 1):
+        every = every.unionByName(part.withColumn("__group", F.lit(k)))
+    whole = every.dropDuplicates(["digest", "__group"]).groupBy("digest").agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.max(F.struct("longest_words", (-c("longest_start")).alias("back"))).alias("best"),
+    )
+    joined = F.aggregate("spans", F.array().cast(_STATE["spans"].dataType), _joined_span)
+    whole = whole.select("digest", joined.alias("spans"), "items", c("best.longest_words").alias("longest_words"), (-c("best.back")).alias("longest_start"))
+    words = F.regexp_count(F.coalesce("__text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    marked = docs.withColumn("digest", F.unhex(F.sha2(F.coalesce("__text", F.lit("")).cast("binary"), 256))).join(whole, "digest", "left")
+    nothing = F.array().cast(_STATE["items"].dataType)
+    state = [words.alias("n_words"), F.coalesce("spans", F.array().cast(_STATE["spans"].dataType)).alias("spans"), F.coalesce("items", nothing).alias("items"), F.coalesce("longest_words", F.lit(0)).alias("longest_words"), "longest_start"]
+    return marked.select(*keep, F.struct(*state).alias("hits"))
+
+
+def _joined_span(spans: Column, new: Column) -> Column:
+    """Sorted spans, one by one: each one is joined to the last if it begins within it."""
+    last = F.get(spans, F.size(spans) - 1)
+    meets = (F.size(spans) > 0) & (new["start"] <= last["end"])
+    widest = F.struct(last["start"].alias("start"), F.greatest(last["end"], new["end"]).alias("end"))
+    return F.when(meets, F.concat(F.slice(spans, 1, F.greatest(F.size(spans) - 1, F.lit(0))), F.array(widest))).otherwise(F.concat(spans, F.array(new)))
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[str | None], list[str | None]]]:
-    """The items, at most BLOCK_BYTES of text (or one item) at a time."""
+    """The items, at most BLOCK_BYTES of text (or one item) at a time: one read, whose parts come to the driver one after the other."""
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-2 * total // BLOCK_BYTES))  # half full on average
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else items
-        ids: list[str | None] = []
-        texts: list[str | None] = []
-        size = 0
-        for row in block.toLocalIterator():
-            if texts and size + 4 * len(row.text) > BLOCK_BYTES:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-            ids.append(row.id)
-            texts.append(row.text)
-            size += 4 * len(row.text)
-        if texts or n == 1:
+    ids: list[str | None] = []
+    texts: list[str | None] = []
+    size = 0
+    for row in items.repartition(max(1, -(-total // BLOCK_BYTES))).toLocalIterator():
+        n = len(row.text.encode("utf-8", "surrogatepass"))
+        if texts and size + n > BLOCK_BYTES:
             yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(row.id)
+        texts.append(row.text)
+        size += n
+    yield ids, texts
 
 
 def annotate(
@@ -355,17 +398,19 @@ def annotate(
 ) -> DataFrame:
     """The columns `keep` of every document and `hits`: n_words, hit word spans, ids of occurring items, longest match."""
     spark = docs.sparkSession
-    out = docs.select(*keep, F.col(text_col).alias("__text"))
+    source = docs.select(*keep, F.col(text_col).alias("__text"))
     held: list[Broadcast] = []
-    for k, block in enumerate(_blocks(benchmark, item_id_col, item_text_col)):
+    parts: list[DataFrame] = []
+    for block in _blocks(benchmark, item_id_col, item_text_col):
         if len(held) == GROUP_BLOCKS:
-            out = stored(out, "annotated")
+            parts.append(stored(_matches(source, held, window), "matches"))
             for tests in held:
                 tests.unpersist()
             held = []
         held.append(spark.sparkContext.broadcast(block))
-        out = _add_block(out, keep, held[-1], window, first=k == 0)
-    return out.select(*keep, F.col("__hits").alias("hits"))
+    if not parts:
+        return _annotated(source, keep, held, window)
+    return _put_together(source, keep, [*parts, stored(_matches(source, held, window), "matches")])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
