@@ -139,19 +139,24 @@ def segment_statistics(curve: DataFrame, split: Column, *by: str) -> DataFrame:
     )
 
 
-def trade_statistics(trades: DataFrame, *by: str) -> DataFrame:
-    """Count, mean, win rate, profit factor, percentiles, bias-corrected skewness and excess kurtosis of net_r."""
+def trade_measures() -> list[Column]:
+    """Aggregates of net_r and bars_held: count, mean, win rate, profit factor, percentiles, bias-corrected skewness and excess kurtosis, extremes."""
     r, n = F.col("net_r"), F.count("net_r").cast("double")
     skew, kurt = F.skewness(r), F.kurtosis(r)
     varies = F.stddev_pop(r) > 0
     losses = F.sum(F.when(r < 0, -r).otherwise(0.0))
     quantile = lambda p: F.percentile(r, F.lit(p)).alias(f"p{round(p * 100)}")
-    return trades.groupBy(*by).agg(
+    return [
         F.count("net_r").alias("trades"), F.avg(r).alias("mean_r"), F.avg((r > 0).cast("int")).alias("win_rate"), F.avg("bars_held").alias("average_hold"),
         F.when(losses > 0, F.sum(F.when(r > 0, r).otherwise(0.0)) / losses).alias("profit_factor"), *map(quantile, (0.05, 0.25, 0.5, 0.75, 0.95)),
         F.when((n >= 3) & varies, skew * F.sqrt(n * (n - 1)) / (n - 2)).alias("skewness"),
         F.when((n >= 4) & varies, ((n + 1) * kurt + 6) * (n - 1) / ((n - 2) * (n - 3))).alias("excess_kurtosis"), F.max(r).alias("largest"), F.min(r).alias("smallest"),
-    )
+    ]
+
+
+def trade_statistics(trades: DataFrame, *by: str) -> DataFrame:
+    """trade_measures by group."""
+    return trades.groupBy(*by).agg(*trade_measures())
 
 
 def attribution(trades: DataFrame, fields: list[str]) -> DataFrame:
@@ -171,34 +176,89 @@ def drawdowns(curve: DataFrame, *by: str, value: str = "nav", start: float = 1.0
 
 
 def portfolio_statistics(curve: DataFrame, *by: str) -> DataFrame:
-    """Compounded return, annual growth, beta, alpha, Sharpe and information ratio of daily and benchmark returns."""
+    """Compounded return, annual growth, beta, alpha, Sharpe and information ratio of daily and benchmark returns.
+
+    A curve with session has max_drawdown, the start counting as the first peak.  One with exposure_open, exposure_close and
+    matched_return (a benchmark return for the exposure held) has exposure means, the share of invested sessions, growth and
+    return by exposure, and the matched return, its difference and information ratio.  Ratios by 0 are null; a loss of all is -1.
+    """
     d, b = F.col("daily_return"), F.col("benchmark_return")
     n = F.count(d)
-    total, market = F.exp(F.sum(F.log1p(d))) - 1, F.exp(F.sum(F.log1p(b))) - 1
-    beta = F.covar_pop(d, b) / F.nullif(F.var_pop(b), F.lit(0.0))
+    compound = lambda x: F.when(F.min(x) <= -1, -1.0).otherwise(F.exp(F.sum(F.log1p(F.when(x > -1, x)))) - 1)
+    growth = lambda total: F.when(total > -1, F.pow(1 + total, 252.0 / n) - 1).otherwise(-1.0)
     ratio = lambda x: F.avg(x) * F.sqrt(F.lit(252.0)) / F.nullif(F.stddev_samp(x), F.lit(0.0))
-    return curve.groupBy(*by).agg(
-        n.alias("sessions"), total.alias("total_return"), (F.pow(1 + total, 252.0 / n) - 1).alias("cagr"), market.alias("benchmark_return"), beta.alias("beta"),
+    total, market = compound(d), compound(b)
+    beta = F.covar_pop(d, b) / F.nullif(F.var_pop(b), F.lit(0.0))
+    measures = [
+        n.alias("sessions"), total.alias("total_return"), growth(total).alias("cagr"), market.alias("benchmark_return"), growth(market).alias("benchmark_cagr"), beta.alias("beta"),
         ((F.avg(d) - beta * F.avg(b)) * 252).alias("alpha"), ratio(d).alias("sharpe"), ratio(d - b).alias("information_ratio"),
-    )
+    ]
+    if "session" in curve.columns:
+        w = Window.partitionBy(*by).orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+        curve = curve.withColumn("__nav", F.product(1 + d).over(w)).withColumn("__fall", F.col("__nav") / F.greatest(F.lit(1.0), F.max("__nav").over(w)) - 1)
+        measures.append(F.min("__fall").alias("max_drawdown"))
+    if {"exposure_open", "exposure_close", "matched_return"} <= set(curve.columns):
+        held, matched = F.avg("exposure_open"), compound(F.col("matched_return"))
+        measures += [
+            held.alias("average_exposure"), F.avg("exposure_close").alias("average_close_exposure"), F.avg((F.col("exposure_open") > 0).cast("int")).alias("invested_fraction"),
+            (growth(total) / F.nullif(held, F.lit(0.0))).alias("exposure_adjusted_cagr"), (total / F.nullif(held, F.lit(0.0))).alias("return_per_exposure"),
+            matched.alias("matched_return"), (total - matched).alias("matched_active_return"), ratio(d - F.col("matched_return")).alias("matched_information_ratio"),
+        ]
+    return curve.groupBy(*by).agg(*measures)
 
 
 def cluster_bootstrap(trades: DataFrame, draws: int = 2000, seed: int = 20261002) -> DataFrame:
     """2.5 and 97.5 percent quantiles of mean net_r, resampling entry months whole; null below two months.
 
-    Months are aggregated first, so the resampling joins small rows: draws x months of them.
+    Months are aggregated first, so the resampling joins small rows: draws x months of them.  The month that a draw takes at a
+    place is the first 32 bits of the MD5 of "seed:draw:place", modulo the number of months, so that any engine can repeat it.
     """
     months = trades.groupBy(F.date_trunc("month", "entry_session").alias("month")).agg(F.sum("net_r").alias("total"), F.count("net_r").alias("n"))
     numbered = months.withColumn("k", F.row_number().over(Window.orderBy("month")) - 1)
     size = numbered.agg(F.count("*").alias("m"))
     spark = trades.sparkSession
-    slots = spark.range(draws).withColumnRenamed("id", "draw").join(size, F.lit(True)).select("draw", "m", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("slot"))
-    picks = slots.withColumn("k", F.pmod(F.xxhash64(F.lit(seed), "draw", "slot"), F.col("m")).cast("int"))
+    slots = spark.range(draws).withColumnRenamed("id", "draw").join(size, F.lit(True)).where("m > 0").select("draw", "m", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("slot"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    picks = slots.withColumn("k", (hashed % F.col("m")).cast("int"))
     means = picks.join(numbered, "k").groupBy("draw").agg((F.sum("total") / F.sum("n")).alias("mean"), F.first("m").alias("m"))
     q = lambda p: F.when(F.max("m") >= 2, F.percentile("mean", F.lit(p)))
     return means.agg(q(0.025).alias("low"), q(0.975).alias("high"))
 
 
+def evidence_report(trades: DataFrame, curve: DataFrame, fields: list[str], labels: dict[str, list[str]] | None = None, draws: int = 2000) -> DataFrame:
+    """(section, field, label, measure, value): all that is said of a replay, as one long table.
+
+    Sections: trades (overall, and by each field's label), portfolio (of curve) and interval (the monthly bootstrap's low and high).
+    All fields are one pass of grouping sets over the trades.  Declared labels without trades have a count of 0 and nothing else: what wasn't
+    seen is no evidence of nothing.  Unknown measures are left out.
+    """
+    measures = trade_measures()
+    rows = trades.withColumns({f: F.coalesce(F.col(f).cast("string"), F.lit("UNKNOWN")) for f in fields})
+    grouped = rows.groupingSets([[], *([F.col(f)] for f in fields)], *map(F.col, fields)).agg(F.grouping_id().alias("__g"), *measures)
+    full = (1 << len(fields)) - 1
+    own = {full - (1 << (len(fields) - 1 - k)): f for k, f in enumerate(fields)}
+    pick = lambda how: F.coalesce(*(F.when(F.col("__g") == g, how(f)) for g, f in own.items()))
+    names = [c for c in grouped.columns if c not in (*fields, "__g")]
+    found = grouped.withColumns({"field": pick(F.lit), "label": pick(F.col)}) if fields else grouped.withColumns({"field": F.lit(None).cast("string"), "label": F.lit(None).cast("string")})
+    long = _long(found, "trades", names)
+    declared = [(f, x) for f, known in (labels or {}).items() for x in known]
+    if declared:
+        asked = trades.sparkSession.createDataFrame(declared, "field string, label string")
+        unseen = asked.join(long.select("field", "label").distinct(), ["field", "label"], "left_anti")
+        long = long.unionByName(unseen.select(F.lit("trades").alias("section"), "field", "label", F.lit("trades").alias("measure"), F.lit(0.0).alias("value")))
+    blank = {"field": F.lit(None).cast("string"), "label": F.lit(None).cast("string")}
+    book = portfolio_statistics(curve)
+    interval = cluster_bootstrap(trades, draws)
+    parts = [long, _long(book.withColumns(blank), "portfolio", book.columns), _long(interval.withColumns(blank), "interval", interval.columns)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("value is not null")
+
+
+def _long(wide: DataFrame, section: str, names: list[str]) -> DataFrame:
+    """One row a measure."""
+    each = F.inline(F.array(*(F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("value")) for n in names)))
+    return wide.select(F.lit(section).alias("section"), "field", "label", each)
+
+
 def bucket(value: Column, width: int, top: int = 100) -> Column:
     """The label (such as 20-040) of the bucket of `width` that a value from 0 to top falls in; the last one holds top itself."""
     low = F.least(F.floor(F.greatest(value, F.lit(0.0)) / width) * width, F.lit(top - width)).cast("int")

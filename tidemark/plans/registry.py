@@ -312,9 +312,15 @@ def trade_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(outcomes.attribution(outcomes.outcomes(*_trades(spark, sf_dir)), ["direction", "sector", "hit"]), 6, "mean_r")
 
 
-@query()
+#: Draws of months by the MD5 of seed, draw and place, and the means that they give.
+_DRAWS = """mo AS (SELECT date_trunc('month', entry_session) AS month, sum(net_r) AS total, count(net_r) AS n FROM done GROUP BY 1), mk AS (SELECT *, row_number() OVER (ORDER BY month) - 1 AS k, count(*) OVER () AS m FROM mo),
+dr AS (SELECT draw, slot, m, ('0x' || substr(md5('20261002:' || draw || ':' || slot), 1, 8))::BIGINT % m AS k FROM (SELECT draw, m, unnest(range(m)) AS slot FROM range(2000) t(draw) CROSS JOIN (SELECT DISTINCT m FROM mk))),
+mm AS (SELECT draw, sum(total) / sum(n) AS mean FROM dr JOIN mk USING (k) GROUP BY draw)"""
+
+
+@query(f"WITH {_TRADES}, {_DRAWS} SELECT round(quantile_cont(mean, 0.025), 8) AS low, round(quantile_cont(mean, 0.975), 8) AS high FROM mm")
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes.cluster_bootstrap(outcomes.outcomes(*_trades(spark, sf_dir)))
+    return rounded(outcomes.cluster_bootstrap(outcomes.outcomes(*_trades(spark, sf_dir))), 8, "low", "high")
 
 
 @query(

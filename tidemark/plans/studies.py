@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.statistics import exact_mean
-from tidemark.operators import alerts, bitemporal, evaluation, grid, indicators, leadership, market, outcomes, plugs, schedules
+from tidemark.operators import alerts, bitemporal, evaluation, grid, indicators, leadership, market, outcomes, plugs, schedules, selection
 from tidemark.plans import views
 from tidemark.plans.evidence import _FOLD_ROWS
-from tidemark.plans.registry import _BARS, _INDICATORS, _SUPER, _TRADES, _trades, query, rounded
+from tidemark.plans.registry import _BARS, _DRAWS, _INDICATORS, _SUPER, _TRADES, _trades, query, rounded
 from tidemark.sources import manifests
 
 #: Reports as they were first known, with their surprise in percent.
@@ -262,3 +262,49 @@ def feed_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = views.sql(spark, sf_dir, _RAW, ("orders",))
     parts = [manifests.check(raw, k).select(F.lit(k).alias("kind"), "k", F.array_join("violations", ",").alias("violations")) for k in _CHECKED]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_FIELDS, _LABELS = ("direction", "sector", "hit"), {"direction": ["LONG", "SHORT", "FLAT"], "hit": ["true", "false"]}
+_STATS = """count(*) AS trades, avg(net_r) AS mean_r, avg(CASE WHEN net_r > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(bars_held) AS average_hold, sum(greatest(net_r, 0)) / nullif(sum(greatest(-net_r, 0)), 0) AS profit_factor,
+  quantile_cont(net_r, 0.05) AS p5, quantile_cont(net_r, 0.25) AS p25, quantile_cont(net_r, 0.5) AS p50, quantile_cont(net_r, 0.75) AS p75, quantile_cont(net_r, 0.95) AS p95,
+  CASE WHEN count(*) >= 3 THEN skewness(net_r) END AS skewness, CASE WHEN count(*) >= 4 THEN kurtosis(net_r) END AS excess_kurtosis, max(net_r) AS largest, min(net_r) AS smallest"""
+_STAT_NAMES = ("trades", "mean_r", "win_rate", "average_hold", "profit_factor", "p5", "p25", "p50", "p75", "p95", "skewness", "excess_kurtosis", "largest", "smallest")
+_BOOK_NAMES = (
+    *("sessions", "total_return", "cagr", "benchmark_return", "benchmark_cagr", "beta", "alpha", "sharpe", "information_ratio", "max_drawdown", "average_exposure", "average_close_exposure", "invested_fraction", "exposure_adjusted_cagr"),
+    *("return_per_exposure", "matched_return", "matched_active_return", "matched_information_ratio"),
+)
+
+
+def _stack(table: str, section: str, names: tuple[str, ...], field: str = "NULL", label: str = "NULL") -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, CAST({field} AS VARCHAR) AS field, CAST({label} AS VARCHAR) AS label, '{n}' AS measure, CAST({n} AS DOUBLE) AS value FROM {table}" for n in names)
+
+
+#: A curve of the tickers' mean return, with an exposure that changes by session.
+_CURVE = """rt AS (SELECT session, close / lag(close) OVER (PARTITION BY ticker ORDER BY session) - 1 AS ret, sector FROM bars), rm AS (SELECT session, avg(ret) AS bench, avg(CASE WHEN sector < 3 THEN ret END) AS own FROM rt WHERE ret IS NOT NULL GROUP BY session),
+cv AS (SELECT session, own * eo AS daily_return, bench AS benchmark_return, eo AS exposure_open, ec AS exposure_close, bench * eo AS matched_return FROM (SELECT *, CASE WHEN row_number() OVER (ORDER BY session) % 4 = 0 THEN 0.0 ELSE 0.6 END AS eo,
+  CASE WHEN row_number() OVER (ORDER BY session) % 4 = 3 THEN 0.0 ELSE 0.5 END AS ec FROM rm))"""
+
+
+@query(
+    f"""WITH {_TRADES}, {_DRAWS}, {_CURVE}, iv AS (SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM mm),
+st AS (SELECT NULL AS field, NULL AS label, {_STATS} FROM done {"".join(f" UNION ALL SELECT '{f}', CAST({f} AS VARCHAR), {_STATS} FROM done GROUP BY {f}" for f in _FIELDS)}),
+nv AS (SELECT *, exp(sum(ln(1 + daily_return)) OVER (ORDER BY session)) AS nav FROM cv), fl AS (SELECT *, nav / greatest(1.0, max(nav) OVER (ORDER BY session)) - 1 AS fall FROM nv),
+b1 AS (SELECT count(*) AS sessions, exp(sum(ln(1 + daily_return))) - 1 AS total_return, exp(sum(ln(1 + benchmark_return))) - 1 AS benchmark_return, exp(sum(ln(1 + matched_return))) - 1 AS matched_return, covar_pop(daily_return, benchmark_return) / var_pop(benchmark_return) AS beta,
+  avg(daily_return) AS d, avg(benchmark_return) AS b, avg(daily_return) * sqrt(252.0) / stddev_samp(daily_return) AS sharpe, avg(daily_return - benchmark_return) * sqrt(252.0) / stddev_samp(daily_return - benchmark_return) AS information_ratio,
+  min(fall) AS max_drawdown, avg(exposure_open) AS average_exposure, avg(exposure_close) AS average_close_exposure, avg(CASE WHEN exposure_open > 0 THEN 1.0 ELSE 0.0 END) AS invested_fraction,
+  avg(daily_return - matched_return) * sqrt(252.0) / stddev_samp(daily_return - matched_return) AS matched_information_ratio FROM fl),
+b2 AS (SELECT *, pow(1 + total_return, 252.0 / sessions) - 1 AS cagr, pow(1 + benchmark_return, 252.0 / sessions) - 1 AS benchmark_cagr, (d - beta * b) * 252 AS alpha, total_return - matched_return AS matched_active_return, total_return / average_exposure AS return_per_exposure FROM b1),
+b3 AS (SELECT *, cagr / average_exposure AS exposure_adjusted_cagr FROM b2)
+SELECT section, field, label, measure, round(value, 6) AS value FROM ({_stack("st", "trades", _STAT_NAMES, "field", "label")} UNION ALL {_stack("b3", "portfolio", _BOOK_NAMES)} UNION ALL {_stack("iv", "interval", ("low", "high"))}
+  UNION ALL SELECT 'trades', 'direction', 'FLAT', 'trades', 0.0) z WHERE value IS NOT NULL"""
+)
+def evidence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade statistics overall and by label, portfolio statistics and the bootstrap interval, as one table."""
+    c = F.col
+    trades, bars = _trades(spark, sf_dir)
+    moves = selection.returns(bars).join(bars.select("ticker", "session", "sector"), ["ticker", "session"])
+    means = moves.groupBy("session").agg(F.avg("ret").alias("benchmark_return"), F.avg(F.when(c("sector") < 3, c("ret"))).alias("own"))
+    place = F.row_number().over(Window.orderBy("session")) % 4  # one small row a session
+    held = means.withColumns({"exposure_open": F.when(place == 0, 0.0).otherwise(0.6), "exposure_close": F.when(place == 3, 0.0).otherwise(0.5)})
+    curve = held.select("session", (c("own") * c("exposure_open")).alias("daily_return"), "benchmark_return", "exposure_open", "exposure_close", (c("benchmark_return") * c("exposure_open")).alias("matched_return"))
+    return rounded(outcomes.evidence_report(outcomes.outcomes(trades, bars), curve, list(_FIELDS), _LABELS), 6, "value")
