@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, bitemporal, factors, gates, grid, indicators, market, plugs, scan, schedules, setups
+from tidemark.operators import alerts, bitemporal, factors, gates, grid, indicators, market, outcomes, plugs, research, scan, schedules, setups
 from tidemark.sources import manifests, sinks
 from tidemark.streaming import streams
 
@@ -361,3 +361,57 @@ def test_next_events_follow_what_was_known(spark):
     )
     # at 2 the report of q1 has moved to day 8; at 6 it is still on day 5
     assert {r.point_id: (r.sessions_to_event, r.event_date) for r in found.collect()} == {1: (3, days[5]), 2: (4, days[8]), 3: (0, days[9]), 6: (0, days[5])}
+
+
+# ---- packets
+
+
+def test_faulty_answers_are_set_aside(spark):
+    candidates = spark.createDataFrame([(str(k), START + DAY * 10) for k in range(40)], "ticker string, observed_at timestamp")
+    docs = [(str(k), t, START + DAY * d, 10 * k + d, f"{t} of {k} on day {d}") for k in range(1, 40) for t, d in (("financials", 1), ("financials", 5), ("financials", 30), ("sector_tailwinds", 2), ("quarterly_results", 20))]
+    docs += [("1", "financials", START + DAY * 6, 1, "   "), ("1", "gossip", START, 2, "x")]
+    packed = research.packets(candidates, spark.createDataFrame(docs, "ticker string, topic string, ingested_at timestamp, doc long, text string"), "doc")
+    one = packed.where("ticker = '7'").first()
+    assert [(s.source_id, s.topic, s.text) for s in one.sources] == [("S1", "financials", "financials of 7 on day 5"), ("S2", "sector_tailwinds", "sector_tailwinds of 7 on day 2")]
+    assert one.missing_topics == ["quarterly_results", "promoter_holding", "institutional_holding", "management_commentary"]
+
+    def generator(asked):
+        out = []
+        for p in asked:
+            kind = int(p["ticker"]) % 6
+            if kind == 1:
+                raise KeyError("no")
+            claim = {"text": "t", "source_id": "S2" if kind != 2 else "S9", "quote": "of " + p["ticker"] if kind != 3 else "of 1000"}
+            brief = {"bull_thesis": [claim], "bear_thesis": [], "risk_factors": [], "catalysts": [] if kind != 4 else "none", "unknowns": []}
+            out.append(brief if kind != 5 else {**brief, "orders": []})
+        return out
+
+    want = {0: [], 1: ["generator_failed:KeyError"], 2: ["absent_source:bull_thesis:0"], 3: ["fabricated_quote:bull_thesis:0"], 4: ["malformed_section:catalysts"], 5: ["malformed_brief"]}
+    got = {int(r.ticker): r for r in research.briefs(packed, generator, batch=7).collect()}
+    assert len(got) == 40 and got[0].status == research.NOTHING
+    for k in range(1, 40):
+        assert got[k].faults == want[k % 6] and got[k].status == (research.DRAFT if k % 6 == 0 else research.FAULTY) and (got[k].brief is not None) == (k % 6 == 0)
+    silent = research.briefs(packed, lambda asked: asked[1:]).where("ticker = '6'").first()
+    assert silent.faults == ["generator_failed:ValueError"]
+    assert research.faults({"bull_thesis": [{"text": " ", "source_id": "S1", "quote": "x"}], "bear_thesis": [], "risk_factors": [], "catalysts": [], "unknowns": [1]}, []) == ["malformed_unknowns", "malformed_claim:bull_thesis:0"]
+
+
+def test_evidence_reports_keep_what_was_not_seen(spark):
+    trades = [(str(k), START + DAY * 20 * k, float(k % 5 - 2), k % 7, "UP" if k % 2 else "DOWN") for k in range(30)]
+    curve = [(START + DAY * k, 0.01 * (k % 3 - 1) + 0.001, 0.002 * (k % 2), 0.5, 0.4, 0.001 * (k % 2)) for k in range(50)]
+    report = outcomes.evidence_report(
+        spark.createDataFrame(trades, "trade_id string, entry_session timestamp, net_r double, bars_held int, trend string"),
+        spark.createDataFrame(curve, "session timestamp, daily_return double, benchmark_return double, exposure_open double, exposure_close double, matched_return double"), ["trend"], {"trend": ["UP", "DOWN", "FLAT"]}, draws=300,
+    )
+    got = {(r.section, r.label, r.measure): r.value for r in report.collect()}
+    rs = [t[2] for t in trades]
+    assert got["trades", None, "mean_r"] == pytest.approx(sum(rs) / 30) and got["trades", "UP", "mean_r"] == pytest.approx(sum(rs[1::2]) / 15)
+    assert {k[2]: v for k, v in got.items() if k[1] == "FLAT"} == {"trades": 0.0}
+    nav = [1.0]
+    for row in curve:
+        nav.append(nav[-1] * (1 + row[1]))
+    assert got["portfolio", None, "max_drawdown"] == pytest.approx(min(v / max(nav[: k + 1]) - 1 for k, v in enumerate(nav)))
+    assert got["portfolio", None, "return_per_exposure"] == pytest.approx((nav[-1] - 1) / 0.5)
+    assert got["interval", None, "low"] <= sum(rs) / 30 <= got["interval", None, "high"]
+    lost = spark.createDataFrame([(START, -1.0, 0.0), (START + DAY, 0.5, 0.1)], "session timestamp, daily_return double, benchmark_return double")
+    assert outcomes.portfolio_statistics(lost).first().total_return == -1.0

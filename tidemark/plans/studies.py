@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.statistics import exact_mean
-from tidemark.operators import alerts, bitemporal, evaluation, grid, indicators, leadership, market, outcomes, plugs, schedules, selection
+from tidemark.operators import alerts, bitemporal, evaluation, grid, indicators, leadership, market, outcomes, plugs, research, schedules, selection
 from tidemark.plans import views
 from tidemark.plans.evidence import _FOLD_ROWS
+from tidemark.plans.ledger import _PACKETS, _packets
 from tidemark.plans.registry import _BARS, _DRAWS, _INDICATORS, _SUPER, _TRADES, _trades, query, rounded
 from tidemark.sources import manifests
 
@@ -308,3 +309,31 @@ def evidence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = means.withColumns({"exposure_open": F.when(place == 0, 0.0).otherwise(0.6), "exposure_close": F.when(place == 3, 0.0).otherwise(0.5)})
     curve = held.select("session", (c("own") * c("exposure_open")).alias("daily_return"), "benchmark_return", "exposure_open", "exposure_close", (c("benchmark_return") * c("exposure_open")).alias("matched_return"))
     return rounded(outcomes.evidence_report(outcomes.outcomes(trades, bars), curve, list(_FIELDS), _LABELS), 6, "value")
+
+
+def _quoting(asked: list[dict]) -> list[object]:
+    """A rule in place of a model: it quotes the first source, and gets some packets wrong by their ticker."""
+    answers: list[object] = []
+    for packet in asked:
+        kind, first = int(packet["ticker"]) % 10, packet["sources"][0]
+        if kind == 3:
+            raise RuntimeError("no answer")
+        quote = "not in any source \u0001" if kind == 5 else first["text"].strip()[:12]
+        claim = {"text": f"on {first['topic']}", "source_id": "S99" if kind == 7 else first["source_id"], "quote": quote}
+        answers.append("?" if kind == 9 else {"bull_thesis": [claim], "bear_thesis": [], "risk_factors": [], "catalysts": [], "unknowns": packet["missing_topics"]})
+    return answers
+
+
+@query(
+    f"""WITH {_PACKETS}, nd AS (SELECT c.ticker, c.observed_at, topic, min(d.doc_id % 6) AS place, arg_max(text, (ingested_at, doc_id)) AS text FROM cand c JOIN docs d ON d.ticker = c.ticker AND ingested_at <= observed_at WHERE trim(text) <> '' GROUP BY 1, 2, 3),
+s AS (SELECT ticker, observed_at, count(*) AS sources, arg_min(topic, place) AS topic FROM nd GROUP BY ticker, observed_at),
+q AS (SELECT c.ticker, c.observed_at, coalesce(sources, 0) AS sources, topic, CAST(c.ticker AS INTEGER) % 10 AS kind FROM cand c LEFT JOIN s USING (ticker, observed_at))
+SELECT ticker, observed_at, CASE WHEN sources = 0 THEN 'NO_SOURCES' WHEN kind IN (3, 5, 7, 9) THEN 'QUARANTINED' ELSE 'AI_DRAFT_REQUIRES_REVIEW' END AS status, CASE WHEN sources > 0 AND kind NOT IN (3, 5, 7, 9) THEN 'on ' || topic ELSE '' END AS claim, 6 - sources AS missing,
+  CASE WHEN sources = 0 THEN '' WHEN kind = 3 THEN 'generator_failed:RuntimeError' WHEN kind = 5 THEN 'fabricated_quote:bull_thesis:0' WHEN kind = 7 THEN 'absent_source:bull_thesis:0' WHEN kind = 9 THEN 'malformed_brief' ELSE '' END AS faults FROM q"""
+)
+def packet_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of every ticker and month, answered by a rule that fails for some, with what was wrong."""
+    candidates, docs = _packets(spark, sf_dir)
+    found = research.briefs(research.packets(candidates, docs, "doc_id"), _quoting)
+    claim = F.coalesce(F.get_json_object("brief", "$.bull_thesis[0].text"), F.lit(""))
+    return found.select("ticker", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), "status", claim.alias("claim"), F.size("missing_topics").cast("long").alias("missing"), F.array_join("faults", ",").alias("faults"))
