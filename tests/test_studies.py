@@ -9,8 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, bitemporal, factors, gates, grid, indicators, market, outcomes, plugs, research, scan, schedules, setups
-from tidemark.sources import manifests, sinks
+from tidemark.operators import alerts, bitemporal, book, coverage, evaluation, factors, gates, grid, indicators, market, outcomes, plugs, research, scan, schedules, setups, sizing
+from tidemark.sources import manifests, readers, sinks
 from tidemark.streaming import streams
 
 from .test_operators import walk
@@ -415,3 +415,53 @@ def test_evidence_reports_keep_what_was_not_seen(spark):
     assert got["interval", None, "low"] <= sum(rs) / 30 <= got["interval", None, "high"]
     lost = spark.createDataFrame([(START, -1.0, 0.0), (START + DAY, 0.5, 0.1)], "session timestamp, daily_return double, benchmark_return double")
     assert outcomes.portfolio_statistics(lost).first().total_return == -1.0
+
+
+# ---- what no query calls
+
+
+def test_small_lookups(spark, tmp_path):
+    c = F.col
+    rows = spark.createDataFrame([("A", 1, 1.0, None), ("A", 2, None, 2.0), ("A", 3, float("nan"), 5.0), ("B", 1, None, 1.0)], "ticker string, session int, x double, y double")
+    assert [r[0] for r in rows.select(sizing.quality_reason(("x", "y"))).collect()] == ["y", "x", "x", "x"]
+    kept = rows.withColumn("x", F.nanvl("x", F.lit(None))).withColumn("last", bitemporal.carried(rows, "y", "ticker")).orderBy("ticker", "session")
+    assert [r.last for r in kept.collect()] == [None, 2.0, 5.0, 1.0]
+    assert {(r.ticker, r.session) for r in coverage.missing(rows, rows.where("y > 1"), "ticker", "session").collect()} == {("A", 1), ("B", 1)}
+    scan = spark.createDataFrame([(1, 0.6, 0.2), (1, 0.4, 0.9), (2, 0.1, 0.3)], "session int, probability double, expectancy double")
+    assert {tuple(r) for r in book.scan_metrics(scan, 0.5).collect()} == {(1, 2, 1, 0.5, 0.6, 0.2), (2, 1, 0, 0.0, 0.0, 0.0)}
+    asked = spark.createDataFrame([("SHORT", 100.0, 90.0, False), ("LONG", 100.0, 99.9, False), ("LONG", 100.0, 50.0, None)], "side string, entry double, stop double, reverts boolean")
+    near = gates.display_horizon(c("side"), c("entry"), c("stop"), c("reverts"), intraday=True)
+    assert [r[0] for r in asked.select(near).collect()] == ["INTRADAY", "INTRADAY", "SWING"]
+    assert [r[0] for r in asked.select(gates.display_horizon(c("side"), c("entry"), c("stop"), c("reverts"))).collect()] == ["SWING"] * 3
+    journal = spark.createDataFrame([(k,) for k in (5, 1, 3, 2, 4)], "sequence long")
+    assert [r.sequence for r in readers.journal_page(journal, 2, 2).collect()] == [3, 4]
+    for name, text in (("a", '{"end": "2024-01-02", "status": "OK"}'), ("b", '{"end": "2024-03-01", "status": "LATE"}'), ("c", "{broken")):
+        (tmp_path / f"{name}.json").write_text(text)
+    last = readers.latest_report(spark, str(tmp_path)).first()
+    assert (last.latest.end, last.latest.status, last.unreadable) == ("2024-03-01", "LATE", 1)
+    ticks = spark.createDataFrame([("A", START + dt.timedelta(minutes=m)) for m in (0, 10, 35, 80, 90)], "ticker string, ts timestamp")
+    assert sorted(r.ticks for r in streams.activity_sessions(ticks).collect()) == [2, 3]
+
+
+def test_weekdays_without_trades_count(spark):
+    rows = [("x", START + DAY * k, p) for k, p in ((0, 100.0), (0, 20.0), (3, -50.0), (8, 10.0))] + [("y", START, 5.0)]  # START is a Friday
+    pnl = spark.createDataFrame(rows, "fold string, session timestamp, pnl double")
+    daily = [120.0, -50.0, 0.0, 0.0, 0.0, 0.0, 10.0]  # Friday, Monday to Friday, and a Saturday with a result
+    mean, spread = sum(daily) / 7 / 1000, (sum((d - sum(daily) / 7) ** 2 for d in daily) / 7) ** 0.5 / 1000
+    got = {r.fold: r for r in evaluation.sharpe(pnl, 1000.0, "fold").collect()}
+    assert got["x"].days == 7 and got["x"].sharpe == round(mean / spread * 252**0.5, 3) and got["x"].total_pnl == 80.0
+    assert (got["y"].days, got["y"].sharpe) == (1, 0.0)
+
+
+def test_regimes_in_a_stream(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(m, START + DAY * k, rnd.choice([0.1, 0.3, 0.5, 0.7]), rnd.choice([10.0, 20.0, 30.0]), rnd.choice([1.0, 1.5])) for m in "AB" for k in range(60)]
+    table = spark.createDataFrame(rows, "market string, session timestamp, breadth double, adx_median double, atr_ratio double")
+    folder = str(tmp_path / "in")
+    for k in range(2):
+        table.where((F.col("session") >= F.lit(START + DAY * 30 * k)) & (F.col("session") < F.lit(START + DAY * 30 * (k + 1)))).coalesce(1).write.mode("append").parquet(folder)
+        streams.regime_stream(spark.readStream.schema(table.schema).parquet(folder)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = {(r.market, r.session): (r.regime, r.confirmed) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    for m in "AB":
+        want = market.regimes(table.where(F.col("market") == m).drop("market")).collect()
+        assert {s: v for (k, s), v in got.items() if k == m} == {r.session: (r.regime, r.confirmed) for r in want}

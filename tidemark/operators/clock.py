@@ -5,7 +5,7 @@ Times are instants; `zone` is the exchange's.  A null instant gives null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ZONE = "Asia/Kolkata"
@@ -62,10 +62,8 @@ def completed_bars(bars: DataFrame, now: Column, zone: str = ZONE) -> DataFrame:
     return bars.where((session < today) | ((session == today) & (day_minute(now, zone) >= _minute(CLOSE))))
 
 
-def locked_regimes(states: DataFrame, minutes: int = LOCK_MINUTES, zone: str = ZONE) -> DataFrame:
-    """states (market, ts, regime) with `held`, the regime that holds: inside the lock the last one from before it."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("market").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+def locked_regimes(states: DataFrame, minutes: int = LOCK_MINUTES, zone: str = ZONE, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """states (market, ts, regime) with `held`, the regime that holds: inside the lock the last one from before it; `order` tells states of one time apart."""
+    w = Window.partitionBy("market").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     locked = regime_locked(F.col("ts"), minutes, zone)
     return states.withColumn("held", F.coalesce(F.last(F.when(~locked, F.col("regime")), ignorenulls=True).over(w), F.col("regime")))

@@ -55,6 +55,28 @@ def daily_profit(done: DataFrame, bars: DataFrame) -> DataFrame:
     return rows.select("trade_id", "session", pnl.alias("pnl"))
 
 
+def business_pnl(pnl: DataFrame, *by: str) -> DataFrame:
+    """(by..., day, pnl) on a spine of all weekdays from the first to the last day of each group, 0 where nothing was made; weekend days with a result stay.
+
+    pnl: session, pnl and `by`.  A group's range is one row that unfolds into its days.
+    """
+    days = pnl.where("pnl is not null and session is not null").groupBy(*by, F.to_date("session").alias("day")).agg(F.sum("pnl").alias("pnl"))
+    ends = days.groupBy(*by).agg(F.min("day").alias("__a"), F.max("day").alias("__b"))
+    spine = ends.select(*by, F.explode(F.sequence("__a", "__b")).alias("day")).where(F.weekday("day") < 5)
+    return spine.join(days, [*by, "day"], "full_outer").withColumn("pnl", F.coalesce("pnl", F.lit(0.0)))
+
+
+def sharpe(pnl: DataFrame, capital: float, *by: str) -> DataFrame:
+    """(by..., days, total_pnl, sharpe): the annual Sharpe ratio of business_pnl by capital; 0 below two days or without variation.
+
+    With `by` a fold, that is a fold's ratio over its own days.
+    """
+    daily = business_pnl(pnl, *by).withColumn("__r", F.col("pnl") / capital)
+    spread = F.stddev_pop("__r")
+    ratio = F.when((F.count(F.lit(1)) >= 2) & (spread > 0), F.round(F.avg("__r") / spread * F.sqrt(F.lit(252.0)), 3)).otherwise(0.0)
+    return daily.groupBy(*by).agg(F.count(F.lit(1)).alias("days"), F.sum("pnl").alias("total_pnl"), ratio.alias("sharpe"))
+
+
 def curve_fall(trades: DataFrame) -> DataFrame:
     """(curve_fall), one row: the largest fall of the running sum of net_r over all trades by exit_session and trade_id.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,19 +107,3 @@ def sector_concentration(sectors: DataFrame, state: DataFrame) -> DataFrame:
 def market_state(indicators: DataFrame, sectors: DataFrame) -> DataFrame:
     """One row a session: metrics, regime, confirmation, concentration and confidence."""
     return confidence(sector_concentration(sectors, regimes(session_metrics(indicators))))
-
-
-def fold_regimes(rows: pd.DataFrame) -> list[str]:
-    """The same labels by a plain fold over sessions; the tests hold `regimes` against it."""
-    out: list[str] = []
-    for r in rows.itertuples():
-        limit = PANIC_EXIT if out and out[-1] == "PANIC" else PANIC
-        if r.breadth < limit:
-            out.append("PANIC")
-        elif r.atr_ratio >= EXPANSION_ATR and r.adx_median >= ADX_TREND:
-            out.append("EXPANSION")
-        elif r.adx_median < ADX_RANGE:
-            out.append("RANGE")
-        else:
-            out.append("TREND_UP" if r.breadth >= TREND_UP_BREADTH else "TREND_DOWN" if r.breadth < TREND_DOWN_BREADTH else "RANGE")
-    return out

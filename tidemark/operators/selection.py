@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.statistics import correlation, framed_correlation
+from tidemark.operators import book
 
 
 def returns(bars: DataFrame) -> DataFrame:
@@ -99,6 +100,15 @@ def select_portfolio(candidates: DataFrame, pairs: DataFrame, size: int = 6, per
     return rows.mapInPandas(choose, schema)
 
 
+def choose_book(candidates: DataFrame, pairs: DataFrame, capital: float, most_risk: float, size: int = 6, per_sector: int = 2, most_corr: float = 0.75) -> DataFrame:
+    """A session's whole selection: select_portfolio's choice, held within capital and risk by book.within_limits.
+
+    candidates: session, ticker, sector, rank_score, held, shares, entry, stop, risk.  Limits act on what was chosen; a place
+    that they empty isn't filled again.
+    """
+    return book.within_limits(select_portfolio(candidates, pairs, size, per_sector, most_corr), capital, most_risk)
+
+
 def non_overlapping(trades: DataFrame) -> DataFrame:
     """Trades of one setup and ticker that start after the last kept one has ended (entry_ord, exit_ord)."""
 
@@ -140,28 +150,28 @@ def allocate(
     names = ["session", "ticker", "sector", "rank_score", "quantity", "price", "stop", "risk_scale"]
     rows = candidates.select(*names).withColumns({"held": F.lit(False), "held_risk": F.lit(0.0)})
     if held is not None:
-        book = held.select("session", "ticker", "sector", F.lit(None).cast("double").alias("rank_score"), F.col("shares").cast("long").alias("quantity"), "price", F.lit(None).cast("double").alias("stop"), F.lit(1.0).alias("risk_scale"), F.lit(True).alias("held"), F.col("risk").alias("held_risk"))
-        rows = rows.withColumn("quantity", F.col("quantity").cast("long")).unionByName(book)
+        own = held.select("session", "ticker", "sector", F.lit(None).cast("double").alias("rank_score"), F.col("shares").cast("long").alias("quantity"), "price", F.lit(None).cast("double").alias("stop"), F.lit(1.0).alias("risk_scale"), F.lit(True).alias("held"), F.col("risk").alias("held_risk"))
+        rows = rows.withColumn("quantity", F.col("quantity").cast("long")).unionByName(own)
     rows = rows.join(known, [*dated, "ticker"], "left")
     rows = rows.withColumn("known", F.coalesce(F.to_json("known"), F.lit("{}")))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         import json
 
-        book = [dict(ticker=r.ticker, sector=r.sector, value=r.quantity * r.price, risk=r.held_risk) for r in group[group["held"]].itertuples()]
-        cash = max(0.0, nav - sum(p["value"] for p in book))
+        filled = [dict(ticker=r.ticker, sector=r.sector, value=r.quantity * r.price, risk=r.held_risk) for r in group[group["held"]].itertuples()]
+        cash = max(0.0, nav - sum(p["value"] for p in filled))
         out = []
         for r in group[~group["held"]].sort_values(["rank_score", "ticker"], ascending=[False, True]).itertuples():
             correlations = json.loads(r.known)
             reason, shares = "", 0
-            if any(p["ticker"] == r.ticker for p in book):
+            if any(p["ticker"] == r.ticker for p in filled):
                 reason = "already_held"
-            elif len(book) >= size:
+            elif len(filled) >= size:
                 reason = "position_cap"
-            elif sum(p["sector"] == r.sector for p in book) >= per_sector:
+            elif sum(p["sector"] == r.sector for p in filled) >= per_sector:
                 reason = "sector_cap"
             else:
-                for p in book:
+                for p in filled:
                     value = correlations.get(p["ticker"])
                     if value is None or abs(value) >= most_corr:
                         reason = "correlation_unknown" if value is None else "correlation_cap"
@@ -171,16 +181,16 @@ def allocate(
             elif not reason and r.risk_scale == 0:
                 reason = "breadth_defensive"
             elif not reason:
-                room = max(0.0, min(risk_limit, nav * heat) - sum(p["risk"] for p in book))
+                room = max(0.0, min(risk_limit, nav * heat) - sum(p["risk"] for p in filled))
                 by_heat = int(room / (r.price - r.stop))
-                by_sector = int(max(0.0, nav * sector_share - sum(p["value"] for p in book if p["sector"] == r.sector)) / r.price)
+                by_sector = int(max(0.0, nav * sector_share - sum(p["value"] for p in filled if p["sector"] == r.sector)) / r.price)
                 shares = min(int(r.quantity * r.risk_scale), by_heat, by_sector, int(cash / r.price))
                 reason = "heat_cap" if by_heat <= 0 else "sector_exposure_cap" if by_sector <= 0 else "allocated" if shares > 0 else "cash_or_size_cap"
                 shares = max(shares, 0)
             risk = shares * max(0.0, r.price - r.stop)
             out.append((r.session, r.ticker, r.sector, shares, reason, r.price, risk))
             if shares:
-                book.append(dict(ticker=r.ticker, sector=r.sector, value=shares * r.price, risk=risk))
+                filled.append(dict(ticker=r.ticker, sector=r.sector, value=shares * r.price, risk=risk))
                 cash -= shares * r.price
         return pd.DataFrame(out, columns=["session", "ticker", "sector", "shares", "reason", "price", "risk"])
 

@@ -53,11 +53,8 @@ SELECT market, held, count(*) AS n FROM h GROUP BY market, held"""
 )
 def locked_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label that holds at each event, frozen while the market opens."""
-    order = F.struct("ts", "event_id")
     rows = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("market"), "ts", "event_id", (F.col("user_id") % 5).cast("string").alias("regime"))
-    w = Window.partitionBy("market").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    free = F.when(~clock.regime_locked(F.col("ts")), F.col("regime"))
-    held = rows.withColumn("held", F.coalesce(F.last(free, ignorenulls=True).over(w), F.col("regime")))
+    held = clock.locked_regimes(rows, order=("ts", "event_id"))
     return held.groupBy("market", "held").agg(F.count("*").alias("n"))
 
 

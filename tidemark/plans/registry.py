@@ -218,7 +218,21 @@ def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(_candidates(spark, sf_dir), 9, "quality"), 6, *factors.NAMES[:-1]).select("ticker", "session", "direction", "regime", *factors.NAMES, "composite", F.round("poc", 4).alias("poc"), F.round("val", 4).alias("val"), F.round("vah", 4).alias("vah"))
 
 
-@query()
+#: Long candidates by session, pairs that move together in the 60 sessions up to each, and the greedy choice as a recursion over places.
+_CHOSEN = f"""{_FACTORS}, cd AS (SELECT f8.session, f8.ticker, b.sector, composite AS rank_score, row_number() OVER (PARTITION BY f8.session ORDER BY composite DESC, f8.ticker) AS place FROM f8 JOIN bars b ON b.ticker = f8.ticker AND b.session = f8.session WHERE direction = 'LONG'),
+sc AS (SELECT session, row_number() OVER (ORDER BY session) AS ord FROM (SELECT DISTINCT session FROM bars)),
+re AS (SELECT * FROM (SELECT ticker, session, close / lag(close) OVER (PARTITION BY ticker ORDER BY session) - 1 AS ret FROM bars) WHERE ret IS NOT NULL),
+pc AS (SELECT x.session, x.ticker AS a, y.ticker AS b, corr(x.ret, y.ret) OVER w AS c, count(*) OVER w AS n FROM re x JOIN re y ON x.session = y.session AND x.ticker < y.ticker JOIN sc ON sc.session = x.session
+  WINDOW w AS (PARTITION BY x.ticker, y.ticker ORDER BY ord RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)),
+cl AS (SELECT session, t, list(o) AS near FROM (SELECT session, a AS t, b AS o FROM pc WHERE n >= 20 AND abs(c) > 0.75 UNION ALL SELECT session, b, a FROM pc WHERE n >= 20 AND abs(c) > 0.75) GROUP BY session, t),
+cn AS (SELECT cd.*, coalesce(near, []) AS near FROM cd LEFT JOIN cl ON cl.session = cd.session AND cl.t = cd.ticker),
+ch AS (SELECT session, CAST(0 AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS taken, CAST([] AS INTEGER[]) AS sectors, false AS ok FROM cn GROUP BY session
+  UNION ALL SELECT session, place, CASE WHEN ok THEN list_append(taken, ticker) ELSE taken END, CASE WHEN ok THEN list_append(sectors, sector) ELSE sectors END, ok FROM (SELECT c.session, c.place, c.ticker, c.sector, taken, sectors,
+    len(taken) < 6 AND len(list_filter(sectors, lambda s: s = c.sector)) < 2 AND NOT list_has_any(near, taken) AS ok FROM ch JOIN cn c ON c.session = ch.session AND c.place = ch.place + 1)),
+chosen AS (SELECT cn.session, cn.ticker, cn.sector, rank_score, false AS held, CAST(cn.place AS INTEGER) AS place FROM cn JOIN ch USING (session, place) WHERE ok)"""
+
+
+@query(f"WITH RECURSIVE {_CHOSEN} SELECT * FROM chosen")
 def portfolio_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _candidates(spark, sf_dir).where("direction = 'LONG'").select("session", "ticker", "sector", F.col("composite").alias("rank_score"), F.lit(False).alias("held"))
     bars = views.bars_walk(spark, sf_dir)
@@ -226,6 +240,26 @@ def portfolio_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.select_portfolio(rows, pairs)
 
 
+@query(
+    f"""WITH RECURSIVE {_CHOSEN}, sz AS (SELECT c.session, c.ticker, rank_score, round(close, 6) AS entry, round(close - 1.5 * atr, 2) AS stop, CAST(trunc(5000 / abs(round(close, 6) - round(close - 1.5 * atr, 2))) AS BIGINT) AS shares FROM chosen c JOIN whole w ON w.ticker = c.ticker AND w.session = c.session),
+rk AS (SELECT *, round(shares * abs(entry - stop), 2) AS risk FROM sz), tt AS (SELECT *, sum(shares * entry) OVER (PARTITION BY session) AS tv, sum(risk) OVER (PARTITION BY session) AS tr FROM rk),
+sf AS (SELECT *, tv > 100000 OR tr > 20000 AS over, least(CASE WHEN tv > 100000 THEN 100000 / tv ELSE 1 END, CASE WHEN tr > 20000 THEN 20000 / tr ELSE 1 END) AS f FROM tt),
+sh AS (SELECT *, CASE WHEN over THEN CAST(trunc(shares * f) AS BIGINT) ELSE shares END AS s2 FROM sf), fi AS (SELECT *, CASE WHEN over THEN round(s2 * abs(entry - stop), 2) ELSE risk END AS r2 FROM sh WHERE NOT over OR s2 > 0),
+cu AS (SELECT a.session, a.ticker, any_value(a.s2) AS shares, any_value(a.r2) AS risk, sum(b.s2 * b.entry) AS v, sum(b.r2) AS r FROM fi a JOIN fi b ON a.session = b.session AND (b.rank_score, b.ticker) >= (a.rank_score, a.ticker) GROUP BY a.session, a.ticker)
+SELECT session, ticker, shares FROM cu WHERE v <= 100000 AND r <= 20000"""
+)
+def composed_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates chosen by rank, sector and correlation, then held within capital and risk."""
+    c = F.col
+    rows = _candidates(spark, sf_dir).where("direction = 'LONG'").withColumns({"entry": F.round("close", 6), "stop": F.round(c("close") - 1.5 * c("atr"), 2)})
+    gap = F.abs(c("entry") - c("stop"))
+    rows = rows.withColumn("shares", (F.lit(5000.0) / gap).cast("long")).withColumn("risk", F.round(c("shares") * gap, 2))
+    rows = rows.select("session", "ticker", "sector", c("composite").alias("rank_score"), F.lit(False).alias("held"), "shares", "entry", "stop", "risk")
+    bars = views.bars_walk(spark, sf_dir)
+    pairs = selection.session_correlations(selection.returns(bars), rows.select("session", "ticker"), sessions=bars)
+    return selection.choose_book(rows, pairs, 100_000.0, 20_000.0).select("session", "ticker", "shares")
+
+
 @query(
     f"""WITH RECURSIVE {_SUPER}, y AS (SELECT ticker, session, open, high, low, close, volume, ema_20, ema_50, atr, row_number() OVER w AS bar, lag(high) OVER w AS high1,
   max(high) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS resistance, max(high) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) AS overhead,

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.statistics import exact_mean
 from tidemark.operators import alerts, bitemporal, evaluation, grid, indicators, leadership, market, outcomes, plugs, research, schedules, selection
 from tidemark.plans import views
-from tidemark.plans.evidence import _FOLD_ROWS
+from tidemark.plans.evidence import _FOLD_ROWS, _REGIMES
 from tidemark.plans.ledger import _PACKETS, _packets
-from tidemark.plans.registry import _BARS, _DRAWS, _INDICATORS, _SUPER, _TRADES, _trades, query, rounded
+from tidemark.plans.registry import _BARS, _DONE_ROWS, _DRAWS, _INDICATORS, _RS, _SUPER, _TRADES, _trades, query, rounded
 from tidemark.sources import manifests
 
 #: Reports as they were first known, with their surprise in percent.
@@ -337,3 +337,36 @@ def packet_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = research.briefs(research.packets(candidates, docs, "doc_id"), _quoting)
     claim = F.coalesce(F.get_json_object("brief", "$.bull_thesis[0].text"), F.lit(""))
     return found.select("ticker", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), "status", claim.alias("claim"), F.size("missing_topics").cast("long").alias("missing"), F.array_join("faults", ",").alias("faults"))
+
+
+@query(
+    f"""{_DONE_ROWS}, h AS (SELECT d.*, o.session AS day_session, o.ord - d.sig AS day, o.close AS c, year(d.entry_session) AS fold FROM done d JOIN o ON o.ticker = d.ticker AND o.ord > d.sig AND o.ord <= d.sig + d.bars_held),
+m AS (SELECT *, (c - coalesce(lag(c) OVER (PARTITION BY trade_id ORDER BY day), entry)) * sg * 10 AS mv FROM h),
+p AS (SELECT *, coalesce(sum(mv) OVER (PARTITION BY trade_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m),
+dp AS (SELECT fold, CAST(day_session AS DATE) AS day, sum(CASE WHEN day = bars_held THEN net_r * abs(entry - stop) * 10 - before ELSE mv END) AS pnl FROM p GROUP BY 1, 2),
+sp AS (SELECT fold, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT fold, min(day) AS a, max(day) AS b FROM dp GROUP BY fold)),
+al AS (SELECT fold, day, coalesce(pnl, 0.0) AS pnl FROM (SELECT * FROM sp WHERE isodow(day) < 6) FULL JOIN dp USING (fold, day))
+SELECT CAST(fold AS INTEGER) AS fold, count(*) AS days, round(sum(pnl), 4) AS total_pnl, round(round(avg(pnl / 100000) / stddev_pop(pnl / 100000) * sqrt(252.0), 3), 3) AS sharpe FROM al GROUP BY fold"""
+)
+def fold_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days, profit and Sharpe ratio of each year's trades over weekdays."""
+    trades, bars = _trades(spark, sf_dir)
+    done = outcomes.outcomes(trades, bars).withColumn("shares", F.lit(10))
+    pnl = evaluation.daily_profit(done, bars).join(done.select("trade_id", F.year("entry_session").alias("fold")), "trade_id")
+    return evaluation.sharpe(pnl, 100_000.0, "fold").withColumn("total_pnl", F.round("total_pnl", 4))
+
+
+@query(
+    f"""WITH {_INDICATORS}, {_REGIMES}, {_RS.removeprefix(_BARS + ",")}, sec AS (SELECT session, sector, round(median(rs), 3) AS sector_rs FROM rs GROUP BY session, sector),
+sh AS (SELECT session, avg(CASE WHEN sector_rs > 0 THEN 1.0 ELSE 0.0 END) AS up, avg(CASE WHEN sector_rs < 0 THEN 1.0 ELSE 0.0 END) AS down FROM sec GROUP BY session),
+st AS (SELECT m.*, regime, confirmed, coalesce(CASE regime WHEN 'TREND_UP' THEN round(up, 3) WHEN 'TREND_DOWN' THEN round(down, 3) END, 0.5) AS conc, greatest(0.0, least(1.0, (adx_median - 25) / 15)) AS strength FROM m JOIN state USING (session) LEFT JOIN sh USING (session))
+SELECT session, regime, confirmed, conc AS sector_concentration, round(CASE WHEN regime = 'PANIC' THEN greatest(0.7, least(1.0, 0.7 + (0.25 - breadth) * 2))
+  WHEN regime IN ('TREND_UP', 'TREND_DOWN') THEN greatest(0.0, least(1.0, 0.5 + strength * 0.3 + greatest(0.0, least(1.0, abs(breadth - 0.5) * 2)) * 0.2 + greatest(0.0, least(1.0, (conc - 0.5) * 2)) * 0.1))
+  WHEN regime = 'EXPANSION' THEN greatest(0.0, least(1.0, 0.55 + strength * 0.25 + greatest(0.0, least(1.0, (atr_ratio - 1.3) / 0.7)) * 0.2)) ELSE 0.55 END, 3) AS confidence FROM st"""
+)
+def market_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole state of every session: regime, confirmation, concentration of sectors and confidence."""
+    bars = views.bars_walk(spark, sf_dir)
+    sectors = market.sector_strength(market.relative_strength(bars, market.benchmark(bars)))
+    found = market.market_state(indicators.add_indicators(bars, complete=False), sectors)
+    return found.select("session", "regime", "confirmed", "sector_concentration", F.round("confidence", 3).alias("confidence"))
