@@ -105,9 +105,13 @@ def with_held_levels(signals: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def replaced(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """The set after a synchronisation: exactly the incoming keys; columns that incoming lacks stay as they are."""
+    """The set after a synchronisation: exactly the incoming keys; columns that incoming lacks stay as they are.
+
+    Of several incoming rows of a key the largest one counts, by its columns in order.
+    """
     kept = [c for c in current.columns if c not in incoming.columns]
-    return incoming.dropDuplicates([key]).join(current.select(key, *kept), key, "left").select(*current.columns)
+    one = incoming.groupBy(key).agg(F.max(F.struct(*(c for c in incoming.columns if c != key))).alias("__row")).select(key, "__row.*") if len(incoming.columns) > 1 else incoming.distinct()
+    return one.join(current.select(key, *kept), key, "left").select(*current.columns)
 
 
 def equity_from_fills(fills: DataFrame, marks: DataFrame, start: float) -> DataFrame:

@@ -84,9 +84,8 @@ def membership(spark: SparkSession, path: str, suffix: str = ".NS") -> DataFrame
 
 
 def portfolio_events(spark: SparkSession, path: str, least: float = 0.55) -> DataFrame:
-    """(ts, mean_prob_win, size, tickers) of a JSON-lines log's portfolio events that chose something; lines that aren't JSON are skipped."""
-    rows = spark.read.schema("ts string, event string, size long, mean_prob_win double, tickers array<string>").option("mode", "PERMISSIVE").json(path)
-    return rows.where((F.col("event") == "portfolio_built") & (F.col("size") > 0) & (F.col("mean_prob_win") >= least)).select("ts", "mean_prob_win", "size", "tickers")
+    """portfolio_log of a file."""
+    return portfolio_log(spark.read.text(path), least)
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -118,6 +117,5 @@ def portfolio_log(lines: DataFrame, least: float = 0.55) -> DataFrame:
 
 
 def memberships(spark: SparkSession, path: str, suffix: str = ".NS") -> DataFrame:
-    """(ticker, start, end) of a CSV of index memberships; a blank end is a member still, and tickers get the exchange's suffix."""
-    rows = spark.read.schema("ticker string, start date, end date").option("header", True).csv(path)
-    return rows.withColumn("ticker", F.when(F.col("ticker").endswith(suffix), F.col("ticker")).otherwise(F.concat("ticker", F.lit(suffix))))
+    """membership under its other name."""
+    return membership(spark, path, suffix)
