@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import math
 import random
+from fractions import Fraction
 
 import pandas as pd
 import pytest
@@ -185,6 +186,26 @@ def test_a_grid_is_its_variants_one_by_one(spark):
     assert len(setups.swing_setups(found, market.benchmark(bars)).columns) == 11
 
 
+def test_means_of_a_grid_that_end_in_a_half_round_up_in_any_order(spark):
+    rnd, groups = random.Random(5), {}
+    for n in (8, 24, 40, 200):
+        for k in range(50):
+            units = [rnd.randrange(-10_000, 30_000) for _ in range(n - 1)]
+            # the sum, in units of 0.0001, is such that the mean's seventh and last decimal is 5
+            units.append(next(u for u in range(10_000, 10_000 + n) if (sum(units) + u) * 100 % n * 2 == n))
+            groups[f"{n}-{k}"] = [u / 10_000 for u in units]
+    means = {v: Fraction(sum(round(x * 10_000) for x in xs), 10_000 * len(xs)) for v, xs in groups.items()}
+    half_up = {v: math.copysign(math.floor(abs(m) * 10**6 + Fraction(1, 2)) / 10**6, m) for v, m in means.items()}
+    assert all((m * 10**6).denominator == 2 for m in means.values())
+    rows = [(v, "BREAKOUT", x, x) for v, xs in groups.items() for x in xs]
+    for parts in (1, 3, 7):
+        rnd.shuffle(rows)
+        trades = spark.createDataFrame(rows, "variant string, strategy string, gross_r double, net_r double").repartition(parts)
+        got = grid.by_strategy(trades, F.lit("DEV")).withColumns({"gross": F.round("mean_gross_r", 6), "net": F.round("mean_net_r", 6)}).collect()
+        assert {r.variant: r.mean_gross_r for r in got} == {v: float(m) for v, m in means.items()}
+        assert {r.variant: r.gross for r in got} == {r.variant: r.net for r in got} == half_up
+
+
 # ---- plug points
 
 

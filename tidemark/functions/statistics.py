@@ -28,6 +28,12 @@ def exact_mean(x: Column | str, digits: int = 4) -> Column:
     return F.sum(F.round(x * 10**digits).cast("long")) / F.count(x) / 10**digits
 
 
+def nearest_mean(x: Column | str, digits: int = 4) -> Column:
+    """exact_mean by a single division, which makes it the double nearest to the true mean: one that ends in a half is rounded as such."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.sum(F.round(x * 10**digits).cast("long")) / (F.count(x) * 10**digits)
+
+
 def framed_median(x: Column | str, frame: WindowSpec) -> Column:
     """The median of a sliding frame's values; null for an empty frame."""
     values = F.sort_array(F.collect_list(x).over(frame))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.statistics import nearest_mean
 from tidemark.operators import outcomes
 from tidemark.operators.indicators import by_ticker
 from tidemark.operators.setups import Variant, fill_size, swing_variants
@@ -45,7 +46,10 @@ def replay(indicators: DataFrame, bars: DataFrame, variants: tuple[Variant, ...]
 
 
 def by_strategy(trades: DataFrame, period: Column) -> DataFrame:
-    """(variant, period, strategy, trades, mean_gross_r, mean_net_r, win_rate, stopped) of replay's trades; a variant without trades has no row."""
+    """(variant, period, strategy, trades, mean_gross_r, mean_net_r, win_rate, stopped) of replay's trades; a variant without trades has no row.
+
+    R has four decimals, and means don't depend on the order of trades.
+    """
     gross, net = F.col("gross_r"), F.col("net_r")
     found = trades.groupBy("variant", period.alias("period"), "strategy")
-    return found.agg(F.count("*").alias("trades"), F.avg(gross).alias("mean_gross_r"), F.avg(net).alias("mean_net_r"), F.avg((net > 0).cast("int")).alias("win_rate"), F.count_if(gross <= -1).alias("stopped"))
+    return found.agg(F.count("*").alias("trades"), nearest_mean(gross).alias("mean_gross_r"), nearest_mean(net).alias("mean_net_r"), F.avg((net > 0).cast("int")).alias("win_rate"), F.count_if(gross <= -1).alias("stopped"))
