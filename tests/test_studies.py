@@ -6,11 +6,14 @@ import math
 import random
 from fractions import Fraction
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import alerts, bitemporal, book, coverage, evaluation, factors, gates, grid, indicators, market, outcomes, plugs, research, scan, schedules, setups, sizing
+from tidemark.plans import studies
+from tidemark.plans.registry import ORACLE_SQL
 from tidemark.sources import manifests, readers, sinks
 from tidemark.streaming import streams
 
@@ -438,6 +441,21 @@ def test_evidence_reports_keep_what_was_not_seen(spark):
     assert outcomes.portfolio_statistics(lost).first().total_return == -1.0
 
 
+def test_evidence_report_without_a_hit_equals_its_sql(spark, tmp_path):
+    for name in ("nation", "supplier", "lineitem"):
+        table = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if name == "lineitem":  # moves so small that no trade reaches its target
+            table = table.withColumn("l_discount", F.lit(0.05) + F.when(F.col("l_orderkey") % 50 == 0, 0.01).otherwise(0.0))
+        table.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for name in ("nation", "supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = {r[1:3]: r[4] for r in con.execute(ORACLE_SQL["evidence_report"]).fetchall() if r[0] == r[3] == "trades"}
+    got = {(r.field, r.label): r.value for r in studies.evidence_report(spark, str(tmp_path)).where("section = 'trades' and measure = 'trades'").collect()}
+    assert got == want and ("hit", "true") not in got and got["direction", "FLAT"] == 0.0
+
+
 # ---- what no query calls
 
 
